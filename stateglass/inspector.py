@@ -1,0 +1,164 @@
+"""Looking at a storage path as a whole: list, browse, inspect, compare.
+
+A snapshot is named by its path: the folder of a pinned snapshot, the
+checkpoint folder of a stream (its latest batch), or ``.../offsets/N`` in it
+(batch N), which is how discovery names the batches of a stream.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from stateglass.functions.naming import iso_time, short_job_id
+from stateglass.operators import diff as d, entries as e, paging, reports
+from stateglass.sinks.pins import PinStore, read_pin
+from stateglass.sources.catalog import discover_operators, pinned_operators
+from stateglass.sources.files import exists
+from stateglass.sources.snapshots import MARKER, discover_snapshots, merge_listings
+from stateglass.sources.state import state_entries
+
+# How many rows are shown unless told otherwise.
+LIST_LIMIT = 20
+INSPECT_LIMIT = 1_000
+DIFF_LIMIT = 10_000
+
+_BATCH = re.compile(r"^(.*)/offsets/(\d+)$")
+
+
+def list_snapshots(
+    spark: SparkSession, base: str, limit: int = LIST_LIMIT, per_job: int | None = None
+) -> DataFrame:
+    """Snapshots of both layouts below ``base``, the newest first."""
+    found = merge_listings(
+        discover_snapshots(spark, base, "pinned"), discover_snapshots(spark, base, "streaming")
+    )
+    if per_job is not None:
+        newest = [F.col("modification_time").desc(), "path"]
+        found = paging.top_per_group(found, ["job_id"], newest, per_job).drop("pos")
+    return paging.newest_first(found, "modification_time", "path", limit)
+
+
+def _split(path: str) -> tuple[str, int | None]:
+    batch = _BATCH.match(path.rstrip("/"))
+    return (batch.group(1), int(batch.group(2))) if batch else (path.rstrip("/"), None)
+
+
+def snapshot_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``operator_uid, state_kind, state_name, key, value`` of a snapshot."""
+    root, batch = _split(path)
+    if batch is None and exists(spark, f"{root}/{MARKER}"):
+        return read_pin(spark, root).select(*e.ENTRY_COLUMNS)
+    return state_entries(spark, root, batch)
+
+
+def snapshot_operators(spark: SparkSession, path: str) -> DataFrame:
+    """``uid, name, keyed_states, operator_states`` of a snapshot."""
+    root, batch = _split(path)
+    if batch is None and exists(spark, f"{root}/{MARKER}"):
+        return pinned_operators(read_pin(spark, root))
+    return discover_operators(spark, root)
+
+
+def browse(spark: SparkSession, base: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """The newest snapshots with a running index and their operators.
+
+    Paths are taken to the driver, ``limit`` of them at most, to open each
+    snapshot's catalog.
+    """
+    listed = list_snapshots(spark, base, limit)
+    rows = listed.collect()
+    listed = spark.createDataFrame(rows, listed.schema)
+    catalogs = [
+        snapshot_operators(spark, r["path"]).withColumn("path", F.lit(r["path"]))
+        for r in rows
+        if r["valid"]
+    ]
+    numbered = listed.withColumn("millis", F.unix_millis("modification_time"))
+    order = [F.col("modification_time").desc(), "path"]
+    numbered = paging.bounded_read(numbered, order, limit).withColumnRenamed("pos", "index")
+    shown = numbered.select(
+        "index",
+        "type",
+        short_job_id(F.col("job_id")).alias("job"),
+        iso_time(F.col("millis")).alias("time"),
+        "path",
+    )
+    if not catalogs:
+        return shown.withColumn("operators", F.lit("(none)"))
+    summaries = reports.operator_summary(e.one_result(catalogs))
+    return shown.join(summaries, "path", "left").withColumn(
+        "operators", F.coalesce("operators", F.lit("(none)"))
+    )
+
+
+def select_entries(
+    entries: DataFrame,
+    operator_uid: str | None = None,
+    state_name: str | None = None,
+    key_filter: str | None = None,
+) -> DataFrame:
+    """Entries of one operator and state, or of all; filters apply to every kind."""
+    if operator_uid is not None:
+        entries = e.of_operator(entries, operator_uid)
+    if state_name is not None:
+        entries = e.of_state(entries, state_name)
+    return e.with_key_text(entries, key_filter)
+
+
+def inspect(
+    spark: SparkSession,
+    path: str,
+    operator_uid: str | None = None,
+    state_name: str | None = None,
+    key_filter: str | None = None,
+    keys_only: bool = False,
+    offset: int = 0,
+    limit: int = INSPECT_LIMIT,
+) -> DataFrame:
+    """A page of the entries of a snapshot, with ``pos`` and ``has_more``."""
+    paging.check_offset(offset)
+    paging.check_limit(limit)
+    rows = select_entries(snapshot_entries(spark, path), operator_uid, state_name, key_filter)
+    if keys_only:
+        rows = e.keys_only(rows, ["operator_uid", "key"])
+        return paging.page(rows, ["operator_uid", "key"], offset, limit)
+    return paging.page(rows, ["operator_uid", "state_name", "key"], offset, limit)
+
+
+def compare(
+    spark: SparkSession,
+    left: str,
+    right: str,
+    operator_uid: str | None = None,
+    state_name: str | None = None,
+    keys_only: bool = False,
+) -> DataFrame:
+    """The diff of two snapshots over the operators and states of both.
+
+    ``operator_uid, state_name, key, status, left_value, right_value``; see
+    ``diff.page_per_status`` and ``diff.diff_summary`` for pages and totals.
+    """
+
+    def side(path: str) -> DataFrame:
+        rows = select_entries(snapshot_entries(spark, path), operator_uid, state_name)
+        return rows.select(F.struct("operator_uid", "state_name", "key").alias("key"), "value")
+
+    found = d.diff_snapshots(side(left), side(right), keys_only=keys_only)
+    if keys_only:
+        return found.select("key.*", "status")
+    return found.select(
+        "key.*",
+        "status",
+        F.col("left.value").alias("left_value"),
+        F.col("right.value").alias("right_value"),
+    )
+
+
+def pin_checkpoint(
+    spark: SparkSession, store: PinStore, path: str, job: str | None, name: str
+) -> str:
+    """Copy a snapshot into a pin that outlives it; returns the id of the pin."""
+    rows = snapshot_entries(spark, path).withColumn("operator_id", F.col("operator_uid"))
+    return store.pin_snapshot(rows, job, name, source_path=path)

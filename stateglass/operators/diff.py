@@ -23,6 +23,8 @@ ADDED, REMOVED, MODIFIED, UNCHANGED = "ADDED", "REMOVED", "MODIFIED", "UNCHANGED
 # Never reported as changed: they say which entry it is.
 IDENTITY_FIELDS = ("key", "partition")
 
+CHANGES_TYPE = "array<struct<field_name:string,old_value:string,new_value:string>>"
+
 
 def field_names(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
     """Value fields of both sides, those of the left first."""
@@ -35,10 +37,19 @@ def combined_fields(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def _key_condition(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _without_null_keys(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for key in keys:
+        null = F.raise_error(F.lit(f"null in key column {key}")).cast("boolean")
+        side = side.filter(F.when(F.col(key).isNull(), null).otherwise(True))
+    return side
+
+
+def _key_condition(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys: bool = True
+) -> Column:
     def same(key: str) -> Column:
         l, r = F.col(f"l.{key}"), F.col(f"r.{key}")
-        if left.schema[key].nullable or right.schema[key].nullable:
+        if null_keys and (left.schema[key].nullable or right.schema[key].nullable):
             return l.eqNullSafe(r)
         return l == r
 
@@ -82,10 +93,12 @@ class _Field:
         return self.old().eqNullSafe(self.new())
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _joined(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys: bool = True
+) -> DataFrame:
     l = left.withColumn("__left", F.lit(True)).alias("l")
     r = right.withColumn("__right", F.lit(True)).alias("r")
-    return l.join(r, _key_condition(left, right, keys), "full_outer")
+    return l.join(r, _key_condition(left, right, keys, null_keys), "full_outer")
 
 
 def _status(unchanged: Column) -> Column:
@@ -118,14 +131,19 @@ def diff_snapshots(
     right: DataFrame,
     keys: Sequence[str] = ("key",),
     keys_only: bool = False,
+    null_keys: bool = True,
 ) -> DataFrame:
     """One row per key: ``keys..., status, left, right, field_changes``.
 
     A key on both sides is MODIFIED exactly when ``field_changes`` is not
     empty. With ``keys_only`` there are just ``keys..., status`` and no key is
-    MODIFIED.
+    MODIFIED. ``null_keys=False`` says that no key is null, as in bucketed
+    pins, so that the join can take over how they are stored; a null key then
+    fails the job.
     """
-    joined = _joined(left, right, keys)
+    if not null_keys:
+        left, right = _without_null_keys(left, keys), _without_null_keys(right, keys)
+    joined = _joined(left, right, keys, null_keys)
     if keys_only:
         return joined.select(*_keys_out(keys), _status(F.lit(True)).alias("status"))
     fields = _fields(left, right, keys)
@@ -136,28 +154,26 @@ def diff_snapshots(
         packed = F.struct(*values) if values else F.struct(F.lit(None).alias("_none"))
         return F.when(F.col(marker).isNotNull(), packed)
 
-    changes = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    ~f.same(),
-                    F.struct(
-                        F.lit(f.name).alias("field_name"),
-                        f.old().alias("old_value"),
-                        f.new().alias("new_value"),
-                    ),
-                )
-                for f in fields
-            ]
+    none = F.expr(f"cast(array() as {CHANGES_TYPE})")
+
+    def change(f: _Field) -> Column:
+        return F.array(
+            F.struct(
+                F.lit(f.name).alias("field_name"),
+                f.old().alias("old_value"),
+                f.new().alias("new_value"),
+            )
         )
-    )
-    empty = F.expr("cast(array() as array<struct<field_name:string,old_value:string,new_value:string>>)")
+
+    # Joined arrays of one or no change keep to generated code; a filter over
+    # an array of all fields would not.
+    changes = F.concat(none, *[F.when(both & ~f.same(), change(f)).otherwise(none) for f in fields])
     return joined.select(
         *_keys_out(keys),
         _status(_all_same(fields)).alias("status"),
         side("__left", "l", left).alias("left"),
         side("__right", "r", right).alias("right"),
-        (F.when(both, changes).otherwise(empty) if fields else empty).alias("field_changes"),
+        changes.alias("field_changes"),
     )
 
 

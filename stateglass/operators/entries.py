@@ -59,18 +59,16 @@ def to_wide(long: DataFrame, states: Sequence[str], keys: Sequence[str] = ("key"
     )
 
 
-def join_states(states: dict[str, DataFrame], keys: Sequence[str] = ("key",)) -> DataFrame:
-    """Full outer join of one frame per state variable, keys null-safe.
+def combine_states(states: dict[str, DataFrame], keys: Sequence[str] = ("key",)) -> DataFrame:
+    """One row per key from one frame per state variable, a typed column each.
 
-    Every frame has the key columns and ``value``; the result has one typed
-    column per state.
+    Every frame has the key columns and ``value``, once per key. A union and
+    one aggregation shuffle each frame once; a chain of outer joins would
+    shuffle what is joined so far again for every further state.
     """
-    packed = [
-        df.select(F.struct(*keys).alias("__key"), F.col("value").alias(name))
-        for name, df in states.items()
-    ]
-    joined = reduce(lambda a, b: a.join(b, "__key", "full_outer"), packed)
-    return joined.select(*[F.col(f"__key.{k}").alias(k) for k in keys], *states)
+    frames = [df.select(*keys, F.col("value").alias(name)) for name, df in states.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.groupBy(*keys).agg(*[F.first(s, ignorenulls=True).alias(s) for s in states])
 
 
 def last_write_wins(

@@ -17,7 +17,7 @@ CHUNK_ROWS = 1_000_000
 
 
 def chunk_of(seq: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
-    return F.floor(seq / F.lit(chunk_rows)).cast("bigint")
+    return F.call_function("div", seq.cast("bigint"), F.lit(chunk_rows).cast("bigint"))
 
 
 def running_count(
@@ -38,7 +38,9 @@ def running_count(
 
     key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
     group = F.struct(key.alias("key"), chunk_of(F.col(seq), chunk_rows).alias("chunk"))
-    grouped = rows.withColumn("__group", group)
+    # The key travels inside the group only.
+    rest = [c for c in rows.columns if c not in keys]
+    grouped = rows.select(group.alias("__group"), *rest)
     local = grouped.withColumn(
         "__local",
         F.row_number().over(Window.partitionBy("__group").orderBy(ordered(seq))),
@@ -55,8 +57,11 @@ def running_count(
     )
     return (
         local.join(before, "__group")
-        .withColumn(name, (F.col("__local") + F.col("__before")).cast("bigint"))
-        .drop("__group", "__local", "__before")
+        .select(
+            *[F.col(f"__group.key.{k}").alias(k) for k in keys],
+            *rest,
+            (F.col("__local") + F.col("__before")).cast("bigint").alias(name),
+        )
     )
 
 

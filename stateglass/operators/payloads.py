@@ -197,12 +197,12 @@ def payload_layouts(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
 def layout_profile(df: DataFrame, payload: str, by: list[str]) -> DataFrame:
     """Rows per layout in each group of ``by``, and their share of the group.
 
-    Rows are counted per group and layout first, so the share is worked out on
-    those counts alone.
+    Group totals are counted on the input, without decoding anything again.
     """
-    counts = payload_layouts(df, payload, by).groupBy(*by, "layout").agg(F.count("*").alias("n_rows"))
-    rows = counts.select(F.struct(*by).alias("__group"), "layout", "n_rows")
-    totals = rows.groupBy("__group").agg(F.sum("n_rows").alias("__total"))
-    return rows.join(totals, "__group").select(
+    group = F.struct(*by).alias("__group")
+    laid = payload_layouts(df, payload, by).select(group, "layout")
+    counts = laid.groupBy("__group", "layout").agg(F.count("*").alias("n_rows"))
+    totals = df.select(group).groupBy("__group").agg(F.count("*").alias("__total"))
+    return counts.join(totals, "__group").select(
         "__group.*", "layout", "n_rows", (F.col("n_rows") / F.col("__total")).alias("share")
     )

@@ -29,7 +29,7 @@ def assemble_states(spark, sf_dir):
 
 
 @query(
-    "j5_join_states",
+    "j5_combine_states",
     """
     SELECT coalesce(c.user_id, p.user_id) AS user_id, n_clicks, last_purchase
     FROM (SELECT user_id, count(*) AS n_clicks FROM events WHERE event_type = 'click' GROUP BY 1) c
@@ -37,13 +37,13 @@ def assemble_states(spark, sf_dir):
                      WHERE event_type = 'purchase' GROUP BY 1) p ON c.user_id = p.user_id
     """,
 )
-def join_states(spark, sf_dir):
+def combine_states(spark, sf_dir):
     events = load(spark, sf_dir, "events")
     clicks = events.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("value"))
     bought = (
         events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("value"))
     )
-    return e.join_states({"n_clicks": clicks, "last_purchase": bought}, ["user_id"])
+    return e.combine_states({"n_clicks": clicks, "last_purchase": bought}, ["user_id"])
 
 
 @query(

@@ -68,20 +68,22 @@ def first_replica(spark, sf_dir):
 @query(
     "u4_diverging_replicas",
     """
-    SELECT 'broadcast-proc' AS operator_uid, 'user-totals' AS state_name,
+    SELECT 'broadcast-proc' AS operator_uid, concat('totals-', event_type) AS state_name,
            CAST(user_id AS VARCHAR) AS key, count(*) AS n_replicas,
            min(n) AS min_value, max(n) AS max_value
-    FROM (SELECT user_id, event_id % 4 AS subtask, count(*) AS n FROM events GROUP BY 1, 2)
-    GROUP BY user_id
+    FROM (SELECT user_id, event_type, event_id % 4 AS subtask, count(*) AS n
+          FROM events GROUP BY 1, 2, 3)
+    GROUP BY user_id, event_type
     HAVING count(*) <> 4 OR min(n) <> max(n)
     """,
 )
 def diverging_replicas(spark, sf_dir):
-    counts = subtask_events(spark, sf_dir).groupBy("user_id", "subtask").agg(F.count("*").alias("value"))
+    by = ("user_id", "event_type", "subtask")
+    counts = subtask_events(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("value"))
     return o.diverging_replicas(
         counts.select(
             F.lit("broadcast-proc").alias("operator_uid"),
-            F.lit("user-totals").alias("state_name"),
+            F.concat(F.lit("totals-"), "event_type").alias("state_name"),
             "subtask",
             F.col("user_id").cast("string").alias("key"),
             "value",
@@ -106,13 +108,13 @@ def state_names(spark, sf_dir):
     return names.withColumn("state_names", F.array_join("state_names", ","))
 
 
-SUMMARY_SQL = f"""
+SUBTASK_SQL = f"""
     SELECT event_id % {SUBTASKS} AS subtask, count(*) AS n_records, max(ts) AS last_time
     FROM events GROUP BY event_id % {SUBTASKS}
 """
 
 
-@query("a13_subtask_summary", SUMMARY_SQL)
+@query("a13_subtask_summary", SUBTASK_SQL)
 def subtask_summary(spark, sf_dir):
     return o.subtask_summary(subtask_events(spark, sf_dir))
 

@@ -2,10 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from stateglass.operators import paging, reports
+from stateglass.operators import diff as d, paging, reports
+from stateglass.plans.diffs import JOINED_SQL
 from stateglass.plans.memo import once
 from stateglass.plans.registry import query
-from stateglass.plans.tables import AFTER, BEFORE, PINS_SQL, entries_at, entries_sql, pins
+from stateglass.plans.tables import (
+    AFTER,
+    BEFORE,
+    PINS_SQL,
+    entries_at,
+    entries_sql,
+    pins,
+    state_at,
+    texts,
+)
 from stateglass.session import work_dir
 from stateglass.sinks import pins as k
 from stateglass.sinks.export import export_json
@@ -40,9 +50,23 @@ def pinned_snapshots(spark, sf_dir):
     return s.discover_snapshots(spark, pinned_base(spark, sf_dir))
 
 
-@query("s2_snapshot_validity")
+@query(
+    "s2_snapshot_validity",
+    f"""
+    SELECT 'job-events' AS job_id, 'chk-1' AS snapshot, true AS valid, count(*) AS n_entries
+    FROM ({entries_sql(BEFORE)})
+    UNION ALL SELECT 'job-events', 'chk-2', true, count(*) FROM ({entries_sql(AFTER)})
+    UNION ALL SELECT 'job-events', 'chk-3', false, 0
+    UNION ALL SELECT NULL, 'savepoint-a1', true, count(*) FROM ({entries_sql(AFTER)})
+    """,
+)
 def snapshot_validity(spark, sf_dir):
-    return s.discover_snapshots(spark, pinned_base(spark, sf_dir)).select("snapshot", "valid")
+    """Every snapshot, whole or not, with the entries that can be read from it."""
+    found = s.discover_snapshots(spark, pinned_base(spark, sf_dir))
+    counts = k.read_snapshots(spark, found).groupBy("snapshot").agg(F.count("*").alias("n_entries"))
+    return found.join(counts, "snapshot", "left").select(
+        "job_id", "snapshot", "valid", F.coalesce("n_entries", F.lit(0)).alias("n_entries")
+    )
 
 
 @query("s10_list_children")
@@ -74,6 +98,30 @@ def pinned(spark, sf_dir):
     return k.read_pin(spark, path).drop("operator_id").select(*COLUMNS.split(", "))
 
 
+@query("k2_bucketed_diff", JOINED_SQL)
+def bucketed_diff(spark, sf_dir):
+    """The snapshot diff over two pins bucketed by key: neither side is shuffled."""
+
+    def build():
+        base = work_dir(spark, "buckets")
+        buckets = spark.sparkContext.defaultParallelism
+        for cut, name in ((BEFORE, "before"), (AFTER, "after")):
+            table = f"{base.rsplit('/', 1)[-1].replace('-', '_')}_{name}"
+            k.pin_to_table(texts(state_at(spark, sf_dir, cut)), table, f"{base}/{name}", buckets=buckets)
+        return base
+
+    base = once(spark, sf_dir, "buckets", build).rsplit("/", 1)[-1].replace("-", "_")
+    sides = spark.table(f"{base}_before"), spark.table(f"{base}_after")
+    return d.diff_snapshots(*sides, null_keys=False).select(
+        "key",
+        "status",
+        F.col("left.event_count").alias("old_count"),
+        F.col("right.event_count").alias("new_count"),
+        F.col("left.average").alias("old_average"),
+        F.col("right.average").alias("new_average"),
+    )
+
+
 @query(
     "k2_read_pruned",
     f"SELECT key, value FROM ({entries_sql(AFTER)}) WHERE state_name = 'order_count'",

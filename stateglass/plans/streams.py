@@ -6,11 +6,14 @@ rest, so that batch 0 and batch 1 of every checkpoint are known states.
 
 from pyspark.sql import functions as F
 
+from stateglass import inspector
 from stateglass.functions.text import map_text
+from stateglass.operators.diff import diff_summary
 from stateglass.operators import entries as e, order, reports
 from stateglass.plans.assembly import CATEGORY_SQL
+from stateglass.plans.diffs import SUMMARY_SQL
 from stateglass.plans.memo import once
-from stateglass.plans.operator_state import ENRICHED_SQL, SUMMARY_SQL
+from stateglass.plans.operator_state import ENRICHED_SQL, SUBTASK_SQL
 from stateglass.plans.ordering import AVERAGE_SQL
 from stateglass.plans.registry import query
 from stateglass.plans.tables import (
@@ -88,9 +91,22 @@ def user_state(spark, sf_dir, name, batch_id=None, flatten=False):
 # Catalog of the checkpoints.
 
 
-@query("s3_operator_catalog")
+STATES = ("category_counts", "event_count", "last_category", "recent_values", "running_average")
+
+
+@query(
+    "s3_operator_catalog",
+    f"""
+    SELECT '0' AS uid, '{",".join(STATES)}' AS keyed_states, count(*) AS n_keys
+    FROM (SELECT DISTINCT user_id, event_id // {CHUNK} FROM events)
+    """,
+)
 def operator_catalog(spark, sf_dir):
-    return catalog.discover_operators(spark, keyed(spark, sf_dir))
+    """The operator of the keyed stream, its states and the keys it holds."""
+    checkpoint = keyed(spark, sf_dir)
+    counts = st.operator_entry_counts(spark, checkpoint)
+    found = catalog.discover_operators(spark, checkpoint).join(counts, "uid", "left")
+    return found.select("uid", F.array_join("keyed_states", ",").alias("keyed_states"), "n_keys")
 
 
 @query("s3_state_variables")
@@ -173,7 +189,7 @@ def keyed_processor(spark, sf_dir):
     """All VALUE states of the processor in one row per user."""
     checkpoint = keyed(spark, sf_dir)
     names = ("event_count", "last_category", "running_average")
-    joined = e.join_states({n: st.read_keyed_state(spark, checkpoint, n) for n in names})
+    joined = e.combine_states({n: st.read_keyed_state(spark, checkpoint, n) for n in names})
     rows = joined.select("key.*", *names)
     average = order.merge_ema(
         rows.select("user_id", "chunk", "running_average.*"), ["user_id"], jobs.ALPHA
@@ -194,7 +210,7 @@ def buffer_processor(spark, sf_dir):
     return order.recent_rows(rows, ["subtask"], "seq", jobs.BUFFER_SIZE).drop("seq")
 
 
-@query("t3_union_summary", SUMMARY_SQL)
+@query("t3_union_summary", SUBTASK_SQL)
 def union_summary(spark, sf_dir):
     fields = ["n_records", "last_time"]
     return st.read_aggregation_state(spark, union(spark, sf_dir), fields).select("key.*", *fields)
@@ -278,6 +294,45 @@ def batch_changes(spark, sf_dir):
     )
 
 
+CHANGED_SQL = f"""
+    SELECT CASE WHEN n_before = 0 THEN 'ADDED' WHEN n_later > 0 THEN 'MODIFIED'
+                ELSE 'UNCHANGED' END AS status
+    FROM (SELECT count(*) FILTER (ts < TIMESTAMP '{BEFORE}') AS n_before,
+                 count(*) FILTER (ts >= TIMESTAMP '{BEFORE}') AS n_later
+          FROM events GROUP BY user_id, event_id // {CHUNK})
+"""
+
+
+@query(
+    "j6_checkpoint_diff",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS state_name, {SUMMARY_SQL} FROM ({CHANGED_SQL})" for name in STATES
+    ),
+)
+def checkpoint_diff(spark, sf_dir):
+    """All states of the stream at batch 0 against batch 1, totals per state."""
+    checkpoint = keyed(spark, sf_dir)
+    found = inspector.compare(spark, f"{checkpoint}/offsets/0", f"{checkpoint}/offsets/1")
+    return diff_summary(found, ["state_name"])
+
+
+@query(
+    "s4_inspect_page",
+    f"""
+    SELECT 'event_count' AS state_name, concat('{{"user_id":', u, ',"chunk":', c, '}}') AS key,
+           CAST(n AS VARCHAR) AS value
+    FROM (SELECT user_id AS u, event_id // {CHUNK} AS c, count(*) AS n FROM events GROUP BY 1, 2)
+    WHERE contains(concat('{{"user_id":', u, ',"chunk":', c, '}}'), '"user_id":1')
+    """,
+)
+def inspect_page(spark, sf_dir):
+    """Entries whose key text contains a filter, as one page."""
+    rows = inspector.inspect(
+        spark, keyed(spark, sf_dir), "0", "event_count", '"user_id":1', limit=100_000
+    )
+    return rows.select("state_name", "key", "value")
+
+
 @query("t8_retained_snapshots")
 def retained_snapshots(spark, sf_dir):
     """Six batches, two of them to be kept: what discovery still finds."""

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stateglass.operators.entries import one_result
 from stateglass.sources.files import delete, exists, qualified, write_text
 from stateglass.sources.snapshots import MARKER, list_files
 
@@ -138,6 +140,52 @@ def read_pin(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
 
 
+def read_snapshots(spark: SparkSession, snapshots: DataFrame, limit: int = MAX_PINS) -> DataFrame:
+    """Entries of the newest whole snapshots of a listing, each with its snapshot.
+
+    Only the paths come to the driver, ``limit`` of them at most.
+    """
+    newest = (
+        snapshots.filter("valid")
+        .orderBy(F.col("modification_time").desc(), "path")
+        .limit(limit)
+        .select("path", "job_id", "snapshot")
+        .collect()
+    )
+    return one_result(
+        [
+            read_pin(spark, row["path"]).withColumns(
+                {
+                    "job_id": F.lit(row["job_id"]).cast("string"),
+                    "snapshot": F.lit(row["snapshot"]),
+                }
+            )
+            for row in newest
+        ]
+    )
+
+
+def pin_to_table(
+    df: DataFrame, table: str, path: str, keys: Sequence[str] = ("key",), buckets: int = 200
+) -> DataFrame:
+    """Pin as a table bucketed and sorted by key, for diffs without a shuffle.
+
+    Keys must not be null; a null fails the write. Two such tables with the
+    same keys and number of buckets are joined bucket by bucket.
+    """
+    for key in keys:
+        checked = F.coalesce(F.col(key), F.raise_error(F.lit(f"null {key}")).cast(df.schema[key].dataType))
+        df = df.withColumn(key, checked)
+    (
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def lookup_pin(pins: DataFrame, source_path: str) -> DataFrame:
     return (
         pins.filter(F.col("source_path") == source_path)

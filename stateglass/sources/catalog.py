@@ -37,6 +37,7 @@ def state_variables(spark: SparkSession, checkpoint: str) -> DataFrame:
         "name",
         F.coalesce("v.stateName", "store").alias("state_name"),
         F.coalesce("v.stateVariableType", F.lit("ValueState")).alias("state_type"),
+        F.col("v.stateName").isNotNull().alias("declared"),
         "store",
         "n_partitions",
         "min_batch_id",

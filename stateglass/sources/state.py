@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from stateglass.operators.entries import join_states
+from stateglass.functions.text import json_text
+from stateglass.operators.entries import combine_states, one_result
 from stateglass.sources.catalog import state_variables
+from stateglass.sources.custom import as_entries
 
 
 def _ready(spark: SparkSession) -> None:
@@ -128,20 +130,85 @@ def read_aggregation_state(
     return raw.select("key", F.col("value").cast(renamed).alias("value")).select("key", "value.*")
 
 
+def visible_states(spark: SparkSession, checkpoint: str) -> list[Row]:
+    """Operators and their states without those Spark keeps for itself.
+
+    As many rows as the job declares, so they may come to the driver.
+    """
+    return (
+        state_variables(spark, checkpoint)
+        .filter(~F.col("state_name").rlike(r"^\$"))
+        .select("operator_id", "name", "state_name", "store", "declared")
+        .distinct()
+        .orderBy("operator_id", "state_name")
+        .collect()
+    )
+
+
+def _read_any(
+    spark: SparkSession, checkpoint: str, state: Row, batch_id: int | None
+) -> DataFrame:
+    if state["declared"]:
+        return read_keyed_state(
+            spark, checkpoint, state["state_name"], batch_id, state["operator_id"]
+        )
+    store = None if state["store"] == "default" else state["store"]
+    raw = _load(
+        spark, checkpoint, batchId=batch_id, operatorId=state["operator_id"], storeName=store
+    )
+    return raw.select("key", "value")
+
+
+def _json(df: DataFrame, name: str) -> Column:
+    """JSON text of a column; repeated field names get their position added."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StructType) and len(set(dtype.names)) < len(dtype):
+        dtype = T.StructType(
+            [T.StructField(f"{f.name}_{i}", f.dataType) for i, f in enumerate(dtype)]
+        )
+    return json_text(F.col(name).cast(dtype), dtype)
+
+
+def state_entries(
+    spark: SparkSession, checkpoint: str, batch_id: int | None = None
+) -> DataFrame:
+    """All states of all operators as long entries, keys and values as JSON text."""
+    parts = []
+    for state in visible_states(spark, checkpoint):
+        rows = _read_any(spark, checkpoint, state, batch_id)
+        parts.append(
+            as_entries(
+                rows,
+                str(state["operator_id"]),
+                state["state_name"],
+                _json(rows, "key"),
+                _json(rows, "value"),
+            )
+        )
+    return one_result(parts)
+
+
+def operator_entry_counts(
+    spark: SparkSession, checkpoint: str, batch_id: int | None = None
+) -> DataFrame:
+    """Number of distinct keys each operator holds: ``uid, n_keys``."""
+    parts = [
+        _read_any(spark, checkpoint, state, batch_id).select(
+            F.lit(str(state["operator_id"])).alias("uid"),
+            F.to_json("key").alias("key"),
+        )
+        for state in visible_states(spark, checkpoint)
+    ]
+    return one_result(parts).distinct().groupBy("uid").agg(F.count("*").alias("n_keys"))
+
+
 def read_all_states(
     spark: SparkSession, checkpoint: str, batch_id: int | None = None, operator_id: int = 0
 ) -> DataFrame:
     """One row per key with a typed column per declared state variable."""
-    names = [
-        r["state_name"]
-        for r in state_variables(spark, checkpoint)
-        .filter((F.col("operator_id") == operator_id) & ~F.col("state_name").rlike(r"^\$"))
-        .select("state_name")
-        .distinct()
-        .orderBy("state_name")
-        .collect()
-    ]
-    return join_states(
+    states = visible_states(spark, checkpoint)
+    names = [s["state_name"] for s in states if s["operator_id"] == operator_id]
+    return combine_states(
         {n: read_keyed_state(spark, checkpoint, n, batch_id, operator_id) for n in names}
     )
 

@@ -12,7 +12,8 @@ order itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,12 @@ OUTPUT_SCHEMA = "user_id bigint, chunk bigint, event_count bigint"
 BUFFER_OUTPUT_SCHEMA = "subtask bigint, chunk bigint, n_buffered bigint"
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values("seq", kind="stable")
+def _in_order(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> list[np.ndarray]:
+    """The columns of all rows of a group as arrays, by rising sequence number."""
+    parts = [[batch[c].to_numpy() for c in columns] for batch in batches]
+    arrays = [np.concatenate(column) for column in zip(*parts)]
+    order = np.argsort(arrays[0], kind="stable")
+    return [array[order] for array in arrays]
 
 
 class KeyedStateProcessor(StatefulProcessor):
@@ -48,29 +53,31 @@ class KeyedStateProcessor(StatefulProcessor):
         self.categories = handle.getMapState("category_counts", "category string", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _in_order(rows)
-        total = len(new) + (self.count.get()[0] if self.count.exists() else 0)
+        seq, millis, category, value = _in_order(rows, ("seq", "millis", "category", "value"))
+        counted = self.count.get()
+        # A new group has nothing stored, so nothing of it is looked up.
+        new = counted is None
+        total = len(seq) + (0 if new else counted[0])
         self.count.update((total,))
-        newest = new.iloc[-1]
-        self.last.update((newest["category"], int(newest["seq"])))
-        self._extend_average(new["value"].to_numpy(dtype=float))
-
-        tail = new.tail(self.recent_size)
-        texts = [f"{v:.2f}@{t}" for v, t in zip(tail["value"], tail["millis"])]
-        added = list(zip(tail["seq"].tolist(), texts))
-        held = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        self.recent.put((held + added)[-self.recent_size :])
-
-        for category, n in new["category"].value_counts().items():
-            known = self.categories.containsKey((category,))
-            before = self.categories.getValue((category,))[0] if known else 0
-            self.categories.updateValue((category,), (before + int(n),))
+        self.last.update((category[-1], int(seq[-1])))
+        self._extend_average(value.astype(float), new)
+
+        size = self.recent_size
+        texts = [f"{v:.2f}@{t}" for v, t in zip(value[-size:], millis[-size:])]
+        added = list(zip(seq[-size:].tolist(), texts))
+        held = [] if new or len(added) == size else [tuple(r) for r in self.recent.get()]
+        self.recent.put((held + added)[-size:])
+
+        for name, n in Counter(category.tolist()).items():
+            known = not new and self.categories.containsKey((name,))
+            before = self.categories.getValue((name,))[0] if known else 0
+            self.categories.updateValue((name,), (before + n,))
         yield pd.DataFrame({"user_id": [key[0]], "chunk": [key[1]], "event_count": [total]})
 
-    def _extend_average(self, values: np.ndarray) -> None:
+    def _extend_average(self, values: np.ndarray, new: bool) -> None:
         keep = 1.0 - self.alpha
         weights = self.alpha * keep ** np.arange(len(values) - 1, -1, -1)
-        n, added, first = self.average.get() if self.average.exists() else (0, 0.0, float(values[0]))
+        n, added, first = (0, 0.0, float(values[0])) if new else self.average.get()
         added = float(added * keep ** len(values) + weights @ values)
         self.average.update((n + len(values), added, first))
 
@@ -91,9 +98,10 @@ class RecentBufferProcessor(StatefulProcessor):
         self.buffer = handle.getListState("partitioned_records", "seq bigint, entry string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _in_order(rows).tail(self.size)
-        held = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
-        kept = (held + list(zip(new["seq"].tolist(), new["entry"].tolist())))[-self.size :]
+        seq, entry = _in_order(rows, ("seq", "entry"))
+        added = list(zip(seq[-self.size :].tolist(), entry[-self.size :].tolist()))
+        held = [] if len(added) == self.size else [tuple(r) for r in self.buffer.get()]
+        kept = (held + added)[-self.size :]
         self.buffer.put(kept)
         yield pd.DataFrame({"subtask": [key[0]], "chunk": [key[1]], "n_buffered": [len(kept)]})
 
