@@ -15,6 +15,7 @@ from stateglass.plans.tables import (
     texts,
 )
 from stateglass.sources.custom import as_entries
+from stateglass.sources.storage import hadoop_path, storage_options
 
 ENTRIES = entries_sql(AFTER)
 COLUMNS = "operator_uid, state_kind, state_name, key, value"
@@ -159,6 +160,17 @@ def bounded_read(spark, sf_dir):
     return paging.bounded_read(rows, ["key"], LIMIT)
 
 
+@query(
+    "s11_storage_options",
+    "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type",
+)
+def read_with_options(spark, sf_dir):
+    """A read that carries the settings of an object store; other paths ignore them."""
+    settings = storage_options({"aws.region": "eu-west-1", "aws.path-style-access": "true"})
+    events = spark.read.options(**settings).parquet(hadoop_path(f"{sf_dir}/events.parquet"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n_events"))
+
+
 @query(
     "x3_custom_source",
     """

@@ -68,9 +68,11 @@ def compare(spark, connection, sf_dir: str, build, sql: str) -> str | None:
     return None
 
 
-def local_session():
+def local_session(plain: bool = False):
     from pyspark.sql import SparkSession
 
+    if plain:
+        return SparkSession.builder.master("local[8]").getOrCreate()
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("check")
@@ -89,9 +91,10 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default=SF)
+    parser.add_argument("--plain", action="store_true", help="a session with no settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark, connection = local_session(), oracle_connection(args.sf)
+    spark, connection = local_session(args.plain), oracle_connection(args.sf)
     queries, sql = contract.queries(), contract.oracle_sql()
     failed = 0
     for name in args.names or queries:
