@@ -43,7 +43,7 @@ class PinStore:
     def _version(self) -> int:
         number = F.regexp_extract("path", r"/v([0-9]+)\.done$", 1).try_cast("bigint")
         newest = (
-            list_files(self.spark, f"{self.base}/pins.list/*.done")
+            list_files(self.spark, f"{self.base}/pins.list", name="*.done")
             .select(F.max(number))
             .first()
         )

@@ -22,6 +22,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Existing paths that match a pattern; none if there is nothing there."""
+    fs, target = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(target) or []]
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, target = _file_system(spark, path)
     return fs.delete(target, True)

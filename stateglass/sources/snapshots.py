@@ -14,11 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.functions.naming import snapshot_type
-from stateglass.sources.files import qualified
+from stateglass.sources.files import matching, qualified
 
 MARKER = "snapshot.json"
 SNAPSHOT_NAME = "^(chk|savepoint)-"
@@ -29,27 +28,21 @@ SNAPSHOTS_SCHEMA = (
 )
 
 
-def list_files(spark: SparkSession, *globs: str) -> DataFrame:
-    """Path, time and size of all files under the paths; missing paths give none."""
-    found = []
-    for glob in globs:
-        try:
-            files = (
-                spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
-            )
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        found.append(
-            files.select("path", F.col("modificationTime").alias("modification_time"), "length")
-        )
-    if not found:
+def list_files(spark: SparkSession, *patterns: str, name: str | None = None) -> DataFrame:
+    """Path, time and size of all files under the paths; no such paths, no files.
+
+    Many folders are listed by a job of their own, as for any read. ``name``
+    restricts the file names.
+    """
+    folders = [path for pattern in patterns for path in matching(spark, pattern)]
+    if not folders:
         return spark.createDataFrame([], FILES_SCHEMA)
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionAll(more)
-    return result
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if name is not None:
+        reader = reader.option("pathGlobFilter", name)
+    return reader.load(folders).select(
+        "path", F.col("modificationTime").alias("modification_time"), "length"
+    )
 
 
 def snapshot_files(spark: SparkSession, base: str) -> DataFrame:

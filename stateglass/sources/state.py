@@ -224,8 +224,9 @@ def read_source_offsets(spark: SparkSession, checkpoint: str) -> DataFrame:
     def log(name: str) -> DataFrame:
         batch = F.regexp_extract(F.col("_metadata.file_path"), "([0-9]+)$", 1).try_cast("bigint")
         return (
-            spark.read.text(f"{root}/{name}/[0-9]*", wholetext=True)
+            spark.read.text(f"{root}/{name}", wholetext=True)
             .select(batch.alias("batch_id"), F.split("value", "\n").alias("lines"))
+            .filter(F.col("batch_id").isNotNull())
         )
 
     committed = log("commits").select("batch_id", F.lit(True).alias("committed"))
