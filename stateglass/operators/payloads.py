@@ -9,16 +9,16 @@ Four kinds of field are told apart, tried in this order at every position:
 
 Numbers are big-endian and signed. Payloads under 4 bytes or with fewer than
 two fields are not decoded. All positions of a batch are classified at once
-with array arithmetic; what remains per payload is to hop from field to field.
+with array arithmetic, then all payloads hop from field to field together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from stateglass.functions.payload import raw_envelope
@@ -32,8 +32,10 @@ STRING, LONG, INT, HEX = 0, 1, 2, 3
 KIND_NAMES = ("string", "long", "int", "hex")
 MIN_PAYLOAD = 4
 MIN_FIELDS = 2
-# Payloads are worked on in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+# Payloads are worked on in groups of about this many bytes, to stay in the cache.
+GROUP_BYTES = 128 << 10
+# Fewer payloads than this are walked one by one.
+TOGETHER = 16
 
 _ARROW_FIELDS = pa.list_(
     pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text", pa.string())])
@@ -74,97 +76,143 @@ def _classify(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kind, width
 
 
-def _numbers(data: np.ndarray, starts: np.ndarray, width: int) -> list[str]:
-    raw = data[starts[:, None] + np.arange(width)]
-    return [str(v) for v in np.ascontiguousarray(raw).view(f">i{width}").ravel().tolist()]
+def _starts(width: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of every field, in order.
 
+    All payloads hop to their next field together, as long as many take part;
+    what is left of the few long ones is walked alone.
+    """
+    rows, at = np.arange(len(begins)), begins
+    row_parts, at_parts = [], []
+    while True:
+        going = at < ends[rows]
+        rows, at = rows[going], at[going]
+        if len(rows) < TOGETHER:
+            break
+        row_parts.append(rows)
+        at_parts.append(at)
+        at = at + width[at]
+    hops = memoryview(np.ascontiguousarray(width))
+    for row, start in zip(rows.tolist(), at.tolist()):
+        end, walked = int(ends[row]), []
+        while start < end:
+            walked.append(start)
+            start += hops[start]
+        row_parts.append(np.full(len(walked), row))
+        at_parts.append(np.array(walked, dtype=np.int64))
+    if not row_parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    all_rows, all_at = np.concatenate(row_parts), np.concatenate(at_parts)
+    order = np.argsort(all_rows, kind="stable")
+    return all_rows[order], all_at[order]
 
-class _Group:
-    """Fields of a run of payloads: positions of all fields and where rows begin."""
 
-    def __init__(self, payloads: list[bytes | None]):
-        joined = b"".join(p or b"" for p in payloads)
-        self.data = np.frombuffer(joined, dtype=np.uint8)
-        sizes = np.array([len(p or b"") for p in payloads], dtype=np.int64)
-        stops = np.cumsum(sizes)
-        self.kind, self.width = _classify(self.data, np.repeat(stops, sizes))
-        hops = memoryview(np.ascontiguousarray(self.width, dtype=np.int64))
-        starts: list[int] = []
-        self.rows: list[tuple[int, int] | None] = []
-        for size, stop in zip(sizes.tolist(), stops.tolist()):
-            first = len(starts)
-            at = stop - size if size >= MIN_PAYLOAD else stop
-            while at < stop:
-                starts.append(at)
-                at += hops[at]
-            if len(starts) - first < MIN_FIELDS:
-                del starts[first:]
-                self.rows.append(None)
-            else:
-                self.rows.append((first, len(starts)))
-        self.starts = np.array(starts, dtype=np.int64)
+class _Group:
+    """The fields of a run of payloads, one after the other."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray):
+        self.data = data
+        begins, ends = offsets[:-1], offsets[1:]
+        self.kind, self.width = _classify(data, np.repeat(ends, ends - begins))
+        long_enough = valid & (ends - begins >= MIN_PAYLOAD)
+        rows, starts = _starts(self.width, begins, np.where(long_enough, ends, begins))
+        counts = np.bincount(rows, minlength=len(begins))
+        self.decoded = counts >= MIN_FIELDS
+        kept = self.decoded[rows]
+        self.rows, self.starts = rows[kept], starts[kept]
+        self.counts = np.where(self.decoded, counts, 0)
         self.kinds = self.kind[self.starts]
 
-    def texts(self) -> np.ndarray:
-        out = np.empty(len(self.starts), dtype=object)
-        for kind, width in ((LONG, 8), (INT, 4)):
-            chosen = self.kinds == kind
-            out[chosen] = _numbers(self.data, self.starts[chosen], width)
-        data = self.data.tobytes()
-        for i in np.flatnonzero((self.kinds == STRING) | (self.kinds == HEX)).tolist():
-            at = int(self.starts[i])
-            field = data[at : at + int(self.width[at])]
-            if self.kinds[i] == STRING:
-                out[i] = field[2:].decode("utf-8", "replace")
-            else:
-                out[i] = field.hex()
-        return out
-
-    def layouts(self) -> Iterator[str | None]:
-        for row in self.rows:
-            if row is None:
-                yield None
-                continue
-            runs = [(KIND_NAMES[k], len(list(g))) for k, g in groupby(self.kinds[slice(*row)].tolist())]
-            yield ",".join(name if n == 1 else f"{name}*{n}" for name, n in runs)
-
-
-def _groups(column: pa.Array | pa.ChunkedArray) -> Iterator[_Group]:
-    pending: list[bytes | None] = []
-    held = 0
-    for value in column:
-        payload = value.as_py()
-        pending.append(payload)
-        held += len(payload or b"")
-        if held >= GROUP_BYTES:
-            yield _Group(pending)
-            pending, held = [], 0
-    if pending:
-        yield _Group(pending)
-
+    def _numbers(self, kind: int, size: int) -> pa.Array:
+        starts = self.starts[self.kinds == kind]
+        raw = self.data[starts[:, None] + np.arange(size)]
+        values = np.ascontiguousarray(raw).view(f">i{size}").ravel().astype(np.int64)
+        return pa.array(values).cast(pa.string())
 
-def _field_array(column: pa.Array) -> pa.Array:
-    parts = []
-    for group in _groups(column):
-        offsets, at = [], 0
-        for row in group.rows:
-            offsets.append(None if row is None else at)
-            at += 0 if row is None else row[1] - row[0]
-        numbers = [n for row in group.rows if row for n in range(row[1] - row[0])]
-        fields = pa.StructArray.from_arrays(
+    def _slices(self, kind: int, skip: int) -> pa.Array:
+        """The bytes of all fields of a kind, without the first ``skip``."""
+        starts = self.starts[self.kinds == kind]
+        sizes = self.width[starts] - skip
+        stops = np.cumsum(sizes)
+        offsets = np.concatenate(([0], stops))
+        inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)
+        picked = self.data[np.repeat(starts + skip, sizes) + inside]
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(picked.tobytes())]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers)
+
+    def _strings(self) -> pa.Array:
+        raw = self._slices(STRING, 2)
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # looks like UTF-8 but is not
+            return pa.array([v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+
+    def texts(self) -> pa.Array:
+        tails = [v.hex() for v in self._slices(HEX, 0).to_pylist()]
+        by_kind = [self._strings(), self._numbers(LONG, 8), self._numbers(INT, 4), pa.array(tails, pa.string())]
+        # Texts lie kind by kind; put them back in the order of the fields.
+        place = np.empty(len(self.kinds), dtype=np.int64)
+        place[np.argsort(self.kinds, kind="stable")] = np.arange(len(self.kinds))
+        return pa.concat_arrays(by_kind).take(pa.array(place))
+
+    def _per_row(self, counts: np.ndarray, values: pa.Array) -> pa.Array:
+        """Lists of ``values``, ``counts`` of them per row; null if not decoded."""
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        missing = np.append(~self.decoded, False)
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=missing), values)
+
+    def fields(self) -> pa.Array:
+        first = np.cumsum(self.counts) - self.counts
+        numbers = np.arange(len(self.rows)) - first[self.rows]
+        values = pa.StructArray.from_arrays(
             [
-                pa.array(numbers, pa.int32()),
-                pa.array([KIND_NAMES[k] for k in group.kinds.tolist()], pa.string()),
-                pa.array(group.texts(), pa.string()),
+                pa.array(numbers.astype(np.int32)),
+                pa.array(KIND_NAMES).take(pa.array(self.kinds)),
+                self.texts(),
             ],
             ["pos", "type", "text"],
         )
-        parts.append(pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), fields))
+        return self._per_row(self.counts, values)
+
+    def layouts(self) -> pa.Array:
+        new_run = np.ones(len(self.rows), dtype=bool)
+        new_run[1:] = (self.rows[1:] != self.rows[:-1]) | (self.kinds[1:] != self.kinds[:-1])
+        at = np.flatnonzero(new_run)
+        length = np.diff(np.append(at, len(self.rows)))
+        codes, which = np.unique(length * len(KIND_NAMES) + self.kinds[at], return_inverse=True)
+        named = [(n, KIND_NAMES[kind]) for n, kind in (divmod(c, len(KIND_NAMES)) for c in codes.tolist())]
+        names = [name if n == 1 else f"{name}*{n}" for n, name in named]
+        texts = pa.array(names, pa.string()).take(pa.array(which))
+        runs = np.bincount(self.rows[at], minlength=len(self.counts))
+        return pc.binary_join(self._per_row(runs, texts), ",")
+
+
+def _groups(column: pa.Array) -> Iterator[_Group]:
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return
+    _, offset_buffer, data_buffer = column.buffers()
+    offsets = np.frombuffer(offset_buffer, dtype=np.int64)[column.offset :][: len(column) + 1]
+    data = np.frombuffer(data_buffer or b"", dtype=np.uint8)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(column):
+        # As many payloads as make up the wanted size, at least one.
+        last = int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, side="right")) - 1
+        last = min(max(last, first + 1), len(column))
+        here = offsets[first : last + 1]
+        yield _Group(data[here[0] : here[-1]], here - here[0], valid[first:last])
+        first = last
+
+
+def _field_array(column: pa.Array) -> pa.Array:
+    parts = [group.fields() for group in _groups(column)]
     return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_FIELDS)
 
 
 def _layout_array(column: pa.Array) -> pa.Array:
-    return pa.array([t for g in _groups(column) for t in g.layouts()], pa.string())
+    parts = [group.layouts() for group in _groups(column)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def _with_column(df: DataFrame, payload: str, name: str, dtype: T.DataType, build, keep: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -41,10 +42,8 @@ def slow_fields(data: bytes):
 
 
 def fast_fields(payloads):
-    group = p._Group(payloads)
-    texts = group.texts()
-    kinds = [p.KIND_NAMES[k] for k in group.kinds.tolist()]
-    return [None if r is None else list(zip(kinds[slice(*r)], texts[slice(*r)])) for r in group.rows]
+    found = p._field_array(pa.array(payloads, pa.binary())).to_pylist()
+    return [r and [(f["type"], f["text"]) for f in r] for r in found]
 
 
 VECTORS = [
@@ -76,10 +75,30 @@ pieces = st.one_of(
 )
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.lists(pieces, max_size=6).map(b"".join)), max_size=5))
-def test_same_as_plain_decoder(payloads):
-    assert fast_fields(payloads) == [slow_fields(x or b"") for x in payloads]
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.one_of(st.none(), st.lists(pieces, max_size=6).map(b"".join)), max_size=40),
+    st.sampled_from([1, 16, 10_000]),
+    st.sampled_from([8, 50, 4 << 20]),
+)
+def test_same_as_plain_decoder(payloads, together, group_bytes):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(p, "TOGETHER", together)
+        patch.setattr(p, "GROUP_BYTES", group_bytes)
+        assert fast_fields(payloads) == [slow_fields(x or b"") for x in payloads]
+
+
+def test_slice_of_an_array():
+    column = pa.array([b"\0\0\0\1\0\0\0\2", None, b"\0\0\0\3\0\0\0\4", b"\1"], pa.binary())
+    found = p._field_array(column.slice(1, 3)).to_pylist()
+    assert [r and [f["text"] for f in r] for r in found] == [None, ["3", "4"], None]
+    assert p._layout_array(column.slice(1)).to_pylist() == [None, "int*2", None]
+    assert p._field_array(column.slice(4)).to_pylist() == []
+
+
+def test_text_that_is_not_utf8():
+    data = b"\0\5ab\xc3cd\0\0\0\1"
+    assert fast_fields([data]) == [slow_fields(data)] == [[("string", "ab\ufffdcd"), ("int", "1")]]
 
 
 def test_job_over_partitions(spark):
