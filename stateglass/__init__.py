@@ -1,9 +1,17 @@
 """State of streaming jobs as ordinary DataFrames."""
 
-from stateglass.operators.diff import diff_snapshots, diff_summary
-from stateglass.sources.catalog import discover_operators
-from stateglass.sources.snapshots import discover_snapshots
-from stateglass.sources.state import read_keyed_state
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors
+# need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from stateglass.operators.diff import diff_snapshots, diff_summary  # noqa: E402
+from stateglass.sources.catalog import discover_operators  # noqa: E402
+from stateglass.sources.snapshots import discover_snapshots  # noqa: E402
+from stateglass.sources.state import read_keyed_state  # noqa: E402
 
 __all__ = [
     "diff_snapshots",

@@ -215,31 +215,23 @@ def _layout_array(column: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-def _with_column(df: DataFrame, payload: str, name: str, dtype: T.DataType, build, keep: list[str]) -> DataFrame:
-    """``keep`` columns and a new one built from the payload, batch by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c) for c in keep] + [build(batch.column(payload))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, name])
-
-    schema = T.StructType([df.schema[c] for c in keep]).add(name, dtype)
-    return df.select(*dict.fromkeys([*keep, payload])).mapInArrow(run, schema)
+# Only the payload goes to Python and only the result comes back; the other
+# columns stay in the JVM and unused ones are never read.
+payload_fields = F.arrow_udf(_field_array, FIELDS_TYPE)
+payload_layout = F.arrow_udf(_layout_array, T.StringType())
 
 
 def decode_payloads(df: DataFrame, payload: str) -> DataFrame:
     """All columns, ``fields`` (null if not decoded) and ``raw`` (null if decoded)."""
-    decoded = _with_column(df, payload, "fields", FIELDS_TYPE, _field_array, df.columns)
-    return decoded.withColumn(
+    return df.withColumn("fields", payload_fields(payload)).withColumn(
         "raw",
         F.when(F.col("fields").isNull(), raw_envelope(F.col(payload), F.lit(NOT_DECODED))),
     )
 
 
-def payload_layouts(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``layout``: field kinds in order, repeats as ``kind*n``."""
-    laid = _with_column(df, payload, "layout", T.StringType(), _layout_array, keep)
-    return laid.withColumn("layout", F.coalesce("layout", F.lit("raw")))
+def payload_layouts(df: DataFrame, payload: str) -> DataFrame:
+    """All columns and ``layout``: field kinds in order, repeats as ``kind*n``."""
+    return df.withColumn("layout", F.coalesce(payload_layout(payload), F.lit("raw")))
 
 
 def layout_profile(df: DataFrame, payload: str, by: list[str]) -> DataFrame:
@@ -248,7 +240,7 @@ def layout_profile(df: DataFrame, payload: str, by: list[str]) -> DataFrame:
     Group totals are counted on the input, without decoding anything again.
     """
     group = F.struct(*by).alias("__group")
-    laid = payload_layouts(df, payload, by).select(group, "layout")
+    laid = payload_layouts(df, payload).select(group, "layout")
     counts = laid.groupBy("__group", "layout").agg(F.count("*").alias("n_rows"))
     totals = df.select(group).groupBy("__group").agg(F.count("*").alias("__total"))
     return counts.join(totals, "__group").select(
