@@ -93,30 +93,25 @@ def ema_chunks(
     )
 
 
-def merge_ema(chunks: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
-    """The average per key from its chunks, starting at the first value.
+def ema_steps(chunks: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    """The chunks of each key put together: ``keys..., n, added, first_value``.
 
-    The first value enters as the average before any row, so that the first
-    step leaves it as it is.
+    As for a single chunk, n rows turn the average x into
+    (1 - alpha)^n x + ``added``.
     """
     later = (
         Window.partitionBy(*keys)
         .orderBy(F.col("chunk").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    keep = F.lit(1.0 - alpha)
     rows_after = F.coalesce(F.sum("n").over(later), F.lit(0))
     return (
         chunks.withColumn("__after", rows_after)
         .groupBy(*keys)
         .agg(
-            F.sum(F.col("added") * F.pow(keep, "__after")).alias("__added"),
-            F.min_by("first_value", "chunk").alias("__first"),
-            F.sum("n").alias("__n"),
-        )
-        .select(
-            *keys,
-            (F.col("__added") + F.col("__first") * F.pow(keep, "__n")).alias("running_average"),
+            F.sum(F.col("added") * F.pow(F.lit(1.0 - alpha), "__after")).alias("added"),
+            F.min_by("first_value", "chunk").alias("first_value"),
+            F.sum("n").alias("n"),
         )
     )
 
@@ -129,7 +124,14 @@ def exponential_average(
     alpha: float = 0.1,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    return merge_ema(ema_chunks(rows, keys, seq, value, alpha, chunk_rows), keys, alpha)
+    """Average that moves by ``alpha`` towards each value, from the first value on.
+
+    The first value enters as the average before any row, so that the first
+    step leaves it as it is.
+    """
+    steps = ema_steps(ema_chunks(rows, keys, seq, value, alpha, chunk_rows), keys, alpha)
+    started = F.col("first_value") * F.pow(F.lit(1.0 - alpha), "n")
+    return steps.select(*keys, (F.col("added") + started).alias("running_average"))
 
 
 def recent_rows(rows: DataFrame, keys: Sequence[str], seq: str, size: int) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F, types as T
 from stateglass.functions import naming as n, payload as p, text as t
 from stateglass.plans.registry import query
 from stateglass.plans.tables import LISTING_SQL, SETTINGS_SQL, listing, load, settings
-from stateglass.streaming.jobs import epoch_millis
+from stateglass.streaming.summaries import epoch_millis
 
 
 @query("f1_short_job_id", f"SELECT path, substr(job_id, 1, 8) AS short_id FROM ({LISTING_SQL})")

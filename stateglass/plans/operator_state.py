@@ -16,7 +16,7 @@ from stateglass.plans.tables import (
     subtask_events,
     subtasks,
 )
-from stateglass.streaming.jobs import SUBTASKS
+from stateglass.streaming.summaries import SUBTASKS
 
 COLUMNS = "operator_uid, subtask, state_name, mode, pos, key, value"
 STATES = (("user-modes", o.BROADCAST), ("partitioned-records", o.SPLIT), ("union-records", o.UNION))

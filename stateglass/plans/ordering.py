@@ -13,7 +13,7 @@ from stateglass.plans.tables import (
     load,
     recent_values,
 )
-from stateglass.streaming.jobs import ALPHA
+from stateglass.streaming.summaries import ALPHA
 
 
 @query(

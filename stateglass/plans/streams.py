@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stateglass import inspector
 from stateglass.functions.text import map_text
 from stateglass.operators.diff import diff_summary
-from stateglass.operators import entries as e, order, reports
+from stateglass.operators import reports
 from stateglass.plans.assembly import CATEGORY_SQL
 from stateglass.plans.diffs import SUMMARY_SQL
 from stateglass.plans.memo import once
@@ -30,32 +30,35 @@ from stateglass.sources import catalog, snapshots as s, state as st
 from stateglass.streaming import changes, jobs
 from stateglass.streaming.enrich import enrich_into
 
-CHUNK = jobs.CHUNK_ROWS
-
-
 def slices(spark, sf_dir):
     events = load(spark, sf_dir, "events")
     at = F.lit(BEFORE).cast("timestamp_ntz")
     return events.filter(F.col("ts") < at), events.filter(~(F.col("ts") < at))
 
 
-def run_slices(spark, sf_dir, label, build, parts=None, prepare=lambda df: df, **options):
-    """A checkpoint of the stream ``build`` over the slices, one batch each."""
+def run_slices(spark, sf_dir, label, run, parts=None, **options):
+    """A checkpoint over the slices, one batch each.
 
-    def run():
+    ``run`` takes the stream, a folder to work in and the checkpoint.
+    """
+
+    def build():
         session = streaming_session(spark)
         for name, value in options.items():
             session.conf.set(f"spark.sql.streaming.{name}", str(value))
         base = work_dir(spark, "streams")
         source, checkpoint = f"{base}/input", f"{base}/jobs/{label}"
         for part in parts or slices(spark, sf_dir):
-            rows = prepare(part)
-            rows.write.mode("append").parquet(source)
-            stream = session.readStream.schema(rows.schema).parquet(source)
-            jobs.run_available(build(stream), checkpoint)
+            part.write.mode("append").parquet(source)
+            run(session.readStream.schema(part.schema).parquet(source), f"{base}/work", checkpoint)
         return checkpoint
 
-    return once(spark, sf_dir, label, run)
+    return once(spark, sf_dir, label, build)
+
+
+def single(frame):
+    """A runner for a job that is one frame."""
+    return lambda stream, _, checkpoint: jobs.run_available(frame(stream), checkpoint)
 
 
 def keyed(spark, sf_dir):
@@ -67,25 +70,22 @@ def buffer(spark, sf_dir):
 
 
 def union(spark, sf_dir):
-    return run_slices(spark, sf_dir, "union", jobs.union_summary)
+    return run_slices(spark, sf_dir, "union", single(jobs.union_summary))
 
 
 def aggregates(spark, sf_dir):
-    return run_slices(spark, sf_dir, "aggregates", jobs.value_aggregates)
+    return run_slices(spark, sf_dir, "aggregates", single(jobs.value_aggregates))
 
 
 def config(spark, sf_dir):
-    parts = [
-        settings(spark, sf_dir).filter(F.col("seq") < 5000),
-        settings(spark, sf_dir).filter(F.col("seq") >= 5000),
-    ]
-    prepare = lambda df: df.select(F.concat("k", F.lit("="), "v").alias("entry"), "seq")
-    return run_slices(spark, sf_dir, "config", jobs.config_upserts, parts, prepare)
+    entries = settings(spark, sf_dir).select(F.concat("k", F.lit("="), "v").alias("entry"), "seq")
+    parts = [entries.filter(F.col("seq") < 5000), entries.filter(F.col("seq") >= 5000)]
+    return run_slices(spark, sf_dir, "config", single(jobs.config_upserts), parts)
 
 
 def user_state(spark, sf_dir, name, batch_id=None, flatten=False):
     rows = st.read_keyed_state(spark, keyed(spark, sf_dir), name, batch_id, flatten=flatten)
-    return rows.select("key.user_id", "key.chunk", *[c for c in rows.columns if c != "key"])
+    return rows.select("key.user_id", *[c for c in rows.columns if c != "key"])
 
 
 # Catalog of the checkpoints.
@@ -98,7 +98,7 @@ STATES = ("category_counts", "event_count", "last_category", "recent_values", "r
     "s3_operator_catalog",
     f"""
     SELECT '0' AS uid, '{",".join(STATES)}' AS keyed_states, count(*) AS n_keys
-    FROM (SELECT DISTINCT user_id, event_id // {CHUNK} FROM events)
+    FROM (SELECT DISTINCT user_id FROM events)
     """,
 )
 def operator_catalog(spark, sf_dir):
@@ -134,80 +134,77 @@ def source_offsets(spark, sf_dir):
 # Keyed state of the stateful processor.
 
 
-@query("s4_value_state", "SELECT user_id, count(*) AS event_count FROM events GROUP BY user_id")
+@query("s4_value_state", "SELECT user_id, count(*) AS value FROM events GROUP BY user_id")
 def value_state(spark, sf_dir):
-    counts = user_state(spark, sf_dir, "event_count")
-    return counts.groupBy("user_id").agg(F.sum("value").alias("event_count"))
+    return user_state(spark, sf_dir, "event_count")
 
 
 @query(
     "s4_value_state_at_batch",
-    f"SELECT user_id, count(*) AS event_count FROM events WHERE ts < TIMESTAMP '{BEFORE}' GROUP BY 1",
+    f"SELECT user_id, count(*) AS value FROM events WHERE ts < TIMESTAMP '{BEFORE}' GROUP BY 1",
 )
 def value_state_at_batch(spark, sf_dir):
-    counts = user_state(spark, sf_dir, "event_count", batch_id=0)
-    return counts.groupBy("user_id").agg(F.sum("value").alias("event_count"))
+    return user_state(spark, sf_dir, "event_count", batch_id=0)
 
 
 @query("s4_list_state", f"SELECT user_id, pos, value FROM ({RECENT_SQL})")
 def list_state(spark, sf_dir):
-    elements = user_state(spark, sf_dir, "recent_values", flatten=True)
-    rows = elements.select("user_id", "value.seq", F.col("value.text").alias("value"))
-    return order.recent_rows(rows, ["user_id"], "seq", jobs.RECENT_VALUES).drop("seq")
+    lists = user_state(spark, sf_dir, "recent_values")
+    return lists.select("user_id", F.posexplode("value").alias("pos", "value")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
 
 
 @query("s4_map_state", CATEGORY_SQL)
 def map_state(spark, sf_dir):
-    entries = user_state(spark, sf_dir, "category_counts", flatten=True)
-    return entries.groupBy("user_id", "map_key").agg(F.sum("value").alias("value"))
+    return user_state(spark, sf_dir, "category_counts", flatten=True)
 
 
 @query(
     "s4_map_state_whole",
     f"""
-    SELECT user_id, chunk, string_agg(concat(t, '=', n), ',' ORDER BY concat(t, '=', n)) AS counts
-    FROM (SELECT user_id, event_id // {CHUNK} AS chunk, event_type AS t, count(*) AS n
-          FROM events GROUP BY 1, 2, 3)
-    GROUP BY 1, 2
+    SELECT user_id, string_agg(concat(map_key, '=', value), ',' ORDER BY map_key) AS counts
+    FROM ({CATEGORY_SQL}) GROUP BY user_id
     """,
 )
 def map_state_whole(spark, sf_dir):
     maps = user_state(spark, sf_dir, "category_counts")
-    return maps.select("user_id", "chunk", map_text(F.col("value")).alias("counts"))
+    return maps.select("user_id", map_text(F.col("value")).alias("counts"))
 
 
 @query(
     "t1_keyed_processor",
     f"""
-    SELECT e.user_id, e.event_count, e.last_category, a.running_average
+    SELECT s.user_id, s.event_count, s.last_category, a.running_average, r.recent_values,
+           c.category_counts
     FROM (SELECT user_id, count(*) AS event_count, arg_max(event_type, event_id) AS last_category
-          FROM events GROUP BY user_id) e
-    JOIN ({AVERAGE_SQL}) a ON e.user_id = a.user_id
+          FROM events GROUP BY user_id) s
+    JOIN ({AVERAGE_SQL}) a ON s.user_id = a.user_id
+    JOIN (SELECT user_id, string_agg(value, ',' ORDER BY pos) AS recent_values
+          FROM ({RECENT_SQL}) GROUP BY user_id) r ON s.user_id = r.user_id
+    JOIN (SELECT user_id,
+                 string_agg(concat(map_key, '=', value), ',' ORDER BY map_key) AS category_counts
+          FROM ({CATEGORY_SQL}) GROUP BY user_id) c ON s.user_id = c.user_id
     """,
 )
 def keyed_processor(spark, sf_dir):
-    """All VALUE states of the processor in one row per user."""
-    checkpoint = keyed(spark, sf_dir)
-    names = ("event_count", "last_category", "running_average")
-    joined = e.combine_states({n: st.read_keyed_state(spark, checkpoint, n) for n in names})
-    rows = joined.select("key.*", *names)
-    average = order.merge_ema(
-        rows.select("user_id", "chunk", "running_average.*"), ["user_id"], jobs.ALPHA
-    )
-    merged = rows.groupBy("user_id").agg(
-        F.sum("event_count").alias("event_count"),
-        F.max_by("last_category.value", "last_category.seq").alias("last_category"),
-    )
-    return merged.join(average, "user_id").withColumn(
-        "running_average", F.round("running_average", 6)
+    """All five states of the processor in one row per user."""
+    return st.read_all_states(spark, keyed(spark, sf_dir)).select(
+        "key.user_id",
+        "event_count",
+        "last_category",
+        F.round("running_average", 6).alias("running_average"),
+        F.array_join("recent_values", ",").alias("recent_values"),
+        map_text(F.col("category_counts")).alias("category_counts"),
     )
 
 
 @query("t2_buffer_processor", f"SELECT subtask, pos, value FROM ({BUFFERED_SQL})")
 def buffer_processor(spark, sf_dir):
-    held = st.read_list_state(spark, buffer(spark, sf_dir), "partitioned_records")
-    rows = held.select("key.subtask", "value.seq", F.col("value.entry").alias("value"))
-    return order.recent_rows(rows, ["subtask"], "seq", jobs.BUFFER_SIZE).drop("seq")
+    lists = st.read_keyed_state(spark, buffer(spark, sf_dir), "partitioned_records")
+    return lists.select("key.subtask", F.posexplode("value").alias("pos", "value")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
 
 
 @query("t3_union_summary", SUBTASK_SQL)
@@ -274,12 +271,11 @@ def stream_enrichment(spark, sf_dir):
 @query(
     "t7_batch_changes",
     f"""
-    SELECT user_id, chunk, CASE WHEN old_count IS NULL THEN 'ADDED' ELSE 'MODIFIED' END AS status,
+    SELECT user_id, CASE WHEN old_count IS NULL THEN 'ADDED' ELSE 'MODIFIED' END AS status,
            old_count, new_count
-    FROM (SELECT user_id, event_id // {CHUNK} AS chunk,
-                 nullif(count(*) FILTER (ts < TIMESTAMP '{BEFORE}'), 0) AS old_count,
+    FROM (SELECT user_id, nullif(count(*) FILTER (ts < TIMESTAMP '{BEFORE}'), 0) AS old_count,
                  count(*) AS new_count, count(*) FILTER (ts >= TIMESTAMP '{BEFORE}') AS n_later
-          FROM events GROUP BY 1, 2)
+          FROM events GROUP BY 1)
     WHERE n_later > 0
     """,
 )
@@ -287,27 +283,30 @@ def batch_changes(spark, sf_dir):
     found = changes.batch_changes(spark, keyed(spark, sf_dir), "event_count", 0, 1)
     return found.select(
         "key.user_id",
-        "key.chunk",
         "status",
         F.col("left.value").alias("old_count"),
         F.col("right.value").alias("new_count"),
     )
 
 
-CHANGED_SQL = f"""
-    SELECT CASE WHEN n_before = 0 THEN 'ADDED' WHEN n_later > 0 THEN 'MODIFIED'
-                ELSE 'UNCHANGED' END AS status
-    FROM (SELECT count(*) FILTER (ts < TIMESTAMP '{BEFORE}') AS n_before,
-                 count(*) FILTER (ts >= TIMESTAMP '{BEFORE}') AS n_later
-          FROM events GROUP BY user_id, event_id // {CHUNK})
-"""
+def changed_sql(state: str) -> str:
+    """Totals of a state: it changes with any new event, the category with some."""
+    same = "last_before = last_after" if state == "last_category" else "n_later = 0"
+    return f"""
+    SELECT '{state}' AS state_name, {SUMMARY_SQL} FROM (
+        SELECT CASE WHEN n_before = 0 THEN 'ADDED' WHEN {same} THEN 'UNCHANGED'
+                    ELSE 'MODIFIED' END AS status
+        FROM (SELECT count(*) FILTER (ts < TIMESTAMP '{BEFORE}') AS n_before,
+                     count(*) FILTER (ts >= TIMESTAMP '{BEFORE}') AS n_later,
+                     arg_max(event_type, event_id) FILTER (ts < TIMESTAMP '{BEFORE}') AS last_before,
+                     arg_max(event_type, event_id) AS last_after
+              FROM events GROUP BY user_id))
+    """
 
 
 @query(
     "j6_checkpoint_diff",
-    " UNION ALL ".join(
-        f"SELECT '{name}' AS state_name, {SUMMARY_SQL} FROM ({CHANGED_SQL})" for name in STATES
-    ),
+    " UNION ALL ".join(changed_sql(state) for state in STATES),
 )
 def checkpoint_diff(spark, sf_dir):
     """All states of the stream at batch 0 against batch 1, totals per state."""
@@ -318,11 +317,11 @@ def checkpoint_diff(spark, sf_dir):
 
 @query(
     "s4_inspect_page",
-    f"""
-    SELECT 'event_count' AS state_name, concat('{{"user_id":', u, ',"chunk":', c, '}}') AS key,
-           CAST(n AS VARCHAR) AS value
-    FROM (SELECT user_id AS u, event_id // {CHUNK} AS c, count(*) AS n FROM events GROUP BY 1, 2)
-    WHERE contains(concat('{{"user_id":', u, ',"chunk":', c, '}}'), '"user_id":1')
+    """
+    SELECT 'event_count' AS state_name, concat('{"user_id":', user_id, '}') AS key,
+           CAST(count(*) AS VARCHAR) AS value
+    FROM events WHERE starts_with(CAST(user_id AS VARCHAR), '1')
+    GROUP BY user_id
     """,
 )
 def inspect_page(spark, sf_dir):
@@ -339,7 +338,7 @@ def retained_snapshots(spark, sf_dir):
     events = load(spark, sf_dir, "events")
     parts = [events.filter(F.dayofmonth("ts") % 6 == i) for i in range(6)]
     checkpoint = run_slices(
-        spark, sf_dir, "retained", jobs.union_summary, parts, minBatchesToRetain=2
+        spark, sf_dir, "retained", single(jobs.union_summary), parts, minBatchesToRetain=2
     )
     base = checkpoint.rsplit("/", 1)[0]
     return s.discover_snapshots(spark, base, "streaming")

@@ -12,7 +12,7 @@ from stateglass.functions.text import entry_text, timed_value
 from stateglass.operators.entries import one_result, to_long
 from stateglass.operators.order import recent_rows
 from stateglass.sources.custom import as_entries
-from stateglass.streaming.jobs import BUFFER_SIZE, RECENT_VALUES, SUBTASKS, epoch_millis
+from stateglass.streaming.summaries import BUFFER_SIZE, RECENT_VALUES, SUBTASKS, epoch_millis
 
 BEFORE, AFTER = "2024-01-15", "2024-01-18"
 ORDER_CUTS = {BEFORE: "1998-06-01", AFTER: "1998-09-01"}

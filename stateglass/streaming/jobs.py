@@ -1,73 +1,76 @@
 """Streams that produce the kinds of state this package reads.
 
-Every builder takes a streaming frame of events ``event_id, ts, user_id,
-event_type, value`` and returns the frame to write. ``run_available`` writes it
-with everything at hand and stops.
+``keyed_state`` and ``recent_buffer`` run two streams in turn (see
+``summaries``); the others are single frames to be written by
+``run_available``.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
-from stateglass.functions.text import config_key, config_value, entry_text
-from stateglass.operators.order import chunk_of
+from stateglass.functions.text import config_key, config_value
+from stateglass.operators.order import CHUNK_ROWS
+from stateglass.streaming import summaries as sm
 from stateglass.streaming.processors import (
-    BUFFER_OUTPUT_SCHEMA,
-    OUTPUT_SCHEMA,
+    BUFFER_OUTPUT,
+    KEYED_OUTPUT,
     KeyedStateProcessor,
     RecentBufferProcessor,
 )
 
-# Fixed values of the job: average weight, buffer sizes, number of subtasks.
-ALPHA = 0.1
-RECENT_VALUES = 20
-BUFFER_SIZE = 50
-SUBTASKS = 4
 
-# Rows of one group a processor may have to put in order in memory.
-CHUNK_ROWS = 100_000
+def run_available(frame: DataFrame, checkpoint: str, mode: str = "update", batch_function=None) -> None:
+    """Process all input at hand as micro-batches into ``checkpoint``."""
+    writer = frame.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
+    if batch_function is None:
+        writer = writer.format("noop")
+    else:
+        writer = writer.foreachBatch(batch_function)
+    query = writer.trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
 
 
-def epoch_millis(ts):
-    """Milliseconds since 1970 of a timestamp without zone."""
-    return F.unix_millis(ts.cast("timestamp"))
+def _summarised(events: DataFrame, work: str, summarise, schema: str) -> DataFrame:
+    """Run the first stream; returns the source of the second."""
+    folder = f"{work}/summaries"
+    write = sm.summaries_into(folder, summarise)
+    run_available(events, f"{work}/summarise", "append", write)
+    return events.sparkSession.readStream.schema(schema).parquet(f"{folder}/*")
 
 
-def keyed_state(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    return (
-        events.select(
-            "user_id",
-            chunk_of(F.col("event_id"), chunk_rows).alias("chunk"),
-            F.col("event_id").alias("seq"),
-            epoch_millis(F.col("ts")).alias("millis"),
-            F.col("event_type").alias("category"),
-            "value",
-        )
-        .groupBy("user_id", "chunk")
-        .transformWithStateInPandas(
-            KeyedStateProcessor(ALPHA, RECENT_VALUES), OUTPUT_SCHEMA, "Update", "None"
-        )
+def keyed_state(
+    events: DataFrame, work: str, checkpoint: str, chunk_rows: int = CHUNK_ROWS
+) -> None:
+    """State per user: count, last category, average, recent values, categories.
+
+    ``work`` holds the first stream and the summaries, ``checkpoint`` the state.
+    """
+    summarise = partial(sm.keyed_summary, chunk_rows=chunk_rows)
+    summaries = _summarised(events, work, summarise, sm.KEYED_SCHEMA)
+    state = summaries.groupBy("user_id").transformWithStateInPandas(
+        KeyedStateProcessor(sm.ALPHA, sm.RECENT_VALUES), KEYED_OUTPUT, "Update", "None"
     )
+    run_available(state, checkpoint)
 
 
-def recent_buffer(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    return (
-        events.select(
-            (F.col("event_id") % SUBTASKS).alias("subtask"),
-            chunk_of(F.col("event_id"), chunk_rows).alias("chunk"),
-            F.col("event_id").alias("seq"),
-            entry_text(F.col("user_id"), F.col("event_type"), F.col("value")).alias("entry"),
-        )
-        .groupBy("subtask", "chunk")
-        .transformWithStateInPandas(
-            RecentBufferProcessor(BUFFER_SIZE), BUFFER_OUTPUT_SCHEMA, "Update", "None"
-        )
+def recent_buffer(events: DataFrame, work: str, checkpoint: str) -> None:
+    """List state per subtask: the newest entries."""
+    summaries = _summarised(events, work, sm.buffer_summary, sm.BUFFER_SCHEMA)
+    state = summaries.groupBy("subtask").transformWithStateInPandas(
+        RecentBufferProcessor(sm.BUFFER_SIZE), BUFFER_OUTPUT, "Update", "None"
     )
+    run_available(state, checkpoint)
 
 
 def union_summary(events: DataFrame) -> DataFrame:
     return (
-        events.withColumn("subtask", F.col("event_id") % SUBTASKS)
+        events.withColumn("subtask", F.col("event_id") % sm.SUBTASKS)
         .groupBy("subtask")
         .agg(F.count("*").alias("n_records"), F.max("ts").alias("last_time"))
     )
@@ -91,17 +94,3 @@ def value_aggregates(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(
         F.sum(cents).alias("total_cents"), F.avg(cents).alias("average_cents")
     )
-
-
-def run_available(frame: DataFrame, checkpoint: str, mode: str = "update", batch_function=None) -> None:
-    """Process all input at hand as micro-batches into ``checkpoint``."""
-    writer = frame.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
-    if batch_function is None:
-        writer = writer.format("noop")
-    else:
-        writer = writer.foreachBatch(batch_function)
-    query = writer.trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()

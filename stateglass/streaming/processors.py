@@ -1,109 +1,88 @@
 """Stateful stream operators.
 
-State is kept per (key, chunk), a chunk being a range of ``chunk_rows``
-sequence numbers (see ``operators.order``). However hot a key is, a group then
-has at most ``chunk_rows`` rows, hot keys are worked on by many tasks, and
-closed chunks are never written again. What is wanted per key is merged from
-the chunks when the state is read.
-
-Rows reach a processor in no promised order, so it puts the rows of a group in
-order itself.
+They take summaries of micro-batches (see ``summaries``), not single records:
+however hot a key is, a batch brings it a bounded number of rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT_SCHEMA = "user_id bigint, chunk bigint, event_count bigint"
-BUFFER_OUTPUT_SCHEMA = "subtask bigint, chunk bigint, n_buffered bigint"
+KEYED_OUTPUT = "user_id bigint, event_count bigint, running_average double"
+BUFFER_OUTPUT = "subtask bigint, n_buffered bigint"
 
 
-def _in_order(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> list[np.ndarray]:
-    """The columns of all rows of a group as arrays, by rising sequence number."""
-    parts = [[batch[c].to_numpy() for c in columns] for batch in batches]
-    arrays = [np.concatenate(column) for column in zip(*parts)]
-    order = np.argsort(arrays[0], kind="stable")
-    return [array[order] for array in arrays]
+def _gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(order, kind="stable")
 
 
 class KeyedStateProcessor(StatefulProcessor):
-    """Count, last category, recent values, category counts and average of a group.
-
-    Input columns: ``seq, millis, category, value``. The average is kept as the
-    step the chunk makes on whatever average came before: its row count, what
-    it adds, and its first value.
-    """
+    """Three values, a list and a map per key: count, average, last category,
+    recent values, count per category."""
 
     def __init__(self, alpha: float, recent_size: int):
-        self.alpha = alpha
+        self.keep = 1.0 - alpha
         self.recent_size = recent_size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("event_count", "value bigint")
-        self.last = handle.getValueState("last_category", "value string, seq bigint")
-        self.average = handle.getValueState(
-            "running_average", "n bigint, added double, first_value double"
-        )
-        self.recent = handle.getListState("recent_values", "seq bigint, text string")
+        self.last = handle.getValueState("last_category", "value string")
+        self.average = handle.getValueState("running_average", "value double")
+        self.recent = handle.getListState("recent_values", "value string")
         self.categories = handle.getMapState("category_counts", "category string", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, millis, category, value = _in_order(rows, ("seq", "millis", "category", "value"))
-        counted = self.count.get()
-        # A new group has nothing stored, so nothing of it is looked up.
-        new = counted is None
-        total = len(seq) + (0 if new else counted[0])
-        self.count.update((total,))
-        self.last.update((category[-1], int(seq[-1])))
-        self._extend_average(value.astype(float), new)
-
-        size = self.recent_size
-        texts = [f"{v:.2f}@{t}" for v, t in zip(value[-size:], millis[-size:])]
-        added = list(zip(seq[-size:].tolist(), texts))
-        held = [] if new or len(added) == size else [tuple(r) for r in self.recent.get()]
-        self.recent.put((held + added)[-size:])
-
-        for name, n in Counter(category.tolist()).items():
+        summary = _gather(rows, ["batch_id", "seq"])
+        stored = self.count.get()
+        # A new key has nothing stored, so nothing of it is looked up.
+        new = stored is None
+        count = 0 if new else stored[0]
+        average = None if new else self.average.get()[0]
+        steps = summary[summary["kind"] == "step"]
+        for n, added, first in zip(steps["n"], steps["added"], steps["first_value"]):
+            started = first if average is None else average
+            average = float(self.keep**n * started + added)
+            count += int(n)
+        self.count.update((count,))
+        self.average.update((average,))
+
+        recent = summary[summary["kind"] == "recent"]
+        self.last.update((recent["category"].iloc[-1],))
+        added = [(text,) for text in recent["text"].tail(self.recent_size)]
+        held = [] if new or len(added) == self.recent_size else [tuple(r) for r in self.recent.get()]
+        self.recent.put((held + added)[-self.recent_size :])
+
+        counted = summary[summary["kind"] == "category"].groupby("category", sort=False)["n"].sum()
+        for name, n in counted.items():
             known = not new and self.categories.containsKey((name,))
             before = self.categories.getValue((name,))[0] if known else 0
-            self.categories.updateValue((name,), (before + n,))
-        yield pd.DataFrame({"user_id": [key[0]], "chunk": [key[1]], "event_count": [total]})
-
-    def _extend_average(self, values: np.ndarray, new: bool) -> None:
-        keep = 1.0 - self.alpha
-        weights = self.alpha * keep ** np.arange(len(values) - 1, -1, -1)
-        n, added, first = (0, 0.0, float(values[0])) if new else self.average.get()
-        added = float(added * keep ** len(values) + weights @ values)
-        self.average.update((n + len(values), added, first))
+            self.categories.updateValue((name,), (before + int(n),))
+        yield pd.DataFrame(
+            {"user_id": [key[0]], "event_count": [count], "running_average": [average]}
+        )
 
     def close(self) -> None:
         pass
 
 
 class RecentBufferProcessor(StatefulProcessor):
-    """The newest ``size`` entries of a group as list state.
-
-    Input columns: ``seq, entry``.
-    """
+    """The newest ``size`` entries of a key as list state."""
 
     def __init__(self, size: int):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("partitioned_records", "seq bigint, entry string")
+        self.buffer = handle.getListState("partitioned_records", "value string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, entry = _in_order(rows, ("seq", "entry"))
-        added = list(zip(seq[-self.size :].tolist(), entry[-self.size :].tolist()))
+        added = [(e,) for e in _gather(rows, ["batch_id", "seq"])["entry"].tail(self.size)]
         held = [] if len(added) == self.size else [tuple(r) for r in self.buffer.get()]
         kept = (held + added)[-self.size :]
         self.buffer.put(kept)
-        yield pd.DataFrame({"subtask": [key[0]], "chunk": [key[1]], "n_buffered": [len(kept)]})
+        yield pd.DataFrame({"subtask": [key[0]], "n_buffered": [len(kept)]})
 
     def close(self) -> None:
         pass

@@ -1,20 +1,21 @@
-"""Streams in several slices with small chunks, read back and compared with loops."""
+"""Streams in several slices, one key hot, read back and compared with loops."""
+
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from stateglass import inspector
-from stateglass.operators import order
 from stateglass.session import streaming_session, work_dir
 from stateglass.sinks.pins import PinStore
 from stateglass.sources import catalog, snapshots as s, state as st
-from stateglass.streaming import changes, jobs
+from stateglass.streaming import changes, jobs, summaries as sm
 
 CHUNK = 150
 CUTS = (0, 300, 650, 1000)
 
 
-def feed(spark, events, build, label):
+def feed(spark, events, run, label):
     session = streaming_session(spark)
     base = work_dir(spark, "test")
     checkpoint = f"{base}/jobs/{label}"
@@ -23,13 +24,19 @@ def feed(spark, events, build, label):
         # Three files per slice: rows of a key come from several tasks.
         part.repartition(3).write.mode("append").parquet(f"{base}/input")
         stream = session.readStream.schema(events.schema).parquet(f"{base}/input")
-        jobs.run_available(build(stream), checkpoint)
+        run(stream, f"{base}/work", checkpoint)
     return checkpoint
 
 
+def single(frame):
+    return lambda stream, _, checkpoint: jobs.run_available(frame(stream), checkpoint)
+
+
 @pytest.fixture(scope="module")
 def few(events):
-    return events.filter(F.col("event_id") < CUTS[-1]).withColumn("user_id", F.col("user_id") % 5)
+    """Six users, one of them with over a third of the events."""
+    user = F.when(F.col("event_id") % 5 < 2, -1).otherwise(F.col("user_id") % 5)
+    return events.filter(F.col("event_id") < CUTS[-1]).withColumn("user_id", user)
 
 
 @pytest.fixture(scope="module")
@@ -42,97 +49,97 @@ def by_user(few):
 
 @pytest.fixture(scope="module")
 def keyed(spark, few):
-    return feed(spark, few, lambda df: jobs.keyed_state(df, CHUNK), "keyed")
+    return feed(spark, few, partial(jobs.keyed_state, chunk_rows=CHUNK), "keyed")
 
 
 def read(spark, checkpoint, name, **options):
-    return st.read_keyed_state(spark, checkpoint, name, **options)
+    rows = st.read_keyed_state(spark, checkpoint, name, **options)
+    return rows.select("key.user_id", *[c for c in rows.columns if c != "key"])
+
+
+def as_dict(rows):
+    return {r[0]: r[1] for r in rows.collect()}
 
 
 @pytest.mark.parametrize("batch", [0, 1, 2, None])
 def test_counts_at_every_batch(spark, keyed, few, batch):
     end = CUTS[-1] if batch is None else CUTS[batch + 1]
-    expected = {r["user_id"]: r["count"] for r in few.filter(F.col("event_id") < end).groupBy("user_id").count().collect()}
-    found = read(spark, keyed, "event_count", batch_id=batch).groupBy("key.user_id").agg(F.sum("value").alias("n"))
-    assert {r["user_id"]: r["n"] for r in found.collect()} == expected
-
+    expected = as_dict(few.filter(F.col("event_id") < end).groupBy("user_id").count())
+    assert as_dict(read(spark, keyed, "event_count", batch_id=batch)) == expected
 
-def test_state_is_kept_per_chunk(spark, keyed, few):
-    found = read(spark, keyed, "event_count").select("key.*", "value").collect()
-    expected = few.groupBy("user_id", (F.floor(F.col("event_id") / CHUNK)).alias("chunk")).count()
-    assert {tuple(r) for r in found} == {tuple(r) for r in expected.collect()}
-    assert max(r["value"] for r in found) <= CHUNK
 
-
-def test_average_is_merged_in_order(spark, keyed, by_user):
-    chunks = read(spark, keyed, "running_average").select("key.*", "value.*")
-    found = order.merge_ema(chunks, ["user_id"], jobs.ALPHA).collect()
-    for r in found:
-        rows = by_user[r["user_id"]]
+def test_average_is_folded_in_order(spark, keyed, by_user):
+    found = as_dict(read(spark, keyed, "running_average"))
+    assert set(found) == set(by_user)
+    for user, rows in by_user.items():
         average = rows[0]["value"]
         for row in rows[1:]:
-            average = jobs.ALPHA * row["value"] + (1 - jobs.ALPHA) * average
-        assert r["running_average"] == pytest.approx(average, abs=1e-9)
-    assert len(found) == len(by_user)
+            average = sm.ALPHA * row["value"] + (1 - sm.ALPHA) * average
+        assert found[user] == pytest.approx(average, abs=1e-9)
 
 
-def test_recent_values(spark, keyed, by_user):
-    elements = read(spark, keyed, "recent_values", flatten=True).select("key.user_id", "value.*")
-    found = order.recent_rows(elements, ["user_id"], "seq", jobs.RECENT_VALUES)
-    texts = {}
-    for r in found.orderBy("pos").collect():
-        texts.setdefault(r["user_id"], []).append(r["text"])
+def test_recent_values_in_order(spark, keyed, by_user):
+    found = as_dict(read(spark, keyed, "recent_values"))
     for user, rows in by_user.items():
-        last = rows[-jobs.RECENT_VALUES :]
-        assert [t.split("@")[0] for t in texts[user]] == [f"{r['value']:.2f}" for r in last]
+        last = rows[-sm.RECENT_VALUES :]
+        assert [t.split("@")[0] for t in found[user]] == [f"{r['value']:.2f}" for r in last]
+    flat = read(spark, keyed, "recent_values", flatten=True)
+    assert flat.count() == sum(len(v) for v in found.values())
 
 
-def test_lists_are_in_order(spark, keyed):
-    for row in read(spark, keyed, "recent_values").collect():
-        seqs = [x["seq"] for x in row["value"]]
-        assert seqs == sorted(seqs) and len(seqs) <= jobs.RECENT_VALUES
+def test_map_and_last_category(spark, keyed, few, by_user):
+    flat = {tuple(r) for r in read(spark, keyed, "category_counts", flatten=True).collect()}
+    assert flat == {tuple(r) for r in few.groupBy("user_id", "event_type").count().collect()}
+    whole = as_dict(read(spark, keyed, "category_counts"))
+    assert {(u, c, n) for u, counts in whole.items() for c, n in counts.items()} == flat
+    last = as_dict(read(spark, keyed, "last_category"))
+    assert last == {u: rows[-1]["event_type"] for u, rows in by_user.items()}
 
 
-def test_map_and_last_category(spark, keyed, few, by_user):
-    counts = read(spark, keyed, "category_counts", flatten=True).groupBy("key.user_id", "map_key").agg(F.sum("value").alias("n"))
-    expected = few.groupBy("user_id", "event_type").count()
-    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in expected.collect()}
-    last = read(spark, keyed, "last_category").groupBy("key.user_id").agg(F.max_by("value.value", "value.seq").alias("c"))
-    assert {r["user_id"]: r["c"] for r in last.collect()} == {u: rows[-1]["event_type"] for u, rows in by_user.items()}
+def test_a_batch_brings_few_rows_per_key(few):
+    """However many events a key has in a batch, its summary is short."""
+    sizes = sm.keyed_summary(few, CHUNK).groupBy("user_id").count()
+    categories = few.select("event_type").distinct().count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1 + sm.RECENT_VALUES + categories
 
 
-def test_all_states_in_one_row(spark, keyed):
+def test_all_states_in_one_row(spark, keyed, by_user):
     rows = st.read_all_states(spark, keyed)
     assert set(rows.columns) == {
         "key", "category_counts", "event_count", "last_category", "recent_values", "running_average"
     }
     assert rows.filter("event_count is null or running_average is null").count() == 0
-    assert rows.count() == read(spark, keyed, "event_count").count()
+    assert rows.count() == len(by_user)
 
 
 def test_buffer(spark, few):
-    checkpoint = feed(spark, few, lambda df: jobs.recent_buffer(df, CHUNK), "buffer")
-    held = st.read_list_state(spark, checkpoint, "partitioned_records").select("key.subtask", "value.*")
-    found = order.recent_rows(held, ["subtask"], "seq", jobs.BUFFER_SIZE).collect()
+    checkpoint = feed(spark, few, jobs.recent_buffer, "buffer")
+    held = st.read_keyed_state(spark, checkpoint, "partitioned_records").select("key.subtask", "value")
     rows = few.orderBy("event_id").collect()
-    for subtask in range(jobs.SUBTASKS):
-        last = [r for r in rows if r["event_id"] % jobs.SUBTASKS == subtask][-jobs.BUFFER_SIZE :]
-        expected = [f"{r['user_id']}:{r['event_type']}={r['value']:.2f}" for r in last]
-        got = sorted((r["pos"], r["entry"]) for r in found if r["subtask"] == subtask)
-        assert [e for _, e in got] == expected
+    for subtask, entries in as_dict(held).items():
+        last = [r for r in rows if r["event_id"] % sm.SUBTASKS == subtask][-sm.BUFFER_SIZE :]
+        assert entries == [f"{r['user_id']}:{r['event_type']}={r['value']:.2f}" for r in last]
+    assert held.count() == sm.SUBTASKS
+
+
+def test_broken_off_summaries_are_rewritten(spark, few, tmp_path):
+    write = sm.summaries_into(str(tmp_path), sm.buffer_summary)
+    write(few.limit(10), 0)
+    write(few, 0)
+    found = spark.read.schema(sm.BUFFER_SCHEMA).parquet(f"{tmp_path}/*")
+    assert found.count() == sm.SUBTASKS * sm.BUFFER_SIZE
 
 
 def test_changes_between_batches(spark, keyed, few):
     found = changes.batch_changes(spark, keyed, "event_count", 0, 2)
-    got = {tuple(r["key"]): (r["status"], r["left"] and r["left"]["value"], r["right"]["value"]) for r in found.collect()}
-    at = lambda end: {
-        (r["user_id"], r["chunk"]): r["count"]
-        for r in few.filter(F.col("event_id") < end)
-        .groupBy("user_id", order.chunk_of(F.col("event_id"), CHUNK).alias("chunk"))
-        .count()
-        .collect()
+    got = {
+        r["key"]["user_id"]: (r["status"], r["left"] and r["left"]["value"], r["right"]["value"])
+        for r in found.collect()
     }
-    before, after = at(CUTS[1]), at(CUTS[3])
+    before, after = [
+        as_dict(few.filter(F.col("event_id") < end).groupBy("user_id").count())
+        for end in (CUTS[1], CUTS[3])
+    ]
     assert got == {
         k: ("MODIFIED" if k in before else "ADDED", before.get(k), n)
         for k, n in after.items()
@@ -172,13 +179,13 @@ def test_inspector_on_stream(spark, keyed, tmp_path):
     same = inspector.compare(spark, listed[1]["path"], pin)
     assert {r["status"] for r in same.select("status").distinct().collect()} == {"UNCHANGED"}
     later = inspector.compare(spark, pin, keyed, state_name="event_count")
-    assert {r["status"] for r in later.select("status").distinct().collect()} >= {"ADDED", "UNCHANGED"}
+    assert {r["status"] for r in later.select("status").distinct().collect()} == {"MODIFIED"}
     found = inspector.browse(spark, str(tmp_path / "pins")).first()
     assert (found["type"], found["operators"]) == ("savepoint", "0(keyed)")
 
 
 def test_inspect_filters(spark, keyed):
-    rows = inspector.inspect(spark, keyed, "0", "event_count", '"user_id":3', limit=2)
+    rows = inspector.inspect(spark, keyed, "0", key_filter='"user_id":3', limit=2)
     found = rows.collect()
     assert len(found) == 2 and all('"user_id":3' in r["key"] and r["has_more"] for r in found)
     keys = inspector.inspect(spark, keyed, keys_only=True, limit=100_000)
@@ -189,7 +196,7 @@ def test_inspect_filters(spark, keyed):
 
 
 def test_aggregation_accumulators(spark, few):
-    checkpoint = feed(spark, few, jobs.value_aggregates, "aggregates")
+    checkpoint = feed(spark, few, single(jobs.value_aggregates), "aggregates")
     fields = ["total", "sum", "n"]
     found = st.read_aggregation_state(spark, checkpoint, fields, batch_id=1).select("key.user_id", *fields)
     expected = few.filter(F.col("event_id") < CUTS[2]).groupBy("user_id").agg(
@@ -201,7 +208,7 @@ def test_aggregation_accumulators(spark, few):
     with pytest.raises(ValueError, match="the accumulator has 3 fields"):
         st.read_aggregation_state(spark, checkpoint, ["one"])
     entries = inspector.snapshot_entries(spark, checkpoint)
-    assert entries.filter("operator_uid = '0' and state_kind = 'keyed'").count() == 5
+    assert entries.filter("operator_uid = '0' and state_kind = 'keyed'").count() == 6
 
 
 def test_old_batches_go(spark, few):
