@@ -23,6 +23,8 @@ ADDED, REMOVED, MODIFIED, UNCHANGED = "ADDED", "REMOVED", "MODIFIED", "UNCHANGED
 # Never reported as changed: they say which entry it is.
 IDENTITY_FIELDS = ("key", "partition")
 
+PAGE_SALTS = 64
+
 CHANGES_TYPE = "array<struct<field_name:string,old_value:string,new_value:string>>"
 
 
@@ -237,13 +239,20 @@ def page_per_status(
     """The same page of each list of changes; ``pos`` counts from 1.
 
     The bound on ``pos`` lets every input partition keep no more than
-    ``offset + limit`` rows per status before the shuffle.
+    ``offset + limit`` rows per status before the shuffle. As that may still be
+    much from many partitions, they are cut once more per status and salt.
     """
     check_offset(offset)
     check_limit(limit)
+    salt = F.pmod(F.xxhash64(*keys), F.lit(PAGE_SALTS))
+    salted = F.row_number().over(Window.partitionBy("status", "__salt").orderBy(*keys))
     rank = F.row_number().over(Window.partitionBy("status").orderBy(*keys))
     return (
         diff.filter(F.col("status") != UNCHANGED)
+        .withColumn("__salt", salt)
+        .withColumn("__pos", salted)
+        .filter(F.col("__pos") <= offset + limit)
+        .drop("__pos", "__salt")
         .withColumn("pos", rank)
         .filter(F.col("pos") <= offset + limit)
         .filter(F.col("pos") > offset)

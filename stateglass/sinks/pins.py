@@ -17,8 +17,15 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.operators.entries import one_result
-from stateglass.sources.files import delete, exists, qualified, write_text
-from stateglass.sources.snapshots import MARKER, list_files
+from stateglass.sources.files import (
+    delete,
+    exists,
+    matching,
+    qualified,
+    total_bytes,
+    write_text,
+)
+from stateglass.sources.snapshots import MARKER
 
 PINS_SCHEMA = (
     "id string, source_path string, pin_path string, cached_at timestamp, size_bytes bigint"
@@ -39,15 +46,11 @@ class PinStore:
         self.spark = spark
         self.base = base.rstrip("/")
 
-    # A version is a number; only those with a marker count.
     def _version(self) -> int:
-        number = F.regexp_extract("path", r"/v([0-9]+)\.done$", 1).try_cast("bigint")
-        newest = (
-            list_files(self.spark, f"{self.base}/pins.list", name="*.done")
-            .select(F.max(number))
-            .first()
-        )
-        return -1 if newest is None or newest[0] is None else newest[0]
+        """The newest list with a marker; -1 before the first."""
+        markers = matching(self.spark, f"{self.base}/pins.list/v*.done")
+        names = [m.path.rsplit("/", 1)[-1] for m in markers]
+        return max((int(n.removeprefix("v").removesuffix(".done")) for n in names), default=-1)
 
     def pins(self) -> DataFrame:
         version = self._version()
@@ -59,8 +62,7 @@ class PinStore:
         version = self._version() + 1
         folder = f"{self.base}/pins.list/v{version}"
         pins.coalesce(1).write.mode("overwrite").parquet(folder)
-        # Not empty: listings leave empty files out.
-        write_text(self.spark, f"{folder}.done", "done")
+        write_text(self.spark, f"{folder}.done", "")
 
     def pin_snapshot(
         self,
@@ -82,7 +84,7 @@ class PinStore:
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/data")
         now = datetime.now(timezone.utc)
         pin_id = uuid.uuid4().hex[:8]
-        size = self.total_bytes(f"{path}/data")
+        size = total_bytes(self.spark, f"{path}/data")
         about = {
             "id": pin_id,
             "job_id": job,
@@ -102,12 +104,6 @@ class PinStore:
             delete(self.spark, old)
         return pin_id
 
-    def total_bytes(self, path: str) -> int:
-        return list_files(self.spark, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-    def read_pin(self, path: str) -> DataFrame:
-        return read_pin(self.spark, path)
-
     def lookup(self, source_path: str) -> str | None:
         """Where the newest pin of a source is, if it still exists."""
         found = lookup_pin(self.pins(), source_path).select("pin_path").first()

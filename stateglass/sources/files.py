@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import SparkSession
 
 
@@ -22,10 +24,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def matching(spark: SparkSession, pattern: str) -> list[str]:
-    """Existing paths that match a pattern; none if there is nothing there."""
+class Found(NamedTuple):
+    path: str
+    modified_ms: int
+    is_folder: bool
+
+
+def matching(spark: SparkSession, pattern: str) -> list[Found]:
+    """What there is by a pattern, possibly nothing. Folders are not looked into."""
     fs, target = _file_system(spark, pattern)
-    return [status.getPath().toString() for status in fs.globStatus(target) or []]
+    return [
+        Found(s.getPath().toString(), s.getModificationTime(), s.isDirectory())
+        for s in fs.globStatus(target) or []
+    ]
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    fs, target = _file_system(spark, path)
+    return fs.getContentSummary(target).getLength()
 
 
 def delete(spark: SparkSession, path: str) -> bool:

@@ -6,12 +6,13 @@ with no job) where the name starts with ``chk-`` or ``savepoint-``; a file
 checkpoint folder of a stream, each planned batch N is a snapshot ``chk-N``,
 whole once the batch is committed.
 
-Only names, sizes and times are listed; no file is opened. State folders of
-streams, which hold most of the files, are not listed at all.
+Discovery looks at names and times only and opens no file. The folders that
+hold most files, the data of pins and the state of streams, are not listed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +22,7 @@ from stateglass.sources.files import matching, qualified
 
 MARKER = "snapshot.json"
 SNAPSHOT_NAME = "^(chk|savepoint)-"
+SNAPSHOT_FOLDERS = "{chk-*,savepoint-*}"
 FILES_SCHEMA = "path string, modification_time timestamp, length bigint"
 SNAPSHOTS_SCHEMA = (
     "path string, job_id string, snapshot string, type string, "
@@ -28,28 +30,22 @@ SNAPSHOTS_SCHEMA = (
 )
 
 
-def list_files(spark: SparkSession, *patterns: str, name: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, *patterns: str) -> DataFrame:
     """Path, time and size of all files under the paths; no such paths, no files.
 
-    Many folders are listed by a job of their own, as for any read. ``name``
-    restricts the file names.
+    Many folders are listed by a job of their own, as for any read.
     """
-    folders = [path for pattern in patterns for path in matching(spark, pattern)]
+    folders = [found.path for pattern in patterns for found in matching(spark, pattern)]
     if not folders:
         return spark.createDataFrame([], FILES_SCHEMA)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if name is not None:
-        reader = reader.option("pathGlobFilter", name)
-    return reader.load(folders).select(
-        "path", F.col("modificationTime").alias("modification_time"), "length"
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    return files.select("path", F.col("modificationTime").alias("modification_time"), "length")
 
 
 def snapshot_files(spark: SparkSession, base: str) -> DataFrame:
     """Files of pinned snapshots with the snapshot each belongs to."""
     base = base.rstrip("/")
-    names = "{chk-*,savepoint-*}"
-    files = list_files(spark, f"{base}/{names}", f"{base}/*/{names}")
+    files = list_files(spark, f"{base}/{SNAPSHOT_FOLDERS}", f"{base}/*/{SNAPSHOT_FOLDERS}")
     parts = F.split(F.col("path"), "/")
     # The snapshot is the first folder below the base with such a name.
     depth = qualified(spark, base).count("/") + 1
@@ -60,20 +56,28 @@ def snapshot_files(spark: SparkSession, base: str) -> DataFrame:
         F.array_join(F.slice(parts, F.lit(1), length), "/").alias("snapshot_path"),
         F.when(~direct, first).alias("job_id"),
         F.when(direct, first).otherwise(second).alias("snapshot"),
-        F.element_at(parts, -1).alias("file"),
-        "modification_time",
         "length",
     )
 
 
 def _pinned(spark: SparkSession, base: str) -> DataFrame:
-    return (
-        snapshot_files(spark, base)
-        .groupBy(F.col("snapshot_path").alias("path"), "job_id", "snapshot")
-        .agg(
-            F.max("modification_time").alias("modification_time"),
-            F.bool_or(F.col("file") == MARKER).alias("valid"),
-        )
+    """One row per snapshot folder, which is all that comes to the driver."""
+    base = base.rstrip("/")
+    depth = qualified(spark, base).count("/")
+    patterns = [f"{base}/{SNAPSHOT_FOLDERS}", f"{base}/*/{SNAPSHOT_FOLDERS}"]
+    folders = [f for p in patterns for f in matching(spark, p) if f.is_folder]
+    markers = {f.path: f for p in patterns for f in matching(spark, f"{p}/{MARKER}")}
+    rows = []
+    for folder in folders:
+        below = folder.path.split("/")[depth + 1 :]
+        if len(below) == 2 and re.match(SNAPSHOT_NAME, below[0]):
+            continue  # part of a snapshot
+        marker = markers.get(f"{folder.path}/{MARKER}")
+        job = below[0] if len(below) == 2 else None
+        rows.append((folder.path, job, below[-1], (marker or folder).modified_ms, marker is not None))
+    schema = "path string, job_id string, snapshot string, modified_ms bigint, valid boolean"
+    return spark.createDataFrame(rows, schema).withColumn(
+        "modification_time", F.timestamp_millis("modified_ms")
     )
 
 

@@ -40,7 +40,7 @@ def test_pinned_layout(spark, pinned, prefix, suffix):
         "savepoint-top": (None, "savepoint", True),
     }
     assert found["chk-1"]["path"].endswith("/job-abc123/chk-1")
-    assert found["chk-2"]["modification_time"].timestamp() == 3000
+    assert found["chk-1"]["modification_time"].timestamp() == 1000
 
 
 def test_sizes_and_children(spark, pinned):
