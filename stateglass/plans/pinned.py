@@ -45,9 +45,26 @@ def pinned_base(spark, sf_dir):
     return once(spark, sf_dir, "pins", build)
 
 
-@query("s1_pinned_snapshots")
+def below(base, path="path"):
+    """The path as seen from the base folder, which has a random name."""
+    return F.regexp_replace(F.col(path), f"^.*{base.rsplit('/', 1)[-1]}", "")
+
+
+@query(
+    "s1_pinned_snapshots",
+    """
+    SELECT * FROM (VALUES
+        ('/job-events/chk-1', 'job-events', 'chk-1', 'checkpoint', true),
+        ('/job-events/chk-2', 'job-events', 'chk-2', 'checkpoint', true),
+        ('/job-events/chk-3', 'job-events', 'chk-3', 'checkpoint', false),
+        ('/savepoint-a1', NULL, 'savepoint-a1', 'savepoint', true)
+    ) AS t(path, job_id, snapshot, type, valid)
+    """,
+)
 def pinned_snapshots(spark, sf_dir):
-    return s.discover_snapshots(spark, pinned_base(spark, sf_dir))
+    base = pinned_base(spark, sf_dir)
+    found = s.discover_snapshots(spark, base).withColumn("path", below(base))
+    return found.drop("modification_time")
 
 
 @query(
@@ -69,15 +86,25 @@ def snapshot_validity(spark, sf_dir):
     )
 
 
-@query("s10_list_children")
+@query("s10_list_children", "SELECT * FROM (VALUES (''), ('/job-events')) AS t(parent)")
 def list_children(spark, sf_dir):
-    return s.list_children(s.discover_snapshots(spark, pinned_base(spark, sf_dir)))
+    base = pinned_base(spark, sf_dir)
+    return s.list_children(s.discover_snapshots(spark, base)).select(
+        below(base, "parent").alias("parent")
+    )
 
 
-@query("s12_probe_sources")
+@query(
+    "s12_probe_sources",
+    """
+    SELECT source, CAST(n AS BIGINT) AS n_snapshots
+    FROM (VALUES ('', 4), ('/nowhere', 0), ('/job-events', 3)) AS t(source, n)
+    """,
+)
 def probe_sources(spark, sf_dir):
     base = pinned_base(spark, sf_dir)
-    return s.probe_sources(spark, f"{base}, {base}/nowhere,,{base}/job-events")
+    found = s.probe_sources(spark, f"{base}, {base}/nowhere,,{base}/job-events")
+    return found.withColumn("source", below(base, "source"))
 
 
 @query(
@@ -173,16 +200,25 @@ def delete_pin(spark, sf_dir):
     )
 
 
-@query("k5_clear_pins")
+@query(
+    "k5_clear_pins",
+    """
+    SELECT CAST(0 AS BIGINT) AS n_pins, CAST(2 AS BIGINT) AS n_cleared,
+           CAST(0 AS BIGINT) AS n_snapshots
+    """,
+)
 def clear_pins(spark, sf_dir):
     base = work_dir(spark, "clear")
     store = k.PinStore(spark, base)
     for cut, name in ((BEFORE, "chk-1"), (AFTER, "chk-2")):
         store.pin_snapshot(pinnable(spark, sf_dir, cut), "job", name)
     cleared = store.clear()
-    found = s.discover_snapshots(spark, base)
+    found = s.discover_snapshots(spark, base).count()
     return store.pins().agg(F.count("*").alias("n_pins")).withColumns(
-        {"n_cleared": F.lit(cleared), "n_snapshots": F.lit(found.count())}
+        {
+            "n_cleared": F.lit(cleared).cast("bigint"),
+            "n_snapshots": F.lit(found).cast("bigint"),
+        }
     )
 
 

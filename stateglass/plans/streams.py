@@ -109,26 +109,49 @@ def operator_catalog(spark, sf_dir):
     return found.select("uid", F.array_join("keyed_states", ",").alias("keyed_states"), "n_keys")
 
 
-@query("s3_state_variables")
+@query(
+    "s3_state_variables",
+    """
+    SELECT * FROM (VALUES
+        ('category_counts', 'MapState'), ('event_count', 'ValueState'),
+        ('last_category', 'ValueState'), ('recent_values', 'ListState'),
+        ('running_average', 'ValueState')
+    ) AS t(state_name, state_type)
+    """,
+)
 def state_variables(spark, sf_dir):
-    return catalog.state_variables(spark, keyed(spark, sf_dir))
+    return catalog.state_variables(spark, keyed(spark, sf_dir)).select("state_name", "state_type")
 
 
-@query("a4_stream_operators")
+@query("a4_stream_operators", "SELECT 'keyed' AS path, '0(keyed)' AS operators")
 def stream_operators(spark, sf_dir):
     found = catalog.discover_operators(spark, keyed(spark, sf_dir))
     return reports.operator_summary(found.withColumn("path", F.lit("keyed")))
 
 
-@query("s1_stream_snapshots")
+@query(
+    "s1_stream_snapshots",
+    """
+    SELECT 'keyed' AS job_id, concat('chk-', n) AS snapshot, 'checkpoint' AS type, true AS valid
+    FROM range(2) AS t(n)
+    """,
+)
 def stream_snapshots(spark, sf_dir):
     base = keyed(spark, sf_dir).rsplit("/", 1)[0]
-    return s.discover_snapshots(spark, base, "streaming")
+    found = s.discover_snapshots(spark, base, "streaming")
+    return found.select("job_id", "snapshot", "type", "valid")
 
 
-@query("s9_source_offsets")
+@query(
+    "s9_source_offsets",
+    """
+    SELECT n AS batch_id, 0 AS source, concat('{"logOffset":', n, '}') AS position,
+           true AS committed
+    FROM range(2) AS t(n)
+    """,
+)
 def source_offsets(spark, sf_dir):
-    return st.read_source_offsets(spark, keyed(spark, sf_dir))
+    return st.read_source_offsets(spark, keyed(spark, sf_dir)).drop("planned_ms")
 
 
 # Keyed state of the stateful processor.
@@ -332,13 +355,16 @@ def inspect_page(spark, sf_dir):
     return rows.select("state_name", "key", "value")
 
 
-@query("t8_retained_snapshots")
+@query(
+    "t8_retained_snapshots",
+    "SELECT concat('chk-', n) AS snapshot, true AS valid FROM range(3, 6) AS t(n)",
+)
 def retained_snapshots(spark, sf_dir):
-    """Six batches, two of them to be kept: what discovery still finds."""
+    """Six batches of which two are to be kept before the last: what is still found."""
     events = load(spark, sf_dir, "events")
     parts = [events.filter(F.dayofmonth("ts") % 6 == i) for i in range(6)]
     checkpoint = run_slices(
         spark, sf_dir, "retained", single(jobs.union_summary), parts, minBatchesToRetain=2
     )
     base = checkpoint.rsplit("/", 1)[0]
-    return s.discover_snapshots(spark, base, "streaming")
+    return s.discover_snapshots(spark, base, "streaming").select("snapshot", "valid")
