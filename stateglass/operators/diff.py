@@ -1,7 +1,7 @@
 """Comparing two snapshots key by key.
 
-A side is any DataFrame with one row per key (see ``entries.last_write_wins``
-for sides that are not). The two sides meet in one full outer join. A key
+A side is any DataFrame with one row per key; a side that is a log of writes is
+first brought to that by naming its sequence column. The two sides meet in one full outer join. A key
 column that is not nullable, such as a struct of the key parts, is compared
 with plain equality: null parts still match, and the join takes over the
 partitioning of the aggregation that made the snapshot, with no further
@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stateglass.functions.text import json_text
+from stateglass.operators.entries import last_rows
 from stateglass.operators.paging import check_limit, check_offset
 
 ADDED, REMOVED, MODIFIED, UNCHANGED = "ADDED", "REMOVED", "MODIFIED", "UNCHANGED"
@@ -134,6 +135,7 @@ def diff_snapshots(
     keys: Sequence[str] = ("key",),
     keys_only: bool = False,
     null_keys: bool = True,
+    seq: str | None = None,
 ) -> DataFrame:
     """One row per key: ``keys..., status, left, right, field_changes``.
 
@@ -141,8 +143,11 @@ def diff_snapshots(
     empty. With ``keys_only`` there are just ``keys..., status`` and no key is
     MODIFIED. ``null_keys=False`` says that no key is null, as in bucketed
     pins, so that the join can take over how they are stored; a null key then
-    fails the job.
+    fails the job. With ``seq`` the sides are writes, and the one with the
+    largest number counts for its key.
     """
+    if seq is not None:
+        left, right = last_rows(left, seq, keys), last_rows(right, seq, keys)
     if not null_keys:
         left, right = _without_null_keys(left, keys), _without_null_keys(right, keys)
     joined = _joined(left, right, keys, null_keys)

@@ -77,6 +77,15 @@ def last_write_wins(
     return writes.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
 
+def last_rows(writes: DataFrame, seq: str, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """The last write of each key with all its fields, without ``seq``."""
+    fields = [c for c in writes.columns if c not in keys and c != seq]
+    if not fields:
+        return writes.select(*keys).distinct()
+    last = F.max_by(F.struct(*fields), seq).alias("__last")
+    return writes.groupBy(*keys).agg(last).select(*keys, "__last.*")
+
+
 def one_result(parts: Sequence[DataFrame]) -> DataFrame:
     """Entries of several operators in one frame."""
     return reduce(DataFrame.unionByName, parts)

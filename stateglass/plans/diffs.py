@@ -11,6 +11,7 @@ from stateglass.plans.tables import (
     entries_at,
     entries_sql,
     key_text,
+    load,
     state_at,
     state_sql,
     texts,
@@ -90,6 +91,39 @@ FIELDS_SQL = f"""
 """
 
 
+def writes(spark, sf_dir, cut):
+    """Events up to a cut as writes of a value per user and type."""
+    events = load(spark, sf_dir, "events").filter(F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
+    return events.select(F.struct("user_id", "event_type").alias("key"), "value", "event_id")
+
+
+def last_write_sql(cut):
+    return f"""
+        SELECT concat(user_id, ':', event_type) AS key, arg_max(value, event_id) AS value
+        FROM events WHERE ts < TIMESTAMP '{cut}' GROUP BY user_id, event_type
+    """
+
+
+@query(
+    "j1_diff_of_writes",
+    f"""
+    SELECT coalesce(l.key, r.key) AS key,
+           CASE WHEN l.key IS NULL THEN 'ADDED' WHEN r.key IS NULL THEN 'REMOVED'
+                WHEN l.value = r.value THEN 'UNCHANGED' ELSE 'MODIFIED' END AS status,
+           l.value AS old_value, r.value AS new_value
+    FROM ({last_write_sql(BEFORE)}) l FULL OUTER JOIN ({last_write_sql(AFTER)}) r ON l.key = r.key
+    """,
+)
+def diff_of_writes(spark, sf_dir):
+    sides = writes(spark, sf_dir, BEFORE), writes(spark, sf_dir, AFTER)
+    return d.diff_snapshots(*sides, seq="event_id").select(
+        key_text(),
+        "status",
+        F.col("left.value").alias("old_value"),
+        F.col("right.value").alias("new_value"),
+    )
+
+
 @query("j4_field_changes", FIELDS_SQL)
 def field_changes(spark, sf_dir):
     changes = d.field_changes(d.diff_snapshots(*cuts(spark, sf_dir)))

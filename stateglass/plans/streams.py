@@ -6,7 +6,7 @@ rest, so that batch 0 and batch 1 of every checkpoint are known states.
 
 from pyspark.sql import functions as F
 
-from stateglass import inspector
+from stateglass import views
 from stateglass.functions.text import map_text
 from stateglass.operators.diff import diff_summary
 from stateglass.operators import reports
@@ -334,7 +334,7 @@ def changed_sql(state: str) -> str:
 def checkpoint_diff(spark, sf_dir):
     """All states of the stream at batch 0 against batch 1, totals per state."""
     checkpoint = keyed(spark, sf_dir)
-    found = inspector.compare(spark, f"{checkpoint}/offsets/0", f"{checkpoint}/offsets/1")
+    found = views.compare(spark, f"{checkpoint}/offsets/0", f"{checkpoint}/offsets/1")
     return diff_summary(found, ["state_name"])
 
 
@@ -349,7 +349,7 @@ def checkpoint_diff(spark, sf_dir):
 )
 def inspect_page(spark, sf_dir):
     """Entries whose key text contains a filter, as one page."""
-    rows = inspector.inspect(
+    rows = views.inspect(
         spark, keyed(spark, sf_dir), "0", "event_count", '"user_id":1', limit=100_000
     )
     return rows.select("state_name", "key", "value")

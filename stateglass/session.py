@@ -11,6 +11,9 @@ ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
 
+# Temporary folders of local sessions that name no shared one, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the shared folder named by ``spark.checkpoint.dir``.
@@ -20,10 +23,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="stateglass-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="stateglass-")
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

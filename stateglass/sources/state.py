@@ -192,14 +192,19 @@ def operator_entry_counts(
     spark: SparkSession, checkpoint: str, batch_id: int | None = None
 ) -> DataFrame:
     """Number of distinct keys each operator holds: ``uid, n_keys``."""
-    parts = [
-        _read_any(spark, checkpoint, state, batch_id).select(
-            F.lit(str(state["operator_id"])).alias("uid"),
-            F.to_json("key").alias("key"),
-        )
-        for state in visible_states(spark, checkpoint)
-    ]
-    return one_result(parts).distinct().groupBy("uid").agg(F.count("*").alias("n_keys"))
+    keys: dict[int, list[DataFrame]] = {}
+    for state in visible_states(spark, checkpoint):
+        rows = _read_any(spark, checkpoint, state, batch_id).select("key")
+        keys.setdefault(state["operator_id"], []).append(rows)
+    return one_result(
+        [
+            one_result(parts)
+            .distinct()
+            .agg(F.count("*").alias("n_keys"))
+            .select(F.lit(str(operator)).alias("uid"), "n_keys")
+            for operator, parts in keys.items()
+        ]
+    )
 
 
 def read_all_states(

@@ -163,6 +163,15 @@ def test_laws(spark, sf, expected):
     assert same["unchanged_count"] == same["total_keys"]
 
 
+def test_sides_that_are_writes(spark):
+    schema = "key string, seq int, value double, note string"
+    left = [("a", 1, 1.0, "x"), ("a", 2, 2.0, None), ("b", 1, 5.0, "y")]
+    right = [("a", 9, 2.0, None), ("a", 3, 7.0, "z"), ("c", 1, None, None)]
+    diff = d.diff_snapshots(*frames(spark, left, right, schema), seq="seq")
+    assert statuses(diff) == {"a": "UNCHANGED", "b": "REMOVED", "c": "ADDED"}
+    assert diff.count() == 3
+
+
 def test_all_keys(spark):
     found = d.all_keys(*frames(spark, [("a", 1.0)], [("a", 2.0), ("b", 1.0)])).collect()
     assert sorted(r["key"] for r in found) == ["a", "b"]

@@ -5,7 +5,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from stateglass import inspector
+from stateglass import views
 from stateglass.session import streaming_session, work_dir
 from stateglass.sinks.pins import PinStore
 from stateglass.sources import catalog, snapshots as s, state as st
@@ -164,35 +164,35 @@ def test_offsets(spark, keyed):
     assert all(r["position"].startswith("{") and r["planned_ms"] > 0 for r in rows)
 
 
-def test_inspector_on_stream(spark, keyed, tmp_path):
+def test_views_of_a_stream(spark, keyed, tmp_path):
     base = keyed.rsplit("/", 1)[0]
-    listed = inspector.list_snapshots(spark, base).collect()
+    listed = views.list_snapshots(spark, base).collect()
     assert [r["snapshot"] for r in listed] == ["chk-2", "chk-1", "chk-0"]
-    assert [r["snapshot"] for r in inspector.list_snapshots(spark, base, per_job=1).collect()] == ["chk-2"]
-    browsed = inspector.browse(spark, base).orderBy("index").collect()
+    assert [r["snapshot"] for r in views.list_snapshots(spark, base, per_job=1).collect()] == ["chk-2"]
+    browsed = views.browse(spark, base).orderBy("index").collect()
     assert [r["index"] for r in browsed] == [1, 2, 3]
     assert {r["operators"] for r in browsed} == {"0(keyed)"}
 
     store = PinStore(spark, str(tmp_path / "pins"))
-    inspector.pin_checkpoint(spark, store, listed[1]["path"], "keyed", "savepoint-one")
+    views.pin_checkpoint(spark, store, listed[1]["path"], "keyed", "savepoint-one")
     pin = store.lookup(listed[1]["path"])
-    same = inspector.compare(spark, listed[1]["path"], pin)
+    same = views.compare(spark, listed[1]["path"], pin)
     assert {r["status"] for r in same.select("status").distinct().collect()} == {"UNCHANGED"}
-    later = inspector.compare(spark, pin, keyed, state_name="event_count")
+    later = views.compare(spark, pin, keyed, state_name="event_count")
     assert {r["status"] for r in later.select("status").distinct().collect()} == {"MODIFIED"}
-    found = inspector.browse(spark, str(tmp_path / "pins")).first()
+    found = views.browse(spark, str(tmp_path / "pins")).first()
     assert (found["type"], found["operators"]) == ("savepoint", "0(keyed)")
 
 
 def test_inspect_filters(spark, keyed):
-    rows = inspector.inspect(spark, keyed, "0", key_filter='"user_id":3', limit=2)
+    rows = views.inspect(spark, keyed, "0", key_filter='"user_id":3', limit=2)
     found = rows.collect()
     assert len(found) == 2 and all('"user_id":3' in r["key"] and r["has_more"] for r in found)
-    keys = inspector.inspect(spark, keyed, keys_only=True, limit=100_000)
+    keys = views.inspect(spark, keyed, keys_only=True, limit=100_000)
     assert keys.count() == read(spark, keyed, "event_count").count()
-    assert inspector.inspect(spark, keyed, "7").count() == 0
+    assert views.inspect(spark, keyed, "7").count() == 0
     with pytest.raises(ValueError, match="limit must be"):
-        inspector.inspect(spark, keyed, limit=0)
+        views.inspect(spark, keyed, limit=0)
 
 
 def test_aggregation_accumulators(spark, few):
@@ -207,7 +207,7 @@ def test_aggregation_accumulators(spark, few):
     }
     with pytest.raises(ValueError, match="the accumulator has 3 fields"):
         st.read_aggregation_state(spark, checkpoint, ["one"])
-    entries = inspector.snapshot_entries(spark, checkpoint)
+    entries = views.snapshot_entries(spark, checkpoint)
     assert entries.filter("operator_uid = '0' and state_kind = 'keyed'").count() == 6
 
 
