@@ -63,6 +63,14 @@ class PinStore:
         folder = f"{self.base}/pins.list/v{version}"
         pins.coalesce(1).write.mode("overwrite").parquet(folder)
         write_text(self.spark, f"{folder}.done", "")
+        # The list before stays for those who are reading it.
+        for name in (f"v{version - 2}.done", f"v{version - 2}"):
+            delete(self.spark, f"{self.base}/pins.list/{name}")
+
+    def _drop(self, path: str) -> None:
+        # Without its marker a pin no longer counts, however far this gets.
+        delete(self.spark, f"{path}/{MARKER}")
+        delete(self.spark, path)
 
     def pin_snapshot(
         self,
@@ -101,7 +109,7 @@ class PinStore:
         paths = [r["pin_path"] for r in expired.select("pin_path").collect()]
         self._replace(listed.join(expired.select("id"), "id", "left_anti"))
         for old in paths:
-            delete(self.spark, old)
+            self._drop(old)
         return pin_id
 
     def lookup(self, source_path: str) -> str | None:
@@ -116,7 +124,7 @@ class PinStore:
         if found is None:
             return False
         self._replace(without_pin(pins, pin_id))
-        delete(self.spark, found[0])
+        self._drop(found[0])
         return True
 
     def clear(self) -> int:
@@ -124,7 +132,7 @@ class PinStore:
         paths = [r["pin_path"] for r in self.pins().select("pin_path").collect()]
         self._replace(self.spark.createDataFrame([], PINS_SCHEMA))
         for path in paths:
-            delete(self.spark, path)
+            self._drop(path)
         return len(paths)
 
 
