@@ -114,7 +114,7 @@ def assemble_lists(
     A list longer than ``segment_size`` spans several rows, numbered by
     ``segment``, so no row and no task has to hold an unbounded list.
     """
-    segment = F.floor(F.col(pos) / segment_size).cast("bigint")
+    segment = F.call_function("div", F.col(pos).cast("bigint"), F.lit(segment_size).cast("bigint"))
     packed = F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(value))))
     return (
         elements.withColumn("segment", segment)

@@ -20,7 +20,6 @@ from stateglass.session import work_dir
 from stateglass.sinks import pins as k
 from stateglass.sinks.export import export_json
 from stateglass.sources import snapshots as s
-from stateglass.sources.catalog import pinned_operators
 
 COLUMNS = "operator_uid, state_kind, state_name, key, value"
 
@@ -264,8 +263,10 @@ def snapshot_sizes(spark, sf_dir):
 @query(
     "a4_pinned_operators",
     f"""
-    SELECT 'chk-2' AS path, string_agg(concat(uid, label), ', ' ORDER BY uid) AS operators FROM (
-        SELECT operator_uid AS uid,
+    SELECT 'chk-2' AS path, string_agg(concat(uid, label), ', ' ORDER BY uid) AS operators,
+           CAST(sum(n) AS BIGINT) AS n_entries
+    FROM (
+        SELECT operator_uid AS uid, count(*) AS n,
                CASE WHEN any_value(state_kind) = 'keyed' THEN '(keyed)'
                     ELSE concat('(operator[', count(DISTINCT state_name), '])') END AS label
         FROM ({entries_sql(AFTER)}) GROUP BY operator_uid)
@@ -273,6 +274,7 @@ def snapshot_sizes(spark, sf_dir):
 )
 def pinned_catalog(spark, sf_dir):
     base = pinned_base(spark, sf_dir)
-    rows = k.read_pin(spark, k.pin_path(base, "job-events", "chk-2"))
-    found = pinned_operators(rows).withColumn("path", F.lit("chk-2"))
-    return reports.operator_summary(found)
+    found = k.read_catalog(spark, k.pin_path(base, "job-events", "chk-2"))
+    found = found.withColumn("path", F.lit("chk-2"))
+    total = found.groupBy("path").agg(F.sum("n_entries").alias("n_entries"))
+    return reports.operator_summary(found).join(total, "path")

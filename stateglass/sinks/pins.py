@@ -1,7 +1,7 @@
 """Pinned snapshots: full copies that outlive the checkpoints they came from.
 
-A pin is a folder ``base/job/name/`` with Parquet under ``data/`` and, written
-last, ``snapshot.json``. The list of pins is a Parquet table of rows ``id,
+A pin is a folder ``base/job/name/`` with Parquet under ``data/``, its operators
+under ``catalog/`` and, written last, ``snapshot.json``. The list of pins is a Parquet table of rows ``id,
 source_path, pin_path, cached_at, size_bytes``, kept in numbered versions under
 ``base/pins.list/``: a change writes the next version whole and then its marker, so
 a reader or a lost job never meets a half-written list.
@@ -17,6 +17,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.operators.entries import one_result
+from stateglass.sources.catalog import pinned_operators
 from stateglass.sources.files import (
     delete,
     exists,
@@ -67,6 +68,12 @@ class PinStore:
         for name in (f"v{version - 2}.done", f"v{version - 2}"):
             delete(self.spark, f"{self.base}/pins.list/{name}")
 
+    def _write_catalog(self, path: str) -> None:
+        """The operators of a pin, so that listing it later reads no data."""
+        rows = self.spark.read.parquet(f"{path}/data")
+        if {"operator_uid", "state_kind", "state_name"} <= set(rows.columns):
+            pinned_operators(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+
     def _drop(self, path: str) -> None:
         # Without its marker a pin no longer counts, however far this gets.
         delete(self.spark, f"{path}/{MARKER}")
@@ -90,6 +97,7 @@ class PinStore:
         by = [c for c in PARTITION_COLUMNS if c in df.columns]
         # Leftovers of a copy that was broken off have no marker.
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/data")
+        self._write_catalog(path)
         now = datetime.now(timezone.utc)
         pin_id = uuid.uuid4().hex[:8]
         size = total_bytes(self.spark, f"{path}/data")
@@ -144,6 +152,14 @@ def read_pin(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The operators of a whole pin and how many entries each has."""
+    path = path.rstrip("/")
+    if exists(spark, f"{path}/catalog"):
+        return spark.read.parquet(f"{path}/catalog")
+    return pinned_operators(read_pin(spark, path))
+
+
 def read_snapshots(spark: SparkSession, snapshots: DataFrame, limit: int = MAX_PINS) -> DataFrame:
     """Entries of the newest whole snapshots of a listing, each with its snapshot.
 

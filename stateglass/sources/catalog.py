@@ -62,7 +62,11 @@ def discover_operators(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def pinned_operators(entries: DataFrame) -> DataFrame:
-    """Operators of pinned entries: ``operator_uid, state_kind, state_name, ...``."""
+    """Operators of entries ``operator_uid, state_kind, state_name, ...``.
+
+    ``uid, name, keyed_states, operator_states, n_entries``; only distinct names
+    and counts are shuffled.
+    """
 
     def names(kind: str):
         chosen = F.when(F.col("state_kind") == kind, F.col("state_name"))
@@ -72,6 +76,7 @@ def pinned_operators(entries: DataFrame) -> DataFrame:
         F.lit("").alias("name"),
         names("keyed").alias("keyed_states"),
         names("operator").alias("operator_states"),
+        F.count("*").alias("n_entries"),
     )
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.functions.naming import iso_time, short_job_id
 from stateglass.operators import diff as d, entries as e, paging, reports
-from stateglass.sinks.pins import PinStore, read_pin
-from stateglass.sources.catalog import discover_operators, pinned_operators
+from stateglass.sinks.pins import PinStore, read_catalog, read_pin
+from stateglass.sources.catalog import discover_operators
 from stateglass.sources.files import exists
 from stateglass.sources.snapshots import MARKER, discover_snapshots, merge_listings
 from stateglass.sources.state import state_entries
@@ -57,7 +57,7 @@ def snapshot_operators(spark: SparkSession, path: str) -> DataFrame:
     """``uid, name, keyed_states, operator_states`` of a snapshot."""
     root, batch = _split(path)
     if batch is None and exists(spark, f"{root}/{MARKER}"):
-        return pinned_operators(read_pin(spark, root))
+        return read_catalog(spark, root).drop("n_entries")
     return discover_operators(spark, root)
 
 
