@@ -78,8 +78,10 @@ def aggregates(spark, sf_dir):
 
 
 def config(spark, sf_dir):
-    entries = settings(spark, sf_dir).select(F.concat("k", F.lit("="), "v").alias("entry"), "seq")
-    parts = [entries.filter(F.col("seq") < 5000), entries.filter(F.col("seq") >= 5000)]
+    early = F.col("ts") < F.lit(BEFORE).cast("timestamp_ntz")
+    entry = F.concat("k", F.lit("="), "v").alias("entry")
+    rows = settings(spark, sf_dir)
+    parts = [rows.filter(cut).select(entry, "seq") for cut in (early, ~early)]
     return run_slices(spark, sf_dir, "config", single(jobs.config_upserts), parts)
 
 

@@ -79,6 +79,7 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("v"), F.col("event_id")))
         .alias("v"),
         F.col("event_id").alias("seq"),
+        "ts",
     )
 
 
@@ -86,7 +87,7 @@ SETTINGS_SQL = """
     SELECT CASE event_id % 3 WHEN 0 THEN 'threshold' WHEN 1 THEN 'mode' ELSE 'version' END AS k,
            CASE event_id % 3 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN event_type
                 ELSE concat('v', event_id) END AS v,
-           event_id AS seq
+           event_id AS seq, ts
     FROM events
 """
 
@@ -113,7 +114,7 @@ def entries_at(spark: SparkSession, sf_dir: str, cut: str) -> DataFrame:
     )
     config = (
         settings(spark, sf_dir)
-        .filter(F.col("seq") < F.lit(5000 if cut == BEFORE else 2**62))
+        .filter(F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
         .groupBy("k")
         .agg(F.max_by("v", "seq").alias("v"))
     )
@@ -130,7 +131,6 @@ def entries_at(spark: SparkSession, sf_dir: str, cut: str) -> DataFrame:
 
 
 def entries_sql(cut: str) -> str:
-    seq = 5000 if cut == BEFORE else 2**62
     return f"""
         SELECT 'event-counter' AS operator_uid, 'keyed' AS state_kind,
                'event_count' AS state_name, key, CAST(event_count AS VARCHAR) AS value
@@ -148,7 +148,7 @@ def entries_sql(cut: str) -> str:
         FROM orders WHERE o_orderdate < TIMESTAMP '{ORDER_CUTS[cut]}' GROUP BY o_custkey
         UNION ALL
         SELECT 'broadcast-proc', 'operator', 'config-state', k, arg_max(v, seq)
-        FROM ({SETTINGS_SQL}) WHERE seq < {seq} GROUP BY k
+        FROM ({SETTINGS_SQL}) WHERE ts < TIMESTAMP '{cut}' GROUP BY k
     """
 
 
