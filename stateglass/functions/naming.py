@@ -34,15 +34,19 @@ def iso_time(epoch_millis: Column) -> Column:
     of_day = F.pmod(millis, F.lit(MILLIS_PER_DAY)).cast("bigint")
     days = ((millis - of_day) / MILLIS_PER_DAY).cast("int")
     fraction = of_day % 1000
+
+    def digits(number: Column, width: int) -> Column:
+        return F.lpad(number.cast("string"), width, "0")
+
     return F.concat(
         F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"),
-        F.format_string(
-            "T%02d:%02d:%02d",
-            F.floor(of_day / 3_600_000),
-            F.floor(of_day / 60_000) % 60,
-            F.floor(of_day / 1000) % 60,
-        ),
-        F.when(fraction == 0, "").otherwise(F.format_string(".%03d", fraction)),
+        F.lit("T"),
+        digits(F.floor(of_day / 3_600_000), 2),
+        F.lit(":"),
+        digits(F.floor(of_day / 60_000) % 60, 2),
+        F.lit(":"),
+        digits(F.floor(of_day / 1000) % 60, 2),
+        F.when(fraction == 0, "").otherwise(F.concat(F.lit("."), digits(fraction, 3))),
         F.lit("Z"),
     )
 

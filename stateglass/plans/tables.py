@@ -234,12 +234,11 @@ def subtasks():
 
 def buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entries of each subtask: ``subtask, pos, value``."""
-    rows = subtask_events(spark, sf_dir).select(
-        "subtask",
-        "event_id",
-        entry_text(F.col("user_id"), F.col("event_type"), F.col("value")).alias("value"),
-    )
-    return recent_rows(rows, ["subtask"], "event_id", BUFFER_SIZE).drop("event_id")
+    rows = subtask_events(spark, sf_dir).drop("ts", "props")
+    # Texts are made for the rows that are kept only.
+    kept = recent_rows(rows, ["subtask"], "event_id", BUFFER_SIZE)
+    text = entry_text(F.col("user_id"), F.col("event_type"), F.col("value"))
+    return kept.select("subtask", "pos", text.alias("value"))
 
 
 BUFFERED_SQL = f"""
@@ -254,12 +253,10 @@ BUFFERED_SQL = f"""
 
 def recent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest values of each user: ``user_id, pos, value``."""
-    rows = load(spark, sf_dir, "events").select(
-        "user_id",
-        "event_id",
-        timed_value(F.col("value"), epoch_millis(F.col("ts"))).alias("value"),
-    )
-    return recent_rows(rows, ["user_id"], "event_id", RECENT_VALUES).drop("event_id")
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
+    kept = recent_rows(rows, ["user_id"], "event_id", RECENT_VALUES)
+    text = timed_value(F.col("value"), epoch_millis(F.col("ts")))
+    return kept.select("user_id", "pos", text.alias("value"))
 
 
 RECENT_SQL = f"""

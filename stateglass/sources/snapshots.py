@@ -132,7 +132,12 @@ def of_type(snapshots: DataFrame, kind: str) -> DataFrame:
 
 
 def merge_listings(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.unionByName(second).dropDuplicates(["path"])
+    """Both listings, a path that is in both once, as the first has it.
+
+    Paths are unique in a listing, so only the second is looked through.
+    """
+    listed = first.select("path")
+    return first.unionByName(second.join(listed, "path", "left_anti"))
 
 
 def list_children(snapshots: DataFrame) -> DataFrame:

@@ -48,14 +48,15 @@ def keyed_summary(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per user: one step of the average, the recent values, counts per category."""
     chunks = ema_chunks(events, ["user_id"], "event_id", "value", ALPHA, chunk_rows)
     steps = ema_steps(chunks, ["user_id"], ALPHA).withColumn("kind", F.lit("step"))
-    values = events.select(
+    values = events.select("user_id", "event_id", "event_type", "value", "ts")
+    # Texts are made for the rows that are kept only.
+    recent = recent_rows(values, ["user_id"], "event_id", RECENT_VALUES).select(
         "user_id",
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("category"),
         timed_value(F.col("value"), epoch_millis(F.col("ts"))).alias("text"),
         F.lit("recent").alias("kind"),
     )
-    recent = recent_rows(values, ["user_id"], "seq", RECENT_VALUES).drop("pos")
     counts = category_counts(events, ["user_id"], "event_type").select(
         "user_id",
         F.col("map_key").alias("category"),
@@ -69,12 +70,14 @@ def keyed_summary(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 def buffer_summary(events: DataFrame) -> DataFrame:
     """Per subtask: the entries that may stay in its buffer."""
-    entries = events.select(
-        (F.col("event_id") % SUBTASKS).alias("subtask"),
+    rows = events.select(
+        (F.col("event_id") % SUBTASKS).alias("subtask"), "event_id", "user_id", "event_type", "value"
+    )
+    return recent_rows(rows, ["subtask"], "event_id", BUFFER_SIZE).select(
+        "subtask",
         F.col("event_id").alias("seq"),
         entry_text(F.col("user_id"), F.col("event_type"), F.col("value")).alias("entry"),
     )
-    return recent_rows(entries, ["subtask"], "seq", BUFFER_SIZE).drop("pos")
 
 
 def summaries_into(folder: str, summarise: Callable[[DataFrame], DataFrame]):
