@@ -59,16 +59,24 @@ def to_wide(long: DataFrame, states: Sequence[str], keys: Sequence[str] = ("key"
     )
 
 
+def merge_rows(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key with the columns of all frames, each once per key.
+
+    A union and one aggregation shuffle each frame once; a chain of outer joins
+    would shuffle what is joined so far again for every further frame.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+
+
 def combine_states(states: dict[str, DataFrame], keys: Sequence[str] = ("key",)) -> DataFrame:
     """One row per key from one frame per state variable, a typed column each.
 
-    Every frame has the key columns and ``value``, once per key. A union and
-    one aggregation shuffle each frame once; a chain of outer joins would
-    shuffle what is joined so far again for every further state.
+    Every frame has the key columns and ``value``, once per key.
     """
     frames = [df.select(*keys, F.col("value").alias(name)) for name, df in states.items()]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return rows.groupBy(*keys).agg(*[F.first(s, ignorenulls=True).alias(s) for s in states])
+    return merge_rows(frames, keys)
 
 
 def last_write_wins(

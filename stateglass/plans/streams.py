@@ -105,9 +105,7 @@ STATES = ("category_counts", "event_count", "last_category", "recent_values", "r
 )
 def operator_catalog(spark, sf_dir):
     """The operator of the keyed stream, its states and the keys it holds."""
-    checkpoint = keyed(spark, sf_dir)
-    counts = st.operator_entry_counts(spark, checkpoint)
-    found = catalog.discover_operators(spark, checkpoint).join(counts, "uid", "left")
+    found = st.operators_with_counts(spark, keyed(spark, sf_dir))
     return found.select("uid", F.array_join("keyed_states", ",").alias("keyed_states"), "n_keys")
 
 

@@ -6,8 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from stateglass.functions.text import json_text
-from stateglass.operators.entries import combine_states, one_result
-from stateglass.sources.catalog import state_variables
+from stateglass.operators.entries import combine_states, merge_rows, one_result
+from stateglass.sources.catalog import discover_operators, state_variables
 from stateglass.sources.custom import as_entries
 
 
@@ -207,6 +207,14 @@ def operator_entry_counts(
     )
 
 
+def operators_with_counts(
+    spark: SparkSession, checkpoint: str, batch_id: int | None = None
+) -> DataFrame:
+    """The operator catalog with ``n_keys``, the keys each operator holds."""
+    catalog = discover_operators(spark, checkpoint)
+    return merge_rows([catalog, operator_entry_counts(spark, checkpoint, batch_id)], ["uid"])
+
+
 def read_all_states(
     spark: SparkSession, checkpoint: str, batch_id: int | None = None, operator_id: int = 0
 ) -> DataFrame:

@@ -88,7 +88,7 @@ def browse(spark: SparkSession, base: str, limit: int = LIST_LIMIT) -> DataFrame
     if not catalogs:
         return shown.withColumn("operators", F.lit("(none)"))
     summaries = reports.operator_summary(e.one_result(catalogs))
-    return shown.join(summaries, "path", "left").withColumn(
+    return e.merge_rows([shown, summaries], ["path"]).withColumn(
         "operators", F.coalesce("operators", F.lit("(none)"))
     )
 
