@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table
+from stateglass.llm.embeddings import embedding_links
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
 
@@ -65,3 +66,33 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query(
+    "op10_embedding_links",
+    """
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reached AS (
+        SELECT vec_id AS v, vec_id AS r FROM embeddings
+        UNION SELECT links.b, reached.r FROM reached JOIN links ON reached.v = links.a
+    ), lowest AS (
+        SELECT v, min(r) AS component_id FROM reached GROUP BY v
+    ), counted AS (
+        SELECT a, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN lowest ON v = vec_id LEFT JOIN counted ON a = vec_id
+    """,
+)
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
