@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stateglass.session import work_dir
 
 # Parts per shuffle partition: several, so that hashing parts to partitions is even.
-PARTS_PER_PARTITION = 8
+PARTS_PER_PARTITION = 3
 # Words a task works on at once; a single longer text is still taken whole.
 CHUNK_WORDS = 1_000_000
 CHUNK_BYTES = 6_000_000

@@ -102,7 +102,7 @@ def _marked_rows(ids: np.ndarray, starts: np.ndarray, parts: int):
         yield part, pack_places(ids[at], starts[at])
 
 
-def _scan(window: int, parts: int):
+def _scan(window: int, parts: int, doc_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         roll, second = RollingHash(_BASE, window), RollingHash(_SECOND_BASE, window)
@@ -132,7 +132,7 @@ def _scan(window: int, parts: int):
                 some = sent[some]
                 packed = keys[some].tobytes() + checks[some].tobytes()
                 rows.append((part, 0, packed, pack_places(owner[some], starts[some])))
-            for part, blob in _marked_rows(owner[later], starts[later], parts):
+            for part, blob in _marked_rows(owner[later], starts[later], doc_parts):
                 rows.append((part, 1, b"", blob))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,7 +147,7 @@ def _scan(window: int, parts: int):
     return run
 
 
-def _mark(parts: int):
+def _mark(doc_parts: int):
     """Marks all places of a hash but the first; marked places pass through."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -169,7 +169,7 @@ def _mark(parts: int):
             ids, starts = ids[order], starts[order]
             keys, checks = np.concatenate(keys)[order], np.concatenate(checks)[order]
             _, later = _firsts(keys, checks, ids, starts)
-            out.extend(_marked_rows(ids[later], starts[later], parts))
+            out.extend(_marked_rows(ids[later], starts[later], doc_parts))
         return pa.table(
             {
                 "part": pa.array([p for p, _ in out], pa.int32()),
@@ -264,16 +264,18 @@ def remove_repeated_passages(
     """
     spark = docs.sparkSession
     parts = part_count(spark)
+    # Every part of hashes may answer to every part of documents, so these are fewer.
+    doc_parts = -(-parts // 2)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"),
         F.struct(*others).alias("row"),
     )
-    sent = rows.select("id", "text").mapInArrow(_scan(window, parts), _SENT)
-    marked = sent.groupBy("part").applyInArrow(_mark(parts), _MARKED)
+    sent = rows.select("id", "text").mapInArrow(_scan(window, parts, doc_parts), _SENT)
+    marked = sent.groupBy("part").applyInArrow(_mark(doc_parts), _MARKED)
     packed_schema = T.StructType().add("part", "integer").add("id", "long").add("text", "binary").add("row", rows.schema["row"].dataType)
-    packed = rows.mapInArrow(_pack(parts), packed_schema)
+    packed = rows.mapInArrow(_pack(doc_parts), packed_schema)
     result = (
         T.StructType().add("id", "long").add("n_words", "long").add("spans", T.ArrayType(_RESULT))
         .add("kept", "binary").add("row", rows.schema["row"].dataType)
