@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table
+from stateglass.llm.contamination import find_contamination
 from stateglass.llm.embeddings import embedding_links
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
@@ -96,3 +97,54 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
     )
+
+
+@query(
+    "op5_benchmark_contamination",
+    r"""
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ), items AS (
+        SELECT item_id, words, least(len(words), 10) AS n FROM (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark)
+        WHERE len(words) > 0
+    ), grams AS (
+        SELECT DISTINCT item_id, n, array_to_string(words[p + 1 : p + n], ' ') AS win
+        FROM (SELECT *, unnest(range(len(words) - n + 1)) AS p FROM items)
+    ), windows AS (
+        SELECT doc_id, p, n, array_to_string(words[p + 1 : p + n], ' ') AS win
+        FROM (SELECT *, unnest(range(greatest(len(words) - n + 1, 0))) AS p
+              FROM docs CROSS JOIN (SELECT DISTINCT n FROM grams))
+    ), found AS (
+        SELECT doc_id, p, n, item_id FROM windows JOIN grams USING (n, win)
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT w) AS n_hit
+        FROM (SELECT doc_id, unnest(range(p, p + n)) AS w FROM (SELECT DISTINCT doc_id, p, n FROM found))
+        GROUP BY doc_id
+    ), named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op5_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
