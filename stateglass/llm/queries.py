@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table
 from stateglass.llm.contamination import find_contamination
 from stateglass.llm.embeddings import embedding_links
+from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
+from stateglass.session import work_dir
+
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +153,12 @@ def op5_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op7_token_shards")
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = work_dir(spark, "token-shards")
+    write_token_shards(table(spark, sf_dir, "documents"), target, public_tokenizers.path(VOCABULARY), end_id=2)
+    return read_token_shards(spark, target).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
