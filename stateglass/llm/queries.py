@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stateglass.llm.common import table
 from stateglass.llm.contamination import find_contamination
 from stateglass.llm.embeddings import embedding_links
+from stateglass.llm.packing import pack_texts
 from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
@@ -162,3 +163,17 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, target).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op4_pack_documents")
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
