@@ -25,8 +25,10 @@ from stateglass.llm.tokens import WordEncoder
 SHARD_IDS = 1 << 20
 # A pair is replaced while it occurs this often in the shard.
 LEAST_COUNT = 12
-# New symbols per round; pairs of one round never overlap.
+# New symbols per round.
 PAIRS_PER_ROUND = 2048
+# A round that would replace a smaller share of the sequence is the end.
+LEAST_GAIN = 0.01
 
 SHARD_SCHEMA = (
     "part int, seq int, n_ids long, base long, docs array<long>, lengths array<long>, "
@@ -45,20 +47,20 @@ def _frequent_pairs(codes: np.ndarray, least: int, most: int) -> tuple[np.ndarra
     return ordered[begins[order]], counts[order]
 
 
-def _without_overlap(lefts: list[int], rights: list[int]) -> list[int]:
-    """Positions of pairs, best first, such that no symbol is both a left and a right one.
+def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which occurrences (places in ascending order, better ranks lower) are replaced.
 
-    Occurrences of such pairs cannot share a symbol. A pair of equal symbols is
-    taken only when it is the best one, and then alone.
+    Of places that share a symbol only one that ranks better than its neighbours is
+    taken, and in a run of one pair every second place; the rest wait for a later round.
     """
-    if lefts[0] == rights[0]:
-        return [0]
-    as_left, as_right, taken = set(), set(), []
-    for at, (a, b) in enumerate(zip(lefts, rights)):
-        if a != b and a not in as_right and b not in as_left:
-            as_left.add(a)
-            as_right.add(b)
-            taken.append(at)
+    run = np.ones(len(at), bool)
+    run[1:] = (np.diff(at) != 1) | (rank[1:] != rank[:-1])
+    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+    key = 2 * rank + (np.arange(len(at)) - first) % 2
+    taken = np.ones(len(at), bool)
+    touching = np.diff(at) == 1
+    taken[1:] &= ~touching | (key[1:] < key[:-1])
+    taken[:-1] &= ~touching | (key[:-1] < key[1:])
     return taken
 
 
@@ -79,32 +81,32 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         else:
             codes = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         shift = codes.dtype.type(16 if small else 32)
-        pairs, _ = _frequent_pairs(codes, LEAST_COUNT, PAIRS_PER_ROUND)
+        pairs, _ = _frequent_pairs(codes, LEAST_COUNT, min(PAIRS_PER_ROUND, room))
         if not len(pairs):
             break
-        lefts, rights = pairs >> shift, pairs & codes.dtype.type((1 << int(shift)) - 1)
-        taken = _without_overlap(lefts.tolist(), rights.tolist())[:room]
-        chosen = np.sort(pairs[taken])
-        lefts, rights = (chosen >> shift).astype(np.int64), (chosen & codes.dtype.type((1 << int(shift)) - 1)).astype(np.int64)
-        is_left, is_right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-        is_left[lefts] = is_right[rights] = True
-        at = np.flatnonzero(is_left[sequence[:-1]] & is_right[sequence[1:]])
-        rank = np.searchsorted(chosen, codes[at])
-        rank[rank == len(chosen)] = 0
-        hit = chosen[rank] == codes[at]
-        at, rank = at[hit], rank[hit]
-        if lefts[0] == rights[0]:  # in a run of equal symbols every second place
-            run = np.concatenate([[True], np.diff(at) != 1])
-            first = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-            even = (at - first) % 2 == 0
-            at, rank = at[even], rank[even]
+        lefts = (pairs >> shift).astype(np.int64)
+        rights = (pairs & codes.dtype.type((1 << int(shift)) - 1)).astype(np.int64)
+        # Ranks by (number among the left symbols, number among the right ones).
+        (own_lefts, i), (own_rights, j) = (np.unique(x, return_inverse=True) for x in (lefts, rights))
+        ranks = np.full((len(own_lefts) + 1, len(own_rights) + 1), -1, np.int16)
+        ranks[i + 1, j + 1] = np.arange(len(pairs))
+        left_number, right_number = np.zeros(symbols, np.int32), np.zeros(symbols, np.int32)
+        left_number[own_lefts] = np.arange(1, len(own_lefts) + 1) * ranks.shape[1]
+        right_number[own_rights] = np.arange(1, len(own_rights) + 1)
+        rank = ranks.ravel()[left_number[sequence[:-1]] + right_number[sequence[1:]]]
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at].astype(np.int64)
+        taken = _without_overlap(at, rank)
+        at, rank = at[taken], rank[taken]
+        if len(at) < LEAST_GAIN * len(sequence):
+            break
         sequence[at] = (symbols + rank).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
         rules.append(np.stack([lefts, rights], axis=1))
         lengths = np.concatenate([lengths, lengths[lefts] + lengths[rights]])
-        symbols += len(chosen)
+        symbols += len(pairs)
     all_rules = np.concatenate([np.zeros((0, 2), np.int64), *rules])
     return all_rules.astype(np.uint32), lengths[base:], sequence
 
