@@ -14,6 +14,7 @@ from stateglass.llm.packing import pack_texts
 from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
+from stateglass.llm.toxicity import score_toxicity, train
 from stateglass.session import work_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -177,3 +178,29 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+def id_remainder(column: str, divisor: int):
+    """The CRC-32 of an id as text, modulo ``divisor``."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
+
+
+def train_on_learnable(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """A toxicity model of the labels whose remainder by 4 is not 2."""
+    labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 4) != 2)
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    return train(rows, labels.select(F.col("doc_id").alias("id"), "toxic"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_on_learnable(spark, sf_dir, docs)
+    scored = score_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"),
+        F.col("toxicity.toxic").alias("toxic_for_language"),
+    )
