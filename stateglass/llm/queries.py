@@ -11,6 +11,7 @@ from stateglass.llm.common import table
 from stateglass.llm.contamination import find_contamination
 from stateglass.llm.embeddings import embedding_links
 from stateglass.llm.packing import pack_texts
+from stateglass.llm.quality import score_quality, train as train_pu_model
 from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
@@ -204,3 +205,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity.score") >= 0.3).cast("int").alias("predicted"),
         F.col("toxicity.toxic").alias("toxic_for_language"),
     )
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    positives = labels.where((F.col("quality") == 1) & (id_remainder("id", 5) != 0))
+    learnable = docs.where(id_remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("id"), "text")
+    net = train_pu_model(learnable, positives, labels)
+    return score_quality(docs, net).select(
+        "doc_id",
+        F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality").alias("score"),
+        (F.col("quality") >= 0.3).cast("int").alias("predicted"),
+    )
