@@ -127,18 +127,16 @@ class Grammar:
         lengths[new] = sizes[self.symbols[new].astype(np.int64) - base]
         #: Where the expansion of each symbol begins, and the end of the last.
         self.begins = np.concatenate([[0], np.cumsum(lengths)])
-        self.texts: dict[int, bytes] = {}
-
-    def _expand(self, symbol: int) -> bytes:
-        got = self.texts.get(symbol)
-        if got is None:
-            if symbol < self.base:
-                got = symbol.to_bytes(4, "little")
-            else:
-                a, b = self.rules[symbol - self.base].tolist()
-                got = self._expand(a) + self._expand(b)
-            self.texts[symbol] = got
-        return got
+        self.texts: list[bytes] = []
+
+    def _expansions(self) -> list[bytes]:
+        """What each symbol stands for; a rule only uses symbols before its own."""
+        if not self.texts:
+            single = np.arange(self.base, dtype=np.uint32).tobytes()
+            self.texts = [single[i : i + 4] for i in range(0, len(single), 4)]
+            for a, b in self.rules.tolist():
+                self.texts.append(self.texts[a] + self.texts[b])
+        return self.texts
 
     def read(self, start: int, end: int) -> bytes:
         """Ids start to end - 1; only the symbols that hold them are expanded."""
@@ -146,7 +144,7 @@ class Grammar:
             return b""
         first = int(np.searchsorted(self.begins, start, "right")) - 1
         last = int(np.searchsorted(self.begins, end, "left"))
-        data = b"".join(map(self._expand, self.symbols[first:last].tolist()))
+        data = b"".join(map(self._expansions().__getitem__, self.symbols[first:last].tolist()))
         skip = 4 * (start - int(self.begins[first]))
         return data[skip : skip + 4 * (end - start)]
 
@@ -211,20 +209,20 @@ def write_token_shards(
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            grammar = Grammar(row["base"], row["rules"], row["expansions"], row["symbols"])
-            lengths = np.array(row["lengths"], np.int64)
-            ends = np.cumsum(lengths)
-            begins = ends - lengths
-            data = grammar.read(0, row["n_ids"])
-            ids = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
-            n = len(ids)
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            first, n_ids, base, rules, expansions, symbols = (
+                row.column(c)[0].as_py() for c in ("first", "n_ids", "base", "rules", "expansions", "symbols")
+            )
+            lengths = row.column("lengths").flatten()
+            ends = np.cumsum(lengths.to_numpy())
+            begins = ends - lengths.to_numpy()
+            ids = Grammar(base, rules, expansions, symbols).read(0, n_ids)
+            edges = pa.array(np.append(0, 4 * ends), pa.int32()).buffers()[1]
+            column = pa.Array.from_buffers(pa.binary(), len(lengths), [None, edges, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()),
-                    pa.array(row["docs"], pa.int64()), pa.array(begins), pa.array(lengths), pa.array(ids, pa.binary()),
-                ],
-                names=["part", "seq", "id", "begin", "n_tokens", "ids"],
+                [row.column("docs").flatten(), pa.array(first + begins), lengths, column],
+                names=["id", "start", "n_tokens", "ids"],
             )
 
 
@@ -241,5 +239,5 @@ def read_token_shards(spark: SparkSession, source: str) -> DataFrame:
     parts = table.groupBy("part").agg(F.sum("n_ids").alias("total"))
     parts = parts.select("part", F.coalesce(F.sum("total").over(before.orderBy("part")), F.lit(0)).alias("outer"))
     bases = shards.join(parts, "part").select("part", "seq", (F.col("inner") + F.col("outer")).alias("first"))
-    each = table.mapInArrow(_documents, "part int, seq int, id long, begin long, n_tokens long, ids binary")
-    return each.join(bases, ["part", "seq"]).select("id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids")
+    placed = table.join(bases, ["part", "seq"])
+    return placed.mapInArrow(_documents, "id long, start long, n_tokens long, ids binary")

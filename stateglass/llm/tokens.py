@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,11 +19,14 @@ from tokenizers import Tokenizer
 from stateglass.llm.common import worker_cache
 
 # Words a worker remembers; beyond these a word is encoded once per batch.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 # ASCII punctuation that can be parted from a letter or digit before it without
 # changing the tokens of either; the apostrophe can not.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(rb"[a-z]+").fullmatch
+# How byte-level vocabularies write the bytes beyond ASCII: printable Latin-1 as it
+# is, the others as the letters from U+0100 + 33 on, after those for ASCII controls.
+_BYTE_LETTERS = {b: 0x100 + 34 + b - 0x80 if b <= 0xA0 else 0x100 + 67 if b == 0xAD else b for b in range(0x80, 0x100)}
 _SAFE_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -55,11 +59,19 @@ class WordEncoder:
                 pieces.add(word)
         pieces = pieces.difference(self.known)
         tokenize = self.tokenizer.model.tokenize
-        other = [p for p in pieces if not _PLAIN(p)]
+        found, other = {}, []
+        for piece in pieces:
+            if _PLAIN(piece):
+                written = piece.decode()
+            else:
+                word = piece.decode()
+                if not (word.isalpha() and word.lower() == word and is_normalized("NFC", word)):
+                    other.append(piece)
+                    continue
+                written = piece.decode("latin-1").translate(_BYTE_LETTERS)
+            found[piece] = array("I", [t.id for t in tokenize(written)]).tobytes()
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
-        found = {p: array("I", e.ids).tobytes() for p, e in zip(other, coded)}
-        for piece in pieces.difference(other):
-            found[piece] = array("I", [t.id for t in tokenize(piece.decode())]).tobytes()
+        found.update((p, array("I", e.ids).tobytes()) for p, e in zip(other, coded))
         for word, (core, tail) in cut.items():
             found[word] = b"".join(found[p] if p in found else self.known[p] for p in (core, tail))
         return found
