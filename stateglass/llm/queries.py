@@ -16,6 +16,7 @@ from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
 from stateglass.llm.toxicity import score_toxicity, train
+from stateglass.llm.urls import judge_urls, site_rule
 from stateglass.session import work_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -220,3 +221,42 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").alias("score"),
         (F.col("quality") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+SITE_RULES = [
+    site_rule("allow", "com/"),
+    site_rule("block", "example.com/en/"),
+    site_rule("allow", "www.example.com/en/"),
+    site_rule("block", "net/es/"),
+    site_rule("block", "net/fr/"),
+]
+
+
+@query(
+    "op8_url_filter",
+    r"""
+    WITH parsed AS (
+        SELECT page_id,
+               translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+        FROM pages
+    ), rules(name, verdict) AS (
+        VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'),
+               ('net/es/', 'block'), ('net/fr/', 'block')
+    ), cut AS (
+        SELECT name, verdict, split_part(name, '/', 1) AS site, substr(name, strpos(name, '/')) AS start FROM rules
+    ), best AS (
+        SELECT host, path, arg_max(name, length(name)) AS rule, arg_max(verdict, length(name)) AS verdict
+        FROM (SELECT DISTINCT host, path FROM parsed)
+        JOIN cut ON (host = site OR suffix(host, '.' || site)) AND starts_with(path, start)
+        GROUP BY host, path
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(
+        host, '(^|[^a-z0-9])(spam-farm|casino|porn|phishing|malware|warez)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parsed LEFT JOIN best USING (host, path)
+    """,
+)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES)
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
