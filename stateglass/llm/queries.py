@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table
 from stateglass.llm.contamination import find_contamination
+from stateglass.llm.domain import domain_scores
 from stateglass.llm.embeddings import embedding_links
 from stateglass.llm.packing import pack_texts
 from stateglass.llm.quality import score_quality, train as train_pu_model
@@ -260,3 +261,13 @@ SITE_RULES = [
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES)
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+# The source whose texts are the target of the language models.
+DOMAIN_SOURCE = "src1"
+
+
+@query("op2_domain_scores")
+def op2_domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return domain_scores(docs, F.col("source") == DOMAIN_SOURCE).withColumnRenamed("id", "doc_id")
