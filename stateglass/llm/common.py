@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stateglass.session import work_dir
 
@@ -126,5 +126,14 @@ def hash_words(words: list[bytes], known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def null_if_masked(values: np.ndarray, nulls: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind, mask=nulls)
+@F.arrow_udf(T.BinaryType())
+def squeezed(texts: pa.Array) -> pa.Array:
+    """Compressed bytes, for a shuffle."""
+    press = zstandard.ZstdCompressor(1)
+    return pa.array([None if t is None else press.compress(t) for t in texts.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def unsqueezed(blobs: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if b is None else press.decompress(b) for b in blobs.to_pylist()], pa.binary())

@@ -1,7 +1,12 @@
-"""All queries of the subpackage."""
+"""All queries of the subpackage and of the pipeline."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stateglass.llm.queries import ORACLES, QUERIES
 
+QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES = {**ORACLES, "pipeline": corpus_pipeline.ORACLE_SQL}
+
 __all__ = ["ORACLES", "QUERIES"]

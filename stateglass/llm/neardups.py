@@ -1,0 +1,202 @@
+"""Near-duplicate texts by ball hashing of a wide SimHash.
+
+The 64-bit fingerprint and its three bits find texts that are all but equal. A
+similarity of 0.8 of word shingles turns about 15 of 100 bits, so here a text gets 256
+bits, and six bands of 20 of them are hashed by balls: each band emits all variants
+within one flip, so bands within two bits of each other meet. The members that meet
+carry all their bits and are compared by them.
+
+What meets is searched for its connected groups in place: a member is compared with
+those not reached yet, so a group of near copies costs about its size and leaves one
+link per member. With independent bits a pair of similarity 0.8 meets with probability
+0.95, one of 0.85 with 0.99 and one of 0.9 with 0.9997.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, functions as F
+
+from stateglass.llm.common import (
+    by_part, chunks, from_planes, mix, part_count, part_of, planes, squeezed, unsqueezed, written,
+)
+from stateglass.llm.components import connected_components
+from stateglass.llm.simhash import majority_bits, shingle_hashes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+WORDS = 4  # of 64 bits
+BITS = 64 * WORDS
+BAND_BITS = 20
+BANDS = 6
+# Standard deviations of the bit count that a pair at the threshold may be off.
+SLACK = 1.2
+# Texts whose variants a task makes at once.
+BALLS = 20_000
+
+_ROUNDS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WORDS)], np.uint64)
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits up to which texts count as that similar.
+
+    Shingle sets of Jaccard similarity J have a cosine of about 2 J / (1 + J), and
+    each bit differs with probability angle / pi.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(BITS * share + SLACK * np.sqrt(BITS * share * (1 - share)))
+
+
+def wide_prints(texts: list[bytes | None], shingle: int) -> np.ndarray:
+    """(texts, WORDS) bits; zero for texts without words."""
+    out = np.zeros((len(texts), WORDS), np.uint64)
+    hashes = [np.array(shingle_hashes(t or b"", shingle), np.uint64) for t in texts]
+    counts = np.array([len(h) for h in hashes], np.int64)
+    if counts.sum():
+        joined = np.concatenate(hashes)
+        for k in range(WORDS):
+            out[:, k] = majority_bits(mix(joined ^ _ROUNDS[k]), counts)
+    return out
+
+
+def _bands(prints: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) numbers of BAND_BITS bits each, from disjoint bits."""
+    columns = []
+    for band in range(BANDS):
+        word, shift = divmod(band * BAND_BITS, 60)  # three bands of a word
+        columns.append((prints[:, word] >> np.uint64(shift)) & np.uint64((1 << BAND_BITS) - 1))
+    return np.stack(columns, axis=1)
+
+
+def _emit(parts: int):
+    flips = np.array([0, *(1 << i for i in range(BAND_BITS))], np.uint64)
+    marks = np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("low").to_numpy()
+            prints = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+            order = np.argsort(ids)
+            ids, prints = ids[order], prints[order]
+            for at in range(0, len(ids), BALLS):
+                own, some = ids[at : at + BALLS], prints[at : at + BALLS]
+                keys = ((_bands(some) | marks)[:, :, None] ^ flips).reshape(len(own), -1)
+                owner = np.repeat(np.arange(len(own)), keys.shape[1])
+                keys = keys.ravel()
+                rows = []
+                for part, where in by_part(part_of(mix(keys), parts), parts):
+                    who = owner[where]
+                    # Each text once per part, and for each of its variants which text it is of.
+                    first = np.ones(len(who), bool)
+                    first[1:] = who[1:] != who[:-1]
+                    members = who[first]
+                    each = (np.cumsum(first) - 1).astype(np.uint32)
+                    packed = planes(np.diff(each, prepend=np.uint32(0))) + planes(keys[where].astype(np.uint32))
+                    head = planes(np.diff(own[members], prepend=np.int64(0)))
+                    rows.append((part, zstandard.compress(head, 1), some[members].tobytes(), zstandard.compress(packed, 1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
+                    names=["part", "ids", "bits", "keys"],
+                )
+
+    return run
+
+
+def _groups(prints: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, those first reached from it) of each connected group of near prints."""
+    left = np.arange(len(prints))
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            member = todo.pop()
+            near = np.bitwise_count(prints[left] ^ prints[member]).sum(axis=1) <= most
+            if near.any():
+                reached, left = left[near], left[~near]
+                todo.extend(reached.tolist())
+                yield member, reached
+
+
+def _meet(most: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, prints, keys, each, base = [], [], [], [], 0
+        for head, bits, packed in zip(*(group.column(c).to_pylist() for c in ("ids", "bits", "keys"))):
+            own = np.frombuffer(bits, np.uint64).reshape(-1, WORDS)
+            ids.append(np.cumsum(from_planes(zstandard.decompress(head), np.int64, len(own))))
+            prints.append(own)
+            raw = zstandard.decompress(packed)
+            n = len(raw) // 8
+            each.append(np.cumsum(from_planes(raw[: 4 * n], np.uint32, n), dtype=np.int64) + base)
+            keys.append(from_planes(raw[4 * n :], np.uint32, n))
+            base += len(own)
+        ids, prints = np.concatenate(ids), np.concatenate(prints)
+        keys, each = np.concatenate(keys), np.concatenate(each)
+        order = np.lexsort((each, keys))
+        keys, each = keys[order], each[order]
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.append(begins, len(keys)))
+        a, b = [], []
+        for begin, size in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            members = each[begin : begin + size]
+            for member, reached in _groups(prints[members], most):
+                a.append(np.full(len(reached), ids[members[member]]))
+                b.append(ids[members[reached]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def near_duplicate_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """``id`` and ``component``, one row per input row.
+
+    Texts are linked if the bits of their word shingles, lower-cased in A-Z, differ
+    as little as those of texts of Jaccard ``similarity``, with a slack for chance;
+    ``component`` is the smallest id that links lead to. Texts of the same shingles
+    are always linked. A text of fewer words is one shingle; texts without words,
+    and null ones, are linked with each other. A row with a null id has no component
+    and links nothing. Rows that share an id are one document. An empty table gives an
+    empty result.
+    """
+    spark = docs.sparkSession
+
+    @F.arrow_udf("binary")
+    def bits(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        made = [row.tobytes() for c in chunks([batch]) for row in wide_prints(c.column("text").to_pylist(), shingle)]
+        return pa.array(made, pa.binary())
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    prints = written(rows.select("id", bits("text").alias("bits")), "wide-prints")
+    classes = written(prints.groupBy("bits").agg(F.min("id").alias("low")), "classes")
+    parts = part_count(spark)
+    spread = classes.where("low IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "low")
+    sent = spread.mapInArrow(_emit(parts), "part int, ids binary, bits binary, keys binary")
+    links = sent.groupBy("part").applyInArrow(_meet(most_bits(similarity)), "a long, b long")
+    roots = connected_components(links.distinct())
+    named = classes.join(roots, F.col("low") == F.col("node"), "left")
+    named = written(named.select("bits", F.coalesce("root", "low").alias("component")), "named")
+    return prints.join(named, "bits").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The rows whose id is the smallest of its group, as they came.
+
+    Groups and odd rows are those of ``near_duplicate_groups``; rows with a null id
+    stay, and rows that share an id stay or go together.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, shingle, similarity)
+    # Spark knows the size of a written table and broadcasts it only below its own limit.
+    gone = written(groups.where("id != component").select("id").distinct(), "duplicates")
+    text = F.col(f"`{text_col}`").cast("string").cast("binary")
+    packed = docs.withColumn(text_col, squeezed(text))
+    kept = packed.join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return kept.withColumn(text_col, unsqueezed(F.col(f"`{text_col}`")).cast("string"))

@@ -14,6 +14,7 @@ expected 1e-5 windows in a corpus of 30 GB.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ WINDOW = 20
 _BASE = 0x9E3779B97F4A7C15
 _SECOND_BASE = 0xD1342543DE82EF95
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
 _SENT = "part int, kind int, keys binary, places binary"
 _MARKED = "part int, places binary"
 _RESULT = T.StructType().add("start", "long").add("end", "long")
@@ -209,7 +212,14 @@ def _cover(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, breaks]].tolist(), (starts[np.r_[breaks - 1, len(starts) - 1]] + window).tolist()))
 
 
-def _cut(window: int):
+def _without(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the cuts and the white space behind each of them."""
+    begins = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    edges = [0, *(begins[p] for cut in cuts for p in cut), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _cut(window: int, layout: bool):
     def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
         found = [unpack_places(b) for b in marked.column("places").to_pylist()]
         owner = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
@@ -218,7 +228,8 @@ def _cut(window: int):
         owner, start = owner[order], start[order]
         counts, spans, kept = [], [], []
         for doc, packed in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()):
-            words = zstandard.decompress(packed).split() if packed is not None else []
+            text = None if packed is None else zstandard.decompress(packed)
+            words = (text or b"").split()
             cuts = []
             if doc is not None:
                 a, b = np.searchsorted(owner, doc), np.searchsorted(owner, doc, "right")
@@ -226,6 +237,9 @@ def _cut(window: int):
                 cuts = [(s, min(e, len(words))) for s, e in _cover(np.unique(start[a:b]), window) if s < len(words)]
             counts.append(len(words))
             spans.append([{"start": s, "end": e} for s, e in cuts])
+            if layout:
+                kept.append(_without(text, cuts) if cuts else text)
+                continue
             for s, e in reversed(cuts):
                 del words[s:e]
             kept.append(b" ".join(words))
@@ -244,7 +258,7 @@ def _cut(window: int):
 
 
 def remove_repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, layout: bool = False
 ) -> DataFrame:
     """One row per input row, without the words of windows that occur earlier.
 
@@ -255,7 +269,9 @@ def remove_repeated_passages(
 
     Columns: ``id``; ``n_words``; ``spans``, the maximal removed intervals of word
     positions as (start, end); ``kept``, the other words joined by one space; and
-    ``row``, a struct of the other columns as they came, whatever their names.
+    ``row``, a struct of the other columns as they came, whatever their names. With
+    ``layout``, ``kept`` is the text itself without the removed words and the white
+    space behind each of them, and a null text stays null.
 
     A null text has no words and an empty one neither. A row with a null id is
     compared with nothing and kept whole. Rows that share an id count as one
@@ -280,5 +296,5 @@ def remove_repeated_passages(
         T.StructType().add("id", "long").add("n_words", "long").add("spans", T.ArrayType(_RESULT))
         .add("kept", "binary").add("row", rows.schema["row"].dataType)
     )
-    cut = packed.groupBy("part").cogroup(marked.groupBy("part")).applyInArrow(_cut(window), result)
+    cut = packed.groupBy("part").cogroup(marked.groupBy("part")).applyInArrow(_cut(window, layout), result)
     return cut.withColumn("kept", F.col("kept").cast("string"))
