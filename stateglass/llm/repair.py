@@ -127,16 +127,24 @@ class Grammar:
         lengths[new] = sizes[self.symbols[new].astype(np.int64) - base]
         #: Where the expansion of each symbol begins, and the end of the last.
         self.begins = np.concatenate([[0], np.cumsum(lengths)])
-        self.texts: list[bytes] = []
+        self.lengths = lengths
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
 
-    def _expansions(self) -> list[bytes]:
-        """What each symbol stands for; a rule only uses symbols before its own."""
-        if not self.texts:
-            single = np.arange(self.base, dtype=np.uint32).tobytes()
-            self.texts = [single[i : i + 4] for i in range(0, len(single), 4)]
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all symbols in one array, and where those of each begin.
+
+        A rule only uses symbols before its own.
+        """
+        if self.table is None:
+            texts: list[bytes] = []
+            base = self.base
             for a, b in self.rules.tolist():
-                self.texts.append(self.texts[a] + self.texts[b])
-        return self.texts
+                left = a.to_bytes(4, "little") if a < base else texts[a - base]
+                texts.append(left + (b.to_bytes(4, "little") if b < base else texts[b - base]))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+            ids = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(texts), np.uint32)])
+            self.table = ids, np.concatenate([np.arange(base), base + np.cumsum(sizes) - sizes])
+        return self.table
 
     def read(self, start: int, end: int) -> bytes:
         """Ids start to end - 1; only the symbols that hold them are expanded."""
@@ -144,9 +152,12 @@ class Grammar:
             return b""
         first = int(np.searchsorted(self.begins, start, "right")) - 1
         last = int(np.searchsorted(self.begins, end, "left"))
-        data = b"".join(map(self._expansions().__getitem__, self.symbols[first:last].tolist()))
-        skip = 4 * (start - int(self.begins[first]))
-        return data[skip : skip + 4 * (end - start)]
+        ids, begins = self._expansions()
+        lengths = self.lengths[first:last]
+        shift = begins[self.symbols[first:last]] - (self.begins[first:last] - self.begins[first])
+        found = ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
+        skip = start - int(self.begins[first])
+        return found[skip : skip + end - start].tobytes()
 
 
 def _shards(path: str, end_id: int):
