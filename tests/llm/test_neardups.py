@@ -1,0 +1,52 @@
+"""Near-duplicate groups: recall at the threshold, and odd rows."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from stateglass.llm.neardups import drop_near_duplicates, near_duplicate_groups
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_copies_are_found_and_other_texts_left(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows, pairs = [], []
+    for i in range(150):
+        base = rng.choices(words, k=rng.randrange(60, 400))
+        rows.append((i, " ".join(base)))
+        if i % 2:
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+                copy[at] = rng.choice(words)
+            rows.append((1000 + i, " ".join(copy)))
+            x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+            pairs.append((i, 1000 + i, len(x & y) / len(x | y)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component for r in near_duplicate_groups(frame).collect()}
+    near = [(a, b) for a, b, similarity in pairs if similarity >= 0.8]
+    assert len(near) > 40
+    assert sum(got[b] == a for a, b in near) >= 0.93 * len(near)
+    assert all(got[i] == i for i in range(150))
+
+
+def test_odd_rows(spark):
+    long_text = "some words repeat " * 20_000
+    rows = [
+        (1, None, "a"), (2, "", "b"), (3, " ", None), (None, "x y z", "c"), (None, "x y z", "c"), (5, "X y  z", "d"),
+        (6, "x y z", "e"), (6, "x y z", "e"), (7, long_text, "f"), (8, long_text, "g"), (9, "one", "h"), (10, "two", "i"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, component string").withColumn("id", F.lit(0))
+    got = {(r.id, r.component) for r in near_duplicate_groups(frame).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (None, None), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9), (10, 10)}
+    kept = drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == [
+        (1, None), (5, "X y  z"), (7, long_text), (9, "one"), (10, "two"),
+    ]
+    assert kept.where("doc_id IS NULL").count() == 2
+    assert drop_near_duplicates(frame.limit(0)).count() == 0
