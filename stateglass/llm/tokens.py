@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from stateglass.llm.common import worker_cache
 
 # Words a worker remembers; beyond these a word is encoded once per batch.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 # ASCII punctuation that can be parted from a letter or digit before it without
 # changing the tokens of either; the apostrophe can not.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
