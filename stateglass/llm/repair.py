@@ -23,12 +23,14 @@ from stateglass.llm.tokens import WordEncoder
 
 # Ids of a shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
+# Text encoded at once: each new word of it is looked up once.
+ENCODED_BYTES = 10_000_000
 # A pair is replaced while it occurs this often in the shard.
 LEAST_COUNT = 12
 # New symbols per round.
-PAIRS_PER_ROUND = 2048
-# A round that would replace a smaller share of the sequence is the end.
-LEAST_GAIN = 0.01
+PAIRS_PER_ROUND = 4096
+# The round that replaces a smaller share of the sequence is the last.
+LEAST_GAIN = 0.02
 
 SHARD_SCHEMA = (
     "part int, seq int, n_ids long, base long, docs array<long>, lengths array<long>, "
@@ -53,12 +55,14 @@ def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     Of places that share a symbol only one that ranks better than its neighbours is
     taken, and in a run of one pair every second place; the rest wait for a later round.
     """
-    run = np.ones(len(at), bool)
-    run[1:] = (np.diff(at) != 1) | (rank[1:] != rank[:-1])
-    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-    key = 2 * rank + (np.arange(len(at)) - first) % 2
     taken = np.ones(len(at), bool)
     touching = np.diff(at) == 1
+    key = rank
+    if (touching & (rank[1:] == rank[:-1])).any():
+        run = np.ones(len(at), bool)
+        run[1:] = ~touching | (rank[1:] != rank[:-1])
+        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        key = 2 * rank + (np.arange(len(at)) - first) % 2
     taken[1:] &= ~touching | (key[1:] < key[:-1])
     taken[:-1] &= ~touching | (key[:-1] < key[1:])
     return taken
@@ -95,11 +99,10 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         right_number[own_rights] = np.arange(1, len(own_rights) + 1)
         rank = ranks.ravel()[left_number[sequence[:-1]] + right_number[sequence[1:]]]
         at = np.flatnonzero(rank >= 0)
-        rank = rank[at].astype(np.int64)
+        rank = rank[at].astype(np.int32)
         taken = _without_overlap(at, rank)
         at, rank = at[taken], rank[taken]
-        if len(at) < LEAST_GAIN * len(sequence):
-            break
+        size = len(sequence)
         sequence[at] = (symbols + rank).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -107,6 +110,8 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         rules.append(np.stack([lefts, rights], axis=1))
         lengths = np.concatenate([lengths, lengths[lefts] + lengths[rights]])
         symbols += len(pairs)
+        if len(at) < LEAST_GAIN * size:
+            break
     all_rules = np.concatenate([np.zeros((0, 2), np.int64), *rules])
     return all_rules.astype(np.uint32), lengths[base:], sequence
 
@@ -184,7 +189,7 @@ def _shards(path: str, end_id: int):
             names = ["part", "seq", "n_ids", "base", "docs", "lengths", "rules", "expansions", "symbols"]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=ENCODED_BYTES):
             coded = encoder.encode(chunk.column("text").to_pylist(), end_id)
             for doc, ids in zip(chunk.column("id").to_pylist(), coded):
                 if held and size + len(ids) // 4 > SHARD_IDS:
