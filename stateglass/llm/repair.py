@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from stateglass.llm.common import chunks
+from stateglass.llm.common import chunks, mix
 from stateglass.llm.tokens import WordEncoder
 
 # Ids of a shard; a longer document is a shard of its own.
@@ -39,13 +39,18 @@ SHARD_SCHEMA = (
 
 
 def _frequent_pairs(codes: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pair codes that occur ``least`` times or more, most frequent first."""
+    """Pair codes that occur ``least`` times or more, most frequent first.
+
+    Equal counts are in no order of their codes, so that chains of equally frequent
+    pairs have many that rank better than their neighbours.
+    """
     ordered = np.sort(codes)
     edges = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
     begins = np.concatenate([[0], edges])
     counts = np.diff(np.concatenate([begins, [len(ordered)]]))
     often = np.flatnonzero(counts >= least)
-    order = often[np.lexsort((ordered[begins[often]], -counts[often]))][:most]
+    scattered = mix(ordered[begins[often]].astype(np.uint64))
+    order = often[np.lexsort((scattered, -counts[often]))][:most]
     return ordered[begins[order]], counts[order]
 
 
