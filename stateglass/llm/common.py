@@ -7,6 +7,7 @@ arrays, so that a record costs about its own information and no row header.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -101,9 +102,27 @@ def unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, from_planes(raw[8 * n :], np.uint32, n).astype(np.int64)
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the machine.
+
+    Workers wait for their next task, and what they only keep in reserve counts
+    against the executor meanwhile.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES):
     """Slices of the batches with about ``limit`` bytes of text, one row at least."""
     for batch in batches:
+        yield from _slices(batch, text, limit)
+    give_back()
+
+
+def _slices(batch: pa.RecordBatch, text: str, limit: int):
+    if batch.num_rows:
         sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes.astype(np.int64)) // limit
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]

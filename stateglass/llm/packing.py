@@ -24,6 +24,8 @@ CAPACITY = 2048
 END_ID = 1
 # Pieces that wait for the next slice, so that its pool can still fill exactly.
 CARRY = 512
+# Words a worker remembers besides its pool.
+REMEMBERED = 200_000
 # Sequences a task can number.
 _PER_TASK = 1 << 36
 
@@ -102,7 +104,7 @@ class Pool:
 
 def _pack(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = WordEncoder(path, REMEMBERED)
         pool = Pool()
         number = TaskContext.get().partitionId() * _PER_TASK
         out: list[tuple] = []

@@ -27,6 +27,7 @@ from stateglass.llm.common import (
     WordHashes,
     by_part,
     chunks,
+    give_back,
     hash_words,
     mix,
     pack_places,
@@ -173,6 +174,8 @@ def _mark(doc_parts: int):
             keys, checks = np.concatenate(keys)[order], np.concatenate(checks)[order]
             _, later = _firsts(keys, checks, ids, starts)
             out.extend(_marked_rows(ids[later], starts[later], doc_parts))
+            del keys, checks, ids, starts, order, later
+            give_back()
         return pa.table(
             {
                 "part": pa.array([p for p, _ in out], pa.int32()),

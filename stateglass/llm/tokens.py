@@ -62,7 +62,8 @@ def parted_words(texts: list[bytes | None]) -> list[list[bytes]]:
 class WordEncoder:
     """Ids of texts under a vocabulary that lower-cases and drops white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
+        self.remember = remember
         self.tokenizer = load(path)
         self.known: dict[bytes, bytes] = worker_cache(f"ids {path}")
 
@@ -108,7 +109,7 @@ class WordEncoder:
         table = self.known
         if missing:
             found = self._learn(missing)
-            room = REMEMBERED - len(self.known)
+            room = self.remember - len(self.known)
             self.known.update(islice(found.items(), max(room, 0)))
             if room < len(found):
                 table = {w: found[w] if w in found else self.known[w] for w in distinct}
