@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stateglass.llm.common import (
-    by_part, chunks, from_planes, mix, part_count, part_of, planes, squeezed, unsqueezed, written,
+    by_part, chunks, from_planes, mix, part_count, part_of, planes, written,
 )
 from stateglass.llm.components import connected_components
 from stateglass.llm.simhash import majority_bits, shingle_hashes
@@ -35,6 +35,8 @@ BAND_BITS = 20
 BANDS = 6
 # Standard deviations of the bit count that a pair at the threshold may be off.
 SLACK = 1.2
+# Up to so many texts that meet in a variant are compared pair by pair.
+FEW = 16
 # Texts whose variants a task makes at once.
 BALLS = 20_000
 
@@ -139,7 +141,18 @@ def _meet(most: int):
         begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.append(begins, len(keys)))
         a, b = [], []
-        for begin, size in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        # Few that meet are compared pair by pair, all such groups at once.
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        few = (sizes <= FEW)[number]
+        for step in range(1, FEW):
+            at = np.flatnonzero(few[:-step] & (number[step:] == number[:-step]))
+            if not len(at):
+                break
+            x, y = each[at], each[at + step]
+            near = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= most
+            a.append(ids[x[near]])
+            b.append(ids[y[near]])
+        for begin, size in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
             members = each[begin : begin + size]
             for member, reached in _groups(prints[members], most):
                 a.append(np.full(len(reached), ids[members[member]]))
@@ -196,7 +209,4 @@ def drop_near_duplicates(
     groups = near_duplicate_groups(docs, id_col, text_col, shingle, similarity)
     # Spark knows the size of a written table and broadcasts it only below its own limit.
     gone = written(groups.where("id != component").select("id").distinct(), "duplicates")
-    text = F.col(f"`{text_col}`").cast("string").cast("binary")
-    packed = docs.withColumn(text_col, squeezed(text))
-    kept = packed.join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    return kept.withColumn(text_col, unsqueezed(F.col(f"`{text_col}`")).cast("string"))
+    return docs.join(gone.select(F.col("id").alias("__gone")), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
