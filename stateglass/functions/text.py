@@ -13,19 +13,43 @@ def _by_key(a: Column, b: Column) -> Column:
     return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
 
 
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType) or isinstance(dtype, T.ArrayType) and _has_map(dtype.elementType)
+
+
+def sorted_maps(value: Column, dtype: T.DataType) -> Column:
+    """The value with the entries of maps at every depth in order of their keys.
+
+    A map whose keys are structs or arrays becomes an array of key and value.
+    """
+    if not _has_map(dtype):
+        return value
+    if isinstance(dtype, T.StructType):
+        fields = [sorted_maps(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: sorted_maps(x, dtype.elementType))
+    entries = F.map_entries(value)
+    nested = isinstance(dtype.keyType, (T.StructType, T.ArrayType))
+    entries = F.array_sort(entries, _by_key)
+    entries = F.transform(
+        entries, lambda e: F.struct(e["key"].alias("key"), sorted_maps(e["value"], dtype.valueType).alias("value"))
+    )
+    return entries if nested else F.map_from_entries(entries)
+
+
 def json_text(value: Column, dtype: T.DataType) -> Column:
     """A value as JSON text; null stays null.
 
-    Numbers and booleans print as they are. Maps print with sorted keys, so
-    equal maps have equal text.
+    Numbers and booleans print as they are. Maps print with sorted keys at every
+    depth, so equal values have equal text; maps with nested keys print as arrays.
     """
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return value.cast("string")
-    if isinstance(dtype, T.MapType):
-        value = F.map_from_entries(F.array_sort(F.map_entries(value), _by_key))
-        return F.to_json(value, {"ignoreNullFields": "false"})
-    if isinstance(dtype, (T.StructType, T.ArrayType)):
-        return F.to_json(value, {"ignoreNullFields": "false"})
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(sorted_maps(value, dtype), {"ignoreNullFields": "false"})
     boxed = F.to_json(F.array(value))
     return F.when(value.isNotNull(), F.substring(boxed, F.lit(2), F.length(boxed) - 2))
 

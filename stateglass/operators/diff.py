@@ -43,15 +43,28 @@ def combined_fields(left: DataFrame, right: DataFrame) -> DataFrame:
 def _without_null_keys(side: DataFrame, keys: Sequence[str]) -> DataFrame:
     for key in keys:
         null = F.raise_error(F.lit(f"null in key column {key}")).cast("boolean")
-        side = side.filter(F.when(F.col(key).isNull(), null).otherwise(True))
+        side = side.filter(F.when(F.col(f"`{key}`").isNull(), null).otherwise(True))
     return side
 
 
+def unique_keys(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; a key that occurs twice fails the job.
+
+    Rows of a key have to meet for it, as they do for the join, whose
+    partitioning and order by keys that are not nullable this already is.
+    """
+    names = [f"`{k}`" for k in keys]
+    twice = F.raise_error(F.lit(f"a key occurs more than once: {', '.join(keys)}")).cast("boolean")
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    numbered = side.withColumn("__number", number)
+    return numbered.filter(F.when(F.col("__number") > 1, twice).otherwise(True)).drop("__number")
+
+
 def _key_condition(
     left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys: bool = True
 ) -> Column:
     def same(key: str) -> Column:
-        l, r = F.col(f"l.{key}"), F.col(f"r.{key}")
+        l, r = F.col(f"l.`{key}`"), F.col(f"r.`{key}`")
         if null_keys and (left.schema[key].nullable or right.schema[key].nullable):
             return l.eqNullSafe(r)
         return l == r
@@ -124,7 +137,7 @@ def _all_same(fields: list[_Field]) -> Column:
 def _keys_out(keys: Sequence[str]) -> list[Column]:
     # The key of the side that has one: null parts of a key are kept as they are.
     return [
-        F.when(F.col("__left").isNull(), F.col(f"r.{k}")).otherwise(F.col(f"l.{k}")).alias(k)
+        F.when(F.col("__left").isNull(), F.col(f"r.`{k}`")).otherwise(F.col(f"l.`{k}`")).alias(k)
         for k in keys
     ]
 
@@ -136,6 +149,7 @@ def diff_snapshots(
     keys_only: bool = False,
     null_keys: bool = True,
     seq: str | None = None,
+    check_keys: bool = False,
 ) -> DataFrame:
     """One row per key: ``keys..., status, left, right, field_changes``.
 
@@ -144,8 +158,11 @@ def diff_snapshots(
     MODIFIED. ``null_keys=False`` says that no key is null, as in bucketed
     pins, so that the join can take over how they are stored; a null key then
     fails the job. With ``seq`` the sides are writes, and the one with the
-    largest number counts for its key.
+    largest number counts for its key. Otherwise a key must occur once per side;
+    ``check_keys`` fails the job if one does not, at the price of a sort.
     """
+    if check_keys and seq is None:
+        left, right = unique_keys(left, keys), unique_keys(right, keys)
     if seq is not None:
         left, right = last_rows(left, seq, keys), last_rows(right, seq, keys)
     if not null_keys:
@@ -243,9 +260,9 @@ def page_per_status(
 ) -> DataFrame:
     """The same page of each list of changes; ``pos`` counts from 1.
 
-    The bound on ``pos`` lets every input partition keep no more than
-    ``offset + limit`` rows per status before the shuffle. As that may still be
-    much from many partitions, they are cut once more per status and salt.
+    Each status is cut to ``offset + limit`` rows in ``PAGE_SALTS`` parts first, so
+    the task that ranks a status gets a bounded number of rows however many there
+    are. Up to 1,000 rows Spark makes the cut before the shuffle too.
     """
     check_offset(offset)
     check_limit(limit)

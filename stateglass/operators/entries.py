@@ -115,15 +115,18 @@ def assemble_lists(
     keys: Sequence[str],
     pos: str = "pos",
     value: str = "value",
-    segment_size: int = 10_000,
+    segment_size: int | None = None,
 ) -> DataFrame:
-    """Lists put together from elements numbered 0, 1, 2, ... per key.
+    """Lists put together from elements numbered 0, 1, 2, ... per key, one row per key.
 
-    A list longer than ``segment_size`` spans several rows, numbered by
-    ``segment``, so no row and no task has to hold an unbounded list.
+    A list that may not fit a row stays as rows, or is asked for in segments: with
+    ``segment_size`` every key has a row per so many positions, numbered by
+    ``segment``.
     """
-    segment = F.call_function("div", F.col(pos).cast("bigint"), F.lit(segment_size).cast("bigint"))
     packed = F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(value))))
+    if segment_size is None:
+        return elements.groupBy(*keys).agg(F.transform(packed, lambda x: x[value]).alias("items"))
+    segment = F.call_function("div", F.col(pos).cast("bigint"), F.lit(segment_size).cast("bigint"))
     return (
         elements.withColumn("segment", segment)
         .groupBy(*keys, "segment")
@@ -136,29 +139,16 @@ def assemble_maps(
     keys: Sequence[str],
     map_key: str = "map_key",
     value: str = "value",
-    segment_size: int = 10_000,
+    segments: int | None = None,
 ) -> DataFrame:
-    """Maps put together from rows that are unique per key and map key.
+    """Maps put together from rows that are unique per key and map key, one row per key.
 
-    Keys with more than ``segment_size`` entries are spread over several rows
-    by a hash of the map key, numbered by ``segment``. There are at most
-    rows / ``segment_size`` such keys; Spark sees their measured size and picks
-    the join, and splits a skewed one.
+    Maps that may not fit a row stay as rows, or are asked for in ``segments``: then
+    the entries of every key are dealt to so many rows by a hash of the map key,
+    numbered by ``segment``; rows without entries are left out.
     """
-    group = F.struct(*keys).alias("__group")
-    rows = entries.select(group, map_key, value)
-    large = (
-        rows.groupBy("__group")
-        .agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > segment_size)
-    )
-    segments = F.ceil(F.col("__n") / segment_size)
-    segment = F.coalesce(F.pmod(F.xxhash64(map_key), segments), F.lit(0)).cast("bigint")
-    pairs = F.collect_list(F.struct(F.col(map_key), F.col(value)))
-    return (
-        rows.join(large, "__group", "left")
-        .withColumn("segment", segment)
-        .groupBy("__group", "segment")
-        .agg(F.map_from_entries(pairs).alias("items"))
-        .select(*[F.col(f"__group.{k}").alias(k) for k in keys], "segment", "items")
-    )
+    items = F.map_from_entries(F.collect_list(F.struct(F.col(map_key), F.col(value)))).alias("items")
+    if segments is None:
+        return entries.groupBy(*keys).agg(items)
+    segment = F.pmod(F.xxhash64(map_key), F.lit(segments)).cast("bigint")
+    return entries.withColumn("segment", segment).groupBy(*keys, "segment").agg(items)

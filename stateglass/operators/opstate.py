@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST, UNION, SPLIT = "BROADCAST", "UNION", "SPLIT"
 UNSET = "unset"
@@ -32,25 +32,35 @@ def list_entries(states: DataFrame, state: str = "state") -> DataFrame:
 def first_replica(entries: DataFrame) -> DataFrame:
     """One replica of each broadcast state, that of the lowest subtask.
 
-    The lowest subtask is found by an aggregation with one small row per state
-    and joined back; no group of entries is gathered for it.
+    A state is a name that a job declares, so there are few. What is known of each
+    comes in as one small map; a join on so few keys would put all entries into a
+    few tasks.
     """
-    lowest = entries.groupBy("operator_uid", "state_name").agg(F.min("subtask").alias("subtask"))
-    return entries.join(lowest, ["operator_uid", "state_name", "subtask"], "left_semi")
+    lowest = _by_state(entries, F.min("subtask"))
+    return entries.filter(F.col("subtask") == F.try_element_at(lowest, _state()))
+
+
+def _state() -> Column:
+    return F.struct(F.col("operator_uid").alias("o"), F.col("state_name").alias("s"))
+
+
+def _by_state(entries: DataFrame, value: Column) -> Column:
+    """An aggregate per operator and state, as a map in one scalar subquery."""
+    each = entries.groupBy("operator_uid", "state_name").agg(value.alias("__value"))
+    pairs = F.collect_list(F.struct(_state().alias("k"), F.col("__value").alias("v")))
+    return each.agg(F.map_from_entries(pairs).alias("m")).scalar()
 
 
 def diverging_replicas(entries: DataFrame) -> DataFrame:
     """Broadcast keys that do not have one and the same value on every subtask."""
-    subtasks = entries.groupBy("operator_uid", "state_name").agg(
-        F.count_distinct("subtask").alias("__subtasks")
-    )
+    subtasks = F.try_element_at(_by_state(entries, F.count_distinct("subtask")), _state())
     per_key = entries.groupBy("operator_uid", "state_name", "key").agg(
         F.count("*").alias("n_replicas"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
     )
     return (
-        per_key.join(subtasks, ["operator_uid", "state_name"])
+        per_key.withColumn("__subtasks", subtasks)
         .filter(
             (F.col("n_replicas") != F.col("__subtasks"))
             | ~F.col("min_value").eqNullSafe(F.col("max_value"))

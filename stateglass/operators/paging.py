@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The largest page and the largest offset.
 MAX_LIMIT = 100_000
+# Up to this rank Spark cuts groups before it shuffles them.
+EARLY_LIMIT = 1_000
+GROUP_SALTS = 64
 
 
 def check_limit(limit: int) -> int:
@@ -34,16 +37,37 @@ def _numbered(
     )
 
 
+def after_key(names: Sequence[str], values: Sequence) -> Column:
+    """Rows that come after the one with these values, in ascending order of the names."""
+    if len(names) != len(values):
+        raise ValueError("one value per column of the order is needed")
+    later = F.lit(False)
+    for name, value in reversed(list(zip(names, values))):
+        column = F.col(name)
+        # Nulls come first.
+        beyond = column.isNotNull() if value is None else column > F.lit(value)
+        later = F.coalesce(beyond, F.lit(False)) | (column.eqNullSafe(F.lit(value)) & later)
+    return later
+
+
 def page(
-    rows: DataFrame, order: Sequence[Column | str], offset: int = 0, limit: int = 1000
+    rows: DataFrame,
+    order: Sequence[Column | str],
+    offset: int = 0,
+    limit: int = 1000,
+    after: Sequence | None = None,
 ) -> DataFrame:
     """One page of rows, their 1-based ``pos`` in the whole and an exact ``has_more``.
 
     One row extra is fetched to know whether more follow. ``order`` must be
-    total for pages to be repeatable.
+    total for pages to be repeatable. Pages of any depth are reached with
+    ``after``, the values of the last row seen in an order by column names: rows
+    before it are filtered out, down to the scan, and ``pos`` counts from there.
     """
     check_offset(offset)
     check_limit(limit)
+    if after is not None:
+        rows = rows.filter(after_key(order, after))
     fetched = rows.orderBy(*order).offset(offset).limit(limit + 1)
     return _numbered(fetched, order, offset, limit, "has_more")
 
@@ -70,9 +94,20 @@ def newest_first(rows: DataFrame, time: str, tie: str, limit: int) -> DataFrame:
 def top_per_group(
     rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], limit: int
 ) -> DataFrame:
-    """The first rows of each group; cut per input partition before the shuffle."""
+    """The first rows of each group.
+
+    Up to ``EARLY_LIMIT`` Spark cuts every input partition before the shuffle. A
+    larger group is first cut in ``GROUP_SALTS`` parts, so that the task which
+    ranks it gets a bounded number of rows.
+    """
+    check_limit(limit)
+    if limit > EARLY_LIMIT:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(GROUP_SALTS))
+        in_salt = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*order))
+        rows = rows.withColumn("__salt", salt).withColumn("__pos", in_salt)
+        rows = rows.filter(F.col("__pos") <= limit).drop("__salt", "__pos")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("pos", rank).filter(F.col("pos") <= check_limit(limit))
+    return rows.withColumn("pos", rank).filter(F.col("pos") <= limit)
 
 
 def numeric_aware(column: Column) -> list[Column]:

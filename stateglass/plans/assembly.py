@@ -49,7 +49,7 @@ def combine_states(spark, sf_dir):
 @query(
     "a6_assemble_lists",
     f"""
-    SELECT user_id, CAST(0 AS BIGINT) AS segment, count(*) AS n_items,
+    SELECT user_id, count(*) AS n_items,
            string_agg(value, ',' ORDER BY pos) AS items
     FROM ({RECENT_SQL}) GROUP BY user_id
     """,
@@ -57,7 +57,6 @@ def combine_states(spark, sf_dir):
 def assemble_lists(spark, sf_dir):
     return e.assemble_lists(recent_values(spark, sf_dir), ["user_id"]).select(
         "user_id",
-        "segment",
         F.size("items").cast("bigint").alias("n_items"),
         F.array_join("items", ",").alias("items"),
     )
@@ -71,7 +70,7 @@ CATEGORY_SQL = """
 @query(
     "a7_assemble_maps",
     f"""
-    SELECT user_id, CAST(0 AS BIGINT) AS segment,
+    SELECT user_id,
            string_agg(concat(map_key, '=', value), ',' ORDER BY concat(map_key, '=', value)) AS items
     FROM ({CATEGORY_SQL}) GROUP BY user_id
     """,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stateglass.operators import entries as e, opstate as o
+from stateglass.plans.memo import once
 from stateglass.plans.registry import query
 from stateglass.plans.tables import (
     BUFFERED_SQL,
@@ -16,6 +17,9 @@ from stateglass.plans.tables import (
     subtask_events,
     subtasks,
 )
+from stateglass import views
+from stateglass.session import work_dir
+from stateglass.sinks.pins import PinStore
 from stateglass.streaming.summaries import SUBTASKS
 
 COLUMNS = "operator_uid, subtask, state_name, mode, pos, key, value"
@@ -35,6 +39,41 @@ def operator_state(spark, sf_dir):
     return e.one_result([o.read_operator_state(rows, name, mode) for name, mode in STATES])
 
 
+@query("k2_operator_state_pin", f"SELECT {COLUMNS} FROM ({OPERATOR_ENTRIES_SQL})")
+def operator_state_pin(spark, sf_dir):
+    """Operator state of every mode through a pin and back."""
+    return views.snapshot_entries(spark, pinned_operator_state(spark, sf_dir)).select(*COLUMNS.split(", "))
+
+
+@query(
+    "j6_operator_state_diff",
+    f"""
+    SELECT operator_uid, state_name, subtask, pos, key,
+           CASE WHEN mode = 'UNION' THEN 'MODIFIED' ELSE 'UNCHANGED' END AS status
+    FROM ({OPERATOR_ENTRIES_SQL})
+    """,
+)
+def operator_state_diff(spark, sf_dir):
+    """A pin against one whose union state says something else, element by element."""
+    left = pinned_operator_state(spark, sf_dir)
+    right = pinned_operator_state(spark, sf_dir, "changed")
+    found = views.compare(spark, left, right)
+    return found.select("operator_uid", "state_name", "subtask", "pos", "key", "status")
+
+
+def pinned_operator_state(spark, sf_dir, name="kept"):
+    def build():
+        rows = operator_entries(spark, sf_dir).withColumn("state_kind", F.lit("operator"))
+        if name == "changed":
+            changed = F.when(F.col("mode") == o.UNION, F.concat("value", F.lit("!"))).otherwise(F.col("value"))
+            rows = rows.withColumn("value", changed)
+        store = PinStore(spark, work_dir(spark, "operator-pins"))
+        store.pin_snapshot(rows.withColumn("operator_id", F.col("operator_uid")), "job", "chk-1", "source")
+        return store.lookup("source")
+
+    return once(spark, sf_dir, f"operator-state-{name}", build)
+
+
 @query(
     "s7_broadcast_entries",
     f"""

@@ -79,8 +79,8 @@ def pinned_snapshots(spark, sf_dir):
 def snapshot_validity(spark, sf_dir):
     """Every snapshot, whole or not, with the entries that can be read from it."""
     found = s.discover_snapshots(spark, pinned_base(spark, sf_dir))
-    counts = k.read_snapshots(spark, found).groupBy("snapshot").agg(F.count("*").alias("n_entries"))
-    return found.join(counts, "snapshot", "left").select(
+    counts = k.read_snapshots(spark, found).groupBy("path").agg(F.count("*").alias("n_entries"))
+    return found.join(counts, "path", "left").select(
         "job_id", "snapshot", "valid", F.coalesce("n_entries", F.lit(0)).alias("n_entries")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stateglass import views
 from stateglass.functions.text import map_text
-from stateglass.operators.diff import diff_summary
+from stateglass.operators.diff import diff_summary, field_changes
 from stateglass.operators import reports
 from stateglass.plans.assembly import CATEGORY_SQL
 from stateglass.plans.diffs import SUMMARY_SQL
@@ -30,10 +30,18 @@ from stateglass.sources import catalog, snapshots as s, state as st
 from stateglass.streaming import changes, jobs
 from stateglass.streaming.enrich import enrich_into
 
+
+def few_partitions(spark):
+    """State partitions for streams over the test tables: no more than there are cores."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(wanted, spark.sparkContext.defaultParallelism)
+
+
 def slices(spark, sf_dir):
     events = load(spark, sf_dir, "events")
     at = F.lit(BEFORE).cast("timestamp_ntz")
-    return events.filter(F.col("ts") < at), events.filter(~(F.col("ts") < at))
+    early = F.coalesce(F.col("ts") < at, F.lit(False))
+    return events.filter(early), events.filter(~early)
 
 
 def run_slices(spark, sf_dir, label, run, parts=None, **options):
@@ -43,7 +51,7 @@ def run_slices(spark, sf_dir, label, run, parts=None, **options):
     """
 
     def build():
-        session = streaming_session(spark)
+        session = streaming_session(spark, few_partitions(spark))
         for name, value in options.items():
             session.conf.set(f"spark.sql.streaming.{name}", str(value))
         base = work_dir(spark, "streams")
@@ -78,7 +86,7 @@ def aggregates(spark, sf_dir):
 
 
 def config(spark, sf_dir):
-    early = F.col("ts") < F.lit(BEFORE).cast("timestamp_ntz")
+    early = F.coalesce(F.col("ts") < F.lit(BEFORE).cast("timestamp_ntz"), F.lit(False))
     entry = F.concat("k", F.lit("="), "v").alias("entry")
     rows = settings(spark, sf_dir)
     parts = [rows.filter(cut).select(entry, "seq") for cut in (early, ~early)]
@@ -277,7 +285,7 @@ def reduced_values(spark, sf_dir):
 @query("t6_stream_enrichment", ENRICHED_SQL)
 def stream_enrichment(spark, sf_dir):
     def run():
-        session = streaming_session(spark)
+        session = streaming_session(spark, few_partitions(spark))
         base = work_dir(spark, "enrich")
         settings(spark, sf_dir).write.parquet(f"{base}/settings")
         for part in slices(spark, sf_dir):
@@ -338,13 +346,37 @@ def checkpoint_diff(spark, sf_dir):
     return diff_summary(found, ["state_name"])
 
 
+@query(
+    "j6_checkpoint_field_changes",
+    f"""
+    WITH states AS (
+        SELECT user_id, count(*) FILTER (ts < TIMESTAMP '{BEFORE}') AS n_before, count(*) AS n_after,
+               arg_max(event_type, event_id) FILTER (ts < TIMESTAMP '{BEFORE}') AS last_before,
+               arg_max(event_type, event_id) AS last_after
+        FROM events GROUP BY user_id)
+    SELECT user_id, 'event_count' AS field_name, CAST(n_before AS VARCHAR) AS old_value,
+           CAST(n_after AS VARCHAR) AS new_value
+    FROM states WHERE n_before > 0 AND n_before <> n_after
+    UNION ALL
+    SELECT user_id, 'last_category', concat('"', last_before, '"'), concat('"', last_after, '"')
+    FROM states WHERE n_before > 0 AND last_before <> last_after
+    """,
+)
+def checkpoint_field_changes(spark, sf_dir):
+    """Changed fields per key between two batches, of the states that hold one value."""
+    checkpoint = keyed(spark, sf_dir)
+    found = views.compare_operator(spark, f"{checkpoint}/offsets/0", f"{checkpoint}/offsets/1")
+    changes = field_changes(found).filter(F.col("field_name").isin("event_count", "last_category"))
+    return changes.select("key.user_id", "field_name", "old_value", "new_value")
+
+
 @query(
     "s4_inspect_page",
     """
     SELECT 'event_count' AS state_name, concat('{"user_id":', user_id, '}') AS key,
            CAST(count(*) AS VARCHAR) AS value
     FROM events WHERE starts_with(CAST(user_id AS VARCHAR), '1')
-    GROUP BY user_id
+    GROUP BY user_id ORDER BY key LIMIT 100000
     """,
 )
 def inspect_page(spark, sf_dir):
@@ -362,7 +394,7 @@ def inspect_page(spark, sf_dir):
 def retained_snapshots(spark, sf_dir):
     """Six batches of which two are to be kept before the last: what is still found."""
     events = load(spark, sf_dir, "events")
-    parts = [events.filter(F.dayofmonth("ts") % 6 == i) for i in range(6)]
+    parts = [events.filter(F.coalesce(F.dayofmonth("ts") % 6, F.lit(0)) == i) for i in range(6)]
     checkpoint = run_slices(
         spark, sf_dir, "retained", single(jobs.union_summary), parts, minBatchesToRetain=2
     )

@@ -32,12 +32,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def streaming_session(spark: SparkSession) -> SparkSession:
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A sibling session set up for writing state.
 
     It shares the context and caches, so its results can be used in ``spark``,
-    while the settings of ``spark`` stay as they are. State partitions are fixed
-    when a stream first starts, so their number follows the cores at hand.
+    while the settings of ``spark`` stay as they are. The number of state partitions
+    is fixed when a stream first starts: ``state_partitions``, or the session's
+    ``spark.sql.shuffle.partitions``.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
@@ -46,7 +47,6 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     session.conf.set(
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
     )
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
+    partitions = state_partitions or spark.conf.get("spark.sql.shuffle.partitions")
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session

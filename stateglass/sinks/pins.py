@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,6 +32,8 @@ PINS_SCHEMA = (
     "id string, source_path string, pin_path string, cached_at timestamp, size_bytes bigint"
 )
 PARTITION_COLUMNS = ("operator_id", "state_name")
+# Folder of a pin with the typed rows of each operator.
+TYPED = "typed"
 # Fixed value: how many pins are kept.
 MAX_PINS = 50
 
@@ -85,11 +87,14 @@ class PinStore:
         job: str | None,
         name: str,
         source_path: str | None = None,
-        max_pins: int = MAX_PINS,
+        max_pins: int | None = None,
+        typed: Mapping[str, DataFrame] | None = None,
     ) -> str:
         """Copy ``df`` into a new pin and return its id.
 
-        The oldest pins beyond ``max_pins`` are dropped.
+        ``typed`` has rows of their own schema by operator, which are kept as they
+        are beside the entries. No other pin is touched, unless ``max_pins`` asks for it: then the oldest
+        beyond that number are dropped.
         """
         path = pin_path(self.base, job, name)
         if exists(self.spark, f"{path}/{MARKER}"):
@@ -98,9 +103,14 @@ class PinStore:
         # Leftovers of a copy that was broken off have no marker.
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/data")
         self._write_catalog(path)
+        delete(self.spark, f"{path}/{TYPED}")
+        for uid, rows in (typed or {}).items():
+            rows.write.parquet(f"{path}/{TYPED}/{uid}")
         now = datetime.now(timezone.utc)
         pin_id = uuid.uuid4().hex[:8]
         size = total_bytes(self.spark, f"{path}/data")
+        if typed:
+            size += total_bytes(self.spark, f"{path}/{TYPED}")
         about = {
             "id": pin_id,
             "job_id": job,
@@ -113,9 +123,12 @@ class PinStore:
             [(pin_id, source_path or path, qualified(self.spark, path), now, size)], PINS_SCHEMA
         )
         listed = self.pins().unionByName(row)
-        expired = beyond_newest(listed, max_pins)
-        paths = [r["pin_path"] for r in expired.select("pin_path").collect()]
-        self._replace(listed.join(expired.select("id"), "id", "left_anti"))
+        paths = []
+        if max_pins is not None:
+            expired = beyond_newest(listed, max_pins)
+            paths = [r["pin_path"] for r in expired.select("pin_path").collect()]
+            listed = listed.join(expired.select("id"), "id", "left_anti")
+        self._replace(listed)
         for old in paths:
             self._drop(old)
         return pin_id
@@ -152,6 +165,14 @@ def read_pin(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
 
 
+def read_typed(spark: SparkSession, path: str, uid: str) -> DataFrame:
+    """The typed rows that a whole pin keeps of an operator."""
+    path = path.rstrip("/")
+    if not exists(spark, f"{path}/{MARKER}") or not exists(spark, f"{path}/{TYPED}/{uid}"):
+        raise ValueError(f"no typed states of operator {uid} at {path}")
+    return spark.read.parquet(f"{path}/{TYPED}/{uid}")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The operators of a whole pin and how many entries each has."""
     path = path.rstrip("/")
@@ -160,22 +181,21 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return pinned_operators(read_pin(spark, path))
 
 
-def read_snapshots(spark: SparkSession, snapshots: DataFrame, limit: int = MAX_PINS) -> DataFrame:
-    """Entries of the newest whole snapshots of a listing, each with its snapshot.
+def read_snapshots(spark: SparkSession, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entries of the whole snapshots of a listing, each with its path, job and name.
 
-    Only the paths come to the driver, ``limit`` of them at most.
+    All of them are read, or the newest ``limit``. Their paths come to the driver,
+    which has to open each.
     """
-    newest = (
-        snapshots.filter("valid")
-        .orderBy(F.col("modification_time").desc(), "path")
-        .limit(limit)
-        .select("path", "job_id", "snapshot")
-        .collect()
-    )
+    newest = snapshots.filter("valid")
+    if limit is not None:
+        newest = newest.orderBy(F.col("modification_time").desc(), "path").limit(limit)
+    newest = newest.select("path", "job_id", "snapshot").collect()
     return one_result(
         [
             read_pin(spark, row["path"]).withColumns(
                 {
+                    "path": F.lit(row["path"]),
                     "job_id": F.lit(row["job_id"]).cast("string"),
                     "snapshot": F.lit(row["snapshot"]),
                 }

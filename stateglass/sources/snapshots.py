@@ -132,12 +132,15 @@ def of_type(snapshots: DataFrame, kind: str) -> DataFrame:
 
 
 def merge_listings(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both listings, a path that is in both once, as the first has it.
+    """Both listings with every path once, as the first has it if it is there.
 
-    Paths are unique in a listing, so only the second is looked through.
+    One listing may hold a path twice too; the newest row counts then.
     """
-    listed = first.select("path")
-    return first.unionByName(second.join(listed, "path", "left_anti"))
+    rest = [c for c in first.columns if c != "path"]
+    both = first.withColumn("__rank", F.lit(0)).unionByName(second.withColumn("__rank", F.lit(1)))
+    newest = F.struct(-F.col("__rank"), F.col("modification_time"))
+    merged = both.groupBy("path").agg(F.max_by(F.struct(*rest), newest).alias("__row"))
+    return merged.select("path", "__row.*").select(*first.columns)
 
 
 def list_children(snapshots: DataFrame) -> DataFrame:

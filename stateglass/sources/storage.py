@@ -27,7 +27,9 @@ DEFAULT_REGION = "us-east-1"
 def storage_options(options: Mapping[str, str], environ: Mapping[str, str] | None = None) -> dict[str, str]:
     """Read options, to be passed to a reader or set as ``spark.hadoop.*``.
 
-    Keys count only in pairs. A region not given comes from ``environ``.
+    Keys are given in pairs. A region not given comes from ``environ``. The file
+    system takes the name of a profile from the variable ``AWS_PROFILE`` only, so
+    ``environ`` must have it there.
     """
     known = {**S3_SETTINGS, **GCS_SETTINGS}
     unknown = set(options) - set(known) - {"aws.profile"}
@@ -36,8 +38,11 @@ def storage_options(options: Mapping[str, str], environ: Mapping[str, str] | Non
     settings = {known[k]: v for k, v in options.items() if k in known and v}
     pair = {"fs.s3a.access.key", "fs.s3a.secret.key"}
     if len(pair & set(settings)) == 1:
-        settings = {k: v for k, v in settings.items() if k not in pair}
-    if options.get("aws.profile"):
+        raise ValueError("an access key and its secret are given together")
+    profile = options.get("aws.profile")
+    if profile and profile != (environ or {}).get("AWS_PROFILE", "default"):
+        raise ValueError(f"set AWS_PROFILE={profile} for the driver and the executors")
+    if profile:
         settings["fs.s3a.aws.credentials.provider"] = PROFILE_PROVIDER
     if any(k.startswith("aws.") for k in options):
         region = (environ or {}).get("AWS_DEFAULT_REGION", DEFAULT_REGION)

@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.functions.naming import iso_time, short_job_id
 from stateglass.operators import diff as d, entries as e, paging, reports
-from stateglass.sinks.pins import PinStore, read_catalog, read_pin
+from stateglass.sinks.pins import PinStore, read_catalog, read_pin, read_typed
 from stateglass.sources.catalog import discover_operators
 from stateglass.sources.files import exists
 from stateglass.sources.snapshots import MARKER, discover_snapshots, merge_listings
-from stateglass.sources.state import state_entries
+from stateglass.sources.state import read_all_states, state_entries, visible_states
 
 # How many rows are shown unless told otherwise.
 LIST_LIMIT = 20
 INSPECT_LIMIT = 1_000
-DIFF_LIMIT = 10_000
+
+# Where an entry of operator state is.
+PLACE_COLUMNS = ("subtask", "mode", "pos")
 
 _BATCH = re.compile(r"^(.*)/offsets/(\d+)$")
 
@@ -30,14 +32,17 @@ _BATCH = re.compile(r"^(.*)/offsets/(\d+)$")
 def list_snapshots(
     spark: SparkSession, base: str, limit: int = LIST_LIMIT, per_job: int | None = None
 ) -> DataFrame:
-    """Snapshots of both layouts below ``base``, the newest first."""
+    """The newest snapshots of both layouts below ``base``, and whether there are more.
+
+    ``truncated`` says on every row whether ``limit`` cut any off.
+    """
     found = merge_listings(
         discover_snapshots(spark, base, "pinned"), discover_snapshots(spark, base, "streaming")
     )
     if per_job is not None:
         newest = [F.col("modification_time").desc(), "path"]
         found = paging.top_per_group(found, ["job_id"], newest, per_job).drop("pos")
-    return paging.newest_first(found, "modification_time", "path", limit)
+    return paging.bounded_read(found, [F.col("modification_time").desc(), "path"], limit)
 
 
 def _split(path: str) -> tuple[str, int | None]:
@@ -46,13 +51,26 @@ def _split(path: str) -> tuple[str, int | None]:
 
 
 def snapshot_entries(spark: SparkSession, path: str) -> DataFrame:
-    """``operator_uid, state_kind, state_name, key, value`` of a snapshot."""
+    """``operator_uid, state_kind, state_name, key, value`` of a snapshot.
+
+    Entries of operator state also have ``subtask, mode, pos`` if the pin does.
+    """
     root, batch = _split(path)
     if batch is None and exists(spark, f"{root}/{MARKER}"):
-        return read_pin(spark, root).select(*e.ENTRY_COLUMNS)
+        rows = read_pin(spark, root)
+        more = [c for c in PLACE_COLUMNS if c in rows.columns]
+        return rows.select(*e.ENTRY_COLUMNS, *more)
     return state_entries(spark, root, batch)
 
 
+def typed_states(spark: SparkSession, path: str, operator_uid: str = "0") -> DataFrame:
+    """One row per key of an operator, a typed column per state variable."""
+    root, batch = _split(path)
+    if batch is None and exists(spark, f"{root}/{MARKER}"):
+        return read_typed(spark, root, operator_uid)
+    return read_all_states(spark, root, batch, int(operator_uid))
+
+
 def snapshot_operators(spark: SparkSession, path: str) -> DataFrame:
     """``uid, name, keyed_states, operator_states`` of a snapshot."""
     root, batch = _split(path)
@@ -75,15 +93,13 @@ def browse(spark: SparkSession, base: str, limit: int = LIST_LIMIT) -> DataFrame
         for r in rows
         if r["valid"]
     ]
-    numbered = listed.withColumn("millis", F.unix_millis("modification_time"))
-    order = [F.col("modification_time").desc(), "path"]
-    numbered = paging.bounded_read(numbered, order, limit).withColumnRenamed("pos", "index")
-    shown = numbered.select(
+    shown = listed.withColumns({"index": F.col("pos"), "millis": F.unix_millis("modification_time")}).select(
         "index",
         "type",
         short_job_id(F.col("job_id")).alias("job"),
         iso_time(F.col("millis")).alias("time"),
         "path",
+        "truncated",
     )
     if not catalogs:
         return shown.withColumn("operators", F.lit("(none)"))
@@ -121,10 +137,11 @@ def inspect(
     paging.check_offset(offset)
     paging.check_limit(limit)
     rows = select_entries(snapshot_entries(spark, path), operator_uid, state_name, key_filter)
+    places = [c for c in PLACE_COLUMNS if c in rows.columns]
     if keys_only:
         rows = e.keys_only(rows, ["operator_uid", "key"])
         return paging.page(rows, ["operator_uid", "key"], offset, limit)
-    return paging.page(rows, ["operator_uid", "state_name", "key"], offset, limit)
+    return paging.page(rows, ["operator_uid", "state_name", *places, "key"], offset, limit)
 
 
 def compare(
@@ -137,15 +154,20 @@ def compare(
 ) -> DataFrame:
     """The diff of two snapshots over the operators and states of both.
 
-    ``operator_uid, state_name, key, status, left_value, right_value``; see
+    ``operator_uid, state_name, key, status, left_value, right_value``, keys and
+    values as text; elements of list state are told apart by ``subtask, mode, pos``,
+    which are there if either snapshot has them. An entry that occurs twice fails
+    the job. See ``compare_operator`` for typed values and their fields, and
     ``diff.page_per_status`` and ``diff.diff_summary`` for pages and totals.
     """
+    sides = [select_entries(snapshot_entries(spark, p), operator_uid, state_name) for p in (left, right)]
+    types = {c: s.schema[c].dataType for s in sides for c in PLACE_COLUMNS if c in s.columns}
 
-    def side(path: str) -> DataFrame:
-        rows = select_entries(snapshot_entries(spark, path), operator_uid, state_name)
-        return rows.select(F.struct("operator_uid", "state_name", "key").alias("key"), "value")
+    def side(rows: DataFrame) -> DataFrame:
+        places = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]
+        return rows.select(F.struct("operator_uid", "state_name", "key", *places).alias("key"), "value")
 
-    found = d.diff_snapshots(side(left), side(right), keys_only=keys_only)
+    found = d.diff_snapshots(*map(side, sides), keys_only=keys_only, check_keys=True)
     if keys_only:
         return found.select("key.*", "status")
     return found.select(
@@ -156,9 +178,30 @@ def compare(
     )
 
 
+def compare_operator(
+    spark: SparkSession, left: str, right: str, operator_uid: str = "0", keys_only: bool = False
+) -> DataFrame:
+    """The diff of an operator's typed states, one row per key.
+
+    ``key, status, left, right, field_changes``; a state variable is a field, and
+    keys are compared by type.
+    """
+    sides = (typed_states(spark, p, operator_uid) for p in (left, right))
+    return d.diff_snapshots(*sides, keys_only=keys_only)
+
+
 def pin_checkpoint(
     spark: SparkSession, store: PinStore, path: str, job: str | None, name: str
 ) -> str:
-    """Copy a snapshot into a pin that outlives it; returns the id of the pin."""
+    """Copy a snapshot into a pin that outlives it; returns the id of the pin.
+
+    The pin has the entries as text and, of operators with declared states, the
+    typed rows.
+    """
     rows = snapshot_entries(spark, path).withColumn("operator_id", F.col("operator_uid"))
-    return store.pin_snapshot(rows, job, name, source_path=path)
+    root, batch = _split(path)
+    typed = {}
+    if batch is not None or not exists(spark, f"{root}/{MARKER}"):
+        declared = {s["operator_id"] for s in visible_states(spark, root) if s["declared"]}
+        typed = {str(o): read_all_states(spark, root, batch, o) for o in sorted(declared)}
+    return store.pin_snapshot(rows, job, name, source_path=path, typed=typed)

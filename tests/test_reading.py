@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateglass.operators import entries as e, paging
+from stateglass.plans import reading
 
 
 @pytest.fixture(scope="module")
@@ -93,12 +94,44 @@ def test_long_lists_span_segments(spark):
 def test_large_maps_span_segments(spark):
     hot = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id").alias("map_key"), F.col("id").alias("value"))
     small = spark.range(3).select(F.lit("small").alias("key"), F.col("id").alias("map_key"), F.col("id").alias("value"))
-    found = e.assemble_maps(hot.unionAll(small), ["key"], segment_size=100).collect()
-    parts = [r["items"] for r in found if r["key"] == "hot"]
-    assert len(parts) == 10 and max(map(len, parts)) < 200
-    merged = {k: v for part in parts for k, v in part.items()}
-    assert merged == {i: i for i in range(1000)}
-    assert [(r["segment"], r["items"]) for r in found if r["key"] == "small"] == [(0, {0: 0, 1: 1, 2: 2})]
+    found = e.assemble_maps(hot.unionAll(small), ["key"], segments=10).collect()
+    for key, size in (("hot", 1000), ("small", 3)):
+        parts = [r["items"] for r in found if r["key"] == key]
+        assert len(parts) <= 10 and max(map(len, parts)) < 200
+        assert {k: v for part in parts for k, v in part.items()} == {i: i for i in range(size)}
+    whole = {r["key"]: r["items"] for r in e.assemble_maps(hot.unionAll(small), ["key"]).collect()}
+    assert whole == {"hot": {i: i for i in range(1000)}, "small": {0: 0, 1: 1, 2: 2}}
+
+
+def test_long_lists_are_one_row_unless_asked(spark):
+    rows = spark.range(30_000).select(F.lit("k").alias("key"), F.col("id").alias("pos"), F.col("id").alias("value"))
+    found = e.assemble_lists(rows, ["key"]).collect()
+    assert len(found) == 1 and found[0]["items"] == list(range(30_000))
+
+
+def test_pages_after_a_row(spark):
+    rows = [(a, b) for a in (None, "x", "y") for b in (None, 1, 2)]
+    frame = spark.createDataFrame(rows, "a string, b int")
+    order, seen, after = ["a", "b"], [], None
+    while True:
+        found = sorted(paging.page(frame, order, limit=2, after=after).collect(), key=lambda r: r["pos"])
+        seen += [(r["a"], r["b"]) for r in found]
+        if not found[-1]["has_more"]:
+            break
+        after = seen[-1]
+    assert seen == rows
+
+
+def test_top_per_group_is_cut_in_parts_beyond_the_early_limit(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), "id")
+    found = paging.top_per_group(rows, ["g"], ["id"], 1500)
+    assert found.groupBy("g").agg(F.count("*").alias("n"), F.max("pos").alias("p")).select("n", "p").distinct().collect() == [(1500, 1500)]
+    assert found.where("pos != id DIV 2 + 1").count() == 0
+
+
+def test_numeric_sort_gives_every_key_in_order(spark, sf_dir):
+    keys = [r["key"] for r in reading.numeric_sort(spark, sf_dir).collect()]
+    assert keys == sorted(keys, key=lambda k: int(k.removeprefix("user-")))
 
 
 def test_counts_and_names(spark):

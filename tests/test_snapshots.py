@@ -99,12 +99,15 @@ def test_storage_options():
         "fs.s3a.access.key": "a",
         "fs.s3a.secret.key": "b",
     }
-    half = storage.storage_options({"aws.access-key-id": "a"}, {"AWS_DEFAULT_REGION": "x"})
-    assert half == {"fs.s3a.endpoint.region": "x"}
-    assert storage.storage_options({"aws.profile": "p"}) == {
+    with pytest.raises(ValueError, match="given together"):
+        storage.storage_options({"aws.access-key-id": "a"}, {"AWS_DEFAULT_REGION": "x"})
+    with pytest.raises(ValueError, match="set AWS_PROFILE=p"):
+        storage.storage_options({"aws.profile": "p"})
+    assert storage.storage_options({"aws.profile": "p"}, {"AWS_PROFILE": "p", "AWS_DEFAULT_REGION": "x"}) == {
         "fs.s3a.aws.credentials.provider": storage.PROFILE_PROVIDER,
-        "fs.s3a.endpoint.region": storage.DEFAULT_REGION,
+        "fs.s3a.endpoint.region": "x",
     }
+    assert storage.storage_options({"aws.profile": "default"})["fs.s3a.endpoint.region"] == storage.DEFAULT_REGION
     assert storage.hadoop_conf({"gcs.project": "p"}) == {"spark.hadoop.fs.gs.project.id": "p"}
     with pytest.raises(ValueError, match="unknown storage options: x"):
         storage.storage_options({"x": "1"})

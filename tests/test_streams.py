@@ -178,6 +178,12 @@ def test_views_of_a_stream(spark, keyed, tmp_path):
     pin = store.lookup(listed[1]["path"])
     same = views.compare(spark, listed[1]["path"], pin)
     assert {r["status"] for r in same.select("status").distinct().collect()} == {"UNCHANGED"}
+    typed = views.compare_operator(spark, pin, listed[1]["path"])
+    assert {r["status"] for r in typed.select("status").distinct().collect()} == {"UNCHANGED"}
+    assert typed.schema["left"].dataType["event_count"].dataType.typeName() == "long"
+    changed = views.compare_operator(spark, pin, keyed).filter("status = 'MODIFIED'")
+    names = {c["field_name"] for r in changed.collect() for c in r["field_changes"]}
+    assert {"event_count", "running_average"} <= names
     later = views.compare(spark, pin, keyed, state_name="event_count")
     assert {r["status"] for r in later.select("status").distinct().collect()} == {"MODIFIED"}
     found = views.browse(spark, str(tmp_path / "pins")).first()
