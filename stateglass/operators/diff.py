@@ -255,6 +255,20 @@ def diff_summary(diff: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def page_totals(diff: DataFrame, offset: int = 0, limit: int = 10_000) -> DataFrame:
+    """Per status what its page holds: ``total``, ``entry_count`` and ``has_more``."""
+    check_offset(offset)
+    check_limit(limit)
+    total = F.col("total")
+    return (
+        diff.filter(F.col("status") != UNCHANGED)
+        .groupBy("status")
+        .agg(F.count("*").alias("total"))
+        .withColumn("entry_count", F.greatest(F.least(total - offset, F.lit(limit)), F.lit(0)))
+        .withColumn("has_more", total > offset + limit)
+    )
+
+
 def page_per_status(
     diff: DataFrame, offset: int = 0, limit: int = 10_000, keys: Sequence[str] = ("key",)
 ) -> DataFrame:

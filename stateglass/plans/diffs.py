@@ -195,6 +195,20 @@ def page_per_status(spark, sf_dir):
     return paged.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query(
+    "o4_page_totals",
+    f"""
+    SELECT status, count(*) AS total,
+           greatest(least(count(*) - {PAGE_OFFSET}, {PAGE_LIMIT}), 0) AS entry_count,
+           count(*) > {PAGE_OFFSET + PAGE_LIMIT} AS has_more
+    FROM ({JOINED_SQL}) WHERE status <> 'UNCHANGED' GROUP BY status
+    """,
+)
+def page_totals(spark, sf_dir):
+    """What the page of each status holds and whether more follows."""
+    return d.page_totals(d.diff_status(*cuts(spark, sf_dir)), PAGE_OFFSET, PAGE_LIMIT)
+
+
 @query(
     "u1_all_keys",
     f"SELECT key FROM ({state_sql(BEFORE)}) UNION SELECT key FROM ({state_sql(AFTER)})",

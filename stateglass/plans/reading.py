@@ -163,13 +163,26 @@ def bounded_read(spark, sf_dir):
 
 @query(
     "s11_storage_options",
-    "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type",
+    """
+    SELECT lower(r_name) AS region, setting, CASE WHEN setting = 'path' THEN concat('s3a://bucket-', r_regionkey, '/k')
+           WHEN setting = 'fs.s3a.path.style.access' THEN 'true' ELSE lower(r_name) END AS value, n_nations
+    FROM (SELECT r_regionkey, r_name, count(*) AS n_nations FROM region JOIN nation ON r_regionkey = n_regionkey
+          GROUP BY 1, 2),
+         (VALUES ('path'), ('fs.s3a.path.style.access'), ('fs.s3a.endpoint.region')) AS t(setting)
+    """,
 )
 def read_with_options(spark, sf_dir):
-    """A read that carries the settings of an object store; other paths ignore them."""
-    settings = storage_options({"aws.region": "eu-west-1", "aws.path-style-access": "true"})
-    events = spark.read.options(**settings).parquet(hadoop_path(f"{sf_dir}/events.parquet"))
-    return events.groupBy("event_type").agg(F.count("*").alias("n_events"))
+    """The settings made for each region of a table, and a read that carries them."""
+    rows = []
+    for key, name in load(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name")).collect():
+        made = storage_options({"aws.region": name, "aws.path-style-access": "true"})
+        made["path"] = hadoop_path(f"s3://bucket-{key}/k")
+        rows += [(key, name, setting, value) for setting, value in made.items()]
+    settings = spark.createDataFrame(rows, "n_regionkey int, region string, setting string, value string")
+    carried = storage_options({"aws.region": "eu-west-1", "aws.path-style-access": "true"})
+    nations = spark.read.options(**carried).parquet(hadoop_path(f"{sf_dir}/nation.parquet"))
+    counts = nations.groupBy("n_regionkey").agg(F.count("*").alias("n_nations"))
+    return settings.join(counts, "n_regionkey").select("region", "setting", "value", "n_nations")
 
 
 @query(

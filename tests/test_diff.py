@@ -175,3 +175,13 @@ def test_sides_that_are_writes(spark):
 def test_all_keys(spark):
     found = d.all_keys(*frames(spark, [("a", 1.0)], [("a", 2.0), ("b", 1.0)])).collect()
     assert sorted(r["key"] for r in found) == ["a", "b"]
+
+
+def test_keys_with_dots_and_keys_that_occur_twice(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "`k.x` string, v int")
+    right = spark.createDataFrame([("a", 1), ("c", 2)], "`k.x` string, v int")
+    found = d.diff_snapshots(left, right, ["k.x"], check_keys=True).collect()
+    assert {(r[0], r["status"]) for r in found} == {("a", "UNCHANGED"), ("b", "REMOVED"), ("c", "ADDED")}
+    twice = left.union(left)
+    with pytest.raises(Exception, match="occurs more than once"):
+        d.diff_snapshots(twice, right, ["k.x"], check_keys=True).collect()

@@ -155,3 +155,15 @@ def test_config_entry(spark, entry, k, v):
 def test_string_keys(spark):
     found = one(spark, {1: "a"}, t.string_keys, "map<int,string>")
     assert found == {"1": "a"}
+
+
+def test_maps_are_sorted_at_every_depth(spark):
+    frame = spark.sql(
+        "SELECT named_struct('m', map('b', 2, 'a', 1), 'n', array(map('z', 1, 'y', 2))) AS a, "
+        "named_struct('m', map('a', 1, 'b', 2), 'n', array(map('y', 2, 'z', 1))) AS b, "
+        "map(named_struct('k', 2), 'x', named_struct('k', 1), 'y') AS c"
+    )
+    kinds = {f.name: f.dataType for f in frame.schema}
+    row = frame.select(*[t.json_text(F.col(c), kinds[c]).alias(c) for c in "abc"]).first()
+    assert row["a"] == row["b"] == '{"m":{"a":1,"b":2},"n":[{"y":2,"z":1}]}'
+    assert row["c"] == '[{"key":{"k":1},"value":"y"},{"key":{"k":2},"value":"x"}]'
