@@ -38,6 +38,7 @@ _FOUND = (
     .add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     .add("items", T.ArrayType(T.StringType()))
 )
+_FOUND_CUT = T.StructType([*_FOUND.fields, T.StructField("cut", T.StringType())])
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -178,10 +179,11 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _search_column(automaton):
-    """``automaton`` is a broadcast."""
+def _search_column(automaton, cut: bool):
+    """``automaton`` is a broadcast; with ``cut`` the text without the hit words comes too."""
+    fields = [*_FOUND_ARROW, pa.field("cut", pa.string())] if cut else list(_FOUND_ARROW)
 
-    @F.arrow_udf(_FOUND)
+    @F.arrow_udf(_FOUND_CUT if cut else _FOUND)
     def search(texts: pa.Array, before: pa.Array) -> pa.Array:
         own = automaton.value
         out = []
@@ -193,22 +195,23 @@ def _search_column(automaton):
                 items = items | set(old["items"])
                 longest = max(longest, old["longest"])
             spans = joined_spans(hits)
-            out.append(
-                {
-                    "n_words": len(words),
-                    "n_hit": sum(e - s for s, e in spans),
-                    "longest": longest,
-                    "spans": [{"start": s, "end": e} for s, e in spans],
-                    "items": sorted(items),
-                }
-            )
-        return pa.array(out, _FOUND_ARROW)
+            found = {
+                "n_words": len(words),
+                "n_hit": sum(e - s for s, e in spans),
+                "longest": longest,
+                "spans": [{"start": s, "end": e} for s, e in spans],
+                "items": sorted(items),
+            }
+            if cut and spans:
+                found["cut"] = cut_words(text, spans).decode()
+            out.append(found)
+        return pa.array(out, pa.struct(fields))
 
     return search
 
 
 def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):
-    """Lists of (id, words), of about ``shard_bytes`` of text each; one at least."""
+    """Lists of (id, words), of about ``shard_bytes`` of text each, and if one is the last."""
     rows = items.select(
         F.col(f"`{id_col}`").cast("string").alias("id"),
         F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"),
@@ -217,7 +220,8 @@ def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):
     shards = max(1, -(-total // shard_bytes))
     for shard in range(shards):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == shard).distinct()
-        yield [(r.id, normal_words(bytes(r.text))) for r in own.toLocalIterator()]
+        words = [(r.id, normal_words(bytes(r.text))) for r in own.toLocalIterator()]
+        yield words, shard == shards - 1
 
 
 def find_contamination(
@@ -229,12 +233,14 @@ def find_contamination(
     item_text: str = "text",
     window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """All columns and a struct ``result`` on what the text shares with the items.
 
     Fields: ``n_words``; ``n_hit``, words inside occurrences of item windows;
     ``longest``, the longest match in words; ``spans``, the hit words as maximal
-    intervals; ``items``, the ids with an occurring window, as sorted strings.
+    intervals; ``items``, the ids with an occurring window, as sorted strings. With
+    ``cut`` also the text without the hit spans, null where nothing is hit.
 
     A null or wordless text has no words. Items without words match nothing; an
     item with a null id makes hits and is not named; items with equal ids or equal
@@ -243,12 +249,13 @@ def find_contamination(
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string").cast("binary")
-    found = docs.withColumn(result, F.lit(None).cast(_FOUND))
-    for number, own in enumerate(item_shards(items, item_id, item_text, shard_bytes)):
-        if number:
-            found = written(found, "contamination")
+    before = F.lit(None).cast(_FOUND)
+    found = docs
+    for own, last in item_shards(items, item_id, item_text, shard_bytes):
         automaton = spark.sparkContext.broadcast(ItemAutomaton(own, window))
-        found = found.withColumn(result, _search_column(automaton)(text, F.col(f"`{result}`")))
+        found = found.withColumn(result, _search_column(automaton, cut and last)(text, before))
+        if not last:
+            found, before = written(found, "contamination"), F.col(f"`{result}`")
     return found
 
 
@@ -262,15 +269,8 @@ def remove_contamination(
     Rows without a hit come back unchanged, columns too.
     """
 
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        pairs = zip(texts.to_pylist(), spans.to_pylist())
-        return pa.array([cut_words(t, [(s["start"], s["end"]) for s in x]).decode() if x else None for t, x in pairs], pa.string())
-
     name = "__found"
-    found = find_contamination(docs, items, name, text_col, **options)
+    found = find_contamination(docs, items, name, text_col, cut=True, **options)
     found = found.where(F.col(f"{name}.n_hit") <= max_coverage * F.col(f"{name}.n_words"))
-    hit = F.col(f"{name}.n_hit") > 0
-    text = F.col(f"`{text_col}`").cast("string")
-    cleaned = cut(F.when(hit, text.cast("binary")), F.when(hit, F.col(f"{name}.spans")))
-    return found.withColumn(text_col, F.coalesce(cleaned, text)).select(*[f"`{c}`" for c in docs.columns])
+    text = F.coalesce(F.col(f"{name}.cut"), F.col(f"`{text_col}`").cast("string"))
+    return found.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])
