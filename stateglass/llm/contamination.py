@@ -207,7 +207,8 @@ def _search_column(automaton, cut: bool):
             out.append(found)
         return pa.array(out, pa.struct(fields))
 
-    return search
+    # A filter on the result must not make Spark run the search twice.
+    return search.asNondeterministic()
 
 
 def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):

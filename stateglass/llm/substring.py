@@ -37,6 +37,8 @@ from stateglass.llm.common import (
 )
 
 WINDOW = 20
+# Text whose windows a task sorts at once.
+SCANNED_BYTES = 4_000_000
 
 # Odd bases, so that they have inverses modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -110,7 +112,7 @@ def _scan(window: int, parts: int, doc_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         roll, second = RollingHash(_BASE, window), RollingHash(_SECOND_BASE, window)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=SCANNED_BYTES):
             chunk = chunk.filter(pc.and_(chunk.column("id").is_valid(), chunk.column("text").is_valid()))
             chunk = chunk.take(pc.sort_indices(chunk.column("id")))
             ids = chunk.column("id").to_numpy()
