@@ -25,6 +25,24 @@ def check_offset(offset: int) -> int:
     return offset
 
 
+def _cut_in_parts(
+    rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], most: int
+) -> DataFrame:
+    """At most ``GROUP_SALTS * most`` rows of each group, with its first ``most`` among them.
+
+    Up to ``EARLY_LIMIT`` Spark's own cut in every input partition is enough. Beyond
+    it, what all input partitions would send to the last task is bounded here.
+    """
+    if most <= EARLY_LIMIT:
+        return rows
+    # Maps cannot be hashed; any spread will do.
+    plain = [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*plain), F.lit(GROUP_SALTS)) if plain else F.lit(0)
+    in_salt = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*order))
+    rows = rows.withColumn("__salt", salt).withColumn("__pos", in_salt)
+    return rows.filter(F.col("__pos") <= most).drop("__salt", "__pos")
+
+
 def _numbered(
     fetched: DataFrame, order: Sequence[Column | str], offset: int, limit: int, flag: str
 ) -> DataFrame:
@@ -68,6 +86,7 @@ def page(
     check_limit(limit)
     if after is not None:
         rows = rows.filter(after_key(order, after))
+    rows = _cut_in_parts(rows, [], order, offset + limit + 1)
     fetched = rows.orderBy(*order).offset(offset).limit(limit + 1)
     return _numbered(fetched, order, offset, limit, "has_more")
 
@@ -83,7 +102,7 @@ def page_report(paged: DataFrame, offset: int) -> DataFrame:
 def bounded_read(rows: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:
     """The first ``limit`` rows and whether that cut any off."""
     check_limit(limit)
-    fetched = rows.orderBy(*order).limit(limit + 1)
+    fetched = _cut_in_parts(rows, [], order, limit + 1).orderBy(*order).limit(limit + 1)
     return _numbered(fetched, order, 0, limit, "truncated")
 
 
@@ -94,18 +113,8 @@ def newest_first(rows: DataFrame, time: str, tie: str, limit: int) -> DataFrame:
 def top_per_group(
     rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], limit: int
 ) -> DataFrame:
-    """The first rows of each group.
-
-    Up to ``EARLY_LIMIT`` Spark cuts every input partition before the shuffle. A
-    larger group is first cut in ``GROUP_SALTS`` parts, so that the task which
-    ranks it gets a bounded number of rows.
-    """
-    check_limit(limit)
-    if limit > EARLY_LIMIT:
-        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(GROUP_SALTS))
-        in_salt = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*order))
-        rows = rows.withColumn("__salt", salt).withColumn("__pos", in_salt)
-        rows = rows.filter(F.col("__pos") <= limit).drop("__salt", "__pos")
+    """The first rows of each group; the task that ranks one gets a bounded number of rows."""
+    rows = _cut_in_parts(rows, by, order, check_limit(limit))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("pos", rank).filter(F.col("pos") <= limit)
 

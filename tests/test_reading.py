@@ -144,3 +144,12 @@ def test_counts_and_names(spark):
     assert {r["operator_uid"]: r["state_names"] for r in e.state_names(rows).collect()} == {
         "op": ["s1", "s2"], "q": ["s"]
     }
+
+
+def test_deep_pages_are_cut_in_parts(spark):
+    rows = spark.range(30_000).withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    found = paging.page(rows, [F.col("id").desc()], 9_000, 3_000).collect()
+    assert [r["id"] for r in sorted(found, key=lambda r: r["pos"])] == list(range(20_999, 17_999, -1))
+    assert {r["has_more"] for r in found} == {True}
+    bounded = paging.bounded_read(rows, ["id"], 5_000)
+    assert bounded.count() == 5_000 and bounded.where("truncated").count() == 5_000
