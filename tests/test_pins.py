@@ -95,3 +95,19 @@ def test_bucketed_pins_join_without_shuffle(spark, tmp_path):
     with pytest.raises(Exception, match="null key"):
         nulls = spark.createDataFrame([(None, 1)], "key string, v int")
         k.pin_to_table(nulls, "pin_nulls", str(tmp_path / "n"), buckets=2)
+
+
+def test_jobs_may_share_a_snapshot_name_and_no_pin_goes_unasked(spark, tmp_path):
+    store = k.PinStore(spark, str(tmp_path))
+    for job, n in (("a", 3), ("b", 5)):
+        rows = spark.range(n).selectExpr(
+            "'op' AS operator_uid", "'keyed' AS state_kind", "'s' AS state_name",
+            "string(id) AS key", "'v' AS value", "'op' AS operator_id",
+        )
+        store.pin_snapshot(rows, job, "chk-1")
+    assert store.pins().count() == 2
+    found = discover_snapshots(spark, str(tmp_path))
+    counts = k.read_snapshots(spark, found).groupBy("job_id", "snapshot").count().collect()
+    assert {tuple(r) for r in counts} == {("a", "chk-1", 3), ("b", "chk-1", 5)}
+    store.pin_snapshot(rows, "c", "chk-1", max_pins=1)
+    assert store.pins().count() == 1
