@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stateglass.session import work_dir
+
 CHUNK_ROWS = 1_000_000
 
 
@@ -65,6 +67,33 @@ def running_count(
     )
 
 
+def global_index(rows: DataFrame, order: Sequence[Column | str], name: str = "index") -> DataFrame:
+    """Every row with its 1-based position in the whole table, in any order.
+
+    Rows are dealt to ranges of the order, whose bounds Spark measures, and are
+    numbered inside them; the sizes of the ranges before are added. The ranges are
+    written to the shared folder, so that a lost task cannot number them anew.
+    ``order`` should be total for the result to be repeatable.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("__id", F.monotonically_increasing_id())
+    path = work_dir(spark, "ranged")
+    ranged.write.parquet(path)
+    numbered = spark.read.schema(ranged.schema).parquet(path)
+    # The upper bits of the id are the range, the lower 33 the place in it.
+    numbered = numbered.withColumn("__range", F.shiftright("__id", 33))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = numbered.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = before.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (
+        numbered.join(before, "__range")
+        .withColumn(name, place + F.col("__before"))
+        .select(*[f"`{c}`" for c in rows.columns], name)
+    )
+
+
 def ema_chunks(
     rows: DataFrame,
     keys: Sequence[str],

@@ -18,11 +18,16 @@ from stateglass.streaming.summaries import ALPHA
 
 @query(
     "w1_snapshot_index",
-    f"SELECT path, row_number() OVER (ORDER BY number DESC) AS index FROM ({LISTING_SQL})",
+    f"""
+    SELECT path, row_number() OVER (ORDER BY modification_time DESC, path) AS index
+    FROM ({LISTING_SQL})
+    """,
 )
 def snapshot_index(spark, sf_dir):
-    rows = listing(spark, sf_dir).select("path", "number")
-    return order.running_count(rows, [], "number", "index", descending=True).drop("number")
+    """Snapshots numbered newest first, by path where times are equal."""
+    rows = listing(spark, sf_dir).select("path", "modification_time")
+    found = order.global_index(rows, [F.col("modification_time").desc(), "path"])
+    return found.drop("modification_time")
 
 
 @query(

@@ -79,3 +79,12 @@ def test_chunks_hold_no_more_than_their_size(frame):
 def test_chunk_of_large_numbers(spark):
     n = 2**62 + 1
     assert spark.sql(f"select {n} as n").select(order.chunk_of(F.col("n"), 2)).first()[0] == n // 2
+
+
+def test_index_in_any_order(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), (F.col("id") % 3).alias("t"))
+    found = order.global_index(rows.repartition(7), [F.col("t").desc(), "id"]).collect()
+    want = sorted(((r["id"], r["t"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    assert [(r["id"], r["t"]) for r in sorted(found, key=lambda r: r["index"])] == want
+    assert sorted(r["index"] for r in found) == list(range(1, 5001))
+    assert order.global_index(rows.limit(0), ["id"]).count() == 0
