@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from stateglass.llm.common import written
 
 
+def local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per position, the smallest id that the links (a, b) lead to."""
+    low = ids.copy()
+    while True:
+        before = low.copy()
+        np.minimum.at(low, a, before[b])
+        np.minimum.at(low, b, low[a])
+        if (low == before).all():
+            return low
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node that its links lead to.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from stateglass.llm.common import written
-from stateglass.llm.components import connected_components
+from stateglass.llm.components import connected_components, local_roots
 
 THRESHOLD = 0.93
 # Vectors of a block: a task holds two blocks, and a block is sent once per block of its label.
@@ -87,17 +87,6 @@ def _block(dtype: str):
     return run
 
 
-def local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Per position, the smallest id that the links (a, b) lead to."""
-    low = ids.copy()
-    while True:
-        before = low.copy()
-        np.minimum.at(low, a, before[b])
-        np.minimum.at(low, b, low[a])
-        if (low == before).all():
-            return low
-
-
 def _tile(threshold: float, dtype: str):
     def read(group: pa.Table, row: int):
         get = lambda c: group.column(c)[row].as_py()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from stateglass.llm.common import (
     by_part, chunks, from_planes, mix, part_count, part_of, planes, written,
 )
-from stateglass.llm.components import connected_components
+from stateglass.llm.components import connected_components, local_roots
 from stateglass.llm.simhash import majority_bits, shingle_hashes
 
 SHINGLE = 5
@@ -158,8 +158,11 @@ def _meet(most: int):
                 a.append(np.full(len(reached), ids[members[member]]))
                 b.append(ids[members[reached]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        # One link per member, to the smallest it is connected to in this part.
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = local_roots(nodes, place[: len(a)], place[len(a) :])
+        some = low < nodes
+        return pa.table({"a": pa.array(low[some]), "b": pa.array(nodes[some])})
 
     return run
 
