@@ -57,8 +57,8 @@ class KeyedStateProcessor(StatefulProcessor):
 
         counted = summary[summary["kind"] == "category"].groupby("category", sort=False)["n"].sum()
         for name, n in counted.items():
-            known = not new and self.categories.containsKey((name,))
-            before = self.categories.getValue((name,))[0] if known else 0
+            stored = None if new else self.categories.getValue((name,))
+            before = stored[0] if stored else 0
             self.categories.updateValue((name,), (before + int(n),))
         yield pd.DataFrame(
             {"user_id": [key[0]], "event_count": [count], "running_average": [average]}
