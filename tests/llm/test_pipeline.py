@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as pipeline
-from stateglass.llm.queries import ORACLES, QUERIES
+from stateglass.llm.entry import ORACLES, QUERIES
 from tests.check import compare, oracle_connection
 
 
