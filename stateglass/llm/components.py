@@ -28,8 +28,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     are shuffled, and the joins are plain ones that adaptive execution can split
     at a node with very many links. Every round is written to the shared folder.
     """
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written(links.where("a != b").distinct(), "links")
+    # A node's smaller neighbours are tied to the smallest of them instead of to it,
+    # so a dense group keeps about one link per member for the rounds.
+    low = links.groupBy("b").agg(F.min("a").alias("low"))
+    tied = links.join(low, "b").where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    links = low.select(F.col("low").alias("a"), "b").union(tied).distinct()
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a != b").distinct(), "links")
+    both = written(both, "links")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
     roots = written(roots.select("node", F.least("node", "low").alias("root")), "roots")
     while True:
