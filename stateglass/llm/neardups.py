@@ -1,15 +1,20 @@
-"""Near-duplicate texts by ball hashing of a wide SimHash.
-
-The 64-bit fingerprint and its three bits find texts that are all but equal. A
-similarity of 0.8 of word shingles turns about 15 of 100 bits, so here a text gets 256
-bits, and six bands of 20 of them are hashed by balls: each band emits all variants
-within one flip, so bands within two bits of each other meet. The members that meet
-carry all their bits and are compared by them.
-
-What meets is searched for its connected groups in place: a member is compared with
-those not reached yet, so a group of near copies costs about its size and leaves one
-link per member. With independent bits a pair of similarity 0.8 meets with probability
-0.95, one of 0.85 with 0.99 and one of 0.9 with 0.9997.
+"""Near-duplicate texts: SimHash balls find candidates, shingle sets decide.
+
+Texts are linked if the Jaccard similarity of their sets of hashed word shingles is at
+least the threshold. A similarity of 0.8 turns about 15 of 100 SimHash bits, so a text
+gets 256 bits, and twelve bands of 20 of them are hashed by balls: each band emits all
+variants within one flip, so bands within two bits of each other meet. The members that
+meet carry all their bits, and a bit limit six deviations wide leaves out chance meetings.
+
+What meets is searched for its connected groups in place, with one candidate per member
+and part, so a group of near copies costs about its size. Candidates are links only if
+the sets of both say so. Where a group of candidates falls apart, all its pairs within
+the bit limit and across its verified components are compared as well, so a text is not
+lost because it was tied to the wrong member.
+
+With independent bits a pair of similarity 0.8 becomes a candidate with probability
+0.998, one of 0.85 with 0.9998. Sets of a few shingles lie above the 15 of 100: four of
+five shingles turn 19, which meet with 0.967.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,9 +38,12 @@ SIMILARITY = 0.8
 WORDS = 4  # of 64 bits
 BITS = 64 * WORDS
 BAND_BITS = 20
-BANDS = 6
-# Standard deviations of the bit count that a pair at the threshold may be off.
-SLACK = 1.2
+BANDS = 12
+# Upper bits of a band that, with its number, give the part: a text whose flip is below
+# them is in the part already.
+PART_BITS = 10
+# Standard deviations of the bit count that a candidate at the threshold may be off.
+SLACK = 6.0
 # Up to so many texts that meet in a variant are compared pair by pair.
 FEW = 16
 # Texts whose variants a task makes at once.
@@ -44,7 +53,7 @@ _ROUNDS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WORD
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits up to which texts count as that similar.
+    """Differing bits up to which texts are candidates for that similarity.
 
     Shingle sets of Jaccard similarity J have a cosine of about 2 J / (1 + J), and
     each bit differs with probability angle / pi.
@@ -53,18 +62,37 @@ def most_bits(similarity: float) -> int:
     return int(BITS * share + SLACK * np.sqrt(BITS * share * (1 - share)))
 
 
-def wide_prints(texts: list[bytes | None], shingle: int) -> np.ndarray:
-    """(texts, WORDS) bits; zero for texts without words."""
-    out = np.zeros((len(texts), WORDS), np.uint64)
-    hashes = [np.array(shingle_hashes(t or b"", shingle), np.uint64) for t in texts]
-    counts = np.array([len(h) for h in hashes], np.int64)
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order."""
+    return np.unique(np.array(shingle_hashes(text or b"", shingle), np.uint64))
+
+
+def wide_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, WORDS) bits; zero for empty sets."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    counts = np.array([len(s) for s in sets], np.int64)
     if counts.sum():
-        joined = np.concatenate(hashes)
+        joined = np.concatenate(sets)
         for k in range(WORDS):
             out[:, k] = majority_bits(mix(joined ^ _ROUNDS[k]), counts)
     return out
 
 
+def _near_sets(similarity: float):
+    """Whether two sets of shingle hashes are that similar, as a column of two columns."""
+
+    @F.arrow_udf("boolean")
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = []
+        for x, y in zip(left, right):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(common >= 1 and common / (len(x) + len(y) - common) >= similarity)
+        return pa.array(found, pa.bool_())
+
+    return near
+
+
 def _bands(prints: np.ndarray) -> np.ndarray:
     """(texts, BANDS) numbers of BAND_BITS bits each, from disjoint bits."""
     columns = []
@@ -77,11 +105,12 @@ def _bands(prints: np.ndarray) -> np.ndarray:
 def _emit(parts: int):
     flips = np.array([0, *(1 << i for i in range(BAND_BITS))], np.uint64)
     marks = np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND_BITS)
+    low = np.uint64(BAND_BITS - PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("low").to_numpy()
-            prints = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+            prints = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS + 1)[:, :WORDS]
             order = np.argsort(ids)
             ids, prints = ids[order], prints[order]
             for at in range(0, len(ids), BALLS):
@@ -90,7 +119,7 @@ def _emit(parts: int):
                 owner = np.repeat(np.arange(len(own)), keys.shape[1])
                 keys = keys.ravel()
                 rows = []
-                for part, where in by_part(part_of(mix(keys), parts), parts):
+                for part, where in by_part(part_of(mix(keys >> low), parts), parts):
                     who = owner[where]
                     # Each text once per part, and for each of its variants which text it is of.
                     first = np.ones(len(who), bool)
@@ -172,35 +201,84 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """``id`` and ``component``, one row per input row.
 
-    Texts are linked if the bits of their word shingles, lower-cased in A-Z, differ
-    as little as those of texts of Jaccard ``similarity``, with a slack for chance;
-    ``component`` is the smallest id that links lead to. Texts of the same shingles
-    are always linked. A text of fewer words is one shingle; texts without words,
-    and null ones, are linked with each other. A row with a null id has no component
-    and links nothing. Rows that share an id are one document. An empty table gives an
-    empty result.
+    Texts are linked if the sets of their word shingles, lower-cased in A-Z, have a
+    Jaccard similarity of ``similarity`` or more; ``component`` is the smallest id that
+    links lead to. Texts of the same shingles are always linked; other pairs are found
+    with the probabilities above. A text of fewer words is one shingle; texts without
+    words, and null ones, are linked with each other. A row with a null id has no
+    component and links nothing. Rows that share an id are one document. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
 
     @F.arrow_udf("binary")
     def bits(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        made = [row.tobytes() for c in chunks([batch]) for row in wide_prints(c.column("text").to_pylist(), shingle)]
+        """The bits of each text, and 64 more that stand for its set."""
+        batch, made = pa.RecordBatch.from_arrays([texts], names=["text"]), []
+        for c in chunks([batch]):
+            sets = [shingle_set(t, shingle) for t in c.column("text").to_pylist()]
+            made += [row.tobytes() + xxhash.xxh64_digest(s.tobytes()) for row, s in zip(wide_prints(sets), sets)]
         return pa.array(made, pa.binary())
 
+    @F.arrow_udf("binary")
+    def shingles(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([shingle_set(t, shingle).tobytes() for c in chunks([batch]) for t in c.column("text").to_pylist()], pa.binary())
+
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     prints = written(rows.select("id", bits("text").alias("bits")), "wide-prints")
     classes = written(prints.groupBy("bits").agg(F.min("id").alias("low")), "classes")
     parts = part_count(spark)
     spread = classes.where("low IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "low")
     sent = spread.mapInArrow(_emit(parts), "part int, ids binary, bits binary, keys binary")
-    links = sent.groupBy("part").applyInArrow(_meet(most_bits(similarity)), "a long, b long")
-    roots = connected_components(links.distinct())
+    most = most_bits(similarity)
+    met = written(sent.groupBy("part").applyInArrow(_meet(most), "a long, b long").distinct(), "candidates")
+    groups = connected_components(met)
+    members = groups.select(F.col("node").alias("id"))
+    sets = written(rows.join(members, "id", "left_semi").select("id", shingles("text").alias("set")).distinct(), "sets")
+    near = _near_sets(similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
+        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
+        return pairs.where(near("left", "right")).drop("left", "right").distinct()
+
+    roots = connected_components(verified(met))
+    states = groups.withColumnRenamed("root", "group").join(roots, "node", "left")
+    states = written(states.select("node", "group", F.coalesce("root", "node").alias("root")), "verified")
+    again = connected_components(verified(_open_pairs(states, classes, most)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    again = again.select(F.col("node").alias("root"), F.col("root").alias("lowest"))
+    roots = states.join(again, "root", "left").select("node", F.coalesce("lowest", "root").alias("root"))
     named = classes.join(roots, F.col("low") == F.col("node"), "left")
     named = written(named.select("bits", F.coalesce("root", "low").alias("component")), "named")
     return prints.join(named, "bits").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def _open_pairs(states: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """``a``, ``b`` within the bit limit, of one group of candidates and two roots.
+
+    Each has one side at least that is not of the largest root of its group, so a large
+    group with a few odd members costs about its size.
+    """
+
+    @F.arrow_udf("array<long>")
+    def words(prints: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(p, np.int64)[:WORDS].tolist() for p in prints.to_pylist()], pa.list_(pa.int64()))
+
+    sizes = states.groupBy("group", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("n"))
+    largest = largest.where("n > 1").select("group", "largest")
+    some = states.join(largest, "group").withColumn("odd", F.col("root") != F.col("largest")).drop("largest")
+    some = some.join(classes.select(F.col("low").alias("node"), "bits"), "node")
+    some = written(some.select("node", "group", "root", "odd", words("bits").alias("words")), "open")
+    a = some.where("odd").select(F.col("node").alias("a"), "group", F.col("root").alias("root_a"), F.col("words").alias("words_a"))
+    b = some.select(F.col("node").alias("b"), F.col("group").alias("group_b"), F.col("root").alias("root_b"), F.col("words").alias("words_b"), "odd")
+    differing = sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))
+    once = ~F.col("odd") | (F.col("a") < F.col("b"))
+    joined = a.join(b, (F.col("group") == F.col("group_b")) & (F.col("root_a") != F.col("root_b")) & once & (differing <= most))
+    return joined.select("a", "b", "root_a", "root_b").distinct()
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:

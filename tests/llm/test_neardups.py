@@ -50,3 +50,44 @@ def test_odd_rows(spark):
     ]
     assert kept.where("doc_id IS NULL").count() == 2
     assert drop_near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_sets_decide_near_the_threshold(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows, above, below = [], [], []
+    for i in range(400):
+        base = rng.choices(words, k=rng.randrange(100, 300))
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.017, 0.04))):
+            copy[at] = rng.choice(words)
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similarity = len(x & y) / len(x | y)
+        if 0.8 <= similarity < 0.86:
+            above.append(i)
+        elif 0.7 <= similarity < 0.8:
+            below.append(i)
+    # Repeats do not count: both have one long passage many times, and their own ends.
+    passage = " ".join(rng.choices(words, k=12))
+    rows += [(i, " ".join([passage] * 40 + rng.choices(words, k=40))) for i in (5000, 5001)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component for r in near_duplicate_groups(frame).collect()}
+    assert min(len(above), len(below)) > 80
+    assert sum(got[1000 + i] == i for i in above) >= 0.98 * len(above)
+    assert all(got[1000 + i] == 1000 + i for i in below)
+    assert got[5001] == 5001
+
+
+def test_a_member_tied_to_the_wrong_one_is_found(spark):
+    """Of a chain of texts only neighbours are near; all are one group, whatever is tied first."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows = []
+    for chain in range(8):
+        own = rng.choices(words, k=240)
+        for step in range(5):
+            rows.append((chain * 10 + step, " ".join(own[step * 12 : step * 12 + 150])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component for r in near_duplicate_groups(frame).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
