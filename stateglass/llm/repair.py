@@ -3,7 +3,7 @@
 Documents are laid out in ascending id order by range partitions, and a partition
 is cut into shards of whole documents. In a shard the most frequent pairs of
 adjacent symbols are replaced by new symbols, round after round, until no pair is
-frequent. A shard stores its rules, the number of ids each new symbol expands to,
+frequent (``LEAST_COUNT``). A shard stores its rules, the number of ids each new symbol expands to,
 what is left of the sequence, and its documents' ids and lengths; it is a row of a
 Parquet table, so any store that Spark can write holds it.
 """
@@ -29,8 +29,6 @@ ENCODED_BYTES = 10_000_000
 LEAST_COUNT = 12
 # New symbols per round.
 PAIRS_PER_ROUND = 4096
-# The round that replaces a smaller share of the sequence is the last.
-LEAST_GAIN = 0.02
 
 SHARD_SCHEMA = (
     "part int, seq int, n_ids long, base long, docs array<long>, lengths array<long>, "
@@ -80,17 +78,14 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     lengths = np.ones(base, np.int64)
     symbols = base
     while len(sequence) > 1:
-        # Codes of 32 bits sort fastest; new symbols stop where they would not fit.
+        # Codes of 32 bits sort fastest, as long as symbols fit.
         small = symbols <= 1 << 16
-        room = (1 << 16) - symbols if base < 1 << 16 else PAIRS_PER_ROUND
-        if room <= 0:
-            break
         if small:
             codes = (sequence[:-1] << np.uint32(16)) | sequence[1:]
         else:
             codes = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         shift = codes.dtype.type(16 if small else 32)
-        pairs, _ = _frequent_pairs(codes, LEAST_COUNT, min(PAIRS_PER_ROUND, room))
+        pairs, _ = _frequent_pairs(codes, LEAST_COUNT, PAIRS_PER_ROUND)
         if not len(pairs):
             break
         lefts = (pairs >> shift).astype(np.int64)
@@ -107,7 +102,6 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         rank = rank[at].astype(np.int32)
         taken = _without_overlap(at, rank)
         at, rank = at[taken], rank[taken]
-        size = len(sequence)
         sequence[at] = (symbols + rank).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -115,8 +109,6 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         rules.append(np.stack([lefts, rights], axis=1))
         lengths = np.concatenate([lengths, lengths[lefts] + lengths[rights]])
         symbols += len(pairs)
-        if len(at) < LEAST_GAIN * size:
-            break
     all_rules = np.concatenate([np.zeros((0, 2), np.int64), *rules])
     return all_rules.astype(np.uint32), lengths[base:], sequence
 

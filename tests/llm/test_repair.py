@@ -67,3 +67,17 @@ def test_odd_rows(spark, monkeypatch):
     target = work_dir(spark, "shards")
     repair.write_token_shards(frame.limit(0), target, VOCABULARY)
     assert repair.read_token_shards(spark, target).count() == 0
+
+
+def test_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(6)
+    passages = [rng.integers(0, 49_000, 24) for _ in range(1200)]
+    ids = np.concatenate([passages[i] for i in rng.integers(0, 1200, 40_000)]).astype(np.uint32)
+    for base in (49_408, 70_000):
+        grammar, rules, symbols = stored(ids, base)
+        assert grammar.read(0, len(ids)) == ids.tobytes()
+        left = repair.compress(ids, base)[2].astype(np.uint64)
+        pairs, counts = np.unique((left[:-1] << np.uint64(32)) | left[1:], return_counts=True)
+        overlapping = (pairs >> np.uint64(32)) == (pairs & np.uint64(0xFFFFFFFF))
+        assert counts[~overlapping].max() < repair.LEAST_COUNT
+        assert rules > 1 << 14
