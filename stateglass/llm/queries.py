@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +11,7 @@ from stateglass.llm.domain import domain_scores
 from stateglass.llm.embeddings import embedding_links
 from stateglass.llm.packing import pack_texts
 from stateglass.llm.quality import score_quality, train as train_pu_model
+from stateglass.llm.registry import QUERIES, query  # noqa: F401
 from stateglass.llm.repair import read_token_shards, write_token_shards
 from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
@@ -22,19 +21,6 @@ from stateglass.session import work_dir
 
 VOCABULARY = "word_bpe_49k.json"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
 
 @query(
     "op1_substring_dedup",
