@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table
 from stateglass.llm.conversations import repair_conversations
+from stateglass.llm.manifest import leaf_digest, merkle_manifest
 from stateglass.llm.registry import query
+from stateglass.llm.sharding import shard_rows
 
 # CRC-32 of ASCII text in SQL that has no such function.
 CRC32_SQL = """xor(list_reduce(
@@ -112,3 +114,87 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op12_shard_documents")
+def op12_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def framed_sql(text: str = "text") -> str:
+    values = [f"{text if f == 'text' else f}::VARCHAR" for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT *, row_number() OVER (ORDER BY doc_id) AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+               {framed_sql()} AS leaf,
+               CASE WHEN CRC % 2 = 0 THEN {framed_sql("replace(text, chr(10), '')")} ELSE {framed_sql()} END AS claim
+        FROM (SELECT *, doc_id::VARCHAR AS k FROM documents)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+               count(*) OVER (PARTITION BY tree) AS n
+        FROM leaves
+    ), up AS (
+        SELECT tree, 0 AS lvl, place, leaf AS h, n FROM placed
+        UNION ALL
+        SELECT tree, lvl + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (max(n) + 2) // 3
+        FROM up WHERE n > 1 GROUP BY tree, lvl, place // 3
+    ), subroots AS (
+        SELECT tree, h AS subroot FROM up WHERE n = 1
+    ), top AS (
+        SELECT 0 AS tree, 0 AS lvl, tree - 1 AS place, subroot AS h, (SELECT count(*) FROM subroots) AS n FROM subroots
+        UNION ALL
+        SELECT 0, lvl + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (max(n) + 2) // 3
+        FROM top WHERE n > 1 GROUP BY lvl, place // 3
+    ), runs AS (
+        SELECT tree, lvl, place // 3 AS run, list(h ORDER BY place) AS hs
+        FROM (FROM up UNION ALL FROM top) WHERE n > 1 GROUP BY tree, lvl, place // 3
+    ), walk AS (
+        SELECT row, tree, 0 AS lvl, place, n, claim AS node, '' AS proof FROM placed
+        UNION ALL
+        SELECT row, CASE WHEN n = 1 THEN 0 ELSE w.tree END, CASE WHEN n = 1 THEN 0 ELSE w.lvl + 1 END,
+               CASE WHEN n = 1 THEN w.tree - 1 ELSE place // 3 END,
+               CASE WHEN n = 1 THEN (SELECT count(*) FROM subroots) ELSE (n + 2) // 3 END,
+               CASE WHEN n = 1 THEN node ELSE sha256(array_to_string(hs[1 : place % 3], '') || node || array_to_string(hs[place % 3 + 2 :], '')) END,
+               CASE WHEN n = 1 THEN proof ELSE proof || array_to_string(hs[1 : place % 3], '') || array_to_string(hs[place % 3 + 2 :], '') END
+        FROM walk w LEFT JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = place // 3 AND n > 1
+        WHERE n > 1 OR w.tree <> 0
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+    FROM placed JOIN subroots USING (tree) JOIN walk ON walk.row = placed.row AND walk.tree = 0 AND walk.n = 1,
+         (SELECT h AS root FROM top WHERE n = 1)
+    """.replace("CRC", CRC32_SQL.format("k")),
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rest = [F.col(f) for f in FIELDS if f != "text"]
+    leaves = docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("tree"),
+        leaf_digest(*rest, F.col("text")).alias("leaf"),
+        leaf_digest(*rest, text).alias("claim"),
+    )
+    return merkle_manifest(leaves).select(
+        F.col("id").alias("doc_id"),
+        *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(F.lower(F.hex("witness")).cast("binary"), 256).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
