@@ -17,15 +17,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stateglass.functions.text import json_text
 from stateglass.operators.entries import last_rows
-from stateglass.operators.paging import check_limit, check_offset
+from stateglass.operators.paging import check_limit, check_offset, rows_after, top_per_group
+from stateglass.session import kept
 
 ADDED, REMOVED, MODIFIED, UNCHANGED = "ADDED", "REMOVED", "MODIFIED", "UNCHANGED"
 
 # Never reported as changed: they say which entry it is.
 IDENTITY_FIELDS = ("key", "partition")
 
-PAGE_SALTS = 64
-
 CHANGES_TYPE = "array<struct<field_name:string,old_value:string,new_value:string>>"
 
 
@@ -175,7 +174,7 @@ def diff_snapshots(
 
     def side(marker: str, name: str, df: DataFrame) -> Column:
         values = [F.col(f"{name}.`{f.name}`") for f in fields if f.name in df.columns]
-        packed = F.struct(*values) if values else F.struct(F.lit(None).alias("_none"))
+        packed = F.struct(*values) if values else F.struct(F.lit(None).cast("string").alias("_none"))
         return F.when(F.col(marker).isNotNull(), packed)
 
     none = F.expr(f"cast(array() as {CHANGES_TYPE})")
@@ -270,26 +269,21 @@ def page_totals(diff: DataFrame, offset: int = 0, limit: int = 10_000) -> DataFr
 
 
 def page_per_status(
-    diff: DataFrame, offset: int = 0, limit: int = 10_000, keys: Sequence[str] = ("key",)
+    diff: DataFrame,
+    offset: int = 0,
+    limit: int = 10_000,
+    keys: Sequence[str] = ("key",),
+    after: Sequence | None = None,
 ) -> DataFrame:
     """The same page of each list of changes; ``pos`` counts from 1.
 
-    Each status is cut to ``offset + limit`` rows in ``PAGE_SALTS`` parts first, so
-    the task that ranks a status gets a bounded number of rows however many there
-    are. Up to 1,000 rows Spark makes the cut before the shuffle too.
+    The diff is worked out once: its changes are written to the shared folder, and
+    each status is cut to the end of the page by selection, so the task that ranks a
+    status gets a bounded number of rows however many there are. With ``after``, the
+    keys of the last row seen, pages begin behind it and ``pos`` counts from there.
     """
     check_offset(offset)
     check_limit(limit)
-    salt = F.pmod(F.xxhash64(*keys), F.lit(PAGE_SALTS))
-    salted = F.row_number().over(Window.partitionBy("status", "__salt").orderBy(*keys))
-    rank = F.row_number().over(Window.partitionBy("status").orderBy(*keys))
-    return (
-        diff.filter(F.col("status") != UNCHANGED)
-        .withColumn("__salt", salt)
-        .withColumn("__pos", salted)
-        .filter(F.col("__pos") <= offset + limit)
-        .drop("__pos", "__salt")
-        .withColumn("pos", rank)
-        .filter(F.col("pos") <= offset + limit)
-        .filter(F.col("pos") > offset)
-    )
+    changes = kept(diff.filter(F.col("status") != UNCHANGED), "changes")
+    paged = top_per_group(rows_after(changes, keys, after), ["status"], keys, offset + limit, bounded=False)
+    return paged.filter(F.col("pos") > offset)

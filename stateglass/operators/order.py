@@ -1,25 +1,60 @@
-"""Running values per key, in the order of a unique sequence number.
-
-A window over a key sorts all rows of that key in one task, which fails when
-one key holds a large share of the table. Here the sequence is cut into chunks
-of ``chunk_rows`` numbers. As numbers are unique, no (key, chunk) group can
-hold more than ``chunk_rows`` rows; rows are ordered inside these groups, and
-only one summary row per group takes part in the work across chunks.
+"""Running values per key and positions, in the order of a sequence.
+
+A window over a key sorts all rows of that key in one task, which fails when one key
+holds a large share of the table. Here rows are dealt to ranges of (key, sequence)
+whose bounds Spark measures, so a hot key takes several ranges. A segment, the rows of
+one key in one range, becomes one associative step (a count, or how an average moves);
+a scan over the steps of a key gives each segment what came before it. The number of
+segments is at most the number of keys plus that of ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stateglass.session import work_dir
+from stateglass.functions.sorting import sort_text
+from stateglass.operators.selection import Key, order_keys
+from stateglass.session import kept
+
+# The lower bits of an id that Spark counts up are the place in a partition.
+PLACE_BITS = 33
+
 
-CHUNK_ROWS = 1_000_000
+def _ranged(rows: DataFrame, order: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
+    """``rows`` in ranges of the order: with ``__range`` and the 0-based ``__place`` in it.
+
+    The ranges are written to the shared folder, so that a lost task cannot number
+    them anew. Without ``ranges`` Spark chooses how many there are.
+    """
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    written = kept(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranged")
+    return written.select(
+        *[f"`{c}`" for c in rows.columns],
+        F.shiftright("__id", PLACE_BITS).alias("__range"),
+        F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("__place"),
+    )
+
+
+def _segments(ranged: DataFrame) -> DataFrame:
+    """``__segment, first, n, before``: where each starts, its rows, the rows of its key before."""
+    before = Window.partitionBy("__segment.key").orderBy("__segment.range").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.groupBy("__segment")
+        .agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    )
 
 
-def chunk_of(seq: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
-    return F.call_function("div", seq.cast("bigint"), F.lit(chunk_rows).cast("bigint"))
+def _segmented(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int | None
+) -> DataFrame:
+    """Ranged rows with ``__segment``, a struct of key and range that is never null."""
+    names = [F.col(f"`{k}`") for k in keys]
+    ranged = _ranged(rows, [*names, *order], ranges)
+    key = F.struct(*names, F.lit(0).alias("__one"))
+    return ranged.withColumn("__segment", F.struct(key.alias("key"), F.col("__range").alias("range")))
 
 
 def running_count(
@@ -28,139 +63,116 @@ def running_count(
     seq: str,
     name: str = "running_count",
     descending: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Every row with its 1-based position among the rows of its key.
 
-    With no keys this is a position in the whole table.
+    With no keys this is a position in the whole table. Rows of equal number are told
+    apart arbitrarily, but for good.
     """
-
-    def ordered(column: str) -> Column:
-        return F.col(column).desc() if descending else F.col(column)
-
-    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
-    group = F.struct(key.alias("key"), chunk_of(F.col(seq), chunk_rows).alias("chunk"))
-    # The key travels inside the group only.
-    rest = [c for c in rows.columns if c not in keys]
-    grouped = rows.select(group.alias("__group"), *rest)
-    local = grouped.withColumn(
-        "__local",
-        F.row_number().over(Window.partitionBy("__group").orderBy(ordered(seq))),
-    )
-    earlier = (
-        Window.partitionBy("__group.key")
-        .orderBy(ordered("__group.chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        grouped.groupBy("__group")
-        .agg(F.count("*").alias("__n"))
-        .select("__group", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    )
-    return (
-        local.join(before, "__group")
-        .select(
-            *[F.col(f"__group.key.{k}").alias(k) for k in keys],
-            *rest,
-            (F.col("__local") + F.col("__before")).cast("bigint").alias(name),
-        )
+    order = F.col(f"`{seq}`").desc() if descending else F.col(f"`{seq}`").asc()
+    placed = _segmented(rows, keys, [order], ranges)
+    # A place less that of the segment's first row is a count in the segment.
+    return placed.join(_segments(placed), "__segment").select(
+        *[f"`{c}`" for c in rows.columns],
+        (F.col("__place") - F.col("__first") + 1 + F.col("__before")).cast("bigint").alias(name),
     )
 
 
-def global_index(rows: DataFrame, order: Sequence[Column | str], name: str = "index") -> DataFrame:
+def global_index(
+    rows: DataFrame, order: Sequence[Column | str], name: str = "index", ranges: int | None = None
+) -> DataFrame:
     """Every row with its 1-based position in the whole table, in any order.
 
-    Rows are dealt to ranges of the order, whose bounds Spark measures, and are
-    numbered inside them; the sizes of the ranges before are added. The ranges are
-    written to the shared folder, so that a lost task cannot number them anew.
     ``order`` should be total for the result to be repeatable.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__id", F.monotonically_increasing_id())
-    path = work_dir(spark, "ranged")
-    ranged.write.parquet(path)
-    numbered = spark.read.schema(ranged.schema).parquet(path)
-    # The upper bits of the id are the range, the lower 33 the place in it.
-    numbered = numbered.withColumn("__range", F.shiftright("__id", 33))
+    placed = _ranged(rows, order, ranges)
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    before = numbered.groupBy("__range").agg(F.count("*").alias("__n"))
+    # One row per range.
+    before = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = before.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return (
-        numbered.join(before, "__range")
-        .withColumn(name, place + F.col("__before"))
-        .select(*[f"`{c}`" for c in rows.columns], name)
+    return placed.join(before, "__range").select(
+        *[f"`{c}`" for c in rows.columns],
+        (F.col("__place") + 1 + F.col("__before")).alias(name),
     )
 
 
-def ema_chunks(
-    rows: DataFrame,
-    keys: Sequence[str],
-    seq: str,
-    value: str,
-    alpha: float,
-    chunk_rows: int = CHUNK_ROWS,
+def index_in_orders(
+    rows: DataFrame, orders: Mapping[str, Sequence[Key | Column | str]], name: str = "pos"
 ) -> DataFrame:
-    """Exponential average of each (key, chunk) as a step on what came before.
+    """Every row once per order, with ``order`` and its 1-based position in that order.
 
-    A chunk of n rows turns the average x into (1 - alpha)^n x + ``added``; the
-    columns are ``keys..., chunk, n, added, first_value``.
+    All orders go through one range partitioning: each is a text that sorts as its
+    columns do, behind the number of the order. ``orders`` should be total.
     """
-    group = F.struct(*keys, chunk_of(F.col(seq), chunk_rows).alias("chunk"))
-    after = F.row_number().over(Window.partitionBy("__group").orderBy(F.col(seq).desc())) - 1
-    return (
-        rows.select(group.alias("__group"), seq, value)
-        .withColumn("__after", after)
-        .groupBy("__group")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.lit(alpha) * F.pow(F.lit(1.0 - alpha), "__after") * F.col(value)).alias("added"),
-            F.min_by(value, seq).alias("first_value"),
-        )
-        .select("__group.*", "n", "added", "first_value")
+    keyed = []
+    for number, (label, order) in enumerate(orders.items()):
+        keys = order_keys(order)
+        kinds = [f.dataType for f in rows.select(*[k.column for k in keys]).schema]
+        texts = [sort_text(k.column, kind, k.descending) for k, kind in zip(keys, kinds)]
+        keyed.append(F.struct(F.lit(number).alias("n"), F.lit(label).alias("order"), F.concat(*texts).alias("by")))
+    every = rows.select(*[f"`{c}`" for c in rows.columns], F.explode(F.array(*keyed)).alias("__order"))
+    placed = global_index(every, ["__order.n", "__order.by"], "__index")
+    # Each order has every row, so the rows before an order are a multiple of their number.
+    total = placed.agg((F.count("*") / len(keyed)).cast("bigint").alias("n"))
+    return placed.select(
+        *[f"`{c}`" for c in rows.columns],
+        F.col("__order.order").alias("order"),
+        (F.col("__index") - F.col("__order.n") * F.coalesce(total.scalar(), F.lit(0))).alias(name),
     )
 
 
-def ema_steps(chunks: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
-    """The chunks of each key put together: ``keys..., n, added, first_value``.
+def average_step(
+    rows: DataFrame, keys: Sequence[str], seq: str, value: str, alpha: float, ranges: int | None = None
+) -> DataFrame:
+    """How the rows of each key move an exponential average: ``keys..., n, added, first_value``.
 
-    As for a single chunk, n rows turn the average x into
-    (1 - alpha)^n x + ``added``.
+    n rows turn the average x into (1 - alpha)^n x + ``added``. Each segment is such a
+    step; those of a key are put together by how many rows come after each.
     """
+    narrow = rows.select(
+        *[f"`{k}`" for k in keys], F.col(f"`{seq}`").alias("__seq"), F.col(f"`{value}`").alias("__value")
+    )
+    placed = _segmented(narrow, keys, [F.col("__seq").asc()], ranges)
+    keep = F.lit(1.0 - alpha)
+    after = F.col("__first") + F.col("__n") - 1 - F.col("__place")
+    steps = (
+        placed.join(_segments(placed).drop("__before"), "__segment")
+        .groupBy("__segment")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.lit(alpha) * F.pow(keep, after) * F.col("__value")).alias("added"),
+            F.min_by("__value", "__place").alias("first_value"),
+        )
+    )
     later = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("chunk").desc())
+        Window.partitionBy("__segment.key")
+        .orderBy(F.col("__segment.range").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows_after = F.coalesce(F.sum("n").over(later), F.lit(0))
     return (
-        chunks.withColumn("__after", rows_after)
-        .groupBy(*keys)
+        steps.withColumn("__after", F.coalesce(F.sum("n").over(later), F.lit(0)))
+        .groupBy("__segment.key")
         .agg(
-            F.sum(F.col("added") * F.pow(F.lit(1.0 - alpha), "__after")).alias("added"),
-            F.min_by("first_value", "chunk").alias("first_value"),
             F.sum("n").alias("n"),
+            F.sum(F.col("added") * F.pow(keep, "__after")).alias("added"),
+            F.min_by("first_value", "__segment.range").alias("first_value"),
         )
+        .select(*[F.col(f"key.`{k}`").alias(k) for k in keys], "n", "added", "first_value")
     )
 
 
 def exponential_average(
-    rows: DataFrame,
-    keys: Sequence[str],
-    seq: str,
-    value: str,
-    alpha: float = 0.1,
-    chunk_rows: int = CHUNK_ROWS,
+    rows: DataFrame, keys: Sequence[str], seq: str, value: str, alpha: float = 0.1, ranges: int | None = None
 ) -> DataFrame:
     """Average that moves by ``alpha`` towards each value, from the first value on.
 
-    The first value enters as the average before any row, so that the first
-    step leaves it as it is.
+    The first value enters as the average before any row, so that the first step
+    leaves it as it is.
     """
-    steps = ema_steps(ema_chunks(rows, keys, seq, value, alpha, chunk_rows), keys, alpha)
     started = F.col("first_value") * F.pow(F.lit(1.0 - alpha), "n")
-    return steps.select(*keys, (F.col("added") + started).alias("running_average"))
+    steps = average_step(rows, keys, seq, value, alpha, ranges)
+    return steps.select(*[f"`{k}`" for k in keys], (F.col("added") + started).alias("running_average"))
 
 
 def recent_rows(rows: DataFrame, keys: Sequence[str], seq: str, size: int) -> DataFrame:

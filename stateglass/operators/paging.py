@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stateglass.operators.selection import Key, beyond, cut_groups, cut_to_rank, desc, order_keys, sorting
+
 # The largest page and the largest offset.
 MAX_LIMIT = 100_000
-# Up to this rank Spark cuts groups before it shuffles them.
-EARLY_LIMIT = 1_000
-GROUP_SALTS = 64
 
 
 def check_limit(limit: int) -> int:
@@ -25,52 +24,21 @@ def check_offset(offset: int) -> int:
     return offset
 
 
-def _cut_in_parts(
-    rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], most: int
-) -> DataFrame:
-    """At most ``GROUP_SALTS * most`` rows of each group, with its first ``most`` among them.
-
-    Up to ``EARLY_LIMIT`` Spark's own cut in every input partition is enough. Beyond
-    it, what all input partitions would send to the last task is bounded here.
-    """
-    if most <= EARLY_LIMIT:
-        return rows
-    # Maps cannot be hashed; any spread will do.
-    plain = [f"`{f.name}`" for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
-    salt = F.pmod(F.xxhash64(*plain), F.lit(GROUP_SALTS)) if plain else F.lit(0)
-    in_salt = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*order))
-    rows = rows.withColumn("__salt", salt).withColumn("__pos", in_salt)
-    return rows.filter(F.col("__pos") <= most).drop("__salt", "__pos")
-
-
 def _numbered(
-    fetched: DataFrame, order: Sequence[Column | str], offset: int, limit: int, flag: str
+    fetched: DataFrame, order: Sequence[Key | Column | str], offset: int, limit: int, flag: str
 ) -> DataFrame:
     # At most limit + 1 rows are left here, so one partition holds them.
     everything = Window.partitionBy(F.lit(0))
     return (
         fetched.withColumn(flag, F.count("*").over(everything) > limit)
-        .withColumn("pos", F.row_number().over(everything.orderBy(*order)).cast("bigint") + offset)
+        .withColumn("pos", F.row_number().over(everything.orderBy(*sorting(order))).cast("bigint") + offset)
         .filter(F.col("pos") <= offset + limit)
     )
 
 
-def after_key(names: Sequence[str], values: Sequence) -> Column:
-    """Rows that come after the one with these values, in ascending order of the names."""
-    if len(names) != len(values):
-        raise ValueError("one value per column of the order is needed")
-    later = F.lit(False)
-    for name, value in reversed(list(zip(names, values))):
-        column = F.col(name)
-        # Nulls come first.
-        beyond = column.isNotNull() if value is None else column > F.lit(value)
-        later = F.coalesce(beyond, F.lit(False)) | (column.eqNullSafe(F.lit(value)) & later)
-    return later
-
-
 def page(
     rows: DataFrame,
-    order: Sequence[Column | str],
+    order: Sequence[Key | Column | str],
     offset: int = 0,
     limit: int = 1000,
     after: Sequence | None = None,
@@ -78,19 +46,31 @@ def page(
     """One page of rows, their 1-based ``pos`` in the whole and an exact ``has_more``.
 
     One row extra is fetched to know whether more follow. ``order`` must be
-    total for pages to be repeatable. Pages of any depth are reached with
-    ``after``, the values of the last row seen in an order by column names: rows
-    before it are filtered out, down to the scan, and ``pos`` counts from there.
+    total for pages to be repeatable; descending columns are given by
+    ``selection.desc``. Rows are cut to the end of the page by selection, so that
+    nothing else is sorted or shuffled. Pages of any depth are reached with
+    ``after``, the values of the last row seen: rows before it are filtered out,
+    down to the scan, and ``pos`` counts from there.
     """
     check_offset(offset)
     check_limit(limit)
-    if after is not None:
-        rows = rows.filter(after_key(order, after))
-    rows = _cut_in_parts(rows, [], order, offset + limit + 1)
-    fetched = rows.orderBy(*order).offset(offset).limit(limit + 1)
+    rows = rows_after(rows, order, after)
+    cut = cut_to_rank(rows, order, offset + limit + 1)
+    fetched = cut.orderBy(*sorting(order)).offset(offset).limit(limit + 1)
     return _numbered(fetched, order, offset, limit, "has_more")
 
 
+def rows_after(
+    rows: DataFrame, order: Sequence[Key | Column | str], after: Sequence | None
+) -> DataFrame:
+    """Rows beyond the one with these values of the order; all of them for none."""
+    if after is None:
+        return rows
+    keys = order_keys(order)
+    kinds = [f.dataType for f in rows.select(*[k.column for k in keys]).schema]
+    return rows.filter(beyond(keys, after, kinds))
+
+
 def page_report(paged: DataFrame, offset: int) -> DataFrame:
     """One row about a page: its row count, whether more follow, where it began."""
     return paged.agg(
@@ -99,24 +79,30 @@ def page_report(paged: DataFrame, offset: int) -> DataFrame:
     ).withColumn("offset", F.lit(offset).cast("bigint"))
 
 
-def bounded_read(rows: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:
+def bounded_read(rows: DataFrame, order: Sequence[Key | Column | str], limit: int) -> DataFrame:
     """The first ``limit`` rows and whether that cut any off."""
     check_limit(limit)
-    fetched = _cut_in_parts(rows, [], order, limit + 1).orderBy(*order).limit(limit + 1)
+    fetched = cut_to_rank(rows, order, limit + 1).orderBy(*sorting(order)).limit(limit + 1)
     return _numbered(fetched, order, 0, limit, "truncated")
 
 
 def newest_first(rows: DataFrame, time: str, tie: str, limit: int) -> DataFrame:
-    return rows.orderBy(F.col(time).desc(), F.col(tie)).limit(check_limit(limit))
+    order = [desc(time), tie]
+    cut = cut_to_rank(rows, order, check_limit(limit))
+    return cut.orderBy(*sorting(order)).limit(limit)
 
 
 def top_per_group(
-    rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], limit: int
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Key | Column | str],
+    limit: int,
+    bounded: bool = True,
 ) -> DataFrame:
     """The first rows of each group; the task that ranks one gets a bounded number of rows."""
-    rows = _cut_in_parts(rows, by, order, check_limit(limit))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("pos", rank).filter(F.col("pos") <= limit)
+    cut = cut_groups(rows, by, order, check_limit(limit) if bounded else limit)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*sorting(order)))
+    return cut.withColumn("pos", rank).filter(F.col("pos") <= limit)
 
 
 def numeric_aware(column: Column) -> list[Column]:

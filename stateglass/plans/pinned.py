@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stateglass.operators import diff as d, paging, reports
+from stateglass.operators import diff as d, order, reports
 from stateglass.plans.diffs import JOINED_SQL
 from stateglass.plans.memo import once
 from stateglass.plans.registry import query
@@ -224,15 +224,13 @@ def clear_pins(spark, sf_dir):
 @query(
     "o7_pins_newest_first",
     f"""
-    SELECT id, source_path, cached_at, size_bytes, pos,
-           (SELECT count(*) FROM ({PINS_SQL})) > 100 AS has_more
-    FROM (SELECT *, row_number() OVER (ORDER BY cached_at DESC, id) AS pos FROM ({PINS_SQL}))
-    WHERE pos <= 100
+    SELECT id, source_path, cached_at, size_bytes, row_number() OVER (ORDER BY cached_at DESC, id) AS pos
+    FROM ({PINS_SQL})
     """,
 )
 def pins_newest_first(spark, sf_dir):
-    listed = k.newest_pins_first(pins(spark, sf_dir))
-    return paging.page(listed, [F.col("cached_at").desc(), "id"], 0, 100)
+    """All pins with their position, without where they are kept."""
+    return order.global_index(pins(spark, sf_dir).drop("pin_path"), [F.col("cached_at").desc(), "id"], "pos")
 
 
 @query(

@@ -12,7 +12,6 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from stateglass.functions.text import config_key, config_value
-from stateglass.operators.order import CHUNK_ROWS
 from stateglass.streaming import summaries as sm
 from stateglass.streaming.processors import (
     BUFFER_OUTPUT,
@@ -45,13 +44,13 @@ def _summarised(events: DataFrame, work: str, summarise, schema: str) -> DataFra
 
 
 def keyed_state(
-    events: DataFrame, work: str, checkpoint: str, chunk_rows: int = CHUNK_ROWS
+    events: DataFrame, work: str, checkpoint: str, ranges: int | None = None
 ) -> None:
     """State per user: count, last category, average, recent values, categories.
 
     ``work`` holds the first stream and the summaries, ``checkpoint`` the state.
     """
-    summarise = partial(sm.keyed_summary, chunk_rows=chunk_rows)
+    summarise = partial(sm.keyed_summary, ranges=ranges)
     summaries = _summarised(events, work, summarise, sm.KEYED_SCHEMA)
     state = summaries.groupBy("user_id").transformWithStateInPandas(
         KeyedStateProcessor(sm.ALPHA, sm.RECENT_VALUES), KEYED_OUTPUT, "Update", "None"

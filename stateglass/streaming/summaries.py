@@ -18,13 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from stateglass.functions.text import entry_text, timed_value
-from stateglass.operators.order import (
-    CHUNK_ROWS,
-    category_counts,
-    ema_chunks,
-    ema_steps,
-    recent_rows,
-)
+from stateglass.operators.order import average_step, category_counts, recent_rows
 
 # Fixed values of the job: average weight, buffer sizes, number of subtasks.
 ALPHA = 0.1
@@ -44,10 +38,9 @@ def epoch_millis(ts):
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def keyed_summary(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def keyed_summary(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per user: one step of the average, the recent values, counts per category."""
-    chunks = ema_chunks(events, ["user_id"], "event_id", "value", ALPHA, chunk_rows)
-    steps = ema_steps(chunks, ["user_id"], ALPHA).withColumn("kind", F.lit("step"))
+    steps = average_step(events, ["user_id"], "event_id", "value", ALPHA, ranges).withColumn("kind", F.lit("step"))
     values = events.select("user_id", "event_id", "event_type", "value", "ts")
     # Texts are made for the rows that are kept only.
     recent = recent_rows(values, ["user_id"], "event_id", RECENT_VALUES).select(

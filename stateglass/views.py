@@ -8,11 +8,13 @@ checkpoint folder of a stream (its latest batch), or ``.../offsets/N`` in it
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.functions.naming import iso_time, short_job_id
 from stateglass.operators import diff as d, entries as e, paging, reports
+from stateglass.operators.selection import desc
 from stateglass.sinks.pins import PinStore, read_catalog, read_pin, read_typed
 from stateglass.sources.catalog import discover_operators
 from stateglass.sources.files import exists
@@ -40,9 +42,9 @@ def list_snapshots(
         discover_snapshots(spark, base, "pinned"), discover_snapshots(spark, base, "streaming")
     )
     if per_job is not None:
-        newest = [F.col("modification_time").desc(), "path"]
+        newest = [desc("modification_time"), "path"]
         found = paging.top_per_group(found, ["job_id"], newest, per_job).drop("pos")
-    return paging.bounded_read(found, [F.col("modification_time").desc(), "path"], limit)
+    return paging.bounded_read(found, [desc("modification_time"), "path"], limit)
 
 
 def _split(path: str) -> tuple[str, int | None]:
@@ -132,16 +134,24 @@ def inspect(
     keys_only: bool = False,
     offset: int = 0,
     limit: int = INSPECT_LIMIT,
+    after: Sequence | None = None,
 ) -> DataFrame:
-    """A page of the entries of a snapshot, with ``pos`` and ``has_more``."""
+    """A page of the entries of a snapshot, with ``pos`` and ``has_more``.
+
+    Any depth is reached with ``after``, the values of the last row seen in the order
+    of the page, which ``inspect_order`` gives.
+    """
     paging.check_offset(offset)
     paging.check_limit(limit)
     rows = select_entries(snapshot_entries(spark, path), operator_uid, state_name, key_filter)
-    places = [c for c in PLACE_COLUMNS if c in rows.columns]
     if keys_only:
         rows = e.keys_only(rows, ["operator_uid", "key"])
-        return paging.page(rows, ["operator_uid", "key"], offset, limit)
-    return paging.page(rows, ["operator_uid", "state_name", *places, "key"], offset, limit)
+    return paging.page(rows, inspect_order(rows), offset, limit, after)
+
+
+def inspect_order(rows: DataFrame) -> list[str]:
+    """The columns that pages of entries, or of their keys, are ordered by."""
+    return [c for c in ("operator_uid", "state_name", *PLACE_COLUMNS, "key") if c in rows.columns]
 
 
 def compare(

@@ -1,11 +1,13 @@
-"""Chunked running values against plain loops, one key holding most rows."""
+"""Running values by segments against plain loops, one key holding most rows."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stateglass.operators import order
+from stateglass.operators.selection import desc, sorting
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +32,9 @@ def per_key(rows):
     return groups
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 7, 500, 10_000])
-def test_running_count(frame, rows, chunk_rows):
-    found = order.running_count(frame, ["key"], "seq", chunk_rows=chunk_rows).collect()
+@pytest.mark.parametrize("ranges", [None, 1, 7, 40])
+def test_running_count(frame, rows, ranges):
+    found = order.running_count(frame, ["key"], "seq", ranges=ranges).collect()
     expected = {
         (key, seq): n for key, group in per_key(rows).items() for n, (seq, _) in enumerate(group, 1)
     }
@@ -40,16 +42,16 @@ def test_running_count(frame, rows, chunk_rows):
     assert len(found) == len(rows)
 
 
-@pytest.mark.parametrize("chunk_rows", [13, 10_000])
-def test_index_of_whole_table(frame, rows, chunk_rows):
-    found = order.running_count(frame, [], "seq", "index", True, chunk_rows).collect()
+@pytest.mark.parametrize("ranges", [None, 13])
+def test_index_of_whole_table(frame, rows, ranges):
+    found = order.running_count(frame, [], "seq", "index", True, ranges).collect()
     newest = sorted((r[1] for r in rows), reverse=True)
     assert {r["seq"]: r["index"] for r in found} == {s: i for i, s in enumerate(newest, 1)}
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 50, 10_000])
-def test_exponential_average(frame, rows, chunk_rows):
-    found = order.exponential_average(frame, ["key"], "seq", "value", 0.1, chunk_rows).collect()
+@pytest.mark.parametrize("ranges", [None, 1, 9, 50])
+def test_exponential_average(frame, rows, ranges):
+    found = order.exponential_average(frame, ["key"], "seq", "value", 0.1, ranges).collect()
     expected = {}
     for key, group in per_key(rows).items():
         average = group[0][1]
@@ -71,14 +73,66 @@ def test_recent_rows(frame, rows):
     assert {(r["key"], r["pos"]): r["seq"] for r in found} == expected
 
 
-def test_chunks_hold_no_more_than_their_size(frame):
-    sizes = frame.groupBy("key", order.chunk_of(F.col("seq"), 50).alias("c")).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 50
-
-
-def test_chunk_of_large_numbers(spark):
-    n = 2**62 + 1
-    assert spark.sql(f"select {n} as n").select(order.chunk_of(F.col("n"), 2)).first()[0] == n // 2
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """20,000 rows of one key at minute steps in microseconds, and a few of others."""
+    hot = spark.range(20_000).select(F.lit("hot").alias("key"), (F.col("id") * 60_000_000).alias("seq"))
+    few = spark.range(100).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * -3).alias("seq"))
+    return hot.unionAll(few).withColumn("value", F.pmod("seq", F.lit(101)).cast("double")).repartition(6)
+
+
+def test_a_hot_key_of_sparse_numbers_takes_several_ranges(sparse):
+    placed = order._segmented(sparse, ["key"], [F.col("seq").asc()], 8)
+    segments = order._segments(placed).select("__segment.key.key", "__segment.range", "__n").collect()
+    hot = [r["__n"] for r in segments if r["key"] == "hot"]
+    assert len(hot) >= 6 and max(hot) < 20_000 / 4
+    assert len(segments) <= 101 + 8
+    counted = order.running_count(sparse, ["key"], "seq", ranges=8)
+    assert counted.filter("key = 'hot' and running_count != seq / 60000000 + 1").count() == 0
+    average = order.exponential_average(sparse, ["key"], "seq", "value", 0.1, 8).filter("key = 'hot'").first()
+    want = None
+    for i in range(20_000):
+        value = float(i * 60_000_000 % 101)
+        want = value if want is None else 0.1 * value + 0.9 * want
+    assert average["running_average"] == pytest.approx(want, abs=1e-9)
+
+
+def test_equal_numbers_are_told_apart_for_good(spark):
+    rows = spark.range(1000).select(F.lit(None).cast("string").alias("k.1"), (F.col("id") % 10).alias("seq"), "id")
+    counted = order.running_count(rows, ["k.1"], "seq", ranges=4)
+    first, again = (sorted(map(tuple, counted.collect())) for _ in range(2))
+    assert first == again and sorted(r[-1] for r in first) == list(range(1, 1001))
+    assert counted.filter("(running_count - 1) DIV 100 != seq").count() == 0
+
+
+ORDERED = {
+    "a": ["a", "n"], "a down": [desc("a"), "n"], "b": ["b", "n"], "b down": [desc("b"), desc("n")],
+    "t": ["t", "n"], "t down": [desc("t"), "n"], "d": ["d", desc("b"), "n"], "f": ["f", "n"], "y down": [desc("y"), "n"],
+}
+
+
+def test_all_orders_at_once(spark):
+    rng = random.Random(1)
+    made = [
+        (
+            rng.choice([None, -(2**31), -1, 0, 1, 2**31 - 1]),
+            rng.choice([None, "", "a", "a\x00", "ab", "b", "é"]),
+            rng.choice([None, dt.datetime(1969, 12, 31, 23, 59, 59, 5), dt.datetime(2024, 3, 10, 2, 30, 0, n)]),
+            rng.choice([None, dt.date(1960, 1, 1), dt.date(2024, 1, 1)]),
+            rng.choice([None, True, False]),
+            rng.choice([None, b"", b"\x00", b"\xff"]),
+            n,
+        )
+        for n in range(300)
+    ]
+    rows = spark.createDataFrame(made, "a int, b string, t timestamp_ntz, d date, f boolean, y binary, n long").repartition(3)
+    found = order.index_in_orders(rows, ORDERED).collect()
+    assert len(found) == 300 * len(ORDERED)
+    for name, by in ORDERED.items():
+        got = [r["n"] for r in sorted((r for r in found if r["order"] == name), key=lambda r: r["pos"])]
+        assert got == [r["n"] for r in rows.orderBy(*sorting(by)).collect()]
+        assert {r["pos"] for r in found if r["order"] == name} == set(range(1, 301))
+    assert order.index_in_orders(rows.limit(0), ORDERED).count() == 0
 
 
 def test_index_in_any_order(spark):

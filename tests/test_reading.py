@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateglass.operators import entries as e, paging
+from stateglass.operators.selection import desc
 from stateglass.plans import reading
 
 
@@ -122,7 +123,7 @@ def test_pages_after_a_row(spark):
     assert seen == rows
 
 
-def test_top_per_group_is_cut_in_parts_beyond_the_early_limit(spark):
+def test_top_per_group_of_any_size(spark):
     rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), "id")
     found = paging.top_per_group(rows, ["g"], ["id"], 1500)
     assert found.groupBy("g").agg(F.count("*").alias("n"), F.max("pos").alias("p")).select("n", "p").distinct().collect() == [(1500, 1500)]
@@ -146,9 +147,9 @@ def test_counts_and_names(spark):
     }
 
 
-def test_deep_pages_are_cut_in_parts(spark):
+def test_deep_pages_of_rows_with_maps(spark):
     rows = spark.range(30_000).withColumn("m", F.create_map(F.lit("a"), F.col("id")))
-    found = paging.page(rows, [F.col("id").desc()], 9_000, 3_000).collect()
+    found = paging.page(rows, [desc("id")], 9_000, 3_000).collect()
     assert [r["id"] for r in sorted(found, key=lambda r: r["pos"])] == list(range(20_999, 17_999, -1))
     assert {r["has_more"] for r in found} == {True}
     bounded = paging.bounded_read(rows, ["id"], 5_000)

@@ -11,7 +11,7 @@ from stateglass.sinks.pins import PinStore
 from stateglass.sources import catalog, snapshots as s, state as st
 from stateglass.streaming import changes, jobs, summaries as sm
 
-CHUNK = 150
+RANGES = 5
 CUTS = (0, 300, 650, 1000)
 
 
@@ -49,7 +49,7 @@ def by_user(few):
 
 @pytest.fixture(scope="module")
 def keyed(spark, few):
-    return feed(spark, few, partial(jobs.keyed_state, chunk_rows=CHUNK), "keyed")
+    return feed(spark, few, partial(jobs.keyed_state, ranges=RANGES), "keyed")
 
 
 def read(spark, checkpoint, name, **options):
@@ -98,7 +98,7 @@ def test_map_and_last_category(spark, keyed, few, by_user):
 
 def test_a_batch_brings_few_rows_per_key(few):
     """However many events a key has in a batch, its summary is short."""
-    sizes = sm.keyed_summary(few, CHUNK).groupBy("user_id").count()
+    sizes = sm.keyed_summary(few, RANGES).groupBy("user_id").count()
     categories = few.select("event_type").distinct().count()
     assert sizes.agg(F.max("count")).first()[0] <= 1 + sm.RECENT_VALUES + categories
 
