@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.llm.common import table, written
 from stateglass.llm.contamination import remove_contamination
-from stateglass.llm.neardups import drop_near_duplicates
 from stateglass.llm.packing import pack_texts
+from stateglass.llm.simhash import simhash_groups
 from stateglass.llm.substring import remove_repeated_passages
 from stateglass.llm.toxicity import score_toxicity, train
 
@@ -23,6 +23,17 @@ VOCABULARY = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
+def quoted(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as it takes to be no column of ``docs``."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold of their language.
 
@@ -30,13 +41,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
     model = train(docs.select(F.col("doc_id").alias("id"), "text", "lang"), labels)
-    scored = score_toxicity(docs, model, "__toxicity")
-    return scored.where(~F.col("__toxicity.toxic")).select(docs.columns)
+    name = free_name(docs, "toxicity")
+    scored = score_toxicity(docs, model, name)
+    return scored.where(~F.col(f"{name}.toxic")).select(*quoted(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """The document of the smallest id of each group of linked fingerprints.
+
+    Rows that share an id stay or go together; rows with a null id stay.
+    """
+    groups = simhash_groups(docs)
+    gone = written(groups.where("id != component").select("id").distinct(), "duplicates")
+    name = free_name(docs, "gone")
+    gone = gone.select(F.col("id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*quoted(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
