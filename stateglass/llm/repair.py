@@ -71,7 +71,7 @@ def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return taken
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of ids below ``base``; rule k makes symbol base + k."""
     sequence = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -85,7 +85,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         else:
             codes = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         shift = codes.dtype.type(16 if small else 32)
-        pairs, _ = _frequent_pairs(codes, LEAST_COUNT, PAIRS_PER_ROUND)
+        pairs, _ = _frequent_pairs(codes, least, PAIRS_PER_ROUND)
         if not len(pairs):
             break
         lefts = (pairs >> shift).astype(np.int64)
@@ -130,31 +130,36 @@ class Grammar:
         #: Where the expansion of each symbol begins, and the end of the last.
         self.begins = np.concatenate([[0], np.cumsum(lengths)])
         self.lengths = lengths
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all symbols in one array, and where those of each begin.
-
-        A rule only uses symbols before its own.
-        """
-        if self.table is None:
-            texts: list[bytes] = []
-            base = self.base
-            for a, b in self.rules.tolist():
-                left = a.to_bytes(4, "little") if a < base else texts[a - base]
-                texts.append(left + (b.to_bytes(4, "little") if b < base else texts[b - base]))
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
-            ids = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(texts), np.uint32)])
-            self.table = ids, np.concatenate([np.arange(base), base + np.cumsum(sizes) - sizes])
-        return self.table
+
+    def _needed(self, symbols: np.ndarray) -> np.ndarray:
+        """The rules that the symbols lead to, in order; a rule only uses symbols before its own."""
+        needed = np.zeros(len(self.rules), bool)
+        some = np.unique(symbols)
+        while len(some := some[some >= self.base].astype(np.int64) - self.base):
+            some = some[~needed[some]]
+            needed[some] = True
+            some = np.unique(self.rules[some])
+        return np.flatnonzero(needed)
+
+    def _expansions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids below ``base`` and those that the symbols stand for, and where each begins."""
+        base, needed = self.base, self._needed(symbols)
+        texts: dict[int, bytes] = {}
+        for k, (a, b) in zip(needed.tolist(), self.rules[needed].tolist()):
+            left = a.to_bytes(4, "little") if a < base else texts[a - base]
+            texts[k] = left + (b.to_bytes(4, "little") if b < base else texts[b - base])
+        sizes = np.zeros(len(self.rules), np.int64)
+        sizes[needed] = np.fromiter(map(len, texts.values()), np.int64, len(texts)) // 4
+        ids = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(texts.values()), np.uint32)])
+        return ids, np.concatenate([np.arange(base), base + np.cumsum(sizes) - sizes])
 
     def read(self, start: int, end: int) -> bytes:
-        """Ids start to end - 1; only the symbols that hold them are expanded."""
+        """Ids start to end - 1; only the rules that the symbols around them need are expanded."""
         if end <= start:
             return b""
         first = int(np.searchsorted(self.begins, start, "right")) - 1
         last = int(np.searchsorted(self.begins, end, "left"))
-        ids, begins = self._expansions()
+        ids, begins = self._expansions(self.symbols[first:last])
         lengths = self.lengths[first:last]
         shift = begins[self.symbols[first:last]] - (self.begins[first:last] - self.begins[first])
         found = ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
@@ -162,7 +167,7 @@ class Grammar:
         return found[skip : skip + end - start].tobytes()
 
 
-def _shards(path: str, end_id: int):
+def _shards(path: str, end_id: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         base = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
@@ -173,7 +178,7 @@ def _shards(path: str, end_id: int):
 
         def shard() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), np.uint32)
-            rules, expansions, symbols = compress(ids, base)
+            rules, expansions, symbols = compress(ids, base, least)
             width = np.uint16 if base + len(rules) <= 1 << 16 else np.uint32
             press = zstandard.ZstdCompressor(1)
             blobs = [rules.tobytes(), expansions.astype(np.uint32).tobytes(), symbols.astype(width).tobytes()]
@@ -202,14 +207,21 @@ def _shards(path: str, end_id: int):
 
 
 def write_token_shards(
-    docs: DataFrame, target: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    target: str,
+    vocabulary: str,
+    end_id: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least_count: int = LEAST_COUNT,
 ) -> None:
     """Writes the ids of every text, and ``end_id`` behind each, to the folder ``target``.
 
     ``vocabulary`` is the path of a ``tokenizers`` file that workers can open. The
     order is by id, null ids first, and by text among rows that share an id; every
     row is a document. A null or empty text has the end id only. Other columns are
-    not read. Without rows the table is empty.
+    not read. Without rows the table is empty. Pairs that occur less often than
+    ``least_count`` in a shard stay as they are.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -217,7 +229,7 @@ def write_token_shards(
     )
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     ordered = ordered.sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_shards(vocabulary, end_id), SHARD_SCHEMA).write.parquet(target)
+    ordered.mapInArrow(_shards(vocabulary, end_id, least_count), SHARD_SCHEMA).write.parquet(target)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,6 @@ def test_fill_is_the_closest():
 
 def plain_ids(text):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -69,7 +68,7 @@ def test_query_packs_all(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    texts = {1: None, 2: "", 3: " ", 4: "some words " * 9, 5: "word " * 400, 6: "a b c", None: "no id"}
+    texts = {1: None, 2: "", 3: " ", 4: "some words " * 9, 5: "word " * 400, 6: "a b c", None: "no id", 7: "a <|endoftext|>b <|EndOfText|>☃ end."}
     frame = spark.createDataFrame([(d, t, "x") for d, t in texts.items()], "doc_id long, text string, start string")
     got = pack_texts(frame, VOCABULARY, capacity=64)
     rows = got.select("id", "start", "length", F.crc32("ids"), "doc_tokens", "sequence_id", "offset").collect()

@@ -30,7 +30,9 @@ def planted(spark, tmp_path):
         docs[i] = " ".join(own)
     clean = [i for i in docs if not toxic[i]]
     docs[1001] = docs[clean[0]]
-    changed = docs[clean[1]].split()
+    # A long text and a copy with one word changed: within three bits of each other.
+    docs[1001 - 2] = text(4000)
+    changed = docs[999].split()
     changed[len(changed) // 2] = "other"
     docs[1002] = " ".join(changed)
     shared = text(60)

@@ -40,7 +40,6 @@ def test_round_trips_and_random_access():
 
 def plain(texts):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for doc, text in texts:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
@@ -69,6 +68,14 @@ def test_odd_rows(spark, monkeypatch):
     assert repair.read_token_shards(spark, target).count() == 0
 
 
+def test_reading_a_part_expands_only_what_it_needs():
+    ids = np.concatenate([np.tile([1, 2, 3, 4], 50), np.tile([5, 6, 7, 8, 9], 60)]).astype(np.uint32)
+    grammar, rules, _ = stored(ids, 1000)
+    some = grammar._needed(grammar.symbols[:1])
+    assert 0 < len(some) < rules
+    assert grammar.read(0, 4) == ids[:4].tobytes() and grammar.read(200, 210) == ids[200:210].tobytes()
+
+
 def test_goes_on_until_no_pair_is_frequent():
     rng = np.random.default_rng(6)
     passages = [rng.integers(0, 49_000, 24) for _ in range(1200)]
