@@ -4,6 +4,7 @@ from stateglass.plans import (  # noqa: F401
     assembly,
     diffs,
     expressions,
+    fleet,
     listings,
     operator_state,
     ordering,

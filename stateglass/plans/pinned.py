@@ -16,7 +16,7 @@ from stateglass.plans.tables import (
     state_at,
     texts,
 )
-from stateglass.session import work_dir
+from stateglass.session import kept, work_dir
 from stateglass.sinks import pins as k
 from stateglass.sinks.export import export_json
 from stateglass.sources import snapshots as s
@@ -44,28 +44,6 @@ def pinned_base(spark, sf_dir):
     return once(spark, sf_dir, "pins", build)
 
 
-def below(base, path="path"):
-    """The path as seen from the base folder, which has a random name."""
-    return F.regexp_replace(F.col(path), f"^.*{base.rsplit('/', 1)[-1]}", "")
-
-
-@query(
-    "s1_pinned_snapshots",
-    """
-    SELECT * FROM (VALUES
-        ('/job-events/chk-1', 'job-events', 'chk-1', 'checkpoint', true),
-        ('/job-events/chk-2', 'job-events', 'chk-2', 'checkpoint', true),
-        ('/job-events/chk-3', 'job-events', 'chk-3', 'checkpoint', false),
-        ('/savepoint-a1', NULL, 'savepoint-a1', 'savepoint', true)
-    ) AS t(path, job_id, snapshot, type, valid)
-    """,
-)
-def pinned_snapshots(spark, sf_dir):
-    base = pinned_base(spark, sf_dir)
-    found = s.discover_snapshots(spark, base).withColumn("path", below(base))
-    return found.drop("modification_time")
-
-
 @query(
     "s2_snapshot_validity",
     f"""
@@ -85,27 +63,6 @@ def snapshot_validity(spark, sf_dir):
     )
 
 
-@query("s10_list_children", "SELECT * FROM (VALUES (''), ('/job-events')) AS t(parent)")
-def list_children(spark, sf_dir):
-    base = pinned_base(spark, sf_dir)
-    return s.list_children(s.discover_snapshots(spark, base)).select(
-        below(base, "parent").alias("parent")
-    )
-
-
-@query(
-    "s12_probe_sources",
-    """
-    SELECT source, CAST(n AS BIGINT) AS n_snapshots
-    FROM (VALUES ('', 4), ('/nowhere', 0), ('/job-events', 3)) AS t(source, n)
-    """,
-)
-def probe_sources(spark, sf_dir):
-    base = pinned_base(spark, sf_dir)
-    found = s.probe_sources(spark, f"{base}, {base}/nowhere,,{base}/job-events")
-    return found.withColumn("source", below(base, "source"))
-
-
 @query(
     "k1_export_json",
     f"SELECT {COLUMNS} FROM ({entries_sql(AFTER)})",
@@ -187,11 +144,7 @@ def delete_pin(spark, sf_dir):
     first = store.pin_snapshot(pinnable(spark, sf_dir, BEFORE), "job", "chk-1")
     store.pin_snapshot(pinnable(spark, sf_dir, AFTER), "job", "chk-2")
     deleted, again = store.delete(first), store.delete(first)
-    left = s.snapshot_names_only(s.discover_snapshots(spark, base)).select("path", "snapshot")
-    rows = None
-    for pin in left.collect():
-        one = k.read_pin(spark, pin["path"]).withColumn("snapshot", F.lit(pin["snapshot"]))
-        rows = one if rows is None else rows.unionByName(one)
+    rows = k.read_snapshots(spark, s.snapshot_names_only(s.discover_snapshots(spark, base)))
     return (
         rows.groupBy("snapshot", "operator_uid", "state_name")
         .agg(F.count("*").alias("n_entries"))
@@ -201,24 +154,28 @@ def delete_pin(spark, sf_dir):
 
 @query(
     "k5_clear_pins",
-    """
-    SELECT CAST(0 AS BIGINT) AS n_pins, CAST(2 AS BIGINT) AS n_cleared,
-           CAST(0 AS BIGINT) AS n_snapshots
+    f"""
+    SELECT 'chk-1' AS snapshot, operator_uid, count(*) AS n_entries, CAST(0 AS BIGINT) AS n_left FROM ({entries_sql(BEFORE)}) GROUP BY 2
+    UNION ALL
+    SELECT 'chk-2', operator_uid, count(*), CAST(0 AS BIGINT) FROM ({entries_sql(AFTER)}) GROUP BY 2
     """,
 )
 def clear_pins(spark, sf_dir):
+    """What two pins held before all pins are deleted, and what is found of it afterwards."""
     base = work_dir(spark, "clear")
     store = k.PinStore(spark, base)
     for cut, name in ((BEFORE, "chk-1"), (AFTER, "chk-2")):
         store.pin_snapshot(pinnable(spark, sf_dir, cut), "job", name)
-    cleared = store.clear()
-    found = s.discover_snapshots(spark, base).count()
-    return store.pins().agg(F.count("*").alias("n_pins")).withColumns(
-        {
-            "n_cleared": F.lit(cleared).cast("bigint"),
-            "n_snapshots": F.lit(found).cast("bigint"),
-        }
-    )
+
+    def held(name):
+        rows = k.read_snapshots(spark, s.discover_snapshots(spark, base))
+        return rows.groupBy("snapshot", "operator_uid").agg(F.count("*").alias(name))
+
+    before = kept(held("n_entries"), "held")
+    store.clear()
+    after = held("n_left").unionByName(store.pins().select(F.lit(None).alias("snapshot"), F.col("id").alias("operator_uid"), F.lit(1).alias("n_left")))
+    joined = before.join(after, ["snapshot", "operator_uid"], "full")
+    return joined.withColumn("n_left", F.coalesce("n_left", F.lit(0)).cast("bigint"))
 
 
 @query(
@@ -253,11 +210,6 @@ def pin_totals(spark, sf_dir):
     return k.pin_totals(pins(spark, sf_dir))
 
 
-@query("a10_snapshot_sizes")
-def snapshot_sizes(spark, sf_dir):
-    return s.snapshot_sizes(spark, pinned_base(spark, sf_dir))
-
-
 @query(
     "a4_pinned_operators",
     f"""

@@ -15,7 +15,7 @@ from stateglass.plans.tables import (
     texts,
 )
 from stateglass.sources.custom import as_entries
-from stateglass.sources.storage import hadoop_path, storage_options
+from stateglass.sources.storage import hadoop_path, hadoop_path_column, setting_rows, storage_options
 
 ENTRIES = entries_sql(AFTER)
 COLUMNS = "operator_uid, state_kind, state_name, key, value"
@@ -172,17 +172,15 @@ def bounded_read(spark, sf_dir):
     """,
 )
 def read_with_options(spark, sf_dir):
-    """The settings made for each region of a table, and a read that carries them."""
-    rows = []
-    for key, name in load(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name")).collect():
-        made = storage_options({"aws.region": name, "aws.path-style-access": "true"})
-        made["path"] = hadoop_path(f"s3://bucket-{key}/k")
-        rows += [(key, name, setting, value) for setting, value in made.items()]
-    settings = spark.createDataFrame(rows, "n_regionkey int, region string, setting string, value string")
+    """The settings of each region of a table, made by columns, and a read that carries some."""
+    regions = load(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("region"))
+    made = setting_rows(regions, {"aws.region": F.col("region"), "aws.path-style-access": F.lit("true")})
+    uri = F.concat(F.lit("s3://bucket-"), "r_regionkey", F.lit("/k"))
+    paths = regions.withColumns({"setting": F.lit("path"), "value": hadoop_path_column(uri)})
     carried = storage_options({"aws.region": "eu-west-1", "aws.path-style-access": "true"})
     nations = spark.read.options(**carried).parquet(hadoop_path(f"{sf_dir}/nation.parquet"))
-    counts = nations.groupBy("n_regionkey").agg(F.count("*").alias("n_nations"))
-    return settings.join(counts, "n_regionkey").select("region", "setting", "value", "n_nations")
+    counts = nations.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("n_nations"))
+    return made.unionByName(paths).join(counts, "r_regionkey").select("region", "setting", "value", "n_nations")
 
 
 @query(

@@ -4,7 +4,9 @@ The table is fed in two slices, all events before the first cut and then the
 rest, so that batch 0 and batch 1 of every checkpoint are known states.
 """
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from stateglass import views
 from stateglass.functions.text import map_text
@@ -120,7 +122,8 @@ def operator_catalog(spark, sf_dir):
 @query(
     "s3_state_variables",
     """
-    SELECT * FROM (VALUES
+    SELECT state_name, state_type, (SELECT count(DISTINCT user_id) FROM events) AS n_keys
+    FROM (VALUES
         ('category_counts', 'MapState'), ('event_count', 'ValueState'),
         ('last_category', 'ValueState'), ('recent_values', 'ListState'),
         ('running_average', 'ValueState')
@@ -128,38 +131,24 @@ def operator_catalog(spark, sf_dir):
     """,
 )
 def state_variables(spark, sf_dir):
-    return catalog.state_variables(spark, keyed(spark, sf_dir)).select("state_name", "state_type")
-
-
-@query("a4_stream_operators", "SELECT 'keyed' AS path, '0(keyed)' AS operators")
-def stream_operators(spark, sf_dir):
-    found = catalog.discover_operators(spark, keyed(spark, sf_dir))
-    return reports.operator_summary(found.withColumn("path", F.lit("keyed")))
-
-
-@query(
-    "s1_stream_snapshots",
-    """
-    SELECT 'keyed' AS job_id, concat('chk-', n) AS snapshot, 'checkpoint' AS type, true AS valid
-    FROM range(2) AS t(n)
-    """,
-)
-def stream_snapshots(spark, sf_dir):
-    base = keyed(spark, sf_dir).rsplit("/", 1)[0]
-    found = s.discover_snapshots(spark, base, "streaming")
-    return found.select("job_id", "snapshot", "type", "valid")
+    """The states of the keyed stream and the keys each holds."""
+    checkpoint = keyed(spark, sf_dir)
+    entries = views.snapshot_entries(spark, checkpoint).groupBy("state_name").agg(F.count_distinct("key").alias("n_keys"))
+    found = catalog.state_variables(spark, checkpoint).select("state_name", "state_type")
+    return found.join(entries, "state_name", "left")
 
 
 @query(
-    "s9_source_offsets",
+    "a4_stream_operators",
     """
-    SELECT n AS batch_id, 0 AS source, concat('{"logOffset":', n, '}') AS position,
-           true AS committed
-    FROM range(2) AS t(n)
+    SELECT 'keyed' AS path, '0(keyed)' AS operators, count(DISTINCT user_id) AS n_entries FROM events
     """,
 )
-def source_offsets(spark, sf_dir):
-    return st.read_source_offsets(spark, keyed(spark, sf_dir)).drop("planned_ms")
+def stream_operators(spark, sf_dir):
+    """The operators of a stream as text, and the keys they hold."""
+    found = st.operators_with_counts(spark, keyed(spark, sf_dir)).withColumn("path", F.lit("keyed"))
+    totals = found.groupBy("path").agg(F.sum("n_keys").alias("n_entries"))
+    return reports.operator_summary(found.drop("n_keys")).join(totals, "path")
 
 
 # Keyed state of the stateful processor.
@@ -389,14 +378,24 @@ def inspect_page(spark, sf_dir):
 
 @query(
     "t8_retained_snapshots",
-    "SELECT concat('chk-', n) AS snapshot, true AS valid FROM range(3, 6) AS t(n)",
+    """
+    SELECT concat('chk-', n) AS snapshot, true AS valid,
+           CAST((SELECT count(*) FROM events WHERE coalesce(dayofmonth(ts) % 6, 0) <= n) AS BIGINT) AS n_records
+    FROM range(3, 6) AS t(n)
+    """,
 )
 def retained_snapshots(spark, sf_dir):
-    """Six batches of which two are to be kept before the last: what is still found."""
+    """Six batches of which two are to be kept before the last: what is still found, and its state."""
     events = load(spark, sf_dir, "events")
     parts = [events.filter(F.coalesce(F.dayofmonth("ts") % 6, F.lit(0)) == i) for i in range(6)]
     checkpoint = run_slices(
         spark, sf_dir, "retained", single(jobs.union_summary), parts, minBatchesToRetain=2
     )
     base = checkpoint.rsplit("/", 1)[0]
-    return s.discover_snapshots(spark, base, "streaming").select("snapshot", "valid")
+    found = s.discover_snapshots(spark, base, "streaming").filter("job_id = 'retained'").select("snapshot", "valid")
+    states = []
+    for row in found.collect():  # as many as are retained
+        batch = int(row["snapshot"].removeprefix("chk-"))
+        stored = st.read_aggregation_state(spark, checkpoint, ["n_records", "last_time"], batch_id=batch)
+        states.append(stored.groupBy().agg(F.sum("n_records").alias("n_records")).withColumn("snapshot", F.lit(row["snapshot"])))
+    return found.join(reduce(DataFrame.unionByName, states), "snapshot")

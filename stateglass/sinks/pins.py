@@ -3,26 +3,27 @@
 A pin is a folder ``base/job/name/`` with Parquet under ``data/``, its operators
 under ``catalog/`` and, written last, ``snapshot.json``. The list of pins is a Parquet table of rows ``id,
 source_path, pin_path, cached_at, size_bytes``, kept in numbered versions under
-``base/pins.list/``: a change writes the next version whole and then its marker, so
-a reader or a lost job never meets a half-written list.
+``base/pins.list/``: a change writes the next version whole and then its marker, which
+names it, so a reader or a lost job never meets a half-written list.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stateglass.operators.entries import one_result
 from stateglass.sources.catalog import pinned_operators
 from stateglass.sources.files import (
+    create_new,
     delete,
     exists,
     matching,
     qualified,
+    read_text,
     total_bytes,
     write_text,
 )
@@ -32,6 +33,9 @@ PINS_SCHEMA = (
     "id string, source_path string, pin_path string, cached_at timestamp, size_bytes bigint"
 )
 PARTITION_COLUMNS = ("operator_id", "state_name")
+ENTRIES_SCHEMA = "operator_uid string, state_kind string, key string, value string, operator_id string, state_name string"
+# How Spark names the folder of a null.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 # Folder of a pin with the typed rows of each operator.
 TYPED = "typed"
 # Fixed value: how many pins are kept.
@@ -43,7 +47,11 @@ def pin_path(base: str, job: str | None, name: str) -> str:
 
 
 class PinStore:
-    """The pins below one base folder. One writer at a time."""
+    """The pins below one base folder.
+
+    Writers may run at the same time: the marker of a version is made by one of them
+    only, and the others make their change again on the newer list.
+    """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
@@ -55,20 +63,35 @@ class PinStore:
         names = [m.path.rsplit("/", 1)[-1] for m in markers]
         return max((int(n.removeprefix("v").removesuffix(".done")) for n in names), default=-1)
 
-    def pins(self) -> DataFrame:
-        version = self._version()
+    def _folder(self, version: int) -> str:
+        """Where the rows of a version are, as its marker says."""
+        return f"{self.base}/pins.list/{read_text(self.spark, f'{self.base}/pins.list/v{version}.done')}"
+
+    def _read(self, version: int) -> DataFrame:
         if version < 0:
             return self.spark.createDataFrame([], PINS_SCHEMA)
-        return self.spark.read.schema(PINS_SCHEMA).parquet(f"{self.base}/pins.list/v{version}")
+        return self.spark.read.schema(PINS_SCHEMA).parquet(self._folder(version))
 
-    def _replace(self, pins: DataFrame) -> None:
-        version = self._version() + 1
-        folder = f"{self.base}/pins.list/v{version}"
-        pins.coalesce(1).write.mode("overwrite").parquet(folder)
-        write_text(self.spark, f"{folder}.done", "")
-        # The list before stays for those who are reading it.
-        for name in (f"v{version - 2}.done", f"v{version - 2}"):
+    def pins(self) -> DataFrame:
+        return self._read(self._version())
+
+    def _change(self, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Makes ``change`` of the newest list the next version; the list before it."""
+        while True:
+            version = self._version()
+            listed = self._read(version)
+            name = f"v{version + 1}-{uuid.uuid4().hex[:8]}"
+            change(listed).coalesce(1).write.parquet(f"{self.base}/pins.list/{name}")
+            if create_new(self.spark, f"{self.base}/pins.list/v{version + 1}.done", name):
+                break
+            # Somebody else made this version first.
             delete(self.spark, f"{self.base}/pins.list/{name}")
+        # The list before stays for those who are reading it.
+        old = f"{self.base}/pins.list/v{version - 1}.done"
+        if exists(self.spark, old):
+            delete(self.spark, self._folder(version - 1))
+            delete(self.spark, old)
+        return listed
 
     def _write_catalog(self, path: str) -> None:
         """The operators of a pin, so that listing it later reads no data."""
@@ -122,15 +145,14 @@ class PinStore:
         row = self.spark.createDataFrame(
             [(pin_id, source_path or path, qualified(self.spark, path), now, size)], PINS_SCHEMA
         )
-        listed = self.pins().unionByName(row)
-        paths = []
+        def added(listed: DataFrame) -> DataFrame:
+            more = listed.unionByName(row)
+            return more if max_pins is None else newest_kept(more, max_pins)
+
+        before = self._change(added).unionByName(row)
         if max_pins is not None:
-            expired = beyond_newest(listed, max_pins)
-            paths = [r["pin_path"] for r in expired.select("pin_path").collect()]
-            listed = listed.join(expired.select("id"), "id", "left_anti")
-        self._replace(listed)
-        for old in paths:
-            self._drop(old)
+            for old in beyond_newest(before, max_pins).select("pin_path").collect():
+                self._drop(old["pin_path"])
         return pin_id
 
     def lookup(self, source_path: str) -> str | None:
@@ -140,18 +162,17 @@ class PinStore:
 
     def delete(self, pin_id: str) -> bool:
         """Drop a pin; says whether there was one."""
-        pins = self.pins()
-        found = pins.filter(F.col("id") == pin_id).select("pin_path").first()
+        found = self.pins().filter(F.col("id") == pin_id).select("pin_path").first()
         if found is None:
             return False
-        self._replace(without_pin(pins, pin_id))
+        self._change(lambda listed: without_pin(listed, pin_id))
         self._drop(found[0])
         return True
 
     def clear(self) -> int:
         """Drop all pins; returns how many there were."""
-        paths = [r["pin_path"] for r in self.pins().select("pin_path").collect()]
-        self._replace(self.spark.createDataFrame([], PINS_SCHEMA))
+        before = self._change(lambda listed: listed.limit(0))
+        paths = [r["pin_path"] for r in before.select("pin_path").collect()]
         for path in paths:
             self._drop(path)
         return len(paths)
@@ -162,7 +183,12 @@ def read_pin(spark: SparkSession, path: str) -> DataFrame:
     path = path.rstrip("/")
     if not exists(spark, f"{path}/{MARKER}"):
         raise ValueError(f"no whole snapshot at {path}")
-    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    reader = spark.read.option("basePath", f"{path}/data")
+    found = reader.parquet(f"{path}/data")
+    # Folder names like state_name=01 would be taken for numbers.
+    fields = [T.StructField(f.name, T.StringType()) if f.name in PARTITION_COLUMNS else f for f in found.schema]
+    schema = T.StructType(fields)
+    return found if schema == found.schema else reader.schema(schema).parquet(f"{path}/data")
 
 
 def read_typed(spark: SparkSession, path: str, uid: str) -> DataFrame:
@@ -184,25 +210,40 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_snapshots(spark: SparkSession, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """Entries of the whole snapshots of a listing, each with its path, job and name.
 
-    All of them are read, or the newest ``limit``. Their paths come to the driver,
-    which has to open each.
+    All of them are read, or the newest ``limit``, by one scan: the files say which
+    snapshot a row is from. The paths come to the driver, as those of any scan do. A
+    listing without a whole snapshot gives no rows.
     """
     newest = snapshots.filter("valid")
     if limit is not None:
         newest = newest.orderBy(F.col("modification_time").desc(), "path").limit(limit)
-    newest = newest.select("path", "job_id", "snapshot").collect()
-    return one_result(
-        [
-            read_pin(spark, row["path"]).withColumns(
-                {
-                    "path": F.lit(row["path"]),
-                    "job_id": F.lit(row["job_id"]).cast("string"),
-                    "snapshot": F.lit(row["snapshot"]),
-                }
-            )
-            for row in newest
-        ]
-    )
+    named = newest.select("path", F.col("job_id").cast("string").alias("job_id"), "snapshot")
+    listed = named.collect()
+    if not listed:
+        return spark.createDataFrame([], f"{ENTRIES_SCHEMA}, {named.schema.toDDL()}")
+    folders = [f"{row['path']}/data" for row in listed]
+    rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*folders)
+    file = _decoded(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(file, "^(.*)/data/", 1)
+    below = F.substring(file, F.length(folder) + 1, F.length(file))
+    columns = {}
+    for name in PARTITION_COLUMNS:
+        value = _decoded(F.nullif(F.regexp_extract(below, f"/{name}=([^/]*)/", 1), F.lit("")))
+        value = F.nullif(value, F.lit(NULL_FOLDER))
+        # A pin without such folders has the column in its files.
+        columns[name] = F.coalesce(F.col(name).cast("string"), value) if name in rows.columns else value
+    columns["__own"] = _one_slash(folder)
+    listed = spark.createDataFrame(listed, named.schema).withColumn("__own", _one_slash(F.col("path")))
+    return rows.withColumns(columns).join(listed, "__own").drop("__own")
+
+
+def _decoded(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _one_slash(path: Column) -> Column:
+    """Listings and files spell paths with one slash or three behind the scheme."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
 
 
 def pin_to_table(
@@ -255,9 +296,13 @@ def beyond_newest(pins: DataFrame, keep: int = MAX_PINS) -> DataFrame:
     The kept ones are found by a top-k and taken away by an anti join whose
     broadcast side has at most ``keep`` rows; no task sorts the whole list.
     """
-    kept = pins.orderBy(F.col("cached_at").desc(), "id").limit(keep).select("id")
+    kept = newest_kept(pins, keep).select("id")
     return pins.join(F.broadcast(kept), "id", "left_anti")
 
 
+def newest_kept(pins: DataFrame, keep: int = MAX_PINS) -> DataFrame:
+    return pins.orderBy(F.col("cached_at").desc(), "id").limit(keep)
+
+
 def pin_totals(pins: DataFrame) -> DataFrame:
     return pins.agg(F.count("*").alias("n_pins"), F.sum("size_bytes").alias("total_bytes"))

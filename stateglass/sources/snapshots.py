@@ -6,121 +6,46 @@ with no job) where the name starts with ``chk-`` or ``savepoint-``; a file
 checkpoint folder of a stream, each planned batch N is a snapshot ``chk-N``,
 whole once the batch is committed.
 
-Discovery looks at names and times only and opens no file. The folders that
-hold most files, the data of pins and the state of streams, are not listed.
+Discovery looks at names and times only and opens no file. It is a job: tasks list the
+folders (``listing``), and the rows stay in Spark. The folders that hold most files, the
+data of pins and the state of streams, are not listed. Every action lists anew.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stateglass.functions.naming import snapshot_type
-from stateglass.sources.files import matching, qualified
+from stateglass.sources.listing import MARKER, SNAPSHOT_NAME, folder_sizes, listed_batches, listed_pins
 
-MARKER = "snapshot.json"
-SNAPSHOT_NAME = "^(chk|savepoint)-"
-SNAPSHOT_FOLDERS = "{chk-*,savepoint-*}"
-FILES_SCHEMA = "path string, modification_time timestamp, length bigint"
-SNAPSHOTS_SCHEMA = (
-    "path string, job_id string, snapshot string, type string, "
-    "modification_time timestamp, valid boolean"
-)
+__all__ = ["MARKER", "discover_snapshots", "list_children", "merge_listings", "probe_sources", "snapshot_sizes"]
 
 
-def list_files(spark: SparkSession, *patterns: str) -> DataFrame:
-    """Path, time and size of all files under the paths; no such paths, no files.
-
-    Many folders are listed by a job of their own, as for any read.
-    """
-    folders = [found.path for pattern in patterns for found in matching(spark, pattern)]
-    if not folders:
-        return spark.createDataFrame([], FILES_SCHEMA)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
-    return files.select("path", F.col("modificationTime").alias("modification_time"), "length")
-
-
-def snapshot_files(spark: SparkSession, base: str) -> DataFrame:
-    """Files of pinned snapshots with the snapshot each belongs to."""
-    base = base.rstrip("/")
-    files = list_files(spark, f"{base}/{SNAPSHOT_FOLDERS}", f"{base}/*/{SNAPSHOT_FOLDERS}")
-    parts = F.split(F.col("path"), "/")
-    # The snapshot is the first folder below the base with such a name.
-    depth = qualified(spark, base).count("/") + 1
-    first, second = F.get(parts, F.lit(depth)), F.get(parts, F.lit(depth + 1))
-    direct = first.rlike(SNAPSHOT_NAME)
-    length = F.when(direct, depth + 1).otherwise(depth + 2)
-    return files.select(
-        F.array_join(F.slice(parts, F.lit(1), length), "/").alias("snapshot_path"),
-        F.when(~direct, first).alias("job_id"),
-        F.when(direct, first).otherwise(second).alias("snapshot"),
-        "length",
-    )
-
-
-def _pinned(spark: SparkSession, base: str) -> DataFrame:
-    """One row per snapshot folder, which is all that comes to the driver."""
-    base = base.rstrip("/")
-    depth = qualified(spark, base).count("/")
-    patterns = [f"{base}/{SNAPSHOT_FOLDERS}", f"{base}/*/{SNAPSHOT_FOLDERS}"]
-    folders = [f for p in patterns for f in matching(spark, p) if f.is_folder]
-    markers = {f.path: f for p in patterns for f in matching(spark, f"{p}/{MARKER}")}
-    rows = []
-    for folder in folders:
-        below = folder.path.split("/")[depth + 1 :]
-        if len(below) == 2 and re.match(SNAPSHOT_NAME, below[0]):
-            continue  # part of a snapshot
-        marker = markers.get(f"{folder.path}/{MARKER}")
-        job = below[0] if len(below) == 2 else None
-        rows.append((folder.path, job, below[-1], (marker or folder).modified_ms, marker is not None))
-    schema = "path string, job_id string, snapshot string, modified_ms bigint, valid boolean"
-    return spark.createDataFrame(rows, schema).withColumn(
-        "modification_time", F.timestamp_millis("modified_ms")
-    )
-
-
-def _batches(spark: SparkSession, base: str, log: str) -> DataFrame:
-    parts = F.split(F.col("path"), "/")
-    return (
-        list_files(spark, f"{base}/*/{log}")
-        .select(
-            F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "/").alias("root"),
-            F.element_at(parts, -3).alias("job_id"),
-            F.element_at(parts, -1).try_cast("bigint").alias("batch_id"),
-            "modification_time",
-        )
-        .filter(F.col("batch_id").isNotNull())
-    )
-
-
-def _streaming(spark: SparkSession, base: str) -> DataFrame:
-    base = base.rstrip("/")
-    planned = _batches(spark, base, "offsets")
-    committed = _batches(spark, base, "commits").select(
-        "root", "batch_id", F.col("modification_time").alias("committed_at")
-    )
-    return planned.join(committed, ["root", "batch_id"], "left").select(
-        F.concat_ws("/", "root", F.lit("offsets"), F.col("batch_id").cast("string")).alias("path"),
+def _discovered(spark: SparkSession, sources: Sequence[str], layout: str, skip_errors: bool = False) -> DataFrame:
+    """Snapshots of several sources, with ``source`` as it was given."""
+    if layout == "pinned":
+        found = listed_pins(spark, sources, skip_errors).withColumnRenamed("name", "snapshot")
+    elif layout == "streaming":
+        found = listed_batches(spark, sources, skip_errors)
+        found = found.withColumn("snapshot", F.concat(F.lit("chk-"), F.col("batch_id").cast("string")))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
+    return found.select(
+        "source",
+        "path",
         "job_id",
-        F.concat(F.lit("chk-"), F.col("batch_id").cast("string")).alias("snapshot"),
-        F.coalesce("committed_at", "modification_time").alias("modification_time"),
-        F.col("committed_at").isNotNull().alias("valid"),
+        "snapshot",
+        snapshot_type(F.col("snapshot")).alias("type"),
+        F.timestamp_millis("modified_ms").alias("modification_time"),
+        "valid",
     )
 
 
 def discover_snapshots(spark: SparkSession, base: str, layout: str = "pinned") -> DataFrame:
     """``path, job_id, snapshot, type, modification_time, valid`` per snapshot."""
-    if layout == "pinned":
-        found = _pinned(spark, base)
-    elif layout == "streaming":
-        found = _streaming(spark, base)
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return found.withColumn("type", snapshot_type(F.col("snapshot"))).select(
-        "path", "job_id", "snapshot", "type", "modification_time", "valid"
-    )
+    return _discovered(spark, [base], layout).drop("source")
 
 
 def snapshot_names_only(rows: DataFrame, name: str = "snapshot") -> DataFrame:
@@ -152,33 +77,21 @@ def list_children(snapshots: DataFrame) -> DataFrame:
 
 
 def snapshot_sizes(spark: SparkSession, base: str) -> DataFrame:
-    """Bytes and files per pinned snapshot."""
-    return (
-        snapshot_files(spark, base)
-        .groupBy(F.col("snapshot_path").alias("path"), "job_id", "snapshot")
-        .agg(F.sum("length").alias("size_bytes"), F.count("*").alias("n_files"))
-    )
+    """Bytes and files per pinned snapshot: ``path, job_id, snapshot, size_bytes, n_files``."""
+    return folder_sizes(spark, discover_snapshots(spark, base), base)
 
 
 def probe_sources(spark: SparkSession, paths: str | Sequence[str], layout: str = "pinned") -> DataFrame:
     """How many snapshots each source holds; a source that cannot be read holds 0.
 
-    ``paths`` is a sequence or a comma-separated list; empty items are skipped.
+    ``paths`` is a sequence or a comma-separated list; empty items are skipped. All
+    sources are listed by one job.
     """
     if isinstance(paths, str):
         paths = paths.split(",")
-    sources = [p.strip() for p in paths if p.strip()]
-    result = spark.createDataFrame([(s,) for s in sources], "source string")
-    counted = None
-    for source in sources:
-        try:
-            found = discover_snapshots(spark, source, layout)
-        except Exception:  # any storage error means the same here: nothing to offer
-            continue
-        one = found.agg(F.count("*").alias("n_snapshots")).withColumn("source", F.lit(source))
-        counted = one if counted is None else counted.unionByName(one)
-    if counted is None:
-        return result.withColumn("n_snapshots", F.lit(0).cast("bigint"))
-    return result.join(counted, "source", "left").select(
-        "source", F.coalesce("n_snapshots", F.lit(0)).cast("bigint").alias("n_snapshots")
+    sources = list(dict.fromkeys(p.strip() for p in paths if p.strip()))
+    asked = spark.createDataFrame([(s,) for s in sources], "source string")
+    counted = _discovered(spark, sources, layout, skip_errors=True).groupBy("source").agg(F.count("*").alias("n"))
+    return asked.join(counted, "source", "left").select(
+        "source", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_snapshots")
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from stateglass.functions.text import json_text
 from stateglass.operators.entries import combine_states, merge_rows, one_result
 from stateglass.sources.catalog import discover_operators, state_variables
 from stateglass.sources.custom import as_entries
+from stateglass.sources.files import matching
 
 
 def _ready(spark: SparkSession) -> None:
@@ -227,33 +231,27 @@ def read_all_states(
 
 
 def read_source_offsets(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Source positions of each batch: ``batch_id, source, position, committed``.
+    """Source positions of each batch: ``job_id, batch_id, planned_ms, source, position, committed``.
 
-    An offset file has a version line, a line about the batch and one line per
-    source.
+    ``checkpoint`` may be a pattern of many. An offset file has a version line, a line
+    about the batch and one line per source; ``position`` is that line, see
+    ``source_positions``. ``job_id`` is the name of the checkpoint's folder.
     """
     root = checkpoint.rstrip("/")
-
-    def log(name: str) -> DataFrame:
-        batch = F.regexp_extract(F.col("_metadata.file_path"), "([0-9]+)$", 1).try_cast("bigint")
-        return (
-            spark.read.text(f"{root}/{name}", wholetext=True)
-            .select(batch.alias("batch_id"), F.split("value", "\n").alias("lines"))
-            .filter(F.col("batch_id").isNotNull())
-        )
-
-    committed = log("commits").select("batch_id", F.lit(True).alias("committed"))
+    committed = _batch_log(spark, root, "commits").select("__root", "batch_id", F.lit(True).alias("committed"))
     info = F.from_json(F.get("lines", F.lit(1)), "struct<batchTimestampMs:bigint>")
     sources = F.expr("slice(lines, 3, size(lines))")
     return (
-        log("offsets")
+        _batch_log(spark, root, "offsets")
         .select(
+            "__root",
             "batch_id",
             info["batchTimestampMs"].alias("planned_ms"),
             F.posexplode(sources).alias("source", "position"),
         )
-        .join(committed, "batch_id", "left")
+        .join(committed, ["__root", "batch_id"], "left")
         .select(
+            F.element_at(F.split("__root", "/"), -1).alias("job_id"),
             "batch_id",
             "planned_ms",
             "source",
@@ -261,3 +259,64 @@ def read_source_offsets(spark: SparkSession, checkpoint: str) -> DataFrame:
             F.coalesce("committed", F.lit(False)).alias("committed"),
         )
     )
+
+
+def _batch_log(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``__root, batch_id, lines`` of the files of a log; without such a folder none."""
+    schema = "__root string, batch_id bigint, lines array<string>"
+    if not matching(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], schema)
+    path = F.col("_metadata.file_path")
+    return (
+        spark.read.text(f"{root}/{name}", wholetext=True)
+        .select(
+            F.regexp_extract(path, f"^(.*)/{name}/[^/]*$", 1).alias("__root"),
+            F.regexp_extract(path, "([0-9]+)$", 1).try_cast("bigint").alias("batch_id"),
+            F.split("value", "\n").alias("lines"),
+        )
+        .filter(F.col("batch_id").isNotNull())
+    )
+
+
+_POSITION = T.StructType().add("partition", "string").add("position", "long")
+
+
+@F.arrow_udf(T.ArrayType(_POSITION))
+def _positions(texts: pa.Array) -> pa.Array:
+    """The whole numbers in JSON texts, each with the names that lead to it."""
+
+    def walk(value, names: tuple[str, ...]):
+        if isinstance(value, dict):
+            for name, below in value.items():
+                yield from walk(below, (*names, name))
+        elif isinstance(value, list):
+            for number, below in enumerate(value):
+                yield from walk(below, (*names, str(number)))
+        elif isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63:
+            yield {"partition": "/".join(names), "position": value}
+        elif isinstance(value, str) and value.lstrip("-").isdigit() and len(value) < 19:
+            yield {"partition": "/".join(names), "position": int(value)}
+
+    def positions(text: str | None) -> list:
+        try:
+            return list(walk(json.loads(text or ""), ()))
+        except ValueError:
+            return []
+
+    kind = pa.list_(pa.struct([("partition", pa.string()), ("position", pa.int64())]))
+    return pa.array([positions(t) for t in texts.to_pylist()], kind)
+
+
+def source_positions(offsets: DataFrame) -> DataFrame:
+    """One row per batch, source and partition: ``partition``, ``position`` and ``advance``.
+
+    A position is any JSON: every whole number in it is a position, named by the fields
+    and places that lead to it, joined by slashes (``topic/0``, ``logOffset``, or nothing
+    for a bare number). Sources whose line has none, such as ``-``, give no rows.
+    ``advance`` is the move since the batch before that has the partition.
+    """
+    by = Window.partitionBy("job_id", "source", "partition").orderBy("batch_id")
+    return (
+        offsets.select("job_id", "batch_id", "planned_ms", "committed", "source", F.inline(_positions("position")))
+        .withColumn("advance", F.col("position") - F.lag("position").over(by))
+    )

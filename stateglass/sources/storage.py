@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.sql import Column, DataFrame, functions as F
+
 # Option names and the settings they stand for.
 S3_SETTINGS = {
     "aws.region": "fs.s3a.endpoint.region",
@@ -58,3 +60,26 @@ def hadoop_conf(options: Mapping[str, str], environ: Mapping[str, str] | None =
 def hadoop_path(uri: str) -> str:
     """``s3://`` paths are served by the s3a file system."""
     return "s3a://" + uri.removeprefix("s3://") if uri.startswith("s3://") else uri
+
+
+def setting_rows(rows: DataFrame, options: Mapping[str, Column]) -> DataFrame:
+    """``rows`` once per Spark setting, with ``setting`` and ``value``.
+
+    ``options`` are columns by option name; an option that a row has not makes no
+    setting, and a region that it has not is the default one.
+    """
+    known = {**S3_SETTINGS, **GCS_SETTINGS}
+    unknown = set(options) - set(known)
+    if unknown:
+        raise ValueError(f"unknown storage options: {', '.join(sorted(unknown))}")
+    columns = {known[name]: column.cast("string") for name, column in options.items()}
+    if any(name.startswith("aws.") for name in options):
+        region = S3_SETTINGS["aws.region"]
+        columns[region] = F.coalesce(columns.get(region, F.lit(None)), F.lit(DEFAULT_REGION))
+    pairs = [F.struct(F.lit(name).alias("setting"), value.alias("value")) for name, value in columns.items()]
+    return rows.select(*[f"`{c}`" for c in rows.columns], F.inline(F.array(*pairs))).filter("value IS NOT NULL")
+
+
+def hadoop_path_column(uri: Column) -> Column:
+    """``hadoop_path`` of a column."""
+    return F.regexp_replace(uri, "^s3://", "s3a://")

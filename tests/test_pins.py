@@ -111,3 +111,70 @@ def test_jobs_may_share_a_snapshot_name_and_no_pin_goes_unasked(spark, tmp_path)
     assert {tuple(r) for r in counts} == {("a", "chk-1", 3), ("b", "chk-1", 5)}
     store.pin_snapshot(rows, "c", "chk-1", max_pins=1)
     assert store.pins().count() == 1
+
+
+def entries(spark, n, value="v"):
+    return spark.range(n).selectExpr(
+        "'op' AS operator_uid", "'keyed' AS state_kind", "string(id % 2 + 1) AS state_name",
+        "string(id) AS key", f"'{value}' AS value", "'0' AS operator_id",
+    )
+
+
+def test_many_pins_are_one_scan(spark, tmp_path):
+    store = k.PinStore(spark, str(tmp_path / "data" / "a b%+é"))
+    for i in range(3):
+        store.pin_snapshot(entries(spark, i + 1, f"v{i}"), f"job {i}%+", f"chk-{i}")
+    entries(spark, 9).write.parquet(str(tmp_path / "data" / "a b%+é" / "job" / "chk-9" / "data"))
+    found = discover_snapshots(spark, store.base)
+    assert found.count() == 4
+    rows = k.read_snapshots(spark, found)
+    assert {tuple(r) for r in rows.groupBy("path", "job_id", "snapshot", "value").count().select("job_id", "snapshot", "value", "count").collect()} == {
+        (f"job {i}%+", f"chk-{i}", f"v{i}", i + 1) for i in range(3)
+    }
+    assert rows.schema["state_name"].dataType.typeName() == rows.schema["operator_id"].dataType.typeName() == "string"
+    plan = rows.filter("state_name = '1'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    newest = k.read_snapshots(spark, found, limit=1)
+    assert newest.select("snapshot").distinct().count() == 1
+
+
+def test_no_whole_snapshot_gives_no_rows(spark, tmp_path):
+    found = discover_snapshots(spark, str(tmp_path))
+    rows = k.read_snapshots(spark, found)
+    assert rows.count() == 0 and {"path", "job_id", "snapshot", "key", "value"} <= set(rows.columns)
+
+
+def test_names_of_states_stay_text(spark, store):
+    rows = entries(spark, 4).withColumn("state_name", F.concat(F.lit("0"), "state_name"))
+    store.pin_snapshot(rows, "job", "chk-1", "src")
+    back = k.read_pin(spark, store.lookup("src"))
+    assert {r["state_name"] for r in back.collect()} == {"01", "02"}
+
+
+def test_two_writers_lose_no_pin(spark, tmp_path, monkeypatch):
+    """Both read the same list; the slower one makes its change again on the newer."""
+    first, second = (k.PinStore(spark, str(tmp_path)) for _ in range(2))
+    first.pin_snapshot(entries(spark, 1), "job", "chk-0")
+    make, raced = k.create_new, []
+
+    def slow(session, path, text):
+        if path.endswith("v1.done") and not raced:
+            raced.append(path)
+            second.pin_snapshot(entries(spark, 2), "job", "chk-2")
+        return make(session, path, text)
+
+    monkeypatch.setattr(k, "create_new", slow)
+    first.pin_snapshot(entries(spark, 1), "job", "chk-1")
+    assert raced and first.pins().count() == second.pins().count() == 3
+    assert k.read_snapshots(spark, discover_snapshots(spark, str(tmp_path))).count() == 4
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def pin(i):
+        return k.PinStore(spark, str(tmp_path)).pin_snapshot(entries(spark, 1), "job", f"chk-{i}")
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(pin, range(4)))
+    assert {r["id"] for r in k.PinStore(spark, str(tmp_path)).pins().collect()} == set(ids)

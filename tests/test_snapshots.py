@@ -2,6 +2,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from stateglass.sources import snapshots as s, storage
 
@@ -113,3 +114,29 @@ def test_storage_options():
         storage.storage_options({"x": "1"})
     assert storage.hadoop_path("s3://b/k") == "s3a://b/k"
     assert storage.hadoop_path("gs://b/k") == "gs://b/k"
+
+
+def test_positions_of_any_json(spark):
+    from stateglass.sources.state import source_positions
+
+    lines = {
+        0: '{"logOffset":4}', 1: '{"t":{"0":10,"1":-5},"u":{"0":"77"}}', 2: "12", 3: "-", 4: "[1,{\"a\":2}]",
+        5: '{"x":true,"y":1.5,"z":null}', 6: "", 7: None,
+    }
+    rows = [("j", b, 1, s, p, True) for b in (0, 1) for s, p in lines.items()]
+    frame = spark.createDataFrame(rows, "job_id string, batch_id long, planned_ms long, source int, position string, committed boolean")
+    found = {(r["batch_id"], r["source"], r["partition"]): (r["position"], r["advance"]) for r in source_positions(frame).collect()}
+    want = {(0, "logOffset"): 4, (1, "t/0"): 10, (1, "t/1"): -5, (1, "u/0"): 77, (2, ""): 12, (4, "0"): 1, (4, "1/a"): 2}
+    assert found == {**{(0, *k): (v, None) for k, v in want.items()}, **{(1, *k): (v, 0) for k, v in want.items()}}
+
+
+def test_settings_by_columns(spark):
+    rows = spark.createDataFrame([("a", "s3://b/k"), (None, "gs://b")], "region string, uri string")
+    made = storage.setting_rows(rows, {"aws.region": F.col("region"), "aws.endpoint": F.lit("http://h")})
+    found = {(r["region"], r["setting"]): r["value"] for r in made.collect()}
+    for region in ("a", None):
+        options = storage.storage_options({"aws.endpoint": "http://h", **({"aws.region": region} if region else {})}, {})
+        assert {s: v for (r, s), v in found.items() if r == region} == options
+    assert [r[0] for r in rows.select(storage.hadoop_path_column(F.col("uri"))).collect()] == ["s3a://b/k", "gs://b"]
+    with pytest.raises(ValueError, match="unknown storage options: x"):
+        storage.setting_rows(rows, {"x": F.lit("1")})

@@ -160,7 +160,7 @@ def test_catalog_and_errors(spark, keyed):
 
 def test_offsets(spark, keyed):
     rows = st.read_source_offsets(spark, keyed).orderBy("batch_id").collect()
-    assert [(r["batch_id"], r["source"], r["committed"]) for r in rows] == [(0, 0, True), (1, 0, True), (2, 0, True)]
+    assert [(r["job_id"], r["batch_id"], r["source"], r["committed"]) for r in rows] == [("keyed", i, 0, True) for i in range(3)]
     assert all(r["position"].startswith("{") and r["planned_ms"] > 0 for r in rows)
 
 
