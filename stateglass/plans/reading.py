@@ -14,7 +14,7 @@ from stateglass.plans.tables import (
     state_sql,
     texts,
 )
-from stateglass.sources.custom import as_entries
+from stateglass.sources.custom import read_entries, register_sources
 from stateglass.sources.storage import hadoop_path, hadoop_path_column, setting_rows, storage_options
 
 ENTRIES = entries_sql(AFTER)
@@ -188,14 +188,16 @@ def read_with_options(spark, sf_dir):
     """
     SELECT operator_uid, state_kind, state_name, key, arg_max(value, turn) AS value
     FROM (SELECT 'chat' AS operator_uid, 'keyed' AS state_kind, role AS state_name,
-                 CAST(conv_id AS VARCHAR) AS key, CAST(length(text) AS VARCHAR) AS value, turn
-          FROM conversations)
+                 CAST(conv_id AS VARCHAR) AS key, text AS value, turn
+          FROM conversations WHERE role IN ('user', 'assistant'))
     GROUP BY 1, 2, 3, 4
     """,
 )
 def custom_source(spark, sf_dir):
-    chats = load(spark, sf_dir, "conversations")
-    latest = e.last_write_wins(
-        chats.withColumn("value", F.length("text")), "turn", ["conv_id", "role"]
-    )
-    return as_entries(latest, "chat", F.col("role"), F.col("conv_id"), F.col("value"))
+    """A table read by a registered format; the states are chosen inside the source."""
+    register_sources(spark)
+    options = {"operator": "chat", "state": "role", "key": "conv_id", "value": "text", "seq": "turn"}
+    chats = read_entries(spark, "stateglass-table", f"{sf_dir}/conversations.parquet", **options)
+    chosen = chats.filter((F.col("operator_uid") == "chat") & F.col("state_name").isin("user", "assistant"))
+    latest = e.last_write_wins(chosen, "seq", ["operator_uid", "state_kind", "state_name", "key"])
+    return latest.select("operator_uid", "state_kind", "state_name", "key", "value")

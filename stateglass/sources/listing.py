@@ -59,7 +59,7 @@ class Store:
         }
         return pafs.S3FileSystem(**{name: value for name, value in options.items() if value})
 
-    def _at(self, uri: str) -> tuple[pafs.FileSystem, str]:
+    def open(self, uri: str) -> tuple[pafs.FileSystem, str]:
         """The file system of a path, and the path as that file system spells it."""
         scheme, match = scheme_of(uri), _URI.match(uri)
         if scheme in ("", "file"):
@@ -76,7 +76,7 @@ class Store:
 
     def children(self, uri: str, deep: bool = False) -> list[tuple[str, bool, int, int]]:
         """(name, is a folder, milliseconds, bytes) of what is in a folder; nothing if there is none."""
-        store, path = self._at(uri)
+        store, path = self.open(uri)
         found = store.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=deep))
         return [
             (i.base_name, i.type == pafs.FileType.Directory, (i.mtime_ns or 0) // 1_000_000, i.size or 0) for i in found
@@ -84,12 +84,16 @@ class Store:
 
     def modified_ms(self, uri: str) -> int | None:
         """When a file was written; None if there is none."""
-        store, path = self._at(uri)
+        store, path = self.open(uri)
         info = store.get_file_info(path)
         return None if info.type == pafs.FileType.NotFound else (info.mtime_ns or 0) // 1_000_000
 
+    def is_folder(self, uri: str) -> bool:
+        store, path = self.open(uri)
+        return store.get_file_info(path).type == pafs.FileType.Directory
+
     def write(self, uri: str, data: bytes) -> None:
-        store, path = self._at(uri)
+        store, path = self.open(uri)
         if isinstance(store, pafs.LocalFileSystem):
             store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(path) as stream:

@@ -53,8 +53,8 @@ def test_other_stores_are_listed_by_the_driver(spark, many, monkeypatch):
 
 def test_paths_of_stores():
     store = listing.Store({"fs.s3a.endpoint": "http://host:9", "fs.s3a.endpoint.region": "r", "fs.s3a.access.key": "a", "fs.s3a.secret.key": "b"})
-    assert store._at("s3a://bucket/a/b")[1] == "bucket/a/b"
-    assert store._at("file:///a/b c")[1] == "/a/b c" == store._at("file:/a/b c")[1] == store._at("/a/b c")[1]
+    assert store.open("s3a://bucket/a/b")[1] == "bucket/a/b"
+    assert store.open("file:///a/b c")[1] == "/a/b c" == store.open("file:/a/b c")[1] == store.open("/a/b c")[1]
 
 
 def test_files_are_written_by_tasks(spark, tmp_path):
