@@ -13,12 +13,11 @@ from stateglass.llm.domain import domain_scores
 from stateglass.llm.queries import DOMAIN_SOURCE, QUERIES
 
 
-def plain(rows, vocabulary=domain.VOCABULARY):
+def plain(rows):
     """``rows`` are (id, text, in target)."""
     split = [(i, re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), inside) for i, t, inside in rows]
     counts = Counter(w for _, words, _ in split for w in words)
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:vocabulary]}
-    sequences = [(["<"] + [w if w in known else "*" for w in words] + [">"], inside) for _, words, inside in split if words]
+    sequences = [(["<", *words, ">"], inside) for _, words, inside in split if words]
     models = []
     for only_target in (True, False):
         own = [s for s, inside in sequences if inside or not only_target]
@@ -27,7 +26,7 @@ def plain(rows, vocabulary=domain.VOCABULARY):
             single.update(s[1:])
             first.update(s[:-1])
             pairs.update(zip(s, s[1:]))
-        total, classes = sum(single.values()), len(known) + 2
+        total, classes = sum(single.values()), len(counts) + 2
 
         def loss(a, b, single=single, first=first, pairs=pairs, total=total):
             p = (single[b] + 1) / (total + classes)
@@ -36,7 +35,7 @@ def plain(rows, vocabulary=domain.VOCABULARY):
         models.append(loss)
     out = []
     for i, words, _ in split:
-        s = ["<"] + [w if w in known else "*" for w in words] + [">"]
+        s = ["<", *words, ">"]
         steps = list(zip(s, s[1:]))
         out.append((i, len(words), sum(models[0](a, b) - models[1](a, b) for a, b in steps) / len(steps) if words else None))
     return out
@@ -55,13 +54,22 @@ def test_query_matches_plain_version(spark, sf_dir):
     same(list(map(tuple, got)), plain([(d.doc_id, d.text, d.source == DOMAIN_SOURCE) for d in docs]))
 
 
-def test_small_vocabulary_and_odd_rows(spark, monkeypatch):
+def test_odd_rows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choices(["A", "b", "É", "d,", "rare%d" % i], k=rng.randrange(0, 30))), rng.random() < 0.3) for i in range(60)]
     rows += [(100, None, True), (101, "", None), (102, "--", True), (5, "a b a b", True), (5, "a b a b", True), (103, "a b " * 30_000, False)]
     frame = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, mine boolean, n_words int")
-    got = domain_scores(frame, F.col("mine"), vocabulary=3)
-    same(list(map(tuple, got.collect())), plain(rows, 3))
+    got = domain_scores(frame, F.col("mine"))
+    same(list(map(tuple, got.collect())), plain(rows))
     none = domain_scores(spark.createDataFrame([(None, "a")], "doc_id long, text string"), F.lit(None).cast("boolean"))
     assert none.first()[:2] == (None, 1)
     assert domain_scores(frame.limit(0), F.col("mine")).count() == 0
+
+
+def test_more_words_than_16_bits_count_one_by_one(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(90_000)]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i * 900 : (i + 1) * 900] + rng.choices(words, k=100)), i % 3 == 0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, mine boolean").repartition(4)
+    same(list(map(tuple, domain_scores(frame, F.col("mine")).collect())), plain(rows))
