@@ -3,8 +3,8 @@
 Trusted good texts are the positives; the other side is unlabelled web text, which is
 a mixture of good and bad. With the class prior known, the risk of a classifier on
 good and bad texts can be written with these two samples alone, and its estimate of
-the part due to bad texts is kept from going negative. The prior is estimated from
-the same two samples: no region of scores can hold a smaller share of the unlabelled
+the part due to bad texts is kept from going negative. Samples train it; the prior and
+the threshold rest on the scores of all unlabelled texts, counted in Spark: no region of scores can hold a smaller share of the unlabelled
 than the prior times its share of the positives. The classifier is a small network
 over figures of style: which characters, what words, which repeats.
 """
@@ -12,14 +12,14 @@ over figures of style: which characters, what words, which repeats.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stateglass.llm.common import chunks
+from stateglass.llm.common import chunks, written
 
 # The model is fitted on at most so many rows of each kind.
 POSITIVE_ROWS = 3000
@@ -31,6 +31,10 @@ RATE = 0.005
 # The score that divides good from bad.
 DIVIDE = 0.3
 DECAY = 1e-4
+# Bounds of the bins that logits are counted in, and the share of rows on either side of
+# the prior's quantile among which the dividing place is sought.
+EDGES = np.linspace(-35, 35, 8193)
+REACH = 0.04
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = np.zeros(256, np.int64)  # 0: control and others
@@ -145,16 +149,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+# Gives the counts of all unlabelled logits by the edges that divide them.
+Counted = Callable[[Network, np.ndarray], np.ndarray]
+
+
+def histogram(logits: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many are below the first edge, from the first to below the second, and so on."""
+    return np.bincount(np.searchsorted(edges, logits, "right"), minlength=len(edges) + 1)
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The largest share of positives that the unlabelled scores allow.
+    """The largest share of positives that the scores of all unlabelled rows allow.
 
-    For every threshold the share of unlabelled rows above it, less what the sample
-    leaves uncertain, is at least the prior times the share of positives above it.
+    ``unlabelled`` is their histogram by the distinct values of ``positive``. For every
+    threshold the share of unlabelled rows above it, less what the counts leave
+    uncertain, is at least the prior times the share of positives above it.
     """
     cuts = np.unique(positive)
+    total = max(unlabelled.sum(), 1)
     above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    above_u = np.cumsum(unlabelled[::-1])[::-1][1:] / total
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(total))
     # The bound is tightest where it is least uncertain.
     bounds, wide = above_u / above_p, (above_u + slack) / np.maximum(above_p - slack, 1e-9)
     usable = above_p > slack
@@ -164,27 +179,40 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(bounds[at], 0.01, 0.99))
 
 
-def dividing_logit(unlabelled: np.ndarray, prior: float) -> float:
-    """The middle of the widest gap near the logit above which the prior's share lies."""
-    ordered = np.sort(unlabelled)
-    n = len(ordered)
-    at, reach = int((1 - prior) * n), max(1, n // 25)
-    low = max(0, min(at - reach, n - 2))
-    gaps = np.diff(ordered[low : at + reach + 1])
-    k = low + int(gaps.argmax())
-    return float((ordered[k] + ordered[k + 1]) / 2)
+def dividing_logit(counts: np.ndarray, edges: np.ndarray, prior: float) -> float:
+    """Where the unlabelled rows are thinnest, near the logit above which the prior's share lies.
 
-
-def train_pu(positive: np.ndarray, unlabelled: np.ndarray) -> Network:
+    ``counts`` is the histogram of all of them by evenly spaced ``edges``. Near are those
+    within ``REACH`` of the rows; of equally thin places the middle of the longest is taken.
+    """
+    below = np.cumsum(counts) / max(counts.sum(), 1)
+    low, high = (int(np.searchsorted(below, 1 - prior + r)) for r in (-REACH, REACH))
+    low, high = max(low, 1), min(max(high, low + 1), len(edges) - 1)
+    width = max(1, (high - low) // 32)
+    thin = np.convolve(counts, np.ones(width), "same")[low : high + 1]
+    least = np.concatenate([[False], thin == thin.min(), [False]])
+    turns = np.flatnonzero(np.diff(least.astype(int)))
+    begins, ends = turns[::2], turns[1::2]
+    k = int((ends - begins).argmax())
+    # Bin i lies between edge i - 1 and edge i.
+    return float((edges[low + begins[k] - 1] + edges[min(low + ends[k] - 1, len(edges) - 1)]) / 2)
+
+
+def train_pu(positive: np.ndarray, unlabelled: np.ndarray, counted: Counted | None = None) -> Network:
     """The prior from a first network on half of the rows, then the network for it.
 
-    The scores are moved so that ``DIVIDE`` parts the unlabelled rows by the prior.
+    The prior and the place that divides come from ``counted``, the scores of all
+    unlabelled rows; without it, from the rows given. The scores are moved so that
+    ``DIVIDE`` is at that place.
     """
+    if counted is None:
+        counted = lambda net, edges: histogram(net.logits(unlabelled), edges)
     half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
     first = fit(positive[half_p], unlabelled[half_u], 0.5)
-    prior = estimate_prior(first.logits(positive[~half_p]), first.logits(unlabelled[~half_u]))
+    held = first.logits(positive[~half_p])
+    prior = estimate_prior(held, counted(first, np.unique(held)))
     net = fit(positive, unlabelled, prior)
-    net.outer_bias += np.log(DIVIDE / (1 - DIVIDE)) - dividing_logit(net.logits(unlabelled), prior)
+    net.outer_bias += np.log(DIVIDE / (1 - DIVIDE)) - dividing_logit(counted(net, EDGES), EDGES, prior)
     return net
 
 
@@ -194,32 +222,53 @@ def train(
     """A network from trusted positives and unlabelled documents.
 
     ``docs`` has ``id`` and ``text``; ``positives`` has the ``id`` of trusted rows,
-    ``labelled`` the ``id`` of all rows that are not to count as unlabelled. At most
-    ``positive_rows`` and ``unlabelled_rows`` documents are used, chosen by the hash
-    of the id. With fewer than four of either kind every score is one half.
+    ``labelled`` the ``id`` of all rows that are not to count as unlabelled. The network
+    learns from at most ``positive_rows`` and ``unlabelled_rows`` documents, chosen by the
+    hash of the id; the class prior and the threshold come from the scores of all
+    unlabelled documents. With fewer than four of either kind every score is one half.
     """
-    first = lambda ids, n: ids.distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-    known = first(positives.where("id IS NOT NULL").select("id"), positive_rows)
-    other = first(docs.where("id IS NOT NULL").select("id").join(labelled.select("id"), "id", "left_anti"), unlabelled_rows)
-    chosen = known.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             made = [row.tobytes() for row in feature_rows(chunk.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column("kind"), chunk.column("k"), pa.array(made, pa.binary())], names=["kind", "k", "row"]
-            )
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), chunk.column("k"), pa.array(made, pa.binary())], names=["id", "k", "row"])
+
+    # Texts are measured once; after that a document is some hundred bytes.
+    rows = docs.where("id IS NOT NULL").select("id", F.xxhash64("id", "text").alias("k"), F.col("text").cast("binary").alias("text"))
+    rows = written(rows.mapInArrow(measure, rows.drop("text").schema.add("row", "binary")), "features")
+    unlabelled = written(rows.join(labelled.select("id"), "id", "left_anti"), "unlabelled")
 
+    first = lambda ids, n: ids.distinct().orderBy(F.xxhash64("id"), "id").limit(n)
+    known = first(positives.where("id IS NOT NULL").select("id"), positive_rows)
+    other = first(unlabelled.select("id"), unlabelled_rows)
+    chosen = known.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0)))
     # The chosen ids are at most as many as the two limits, so a broadcast has a known bound.
-    rows = docs.join(F.broadcast(chosen), "id")
-    rows = rows.select("kind", F.xxhash64("id", "text").alias("k"), F.col("text").cast("binary").alias("text"))
-    rows = rows.mapInArrow(measure, "kind int, k long, row binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["k"], r["row"]))
-    kinds = [np.array([np.frombuffer(r["row"]) for r in rows if r["kind"] == kind]) for kind in (1, 0)]
+    sample = rows.join(F.broadcast(chosen), "id").select("kind", "k", "row").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["k"], r["row"]))
+    kinds = [np.array([np.frombuffer(r["row"]) for r in sample if r["kind"] == kind]) for kind in (1, 0)]
     if min(map(len, kinds)) < 4:
         width = len(features(None))
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), 0.0)
-    return train_pu(*kinds)
+    return train_pu(*kinds, lambda net, edges: counted_logits(unlabelled, net, edges))
+
+
+def counted_logits(rows: DataFrame, net: Network, edges: np.ndarray) -> np.ndarray:
+    """The histogram of the logits of all ``rows`` (with ``row``), added up in Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            measured = np.frombuffer(b"".join(batch.column("row").to_pylist())).reshape(batch.num_rows, -1)
+            if batch.num_rows:
+                total += histogram(net.logits(measured), edges)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "n"])
+
+    counts = np.zeros(len(edges) + 1, np.int64)
+    counted = rows.select("row").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # as many as there are bins
+        counts[r["bin"]] = r["n"]
+    return counts
 
 
 def score_quality(docs: DataFrame, net: Network, result: str = "quality", text_col: str = "text") -> DataFrame:

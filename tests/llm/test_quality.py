@@ -3,7 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stateglass.llm.quality import estimate_prior, features, fit, non_negative_slopes, score_quality, train, train_pu
+from stateglass.llm import quality
+from stateglass.llm.quality import (
+    EDGES, dividing_logit, estimate_prior, feature_rows, features, fit, histogram, non_negative_slopes,
+    score_quality, train, train_pu,
+)
 from stateglass.llm.queries import QUERIES
 
 
@@ -61,5 +65,37 @@ def test_odd_rows(spark):
         got = score_quality(frame, net).collect()
         assert len(got) == len(odd) and all(0 <= r.quality <= 1 for r in got)
         assert score_quality(frame.limit(0), net).count() == 0
-    assert 0 < estimate_prior(np.ones(4), np.ones(4)) < 1
+    assert 0 < estimate_prior(np.ones(4), histogram(np.ones(4), np.ones(1))) < 1
     assert fit(np.ones((4, 2)), np.zeros((4, 2)), 0.5).scores(np.zeros((1, 2))).shape == (1,)
+
+
+def test_prior_and_threshold_rest_on_all_unlabelled_rows(spark, monkeypatch):
+    """A sample of 20 rows trains; what is counted are all rows, as a plain loop finds them."""
+    rng = np.random.default_rng(7)
+    texts = [(i, ("good words here. " if rng.random() < 0.4 else "$$$ !!! 11 ") * int(rng.integers(2, 9))) for i in range(600)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    positives = docs.where("id < 60 AND text LIKE 'good%'").select("id")
+    labelled = docs.where("id < 80").select("id")
+    seen, kept = [], quality.counted_logits
+
+    def watched(rows, net, edges):
+        counts = kept(rows, net, edges)
+        plain = histogram(net.logits(feature_rows([t.encode() for i, t in texts if i >= 80])), edges)
+        seen.append((counts == plain).all() and counts.sum() == 520)
+        return counts
+
+    monkeypatch.setattr(quality, "counted_logits", watched)
+    net = train(docs, positives, labelled, unlabelled_rows=40)
+    assert seen == [True, True]
+    share = np.mean([t.startswith("good") for i, t in texts if i >= 80])
+    assert abs(net.prior - share) < 0.2
+    got = score_quality(docs, net).collect()
+    assert np.mean([(r.quality >= 0.3) == r.text.startswith("good") for r in got]) > 0.95
+
+
+def test_dividing_place():
+    rng = np.random.default_rng(3)
+    for n in (60, 200_000):
+        logits = np.concatenate([rng.normal(-4, 0.8, int(n * 0.7)), rng.normal(4, 0.8, int(n * 0.3))])
+        assert -2.5 < dividing_logit(histogram(logits, EDGES), EDGES, 0.3) < 2.5
+    assert np.isfinite(dividing_logit(histogram(np.zeros(3), EDGES), EDGES, 0.99))
