@@ -10,7 +10,7 @@ shuffle. Nullable key columns are compared null-safe.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -200,6 +200,49 @@ def diff_snapshots(
     )
 
 
+def diff_operators(
+    left: Mapping[str, DataFrame], right: Mapping[str, DataFrame], keys_only: bool = False
+) -> DataFrame:
+    """The diff of all operators of two snapshots in one join, every value in its type.
+
+    A side has by operator one row per ``key``, with a column per state. Gives
+    ``operator_uid, key, status`` and, unless ``keys_only``, ``left, right,
+    field_changes``. Keys are a struct with one part per operator and type of key, of
+    which one has a value, so keys of different types never meet; ``left`` and ``right``
+    have the states of all operators as ``uid.state``, and ``field_changes`` the names of
+    the states. An operator that one side does not have is added or removed as a whole.
+    """
+    parts: dict[tuple[str, str], tuple[str, T.DataType]] = {}
+    for uid, rows in [*left.items(), *right.items()]:
+        kind = rows.schema["key"].dataType
+        parts.setdefault((uid, kind.simpleString()), (f"key_{len(parts)}", kind))
+    if not parts:
+        raise ValueError("no operator on either side")
+
+    def wide(uid: str, rows: DataFrame) -> DataFrame:
+        own, _ = parts[uid, rows.schema["key"].dataType.simpleString()]
+        key = [(F.col("key") if name == own else F.lit(None).cast(kind)).alias(name) for name, kind in parts.values()]
+        values = [] if keys_only else [F.col(f"`{c}`").alias(f"{uid}.{c}") for c in rows.columns if c != "key"]
+        return rows.select(F.struct(F.lit(uid).alias("operator_uid"), *key).alias("key"), *values)
+
+    def side(operators: Mapping[str, DataFrame], other: Mapping[str, DataFrame]) -> DataFrame:
+        # Without operators a side has the other's columns and no rows.
+        frames = [wide(*o) for o in operators.items()] or [wide(*o).limit(0) for o in other.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    found = diff_snapshots(side(left, right), side(right, left), keys_only=keys_only)
+    uid = F.col("key.operator_uid")
+    if keys_only:
+        return found.select(uid.alias("operator_uid"), "key", "status")
+
+    def named(change: Column) -> Column:
+        name = F.substr(change["field_name"], F.length(uid) + 2)
+        return F.struct(name.alias("field_name"), change["old_value"], change["new_value"])
+
+    changes = F.transform("field_changes", named).cast(CHANGES_TYPE).alias("field_changes")
+    return found.select(uid.alias("operator_uid"), "key", "status", "left", "right", changes)
+
+
 def diff_status(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """Just ``keys..., status``; nothing is printed as JSON for it."""
     return _joined(left, right, keys).select(

@@ -8,6 +8,7 @@ from stateglass.plans.registry import query
 from stateglass.plans.tables import (
     AFTER,
     BEFORE,
+    ORDER_CUTS,
     entries_at,
     entries_sql,
     key_text,
@@ -160,6 +161,50 @@ def all_operators_diff(spark, sf_dir):
     )
 
 
+def operators_at(spark, sf_dir, cut):
+    """Two operators whose keys and states have types of their own."""
+    orders = load(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit(ORDER_CUTS[cut]).cast("timestamp_ntz"))
+    totals = orders.groupBy(F.col("o_custkey").alias("key")).agg(
+        F.count("*").alias("order_count"), F.max("o_orderdate").cast("date").alias("last_day")
+    )
+    return {"event-counter": state_at(spark, sf_dir, cut), "order-totals": totals}
+
+
+def order_totals_sql(cut):
+    return f"""
+        SELECT o_custkey AS key, count(*) AS order_count, CAST(max(o_orderdate) AS DATE) AS last_day
+        FROM orders WHERE o_orderdate < TIMESTAMP '{ORDER_CUTS[cut]}' GROUP BY 1
+    """
+
+
+ORDERS_JOINED_SQL = f"""
+    SELECT coalesce(l.key, r.key) AS key, l.key IS NULL AS added, r.key IS NULL AS removed,
+           l.order_count AS old_count, r.order_count AS new_count, l.last_day AS old_day, r.last_day AS new_day
+    FROM ({order_totals_sql(BEFORE)}) l FULL OUTER JOIN ({order_totals_sql(AFTER)}) r ON l.key = r.key
+"""
+
+
+@query(
+    "j6_typed_field_changes",
+    f"""
+    SELECT 'event-counter' AS operator_uid, * FROM ({FIELDS_SQL})
+    UNION ALL
+    SELECT 'order-totals', CAST(key AS VARCHAR), 'order_count', CAST(old_count AS VARCHAR), CAST(new_count AS VARCHAR)
+    FROM ({ORDERS_JOINED_SQL}) WHERE NOT added AND NOT removed AND old_count <> new_count
+    UNION ALL
+    SELECT 'order-totals', CAST(key AS VARCHAR), 'last_day', concat('"', old_day, '"'), concat('"', new_day, '"')
+    FROM ({ORDERS_JOINED_SQL}) WHERE NOT added AND NOT removed AND old_day <> new_day
+    """,
+)
+def typed_field_changes(spark, sf_dir):
+    """Changed fields of all operators from one typed join."""
+    sides = (operators_at(spark, sf_dir, cut) for cut in (BEFORE, AFTER))
+    changes = d.field_changes(d.diff_operators(*sides), ["operator_uid", "key"])
+    event = F.concat("key.key_0.user_id", F.lit(":"), "key.key_0.event_type")
+    key = F.coalesce(event, F.col("key.key_1").cast("string"))
+    return changes.select("operator_uid", key.alias("key"), "field_name", "old_value", "new_value")
+
+
 @query("a1_diff_summary", f"SELECT {SUMMARY_SQL} FROM ({JOINED_SQL})")
 def diff_summary(spark, sf_dir):
     return d.diff_summary(d.diff_status(*cuts(spark, sf_dir)))

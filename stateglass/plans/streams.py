@@ -276,11 +276,11 @@ def stream_enrichment(spark, sf_dir):
     def run():
         session = streaming_session(spark, few_partitions(spark))
         base = work_dir(spark, "enrich")
-        settings(spark, sf_dir).write.parquet(f"{base}/settings")
+        settled = config(spark, sf_dir)
         for part in slices(spark, sf_dir):
             part.write.mode("append").parquet(f"{base}/input")
             stream = session.readStream.schema(part.schema).parquet(f"{base}/input")
-            write = enrich_into(f"{base}/settings", f"{base}/output", SETTINGS)
+            write = enrich_into(settled, f"{base}/output", SETTINGS)
             records = stream.select("event_id", "user_id")
             jobs.run_available(records, f"{base}/checkpoint", "append", write)
         return f"{base}/output"

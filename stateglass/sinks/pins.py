@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from stateglass.sources.catalog import pinned_operators
 from stateglass.sources.files import (
+    children,
     create_new,
     delete,
     exists,
@@ -199,6 +200,11 @@ def read_typed(spark: SparkSession, path: str, uid: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{TYPED}/{uid}")
 
 
+def typed_uids(spark: SparkSession, path: str) -> list[str]:
+    """The operators that a pin keeps typed rows of."""
+    return sorted(name for name, is_folder, _, _ in children(spark, f"{path.rstrip('/')}/{TYPED}") if is_folder)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The operators of a whole pin and how many entries each has."""
     path = path.rstrip("/")

@@ -230,6 +230,15 @@ def read_all_states(
     )
 
 
+def all_typed_states(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> dict[str, DataFrame]:
+    """By operator one row per key with a typed column per state, declared or not."""
+    found: dict[str, dict[str, DataFrame]] = {}
+    for state in visible_states(spark, checkpoint):
+        rows = _read_any(spark, checkpoint, state, batch_id)
+        found.setdefault(str(state["operator_id"]), {})[state["state_name"]] = rows
+    return {uid: combine_states(states) for uid, states in found.items()}
+
+
 def read_source_offsets(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Source positions of each batch: ``job_id, batch_id, planned_ms, source, position, committed``.
 

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stateglass.functions.naming import iso_time, short_job_id
 from stateglass.operators import diff as d, entries as e, paging, reports
 from stateglass.operators.selection import desc
-from stateglass.sinks.pins import PinStore, read_catalog, read_pin, read_typed
+from stateglass.sinks.pins import PinStore, read_catalog, read_pin, read_typed, typed_uids
 from stateglass.sources.catalog import discover_operators
 from stateglass.sources.files import exists
 from stateglass.sources.snapshots import MARKER, discover_snapshots, merge_listings
-from stateglass.sources.state import read_all_states, state_entries, visible_states
+from stateglass.sources.state import all_typed_states, read_all_states, state_entries
 
 # How many rows are shown unless told otherwise.
 LIST_LIMIT = 20
@@ -73,6 +73,14 @@ def typed_states(spark: SparkSession, path: str, operator_uid: str = "0") -> Dat
     return read_all_states(spark, root, batch, int(operator_uid))
 
 
+def typed_operators(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The typed states of every operator of a snapshot, by uid."""
+    root, batch = _split(path)
+    if batch is None and exists(spark, f"{root}/{MARKER}"):
+        return {uid: read_typed(spark, root, uid) for uid in typed_uids(spark, root)}
+    return all_typed_states(spark, root, batch)
+
+
 def snapshot_operators(spark: SparkSession, path: str) -> DataFrame:
     """``uid, name, keyed_states, operator_states`` of a snapshot."""
     root, batch = _split(path)
@@ -200,18 +208,21 @@ def compare_operator(
     return d.diff_snapshots(*sides, keys_only=keys_only)
 
 
+def compare_operators(spark: SparkSession, left: str, right: str, keys_only: bool = False) -> DataFrame:
+    """The diff of the typed states of all operators of both snapshots, in one job.
+
+    ``operator_uid, key, status, left, right, field_changes``, see ``diff.diff_operators``.
+    """
+    sides = (typed_operators(spark, p) for p in (left, right))
+    return d.diff_operators(*sides, keys_only=keys_only)
+
+
 def pin_checkpoint(
     spark: SparkSession, store: PinStore, path: str, job: str | None, name: str
 ) -> str:
     """Copy a snapshot into a pin that outlives it; returns the id of the pin.
 
-    The pin has the entries as text and, of operators with declared states, the
-    typed rows.
+    The pin has the entries as text and the typed rows of every operator.
     """
     rows = snapshot_entries(spark, path).withColumn("operator_id", F.col("operator_uid"))
-    root, batch = _split(path)
-    typed = {}
-    if batch is not None or not exists(spark, f"{root}/{MARKER}"):
-        declared = {s["operator_id"] for s in visible_states(spark, root) if s["declared"]}
-        typed = {str(o): read_all_states(spark, root, batch, o) for o in sorted(declared)}
-    return store.pin_snapshot(rows, job, name, source_path=path, typed=typed)
+    return store.pin_snapshot(rows, job, name, source_path=path, typed=typed_operators(spark, path))

@@ -185,3 +185,55 @@ def test_keys_with_dots_and_keys_that_occur_twice(spark):
     twice = left.union(left)
     with pytest.raises(Exception, match="occurs more than once"):
         d.diff_snapshots(twice, right, ["k.x"], check_keys=True).collect()
+
+
+def test_all_operators_meet_in_one_typed_join(spark):
+    def side(counts, names, lists):
+        return {
+            "a": spark.createDataFrame(counts, "key struct<u:long,t:string>, n long, v double"),
+            "b.x": spark.createDataFrame(names, "key string, n string"),
+            "c": spark.createDataFrame(lists, "key int, `l.s` array<int>"),
+        }
+
+    left = side([((1, None), 5, 1.0), ((2, "x"), 6, 2.0)], [("1", "p"), ("2", None)], [(1, [1, 2]), (None, [3])])
+    right = side([((1, None), 5, 1.5), ((3, "x"), 6, 2.0)], [("1", "p"), ("2", "q")], [(1, [2, 1]), (None, [3])])
+    right["d"] = spark.createDataFrame([(1, 1)], "key int, n int")
+    left["e"] = spark.createDataFrame([(b"1", 1)], "key binary, n int")
+    right["e"] = spark.createDataFrame([("1", 1)], "key string, n int")
+    diff = d.diff_operators(left, right)
+    found = {}
+    for r in diff.collect():
+        key = next((v for v in list(r["key"])[1:] if v is not None), None)
+        key = tuple(key) if isinstance(key, tuple) else bytes(key) if isinstance(key, bytearray) else key
+        found[r["operator_uid"], key] = (r["status"], [tuple(c) for c in r["field_changes"]])
+    assert found == {
+        ("a", (1, None)): ("MODIFIED", [("v", "1.0", "1.5")]),
+        ("a", (2, "x")): ("REMOVED", []),
+        ("a", (3, "x")): ("ADDED", []),
+        ("b.x", "1"): ("UNCHANGED", []),
+        ("b.x", "2"): ("MODIFIED", [("n", None, '"q"')]),
+        ("c", 1): ("MODIFIED", [("l.s", "[1,2]", "[2,1]")]),
+        ("c", None): ("UNCHANGED", []),
+        ("d", 1): ("ADDED", []),
+        ("e", b"1"): ("REMOVED", []),
+        ("e", "1"): ("ADDED", []),
+    }
+    text = d.diff_operators(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Join") == 1 and "to_json" not in text.split("Join")[1]
+    only = d.diff_operators({}, right, keys_only=True)
+    assert {r["status"] for r in only.collect()} == {"ADDED"} and only.columns == ["operator_uid", "key", "status"]
+    with pytest.raises(ValueError, match="no operator"):
+        d.diff_operators({}, {})
+
+
+def test_pages_of_changes_after_a_key(spark):
+    rows = [(f"s{i:03}", float(i)) for i in range(30)]
+    diff = d.diff_snapshots(*frames(spark, rows[:20], [(k, v + 1) for k, v in rows[5:]]))
+    first = d.page_per_status(diff, limit=4).collect()
+    assert len(first) == 12
+    after = d.page_per_status(diff, limit=4, after=["s007"]).collect()
+    assert {s: sorted((r["key"], r["pos"]) for r in after if r["status"] == s) for s in ("ADDED", "MODIFIED", "REMOVED")} == {
+        "ADDED": [(f"s{20 + i:03}", i + 1) for i in range(4)],
+        "MODIFIED": [(f"s{8 + i:03}", i + 1) for i in range(4)],
+        "REMOVED": [],
+    }

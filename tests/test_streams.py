@@ -10,6 +10,7 @@ from stateglass.session import streaming_session, work_dir
 from stateglass.sinks.pins import PinStore
 from stateglass.sources import catalog, snapshots as s, state as st
 from stateglass.streaming import changes, jobs, summaries as sm
+from stateglass.streaming.enrich import enrich_into
 
 RANGES = 5
 CUTS = (0, 300, 650, 1000)
@@ -184,6 +185,8 @@ def test_views_of_a_stream(spark, keyed, tmp_path):
     changed = views.compare_operator(spark, pin, keyed).filter("status = 'MODIFIED'")
     names = {c["field_name"] for r in changed.collect() for c in r["field_changes"]}
     assert {"event_count", "running_average"} <= names
+    every = views.compare_operators(spark, pin, keyed)
+    assert {(r["operator_uid"], c["field_name"]) for r in every.collect() for c in r["field_changes"]} == {("0", n) for n in names}
     later = views.compare(spark, pin, keyed, state_name="event_count")
     assert {r["status"] for r in later.select("status").distinct().collect()} == {"MODIFIED"}
     found = views.browse(spark, str(tmp_path / "pins")).first()
@@ -228,3 +231,33 @@ def test_old_batches_go(spark, few):
     found = s.discover_snapshots(spark, f"{base}/jobs", "streaming")
     names = sorted(r["snapshot"] for r in found.collect())
     assert "chk-4" in names and "chk-0" not in names
+
+
+def test_a_repeated_batch_meets_the_same_settings(spark, tmp_path):
+    session = streaming_session(spark, 2)
+    base, checkpoint = f"{tmp_path}/config", f"{tmp_path}/jobs/config"
+
+    def settle(n, *entries):
+        rows = spark.createDataFrame([(e, n) for e in entries], "entry string, seq long")
+        rows.write.mode("append").parquet(base)
+        stream = session.readStream.schema(rows.schema).parquet(base)
+        jobs.run_available(jobs.config_upserts(stream), checkpoint)
+
+    batch = spark.createDataFrame([(1, 7)], "event_id long, user_id long")
+    output = f"{tmp_path}/output"
+    write = enrich_into(checkpoint, output, ["threshold", "mode"])
+
+    def found(n):
+        row = spark.read.parquet(f"{output}/batch={n}").first()
+        return row["threshold"], row["mode"]
+
+    write(batch, 0)
+    assert found(0) == ("unset", "unset")
+    settle(0, "threshold=1", "mode=a")
+    write(batch, 1)
+    settle(1, "threshold=2")
+    write(batch, 1)
+    write(batch, 0)
+    write(batch, 2)
+    assert [found(n) for n in range(3)] == [("unset", "unset"), ("1", "a"), ("2", "a")]
+    assert spark.read.parquet(output).count() == 3
