@@ -43,26 +43,42 @@ def _summarised(events: DataFrame, work: str, summarise, schema: str) -> DataFra
     return events.sparkSession.readStream.schema(schema).parquet(f"{folder}/*")
 
 
+def initial_states(states: DataFrame) -> DataFrame:
+    """Typed states of a snapshot (``key`` and a column per state) as an initial state.
+
+    The parts of the key become columns. Such rows come from ``views.typed_states``, of a
+    pin or of another checkpoint.
+    """
+    return states.select("key.*", *[f"`{c}`" for c in states.columns if c != "key"])
+
+
 def keyed_state(
-    events: DataFrame, work: str, checkpoint: str, ranges: int | None = None
+    events: DataFrame,
+    work: str,
+    checkpoint: str,
+    ranges: int | None = None,
+    initial: DataFrame | None = None,
 ) -> None:
     """State per user: count, last category, average, recent values, categories.
 
-    ``work`` holds the first stream and the summaries, ``checkpoint`` the state.
+    ``work`` holds the first stream and the summaries, ``checkpoint`` the state. A new
+    checkpoint starts from ``initial``, typed states of an older one, if given.
     """
     summarise = partial(sm.keyed_summary, ranges=ranges)
     summaries = _summarised(events, work, summarise, sm.KEYED_SCHEMA)
-    state = summaries.groupBy("user_id").transformWithStateInPandas(
-        KeyedStateProcessor(sm.ALPHA, sm.RECENT_VALUES), KEYED_OUTPUT, "Update", "None"
+    started = None if initial is None else initial_states(initial).groupBy("user_id")
+    state = summaries.groupBy("user_id").transformWithState(
+        KeyedStateProcessor(sm.ALPHA, sm.RECENT_VALUES), KEYED_OUTPUT, "Update", "None", started
     )
     run_available(state, checkpoint)
 
 
-def recent_buffer(events: DataFrame, work: str, checkpoint: str) -> None:
+def recent_buffer(events: DataFrame, work: str, checkpoint: str, initial: DataFrame | None = None) -> None:
     """List state per subtask: the newest entries."""
     summaries = _summarised(events, work, sm.buffer_summary, sm.BUFFER_SCHEMA)
-    state = summaries.groupBy("subtask").transformWithStateInPandas(
-        RecentBufferProcessor(sm.BUFFER_SIZE), BUFFER_OUTPUT, "Update", "None"
+    started = None if initial is None else initial_states(initial).groupBy("subtask")
+    state = summaries.groupBy("subtask").transformWithState(
+        RecentBufferProcessor(sm.BUFFER_SIZE), BUFFER_OUTPUT, "Update", "None", started
     )
     run_available(state, checkpoint)
 

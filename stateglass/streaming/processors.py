@@ -1,22 +1,25 @@
 """Stateful stream operators.
 
 They take summaries of micro-batches (see ``summaries``), not single records:
-however hot a key is, a batch brings it a bounded number of rows.
+however hot a key is, a batch brings it a bounded number of rows. They can start from
+the typed states of a snapshot, such as a pin, as their initial state.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEYED_OUTPUT = "user_id bigint, event_count bigint, running_average double"
 BUFFER_OUTPUT = "subtask bigint, n_buffered bigint"
 
 
-def _gather(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """Rows by batch and number; those without a number first."""
+    return sorted(rows, key=lambda r: (r["batch_id"], -1 if r["seq"] is None else r["seq"]))
 
 
 class KeyedStateProcessor(StatefulProcessor):
@@ -34,35 +37,44 @@ class KeyedStateProcessor(StatefulProcessor):
         self.recent = handle.getListState("recent_values", "value string")
         self.categories = handle.getMapState("category_counts", "category string", "n bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        summary = _gather(rows, ["batch_id", "seq"])
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """A row of typed states of this processor, as ``jobs.initial_states`` gives it."""
+        self.count.update((initialState["event_count"],))
+        self.last.update((initialState["last_category"],))
+        self.average.update((initialState["running_average"],))
+        self.recent.put([(text,) for text in initialState["recent_values"] or []])
+        # Maps come as pairs.
+        for name, n in dict(initialState["category_counts"] or ()).items():
+            self.categories.updateValue((name,), (n,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stored = self.count.get()
         # A new key has nothing stored, so nothing of it is looked up.
         new = stored is None
         count = 0 if new else stored[0]
         average = None if new else self.average.get()[0]
-        steps = summary[summary["kind"] == "step"]
-        for n, added, first in zip(steps["n"], steps["added"], steps["first_value"]):
-            started = first if average is None else average
-            average = float(self.keep**n * started + added)
-            count += int(n)
+        last, added, counted = None, [], Counter()
+        for row in _in_order(rows):
+            if row["kind"] == "step":
+                started = row["first_value"] if average is None else average
+                average = self.keep ** row["n"] * started + row["added"]
+                count += row["n"]
+            elif row["kind"] == "recent":
+                last = row["category"]
+                added.append((row["text"],))
+            else:
+                counted[row["category"]] += row["n"]
         self.count.update((count,))
         self.average.update((average,))
+        self.last.update((last,))
 
-        recent = summary[summary["kind"] == "recent"]
-        self.last.update((recent["category"].iloc[-1],))
-        added = [(text,) for text in recent["text"].tail(self.recent_size)]
+        added = added[-self.recent_size :]
         held = [] if new or len(added) == self.recent_size else [tuple(r) for r in self.recent.get()]
         self.recent.put((held + added)[-self.recent_size :])
-
-        counted = summary[summary["kind"] == "category"].groupby("category", sort=False)["n"].sum()
         for name, n in counted.items():
-            stored = None if new else self.categories.getValue((name,))
-            before = stored[0] if stored else 0
-            self.categories.updateValue((name,), (before + int(n),))
-        yield pd.DataFrame(
-            {"user_id": [key[0]], "event_count": [count], "running_average": [average]}
-        )
+            before = None if new else self.categories.getValue((name,))
+            self.categories.updateValue((name,), ((before[0] if before else 0) + n,))
+        yield Row(user_id=key[0], event_count=count, running_average=average)
 
     def close(self) -> None:
         pass
@@ -77,12 +89,15 @@ class RecentBufferProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState("partitioned_records", "value string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        added = [(e,) for e in _gather(rows, ["batch_id", "seq"])["entry"].tail(self.size)]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.buffer.put([(text,) for text in initialState["partitioned_records"] or []])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        added = [(row["entry"],) for row in _in_order(rows)][-self.size :]
         held = [] if len(added) == self.size else [tuple(r) for r in self.buffer.get()]
         kept = (held + added)[-self.size :]
         self.buffer.put(kept)
-        yield pd.DataFrame({"subtask": [key[0]], "n_buffered": [len(kept)]})
+        yield Row(subtask=key[0], n_buffered=len(kept))
 
     def close(self) -> None:
         pass

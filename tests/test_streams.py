@@ -261,3 +261,23 @@ def test_a_repeated_batch_meets_the_same_settings(spark, tmp_path):
     write(batch, 2)
     assert [found(n) for n in range(3)] == [("unset", "unset"), ("1", "a"), ("2", "a")]
     assert spark.read.parquet(output).count() == 3
+
+
+def test_restart_from_a_pin(spark, few, keyed, by_user, tmp_path):
+    """A pin of batch 1 starts a new checkpoint, which then folds in the rest of the events."""
+    store = PinStore(spark, str(tmp_path / "pins"))
+    views.pin_checkpoint(spark, store, f"{keyed}/offsets/1", "keyed", "savepoint-1")
+    session = streaming_session(spark)
+    states = views.typed_states(session, store.lookup(f"{keyed}/offsets/1"))
+    few.filter(F.col("event_id") >= CUTS[2]).write.parquet(str(tmp_path / "input"))
+    stream = session.readStream.schema(few.schema).parquet(str(tmp_path / "input"))
+    checkpoint = str(tmp_path / "jobs" / "again")
+    jobs.keyed_state(stream, str(tmp_path / "work"), checkpoint, RANGES, states)
+    again, straight = (
+        {r["key"]["user_id"]: r for r in st.read_all_states(spark, c).collect()} for c in (checkpoint, keyed)
+    )
+    assert again.keys() == straight.keys() == by_user.keys()
+    for user, row in straight.items():
+        assert again[user]["running_average"] == pytest.approx(row["running_average"], abs=1e-9)
+        for name in ("event_count", "last_category", "recent_values", "category_counts"):
+            assert again[user][name] == row[name]
