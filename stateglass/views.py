@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stateglass.functions.naming import iso_time, short_job_id
+from stateglass.functions.payload import raw_envelope
 from stateglass.operators import diff as d, entries as e, paging, reports
+from stateglass.operators.payloads import decode_payloads
 from stateglass.operators.selection import desc
 from stateglass.sinks.pins import PinStore, read_catalog, read_pin, read_typed, typed_uids
 from stateglass.sources.catalog import discover_operators
@@ -157,6 +159,31 @@ def inspect(
     return paging.page(rows, inspect_order(rows), offset, limit, after)
 
 
+def inspect_report(spark: SparkSession, path: str, operator_uid: str | None = None) -> DataFrame:
+    """What reading a snapshot could not decode: the read report of its typed values.
+
+    ``operator_uid, n_entries, n_undecoded, warnings, partial_read``. Values with a type
+    are decoded by it; binary ones are tried as payloads.
+    """
+    read = []
+    for uid, rows in typed_operators(spark, path).items():
+        if operator_uid not in (None, uid):
+            continue
+        for field in rows.schema:
+            if field.name == "key":
+                continue
+            value = F.col(f"`{field.name}`")
+            opaque = value if isinstance(field.dataType, T.BinaryType) else F.lit(None).cast("binary")
+            held = rows.filter(value.isNotNull()).select(F.lit(uid).alias("operator_uid"), opaque.alias("payload"))
+            if isinstance(field.dataType, T.BinaryType):
+                read.append(decode_payloads(held, "payload").select("operator_uid", "raw"))
+            else:
+                read.append(held.select("operator_uid", raw_envelope(F.col("payload"), F.lit("")).alias("raw")))
+    if not read:
+        read = [spark.createDataFrame([], "operator_uid string, raw struct<_reason:string>")]
+    return reports.read_report(e.one_result(read))
+
+
 def inspect_order(rows: DataFrame) -> list[str]:
     """The columns that pages of entries, or of their keys, are ordered by."""
     return [c for c in ("operator_uid", "state_name", *PLACE_COLUMNS, "key") if c in rows.columns]

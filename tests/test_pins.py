@@ -178,3 +178,20 @@ def test_writers_at_the_same_time(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         ids = list(pool.map(pin, range(4)))
     assert {r["id"] for r in k.PinStore(spark, str(tmp_path)).pins().collect()} == set(ids)
+
+
+def test_report_of_what_could_not_be_read(spark, tmp_path):
+    from stateglass import views
+
+    typed = {
+        "plain": spark.range(3).selectExpr("id AS key", "id * 2 AS n"),
+        "opaque": spark.createDataFrame(
+            [(1, b"\x00\x00\x00\x05hello\x00\x00\x00\x03abc", 1), (2, b"\xff", None), (3, None, 2)], "key long, p binary, n int"
+        ),
+    }
+    store = k.PinStore(spark, str(tmp_path))
+    store.pin_snapshot(entries(spark, 3), "job", "chk-1", "src", typed=typed)
+    found = {r["operator_uid"]: tuple(r)[1:] for r in views.inspect_report(spark, store.lookup("src")).collect()}
+    assert found["plain"] == (3, 0, "", False)
+    assert found["opaque"][0] == 4 and found["opaque"][1] == 1 and found["opaque"][3] is True
+    assert views.inspect_report(spark, store.lookup("src"), "none").count() == 0
