@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stateglass.llm.common import (
-    WordHashes, by_part, chunks, from_planes, give_back, hash_words, mix, part_count, part_of, planes, written,
+    WordHashes, chunks, from_planes, give_back, hash_words, mix, part_count, part_of, planes, written,
 )
 from stateglass.llm.contamination import normal_words
 
@@ -76,6 +76,16 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += 1
 
 
+def _by_key(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    """Positions by part of their hash, in ascending order of the hashes.
+
+    Hashes of a part lie close together, so their differences are short.
+    """
+    order = np.argsort(keys)
+    bounds = np.searchsorted(part_of(keys[order], parts), np.arange(parts + 1))
+    return {int(p): order[bounds[p] : bounds[p + 1]] for p in np.flatnonzero(np.diff(bounds))}
+
+
 class Batch:
     """A batch of texts: its words and bigrams by token, and which part has the distinct ones."""
 
@@ -87,7 +97,7 @@ class Batch:
         self.inside = np.array(row["targets"], bool)
 
     def word_parts(self) -> dict[int, np.ndarray]:
-        return dict(by_part(part_of(mix(self.words), self.parts), self.parts)) if len(self.words) else {}
+        return _by_key(self.words, self.parts)
 
     def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
         inside = np.repeat(self.inside, self.lengths)
@@ -114,7 +124,7 @@ class Batch:
         self.keys = mix(mix(hashes[self.before]) * _FACTOR + hashes[self.following])
 
     def pair_parts(self) -> dict[int, np.ndarray]:
-        return dict(by_part(part_of(mix(self.keys), self.parts), self.parts)) if len(self.keys) else {}
+        return _by_key(self.keys, self.parts)
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         inside = np.repeat(self.inside[self.full], self.sizes)
@@ -135,9 +145,7 @@ def _ask(parts: int, bigrams: bool):
                 questions = []
                 for some in by.values():
                     counts = planes(everywhere[some].astype(np.uint32)) + planes(target[some].astype(np.uint32))
-                    questions.append(keys[some].tobytes() + zstandard.compress(counts, 1))
-                sizes = [len(some) for some in by.values()]
-                questions = [n.to_bytes(4, "little") + q for n, q in zip(sizes, questions)]
+                    questions.append(zstandard.compress(planes(np.diff(keys[some], prepend=np.uint64(0))) + counts, 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(by), pa.int32()), pa.array([row["batch"]] * len(by), pa.int64()), pa.array(questions, pa.binary())],
                     names=["part", "batch", "question"],
@@ -151,10 +159,10 @@ def _answer(group: pa.Table) -> pa.Table:
     """The counts of all batches together, for each question in its order."""
     keys, counts = [], []
     for question in group.column("question").to_pylist():
-        n = int.from_bytes(question[:4], "little")
-        keys.append(np.frombuffer(question, np.uint64, n, 4))
-        raw = zstandard.decompress(question[4 + 8 * n :])
-        counts.append(np.stack([from_planes(raw[4 * n * i : 4 * n * (i + 1)], np.uint32, n) for i in (0, 1)]))
+        raw = zstandard.decompress(question)
+        n = len(raw) // 16
+        keys.append(np.cumsum(from_planes(raw[: 8 * n], np.uint64, n), dtype=np.uint64))
+        counts.append(np.stack([from_planes(raw[4 * n * i : 4 * n * (i + 1)], np.uint32, n) for i in (2, 3)]))
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     sums = [np.bincount(place, c, len(distinct)).astype(np.uint64) for c in np.concatenate(counts, axis=1)]
     edges = np.cumsum([0, *map(len, keys)]).tolist()
