@@ -147,8 +147,8 @@ def state_variables(spark, sf_dir):
 def stream_operators(spark, sf_dir):
     """The operators of a stream as text, and the keys they hold."""
     found = st.operators_with_counts(spark, keyed(spark, sf_dir)).withColumn("path", F.lit("keyed"))
-    totals = found.groupBy("path").agg(F.sum("n_keys").alias("n_entries"))
-    return reports.operator_summary(found.drop("n_keys")).join(totals, "path")
+    total = found.agg(F.sum("n_keys").alias("n"))
+    return reports.operator_summary(found.drop("n_keys")).withColumn("n_entries", total.scalar())
 
 
 # Keyed state of the stateful processor.
