@@ -1,11 +1,11 @@
-"""Toxicity by a convolutional text classifier, trained in numpy and run in tasks.
+"""Toxicity by a convolutional text classifier, trained and run in tasks with numpy.
 
 A word is the sum of the embeddings of its hashed character n-grams and of the whole
 word. Filters over one, two and three neighbouring words slide along the whole text,
 the maximum of each over all places is kept, and a logistic layer scores it. The
 first embedding dimension starts from how much more often than chance a feature is in
-toxic texts; all parameters are then trained. On rows left out of the training the
-score is calibrated: 0.3 is where it divides best, and each language gets the
+toxic texts; all parameters are then trained, on all labelled rows in rounds. On rows
+left out of the training the score is calibrated: 0.3 is where it divides best, and each language gets the
 threshold that divides best for it.
 """
 
@@ -13,31 +13,41 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stateglass.llm.common import chunks, mix
+from stateglass.llm.common import chunks, mix, written
 from stateglass.llm.contamination import normal_words
+from stateglass.operators.order import running_count
+from stateglass.session import work_dir
 
-# The model is fitted on at most so many labelled rows of each class.
-TOXIC_ROWS = 2000
-OTHER_ROWS = 4000
 BUCKETS = 1 << 17
 DIMENSIONS = 12
 FILTERS = 6
 WIDTHS = (1, 2, 3)
 GRAMS = (4, 5)
+# Rounds of training; the table moves once in each.
 EPOCHS = 8
 BATCH = 64
+# More labelled rows than this per turn take more turns, so that each row is in EPOCHS / turns rounds.
+ROWS_A_TURN = 6000
+TURNS = (1, 2, 4)
+# Text a task trains on in a round. Each task sends a gradient as large as the table.
+TRAINED_BYTES = 16_000_000
+SLICES = 16
+# Digits of the logits that thresholds are chosen from.
+LOGIT_DIGITS = 3
 # Text a task scores at once.
 SCORED_BYTES = 1_000_000
 # The score at which a text is taken for toxic when no language is given.
 DIVIDE = 0.3
 # Toxic rows of a language that its own threshold needs.
 LEAST_TOXIC = 8
+_PARTIAL = "slice int, blob binary"
 
 
 class WordFeatures:
@@ -169,86 +179,137 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
-def _unusual(features: WordFeatures, ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Per bucket, by how many deviations it is in more toxic texts than by chance, squashed."""
-    seen = np.zeros((2, BUCKETS))
+def buckets_seen(texts: "Coded", toxic: np.ndarray, seen: np.ndarray) -> None:
+    """Adds to ``seen`` how many texts of each class have a feature of each bucket."""
+    features = texts.features
+    if not features.kinds:
+        return
     # Buckets of each word, by word.
     owners = np.concatenate([np.repeat(own, np.diff(np.append(b, len(k)))) for own, b, k in features.kinds])
     buckets = np.concatenate([k for _, _, k in features.kinds])
     order = np.argsort(owners, kind="stable")
     buckets = buckets[order]
     begins = np.searchsorted(owners[order], np.arange(features.count + 1))
-    ends = np.cumsum(counts)
-    for text, end in enumerate(ends.tolist()):
-        words = np.unique(ids[end - counts[text] : end])
-        own = [buckets[begins[w] : begins[w + 1]] for w in words.tolist()]
+    for text in range(len(texts.counts)):
+        own = [buckets[begins[w] : begins[w + 1]] for w in np.unique(texts.of(text)).tolist()]
         if own:
             seen[int(toxic[text])][np.unique(np.concatenate(own))] += 1
-    share = toxic.mean()
+
+
+def _unusual(seen: np.ndarray, share: float) -> np.ndarray:
+    """Per bucket, by how many deviations it is in more toxic texts than by chance, squashed."""
     total = seen.sum(axis=0)
     deviation = (seen[1] - share * total) / np.sqrt(total * share * (1 - share) + 1)
     return np.tanh(np.sign(deviation) * np.maximum(np.abs(deviation) - 2.5, 0) / 3)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
-    """Trains on whole texts; both classes weigh the same in the loss."""
+class Coded:
+    """Texts as numbers of their distinct words."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.words, self.ids, self.counts = numbered(texts)
+        self.features = WordFeatures(self.words)
+        self.offsets = np.cumsum(self.counts) - self.counts
+
+    def of(self, text: int) -> np.ndarray:
+        return self.ids[self.offsets[text] : self.offsets[text] + self.counts[text]]
+
+
+@dataclass
+class Training:
+    """A model on its way, with what Adam and Adagrad remember."""
+
+    model: Model
+    squares: np.ndarray  # of the gradients of the table
+    moments: np.ndarray  # two rows, of the parameters but for the table
+    step: int = 0
+
+    def small(self) -> np.ndarray:
+        """All parameters but for the table, in one row."""
+        m = self.model
+        return np.concatenate([*[w.ravel() for w in m.filters], m.out, m.bias, [m.offset]])
+
+    def set_small(self, values: np.ndarray) -> None:
+        m, at = self.model, 0
+        for k, w in enumerate(m.filters):
+            m.filters[k] = values[at : at + w.size].reshape(w.shape)
+            at += w.size
+        n = len(m.out)
+        m.out, m.bias, m.offset = values[at : at + n], values[at + n : at + 2 * n], float(values[-1])
+
+    def adam(self, gradient: np.ndarray, rate: float = 0.01) -> None:
+        self.step += 1
+        first, second = self.moments
+        first += 0.1 * (gradient - first)
+        second += 0.001 * (gradient**2 - second)
+        moved = rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.999**self.step)) + 1e-8)
+        self.set_small(self.small() - moved)
+
+    def move_table(self, gradient: np.ndarray) -> None:
+        self.squares += gradient**2
+        self.model.table -= 0.05 * gradient / np.sqrt(self.squares)
+
+
+def started(seed: int) -> Training:
     rng = np.random.default_rng(seed)
-    words, ids, counts = numbered(texts)
-    features = WordFeatures(words)
     table = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    if words:
-        table[:, 0] = _unusual(features, ids, counts, toxic)
     filters = [rng.normal(0, 0.15, (w, DIMENSIONS, FILTERS)) for w in WIDTHS]
     for w in filters:
         w[0, 0, : FILTERS // 2] = rng.uniform(0.2, 0.6, FILTERS // 2)
     bias = np.zeros(FILTERS * len(WIDTHS))
     out = np.concatenate([np.where(np.arange(FILTERS) < FILTERS // 2, 0.3, 0.05)] * len(WIDTHS))
-    model = Model(table, filters, bias, out, -1.0)
-    offsets = np.cumsum(counts) - counts
-    balance = np.where(toxic, 0.5 / max(weights[toxic].sum(), 1e-9), 0.5 / max(weights[~toxic].sum(), 1e-9)) * weights * len(toxic)
-    squares = np.full(table.shape, 1e-2, np.float32)
-    moments: dict[str, list] = {}
-    step = 0
+    training = Training(Model(table, filters, bias, out, -1.0), np.full(table.shape, 1e-2, np.float32), np.zeros(0))
+    training.moments = np.zeros((2, len(training.small())))
+    return training
 
-    def adam(name: str, value: np.ndarray, gradient: np.ndarray, rate: float = 0.01) -> np.ndarray:
-        first, second = moments.setdefault(name, [np.zeros_like(value), np.zeros_like(value)])
-        first += 0.1 * (gradient - first)
-        second += 0.001 * (gradient**2 - second)
-        return value - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-
-    for _ in range(EPOCHS if words else 0):
-        vectors = np.concatenate([features.sums(model.table), np.zeros((1, DIMENSIONS), np.float32)])
-        change = np.zeros_like(vectors)
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            own = np.concatenate([ids[offsets[i] : offsets[i] + counts[i]] for i in some])
-            tokens, begins = padded(own, counts[some], len(words))
-            stop = np.append(begins[1:], len(tokens)) - max(WIDTHS) + 1
-            x = vectors[tokens]
-            z = filter_responses(x @ side_by_side(model.filters), np.arange(len(tokens)))
-            top = np.array([b + z[b:e].argmax(axis=0) for b, e in zip(begins, stop)])
-            pooled = np.maximum(z[top, np.arange(z.shape[1])] + model.bias, 0)
-            logits = pooled @ model.out + model.offset
-            slope = (1 / (1 + np.exp(-np.clip(logits, -35, 35))) - toxic[some]) * balance[some] / len(some)
-            step += 1
-            inner = slope[:, None] * model.out * (pooled > 0)
-            for k, (width, w) in enumerate(zip(WIDTHS, model.filters)):
-                part = inner[:, k * FILTERS : (k + 1) * FILTERS]
-                gradient = np.zeros_like(w)
-                for j in range(width):
-                    place = top[:, k * FILTERS : (k + 1) * FILTERS] + j
-                    gradient[j] = np.einsum("nf,nfd->df", part, x[place])
-                    add_rows(change, tokens[place].ravel(), (part[:, :, None] * w[j].T).reshape(-1, DIMENSIONS))
-                model.filters[k] = adam(f"filter{k}", w, gradient + 1e-4 * w)
-            model.out = adam("out", model.out, slope @ pooled + 1e-3 * model.out)
-            model.bias = adam("bias", model.bias, inner.sum(axis=0))
-            model.offset = float(adam("offset", np.array([model.offset]), np.array([slope.sum()]))[0])
-        gradient = np.zeros_like(model.table)
-        features.spread(change[:-1], gradient)
-        squares += gradient**2
-        model.table -= 0.05 * gradient / np.sqrt(squares)
-    return model
+
+def train_on(training: Training, texts: Coded, toxic: np.ndarray, balance: np.ndarray, rng, gradient: np.ndarray) -> None:
+    """One pass: moves all but the table, whose gradient is added to ``gradient``."""
+    model = training.model
+    if not texts.words:
+        return
+    vectors = np.concatenate([texts.features.sums(model.table), np.zeros((1, DIMENSIONS), np.float32)])
+    change = np.zeros_like(vectors)
+    order = rng.permutation(len(toxic))
+    for at in range(0, len(order), BATCH):
+        some = order[at : at + BATCH]
+        own = np.concatenate([texts.of(i) for i in some])
+        tokens, begins = padded(own, texts.counts[some], len(texts.words))
+        stop = np.append(begins[1:], len(tokens)) - max(WIDTHS) + 1
+        x = vectors[tokens]
+        z = filter_responses(x @ side_by_side(model.filters), np.arange(len(tokens)))
+        top = np.array([b + z[b:e].argmax(axis=0) for b, e in zip(begins, stop)])
+        pooled = np.maximum(z[top, np.arange(z.shape[1])] + model.bias, 0)
+        logits = pooled @ model.out + model.offset
+        slope = (1 / (1 + np.exp(-np.clip(logits, -35, 35))) - toxic[some]) * balance[some] / len(some)
+        inner = slope[:, None] * model.out * (pooled > 0)
+        gradients = []
+        for k, (width, w) in enumerate(zip(WIDTHS, model.filters)):
+            part = inner[:, k * FILTERS : (k + 1) * FILTERS]
+            own_gradient = np.zeros_like(w)
+            for j in range(width):
+                place = top[:, k * FILTERS : (k + 1) * FILTERS] + j
+                own_gradient[j] = np.einsum("nf,nfd->df", part, x[place])
+                add_rows(change, tokens[place].ravel(), (part[:, :, None] * w[j].T).reshape(-1, DIMENSIONS))
+            gradients.append((own_gradient + 1e-4 * w).ravel())
+        training.adam(np.concatenate([*gradients, slope @ pooled + 1e-3 * model.out, inner.sum(axis=0), [slope.sum()]]))
+    texts.features.spread(change[:-1], gradient)
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
+    """Trains on whole texts of one task; both classes weigh the same in the loss."""
+    training, rng = started(seed), np.random.default_rng(seed)
+    coded = Coded(texts)
+    if coded.words:
+        seen = np.zeros((2, BUCKETS))
+        buckets_seen(coded, toxic, seen)
+        training.model.table[:, 0] = _unusual(seen, toxic.mean())
+    balance = np.where(toxic, 0.5 / max(weights[toxic].sum(), 1e-9), 0.5 / max(weights[~toxic].sum(), 1e-9)) * weights * len(toxic)
+    for _ in range(EPOCHS if coded.words else 0):
+        gradient = np.zeros_like(training.model.table)
+        train_on(training, coded, toxic, balance, rng, gradient)
+        training.move_table(gradient)
+    return training.model
 
 
 def best_divide(scores: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
@@ -262,22 +323,24 @@ def best_divide(scores: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> f
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
 
 
-def calibrate(model: Model, texts: list[bytes], toxic: np.ndarray, weights: np.ndarray, languages: list) -> None:
-    """Sets the scale and shift of the score and the thresholds by language."""
+def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, counts: np.ndarray, languages: list) -> None:
+    """Sets the scale and shift of the score and the thresholds by language.
+
+    Each logit stands for ``counts`` rows of a class and a language.
+    """
     if not toxic.any() or toxic.all():
         model.by_language = {}
         return
-    logits = model.logits(texts)
     a, b = 1.0, 0.0
     for _ in range(50):  # a logistic fit of two parameters, by Newton's method
         p = 1 / (1 + np.exp(-np.clip(a * logits + b, -35, 35)))
-        g = np.array([((p - toxic) * weights * logits).sum() + 0.01 * (a - 1), ((p - toxic) * weights).sum() + 0.01 * b])
-        v = p * (1 - p) * weights
+        g = np.array([((p - toxic) * counts * logits).sum() + 0.01 * (a - 1), ((p - toxic) * counts).sum() + 0.01 * b])
+        v = p * (1 - p) * counts
         h = np.array([[(v * logits**2).sum() + 0.01, (v * logits).sum()], [(v * logits).sum(), v.sum() + 0.01]])
         move = np.linalg.solve(h, g)
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
     model.scale = max(a, 1e-3)
-    divide = best_divide(logits, toxic, weights)
+    divide = best_divide(logits, toxic, counts)
     # The score is moved so that it divides best at DIVIDE.
     model.shift = float(np.log(DIVIDE / (1 - DIVIDE)) - model.scale * divide)
     scores = 1 / (1 + np.exp(-np.clip(model.scale * logits + model.shift, -35, 35)))
@@ -285,58 +348,159 @@ def calibrate(model: Model, texts: list[bytes], toxic: np.ndarray, weights: np.n
     model.by_language = {}
     for name in sorted(set(names.tolist())):
         own = names == name
-        if toxic[own].sum() >= LEAST_TOXIC and (~toxic[own]).sum() >= LEAST_TOXIC:
-            model.by_language[name] = best_divide(scores[own], toxic[own], weights[own])
+        if counts[own & toxic].sum() >= LEAST_TOXIC and counts[own & ~toxic].sum() >= LEAST_TOXIC:
+            model.by_language[name] = best_divide(scores[own], toxic[own], counts[own])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """Documents of a fixed choice of labelled ids, at most ``limits`` per class, and class sizes.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Every document with a label of 0 or 1: ``text, lang, label, turn``, written once.
 
-    The choice is by the hash of the id. Ids with several labels keep the largest.
-    ``docs`` has ``id`` and ``text``, ``labels`` has ``id`` and ``label``.
+    Ids with several labels keep the largest. Every fourth id of a class, in the order of
+    a hash, has turn -1 and is left out of the training; the others take ``turns`` in it.
+    ``docs`` has ``id``, ``text`` and ``lang``, ``labels`` has ``id`` and ``label``.
     """
-    known = labels.where(F.col(label).isin(list(limits)) & F.col("id").isNotNull())
-    known = known.groupBy("id").agg(F.max(label).alias("label"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = None
-    for value, limit in limits.items():
-        own = known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(limit)
-        chosen = own if chosen is None else chosen.union(own)
-    # At most sum(limits) rows, so a broadcast has a known bound.
-    return docs.join(F.broadcast(chosen), "id"), sizes
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.max(label).cast("int").alias("label"))
+    known = known.join(docs.select("id"), "id", "left_semi").withColumn("k", F.xxhash64("id", F.lit(1)))
+    placed = written(running_count(known, ["label"], "k", "place").drop("k"), "labels")
+    n = placed.count()
+    turns = next(t for t in TURNS if n <= t * ROWS_A_TURN or t == TURNS[-1])
+    turn = F.when(F.col("place") % 4 == 0, F.lit(-1)).otherwise(F.floor(F.col("place") / 4) % turns)
+    own = placed.select("id", "label", turn.cast("int").alias("turn"))
+    rows = docs.join(own, "id").select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), "label", "turn")
+    path = work_dir(spark, "labelled")
+    rows.write.partitionBy("turn").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def packed(values: np.ndarray) -> bytes:
+    return str(values.itemsize).encode() + values.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """Floats of 4 or 8 bytes, as the first byte says, as those of 8."""
+    return np.frombuffer(blob[1:], f"f{blob[:1].decode()}").astype(np.float64)
+
+
+def sliced(values: np.ndarray) -> list[bytes]:
+    return [packed(x) for x in np.array_split(values.ravel(), SLICES)]
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
-    """A calibrated model from labelled documents.
+def _sums(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Arrays of all tasks, added up slice by slice; what comes to the driver is of a fixed size."""
+
+    def added(group: pa.Table) -> pa.Table:
+        total = 0
+        for blob in group.column("blob"):
+            total = total + unpacked(blob.as_py())
+        return pa.table({"slice": group.column("slice")[:1], "blob": pa.array([b"8" + total.tobytes()], pa.binary())})
+
+    rows = parts.groupBy("slice").applyInArrow(added, _PARTIAL).toArrow().to_pylist()
+    return {r["slice"]: unpacked(r["blob"]) for r in rows}
+
+
+def _partial(first: int, blobs: list[bytes]) -> pa.RecordBatch:
+    numbers = pa.array(range(first, first + len(blobs)), pa.int32())
+    return pa.RecordBatch.from_arrays([numbers, pa.array(blobs, pa.binary())], names=["slice", "blob"])
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros((2, BUCKETS))
+    for chunk in chunks(batches, limit=SCORED_BYTES):
+        toxic = chunk.column("label").to_numpy(zero_copy_only=False) == 1
+        buckets_seen(Coded(chunk.column("text").to_pylist()), toxic, seen)
+    yield _partial(0, sliced(seen.astype(np.float32)))
+
+
+def _round(shared, balance: tuple[float, float], seed: int):
+    """A task's share of a round: what it adds to the gradient, and where it got, by its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = shared.value
+        training = Training(replace(given.model, filters=list(given.model.filters)), given.squares, given.moments.copy(), given.step)
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        gradient, n = np.zeros_like(given.model.table), 0
+        for chunk in chunks(batches, limit=SCORED_BYTES):
+            toxic = chunk.column("label").to_numpy(zero_copy_only=False) == 1
+            coded = Coded(chunk.column("text").to_pylist())
+            train_on(training, coded, toxic, np.where(toxic, *balance), rng, gradient)
+            n += len(toxic)
+        if n:
+            yield _partial(0, sliced(gradient))
+            reached = np.concatenate([training.small(), training.moments.ravel(), [training.step, 1.0]])
+            yield _partial(SLICES, [packed(n * reached)])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
+    """A calibrated model from all labelled documents.
 
     ``docs`` has ``id``, ``text`` and ``lang``; ``labels`` has ``id`` and ``toxic``.
-    At most ``toxic_rows`` and ``other_rows`` labelled rows are used, three in four
-    to train and the fourth to calibrate; their weights restore the class sizes.
+    Three in four labelled ids train and the fourth calibrates. In a round tasks train
+    side by side from the same model; the gradients of the table are added up, the other
+    parameters averaged. Many rows take turns in the rounds, each as often as any other.
     Without labels of both classes every score is the share of toxic rows.
     """
-    limits = {1: toxic_rows, 0: other_rows}
-    sample, sizes = labelled_sample(docs.where("text IS NOT NULL"), labels, "toxic", limits)
-    rows = sample.select(F.col("text").cast("binary").alias("text"), "lang", "label", F.xxhash64("id", F.lit(1)).alias("k"))
-    rows = rows.toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["k"], r["text"]))
-    toxic = np.array([r["label"] == 1 for r in rows], bool)
-    used = {1: max(int(toxic.sum()), 1), 0: max(int((~toxic).sum()), 1)}
-    weights = np.array([sizes[r["label"]] / used[r["label"]] for r in rows], float)
-    texts, languages = [r["text"] for r in rows], [r["lang"] for r in rows]
-    if not toxic.any() or toxic.all():
-        model = fit([], np.zeros(0, bool), np.zeros(0))
-        share = (float(toxic.mean()) if len(toxic) else 0.0) * 0.98 + 0.01
-        model.out[:], model.offset, model.by_language = 0, float(np.log(share / (1 - share))), {}
+    spark = docs.sparkSession
+    rows = labelled_rows(docs.where("text IS NOT NULL"), labels, "toxic")
+    size = F.sum(F.octet_length("text")).alias("size")
+    found = rows.groupBy("turn", "label").agg(F.count("*").alias("n"), size).collect()
+    sizes = [sum(r["n"] for r in found if r["label"] == value) for value in (0, 1)]
+    learnt = [sum(r["n"] for r in found if r["label"] == value and r["turn"] >= 0) for value in (0, 1)]
+    training = started(seed)
+    model = training.model
+    if not all(learnt):
+        share = sizes[1] / max(sum(sizes), 1) * 0.98 + 0.01
+        model.out, model.offset, model.by_language = np.zeros_like(model.out), float(np.log(share / (1 - share))), {}
         return model
-    held = np.zeros(len(rows), bool)
-    for value in (True, False):  # every fourth row of each class
-        held[np.flatnonzero(toxic == value)[3::4]] = True
-    pick = lambda values, mask: [v for v, m in zip(values, mask) if m]
-    model = fit(pick(texts, ~held), toxic[~held], weights[~held])
-    calibrate(model, pick(texts, held), toxic[held], weights[held], pick(languages, held))
+
+    def of_turn(turn: int | None) -> DataFrame:
+        own = [r for r in found if r["turn"] >= 0 and turn in (None, r["turn"])]
+        tasks = sum(r["size"] for r in own) // TRAINED_BYTES + 1
+        some = rows.where("turn >= 0") if turn is None else rows.where(F.col("turn") == turn)
+        return some.select("text", "label").coalesce(tasks)
+
+    sums = _sums(of_turn(None).mapInArrow(_count_buckets, _PARTIAL))
+    seen = np.concatenate([sums[i] for i in range(SLICES)]).reshape(2, BUCKETS)
+    model.table[:, 0] = _unusual(seen, learnt[1] / sum(learnt))
+    balance = (0.5 * sum(learnt) / learnt[1], 0.5 * sum(learnt) / learnt[0])
+    turns = sorted({r["turn"] for r in found if r["turn"] >= 0})
+    for number in range(EPOCHS):
+        shared = spark.sparkContext.broadcast(training)
+        parts = of_turn(turns[number % len(turns)]).mapInArrow(_round(shared, balance, seed + number), _PARTIAL)
+        sums = _sums(parts)
+        shared.destroy()
+        reached = sums[SLICES][:-1] / sums[SLICES][-1]
+        n = len(training.small())
+        training.set_small(reached[:n])
+        training.moments, training.step = reached[n:-1].reshape(2, n), round(reached[-1])
+        training.move_table(np.concatenate([sums[i] for i in range(SLICES)]).astype(np.float32).reshape(model.table.shape))
+    logit = F.round(_applied(spark, model, Model.logits)(F.col("text")), LOGIT_DIGITS)
+    # Equal logits, to the digits kept, are one row, so this has a bound at any size.
+    held = rows.where("turn = -1").select("lang", "label", logit.alias("logit")).groupBy("lang", "label", "logit").count()
+    held = held.toArrow().sort_by([("logit", "ascending"), ("label", "ascending"), ("lang", "ascending")])
+    values = {c: held.column(c).to_numpy() for c in ("logit", "label", "count")}
+    calibrate(model, values["logit"], values["label"] == 1, values["count"].astype(float), held.column("lang").to_pylist())
     return model
 
 
+def _applied(spark: SparkSession, model: Model, method):
+    """A function of a text column: ``method`` of the model, which is of a fixed size."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], names=["text"])
+            made = [method(own, c.column("text").to_pylist()) for c in chunks([batch], limit=SCORED_BYTES)]
+            yield pa.array(np.concatenate([np.zeros(0), *made]), pa.float64())
+
+    return run
+
+
 def score_toxicity(docs: DataFrame, model: Model, result: str = "toxicity", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """All columns and a struct ``result`` with ``score``, ``threshold`` and ``toxic``.
 
@@ -346,22 +510,10 @@ def score_toxicity(docs: DataFrame, model: Model, result: str = "toxicity", text
     ``toxic`` says that the score reaches it. A column called like ``result`` is
     replaced.
     """
-    spark = docs.sparkSession
-    # The model is a table of fixed size.
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
-        for part in parts:
-            batch = pa.RecordBatch.from_arrays([part], names=["text"])
-            made = [own.scores(c.column("text").to_pylist()) for c in chunks([batch], limit=SCORED_BYTES)]
-            yield pa.array(np.concatenate([np.zeros(0), *made]), pa.float64())
-
     threshold = F.lit(model.divide)
     if lang_col and model.by_language:
         for name, value in model.by_language.items():
             threshold = F.when(F.col(f"`{lang_col}`") == name, F.lit(value)).otherwise(threshold)
-    scored = docs.withColumn(result, score(F.col(f"`{text_col}`").cast("string").cast("binary")))
+    scored = docs.withColumn(result, _applied(docs.sparkSession, model, Model.scores)(F.col(f"`{text_col}`").cast("string").cast("binary")))
     value = F.col(f"`{result}`")
     return scored.withColumn(result, F.struct(value.alias("score"), threshold.alias("threshold"), (value >= threshold).alias("toxic")))

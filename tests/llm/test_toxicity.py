@@ -140,3 +140,24 @@ def test_training_lowers_the_loss(monkeypatch):
 
     losses = [loss(n) for n in (0, 2, 8)]
     assert losses[0] > losses[1] > losses[2]
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """Rows take turns, and the feature counts are those of every row that trains."""
+    monkeypatch.setattr(toxicity, "ROWS_A_TURN", 20)
+    rows = made_up(spark, 300)
+    seen = []
+    unusual = toxicity._unusual
+    monkeypatch.setattr(toxicity, "_unusual", lambda counts, share: seen.append((counts, share)) or unusual(counts, share))
+    labels = rows.select("id", "toxic")
+    train(rows, labels)
+    found = toxicity.labelled_rows(rows, labels, "toxic").groupBy("turn").count().collect()
+    turns = {r["turn"]: r["count"] for r in found}
+    assert set(turns) == {-1, 0, 1, 2, 3} and sum(turns.values()) == 300
+    learnt = toxicity.labelled_rows(rows, labels, "toxic").where("turn >= 0").collect()
+    want = np.zeros((2, toxicity.BUCKETS))
+    for r in learnt:
+        words = toxicity.normal_words(bytes(r["text"]))
+        want[r["label"]][np.unique([b for w in set(words) for b in plain_buckets(w)])] += 1
+    assert np.array_equal(seen[0][0], want)
+    assert seen[0][1] == sum(r["label"] for r in learnt) / len(learnt)
