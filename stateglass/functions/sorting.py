@@ -38,6 +38,25 @@ def sort_text(column: Column, kind: T.DataType, descending: bool = False) -> Col
     return F.coalesce(F.concat(F.lit("1"), digits, F.lit(LOW_END)), F.lit("0"))
 
 
+def sort_bytes(column: Column, kind: T.DataType, descending: bool = False) -> Column:
+    """Binary in the order of ``sort_text``, of about half its size.
+
+    Bytes of a string or binary stand for themselves but for zeros, which get a byte behind
+    them, as the end of a value is a zero and a one.
+    """
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # As Latin text a byte is a character.
+        latin = F.decode(column.cast("binary"), "ISO-8859-1")
+        own = F.concat(F.encode(F.replace(latin, F.lit("\0"), F.lit("\0\u00ff")), "ISO-8859-1"), F.lit(b"\0\1"))
+    else:
+        # Digits are as many for all values, so neither end is needed.
+        own = F.unhex(F.substring(sort_text(column, kind), 2, 16))
+    if descending:
+        own = F.unhex(F.translate(F.hex(own), DIGITS, TURNED))
+    first, none = (b"\0", b"\1") if descending else (b"\1", b"\0")
+    return F.when(column.isNull(), F.lit(none)).otherwise(F.concat(F.lit(first), own))
+
+
 def _clock_micros(column: Column) -> Column:
     """Microseconds since 1970 by the clock alone, with no time zone in between."""
     days = F.unix_date(column.cast("date")).cast("long")

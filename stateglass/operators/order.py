@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stateglass.functions.sorting import sort_text
+from stateglass.functions.sorting import sort_bytes
 from stateglass.operators.selection import Key, order_keys
 from stateglass.session import kept
 
@@ -22,16 +22,21 @@ from stateglass.session import kept
 PLACE_BITS = 33
 
 
-def _ranged(rows: DataFrame, order: Sequence[Column | str], ranges: int | None = None) -> DataFrame:
+def _ranged(
+    rows: DataFrame, order: Sequence[Column | str], ranges: int | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
     """``rows`` in ranges of the order: with ``__range`` and the 0-based ``__place`` in it.
 
+    Of the columns only ``columns`` are written, if given.
+
     The ranges are written to the shared folder, so that a lost task cannot number
     them anew. Without ``ranges`` Spark chooses how many there are.
     """
     dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
-    written = kept(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranged")
+    names = [f"`{c}`" for c in (rows.columns if columns is None else columns)]
+    written = kept(dealt.select(*names, F.monotonically_increasing_id().alias("__id")), "ranged")
     return written.select(
-        *[f"`{c}`" for c in rows.columns],
+        *names,
         F.shiftright("__id", PLACE_BITS).alias("__range"),
         F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("__place"),
     )
@@ -80,45 +85,56 @@ def running_count(
 
 
 def global_index(
-    rows: DataFrame, order: Sequence[Column | str], name: str = "index", ranges: int | None = None
+    rows: DataFrame,
+    order: Sequence[Column | str],
+    name: str = "index",
+    ranges: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every row with its 1-based position in the whole table, in any order.
+    """Every row, or its ``columns``, with its 1-based position in the whole table, in any order.
 
     ``order`` should be total for the result to be repeatable.
     """
-    placed = _ranged(rows, order, ranges)
+    columns = rows.columns if columns is None else columns
+    placed = _ranged(rows, order, ranges, columns)
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range.
+    # One row per range, so a broadcast has a known bound and the rows are not shuffled again.
     before = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = before.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    return placed.join(before, "__range").select(
-        *[f"`{c}`" for c in rows.columns],
+    return placed.join(F.broadcast(before), "__range").select(
+        *[f"`{c}`" for c in columns],
         (F.col("__place") + 1 + F.col("__before")).alias(name),
     )
 
 
 def index_in_orders(
-    rows: DataFrame, orders: Mapping[str, Sequence[Key | Column | str]], name: str = "pos"
+    rows: DataFrame,
+    orders: Mapping[str, Sequence[Key | Column | str]],
+    name: str = "pos",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row once per order, with ``order`` and its 1-based position in that order.
 
-    All orders go through one range partitioning: each is a text that sorts as its
-    columns do, behind the number of the order. ``orders`` should be total.
+    All orders go through one range partitioning: each is a binary that sorts as its
+    columns do, behind the number of the order. ``orders`` should be total. Only
+    ``columns`` go through it with their order, if given.
     """
+    columns = rows.columns if columns is None else columns
     keyed = []
     for number, (label, order) in enumerate(orders.items()):
         keys = order_keys(order)
         kinds = [f.dataType for f in rows.select(*[k.column for k in keys]).schema]
-        texts = [sort_text(k.column, kind, k.descending) for k, kind in zip(keys, kinds)]
-        keyed.append(F.struct(F.lit(number).alias("n"), F.lit(label).alias("order"), F.concat(*texts).alias("by")))
-    every = rows.select(*[f"`{c}`" for c in rows.columns], F.explode(F.array(*keyed)).alias("__order"))
-    placed = global_index(every, ["__order.n", "__order.by"], "__index")
+        parts = [sort_bytes(k.column, kind, k.descending) for k, kind in zip(keys, kinds)]
+        keyed.append(F.struct(F.lit(number).alias("n"), F.concat(*parts).alias("by")))
+    every = rows.select(*[f"`{c}`" for c in columns], F.inline(F.array(*keyed)).alias("__order", "__by"))
+    placed = global_index(every, ["__order", "__by"], "__index", columns=[*columns, "__order"])
+    labels = F.element_at(F.array(*[F.lit(label) for label in orders]), F.col("__order") + 1)
     # Each order has every row, so the rows before an order are a multiple of their number.
     total = placed.agg((F.count("*") / len(keyed)).cast("bigint").alias("n"))
     return placed.select(
-        *[f"`{c}`" for c in rows.columns],
-        F.col("__order.order").alias("order"),
-        (F.col("__index") - F.col("__order.n") * F.coalesce(total.scalar(), F.lit(0))).alias(name),
+        *[f"`{c}`" for c in columns],
+        labels.alias("order"),
+        (F.col("__index") - F.col("__order") * F.coalesce(total.scalar(), F.lit(0))).alias(name),
     )
 
 

@@ -70,7 +70,7 @@ def snapshot_sorts(spark, sf_dir):
         orders[f"{field} ASC"] = [column, "path"]
         orders[f"{field} DESC"] = [desc(column), "path"]
     name = F.split("order", " ")
-    return order.index_in_orders(rows, orders).select(
+    return order.index_in_orders(rows, orders, columns=["path"]).select(
         name[0].alias("field"), name[1].alias("direction"), "path", "pos"
     )
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stateglass.functions.sorting import sort_bytes
 from stateglass.operators import order
 from stateglass.operators.selection import desc, sorting
 
@@ -142,3 +143,24 @@ def test_index_in_any_order(spark):
     assert [(r["id"], r["t"]) for r in sorted(found, key=lambda r: r["index"])] == want
     assert sorted(r["index"] for r in found) == list(range(1, 5001))
     assert order.global_index(rows.limit(0), ["id"]).count() == 0
+
+
+def test_sort_bytes_sort_like_the_values(spark):
+    texts = [None, "", "\0", "\0\0", "\0\u0001", "a", "a\0", "a\0b", "a\u0001", "ab", "b", "ÿ", "é", "€", "😀"]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in (None, -5, 0, 7)], "t string, n bigint")
+    kinds = [f.dataType for f in rows.schema]
+    for down in (False, True):
+        own = F.concat(*[sort_bytes(F.col(c), k, d) for c, k, d in zip(rows.columns, kinds, (down, not down))])
+        order = [F.col("t").desc(), F.col("n").asc()] if down else [F.col("t").asc(), F.col("n").desc()]
+        got = [tuple(r) for r in rows.orderBy(own).collect()]
+        assert got == [tuple(r) for r in rows.orderBy(*order).collect()]
+
+
+def test_positions_shuffle_rows_once_and_only_the_wanted_columns(spark):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("t"), "id", F.repeat(F.lit("x"), 99).alias("wide"))
+    found = order.index_in_orders(rows, {"up": ["id"], "down": [desc("id")]}, columns=["t"])
+    assert found.columns == ["t", "order", "pos"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide" not in plan and "rightHint=(strategy=broadcast)" in plan
+    got = {(r["t"], r["order"]): r["pos"] for r in found.collect()}
+    assert got == {(str(i), o): i + 1 if o == "up" else 40 - i for i in range(40) for o in ("up", "down")}
