@@ -370,7 +370,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     own = placed.select("id", "label", turn.cast("int").alias("turn"))
     rows = docs.join(own, "id").select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), "label", "turn")
     path = work_dir(spark, "labelled")
-    rows.write.partitionBy("turn").parquet(path)
+    rows.write.partitionBy("turn").parquet(path, compression="zstd")
     return spark.read.schema(rows.schema).parquet(path)
 
 
