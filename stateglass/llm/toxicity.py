@@ -17,10 +17,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stateglass.llm.common import chunks, mix, written
+from stateglass.llm.common import chunks, from_planes, mix, planes, written
 from stateglass.llm.contamination import normal_words
 from stateglass.operators.order import running_count
 from stateglass.session import work_dir
@@ -39,6 +40,10 @@ TURNS = (1, 2, 4)
 # Text a task trains on in a round. Each task sends a gradient as large as the table.
 TRAINED_BYTES = 16_000_000
 SLICES = 16
+# Bits that stand for the labelled ids, 4 MB: at 5 million ids one in seven other texts is taken along.
+LABEL_BITS = 1 << 25
+# Bits in a row of Spark's bitmaps.
+BITMAP_BITS = 32768
 # Digits of the logits that thresholds are chosen from.
 LOGIT_DIGITS = 3
 # Text a task scores at once.
@@ -352,6 +357,23 @@ def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, counts: np.nd
             model.by_language[name] = best_divide(scores[own], toxic[own], counts[own])
 
 
+def maybe_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id of ``known``, and few others, without a shuffle.
+
+    Hashed ids are looked up in a bitmap of a fixed size, so that a join on ``id`` need
+    not shuffle every text. Ids of unlike types are left to the join.
+    """
+    if docs.schema["id"].dataType != known.schema["id"].dataType:
+        return docs
+    names = [f"`{c}`" for c in docs.columns]
+    code = F.pmod(F.xxhash64("id"), F.lit(LABEL_BITS))
+    bucket, place = F.floor(code / BITMAP_BITS).alias("__bucket"), (code % BITMAP_BITS).alias("__place")
+    bits = known.select(bucket, place).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("int(__place div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    found = docs.select(*names, bucket, place).join(F.broadcast(bits), "__bucket")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, int(__place % 8))")) != 0).select(*names)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Every document with a label of 0 or 1: ``text, lang, label, turn``, written once.
 
@@ -368,19 +390,25 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     turns = next(t for t in TURNS if n <= t * ROWS_A_TURN or t == TURNS[-1])
     turn = F.when(F.col("place") % 4 == 0, F.lit(-1)).otherwise(F.floor(F.col("place") / 4) % turns)
     own = placed.select("id", "label", turn.cast("int").alias("turn"))
-    rows = docs.join(own, "id").select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), "label", "turn")
+    columns = [F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), "label", "turn"]
+    numbered_docs = docs.select("id", "text", "lang", F.monotonically_increasing_id().alias("row"))
+    # A plan that is the same at any size: labels may be too many to broadcast.
+    rows = maybe_labelled(numbered_docs, placed).join(own.hint("merge"), "id").select(*columns, "row")
     path = work_dir(spark, "labelled")
+    rows = rows.sortWithinPartitions("turn", "row").drop("row")
     rows.write.partitionBy("turn").parquet(path, compression="zstd")
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def packed(values: np.ndarray) -> bytes:
-    return str(values.itemsize).encode() + values.tobytes()
+    """The size of a float and all floats, compressed."""
+    return str(values.itemsize).encode() + zstandard.compress(planes(values), 1)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     """Floats of 4 or 8 bytes, as the first byte says, as those of 8."""
-    return np.frombuffer(blob[1:], f"f{blob[:1].decode()}").astype(np.float64)
+    data, size = zstandard.decompress(blob[1:]), int(blob[:1])
+    return from_planes(data, f"f{size}", len(data) // size).astype(np.float64)
 
 
 def sliced(values: np.ndarray) -> list[bytes]:
@@ -394,7 +422,7 @@ def _sums(parts: DataFrame) -> dict[int, np.ndarray]:
         total = 0
         for blob in group.column("blob"):
             total = total + unpacked(blob.as_py())
-        return pa.table({"slice": group.column("slice")[:1], "blob": pa.array([b"8" + total.tobytes()], pa.binary())})
+        return pa.table({"slice": group.column("slice")[:1], "blob": pa.array([packed(total)], pa.binary())})
 
     rows = parts.groupBy("slice").applyInArrow(added, _PARTIAL).toArrow().to_pylist()
     return {r["slice"]: unpacked(r["blob"]) for r in rows}

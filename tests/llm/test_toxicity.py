@@ -161,3 +161,30 @@ def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
         want[r["label"]][np.unique([b for w in set(words) for b in plain_buckets(w)])] += 1
     assert np.array_equal(seen[0][0], want)
     assert seen[0][1] == sum(r["label"] for r in learnt) / len(learnt)
+
+
+def test_only_labelled_texts_meet_the_labels(spark, monkeypatch):
+    """A join on the id would shuffle every text; whatever has no label stays where it is."""
+    docs = spark.range(-3000, 3000).select("id", F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.union(spark.createDataFrame([(7, "c", None), (None, "d", "en")], "id long, text string, lang string"))
+    labels = spark.range(-30, 100).select("id", (F.col("id") % 2 == 0).cast("int").alias("toxic"))
+    few = toxicity.maybe_labelled(docs, labels)
+    assert few.columns == docs.columns
+    assert few.join(labels, "id").count() == 131
+    assert few.count() < 140
+    # With a bitmap that is full everything is taken along, and the result is the same.
+    want = sorted(map(str, toxicity.labelled_rows(docs, labels, "toxic").collect()))
+    monkeypatch.setattr(toxicity, "LABEL_BITS", 8)
+    assert toxicity.maybe_labelled(docs, labels).count() > 5000
+    assert sorted(map(str, toxicity.labelled_rows(docs, labels, "toxic").collect())) == want and len(want) == 131
+    other = docs.withColumn("id", F.col("id").cast("string"))
+    assert toxicity.maybe_labelled(other, labels).count() == docs.count()
+
+
+def test_gradients_travel_compressed():
+    rng = np.random.default_rng(1)
+    for kind in (np.float32, np.float64):
+        values = np.where(rng.random(9000) < 0.1, rng.normal(size=9000), 0).astype(kind)
+        blob = toxicity.packed(values)
+        assert len(blob) < values.nbytes / 2
+        assert np.array_equal(toxicity.unpacked(blob), values.astype(np.float64))
