@@ -8,7 +8,7 @@ the typed states of a snapshot, such as a pin, as their initial state.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 KEYED_OUTPUT = "user_id bigint, event_count bigint, running_average double"
 BUFFER_OUTPUT = "subtask bigint, n_buffered bigint"
 
+# A call to the state store takes a worker as long as so many map entries read at once.
+ENTRIES_A_CALL = 16
+
 
 def _in_order(rows: Iterator[Row]) -> list[Row]:
     """Rows by batch and number; those without a number first."""
@@ -54,16 +57,16 @@ class KeyedStateProcessor(StatefulProcessor):
         count = 0 if new else stored[0]
         average = None if new else self.average.get()[0]
         last, added, counted = None, [], Counter()
-        for row in _in_order(rows):
+        for row in sorted(rows, key=lambda r: r["batch_id"]):
             if row["kind"] == "step":
                 started = row["first_value"] if average is None else average
                 average = self.keep ** row["n"] * started + row["added"]
                 count += row["n"]
             elif row["kind"] == "recent":
                 last = row["category"]
-                added.append((row["text"],))
+                added += [(text,) for text in row["texts"]]
             else:
-                counted[row["category"]] += row["n"]
+                counted.update(dict(zip(row["texts"], row["counts"])))
         self.count.update((count,))
         self.average.update((average,))
         self.last.update((last,))
@@ -71,11 +74,21 @@ class KeyedStateProcessor(StatefulProcessor):
         added = added[-self.recent_size :]
         held = [] if new or len(added) == self.recent_size else [tuple(r) for r in self.recent.get()]
         self.recent.put((held + added)[-self.recent_size :])
+        before = self._counts_before(counted, 0 if new else stored[0])
         for name, n in counted.items():
-            before = None if new else self.categories.getValue((name,))
-            self.categories.updateValue((name,), ((before[0] if before else 0) + n,))
+            self.categories.updateValue((name,), (before.get(name, 0) + n,))
         yield Row(user_id=key[0], event_count=count, running_average=average)
 
+    def _counts_before(self, names: Collection, count: int) -> dict:
+        """Stored counts of the categories ``names``, maybe of more, after ``count`` records."""
+        if not count:
+            return {}
+        # There are no more categories than records: a short map is read by one call.
+        if count <= ENTRIES_A_CALL * len(names):
+            return {name: n for (name,), (n,) in self.categories.iterator()}
+        found = {name: self.categories.getValue((name,)) for name in names}
+        return {name: value[0] for name, value in found.items() if value}
+
     def close(self) -> None:
         pass
 

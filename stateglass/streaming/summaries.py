@@ -27,8 +27,8 @@ BUFFER_SIZE = 50
 SUBTASKS = 4
 
 KEYED_SCHEMA = (
-    "user_id bigint, kind string, n bigint, added double, first_value double, seq bigint, "
-    "category string, text string, batch_id bigint"
+    "user_id bigint, kind string, n bigint, added double, first_value double, "
+    "category string, texts array<string>, counts array<bigint>, batch_id bigint"
 )
 BUFFER_SCHEMA = "subtask bigint, seq bigint, entry string, batch_id bigint"
 
@@ -39,22 +39,34 @@ def epoch_millis(ts):
 
 
 def keyed_summary(events: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Per user: one step of the average, the recent values, counts per category."""
+    """Three rows per user: a step of the average, the recent values with the last
+    category, and the categories (``texts``) with their counts.
+
+    A worker takes a row cell by cell, so values of one kind come as arrays.
+    """
     steps = average_step(events, ["user_id"], "event_id", "value", ALPHA, ranges).withColumn("kind", F.lit("step"))
     values = events.select("user_id", "event_id", "event_type", "value", "ts")
     # Texts are made for the rows that are kept only.
-    recent = recent_rows(values, ["user_id"], "event_id", RECENT_VALUES).select(
-        "user_id",
-        F.col("event_id").alias("seq"),
-        F.col("event_type").alias("category"),
-        timed_value(F.col("value"), epoch_millis(F.col("ts"))).alias("text"),
-        F.lit("recent").alias("kind"),
+    text = timed_value(F.col("value"), epoch_millis(F.col("ts"))).alias("text")
+    recent = (
+        recent_rows(values, ["user_id"], "event_id", RECENT_VALUES)
+        .groupBy("user_id")
+        .agg(
+            F.max_by("event_type", "pos").alias("category"),
+            F.sort_array(F.collect_list(F.struct("pos", text))).alias("rows"),
+        )
+        .select("user_id", "category", F.col("rows.text").alias("texts"), F.lit("recent").alias("kind"))
     )
-    counts = category_counts(events, ["user_id"], "event_type").select(
-        "user_id",
-        F.col("map_key").alias("category"),
-        F.col("value").alias("n"),
-        F.lit("category").alias("kind"),
+    counts = (
+        category_counts(events, ["user_id"], "event_type")
+        .groupBy("user_id")
+        .agg(F.collect_list(F.struct("map_key", "value")).alias("rows"))
+        .select(
+            "user_id",
+            F.col("rows.map_key").alias("texts"),
+            F.col("rows.value").alias("counts"),
+            F.lit("category").alias("kind"),
+        )
     )
     return steps.unionByName(recent, allowMissingColumns=True).unionByName(
         counts, allowMissingColumns=True

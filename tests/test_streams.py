@@ -1,5 +1,6 @@
 """Streams in several slices, one key hot, read back and compared with loops."""
 
+from collections import Counter
 from functools import partial
 
 import pytest
@@ -11,6 +12,7 @@ from stateglass.sinks.pins import PinStore
 from stateglass.sources import catalog, snapshots as s, state as st
 from stateglass.streaming import changes, jobs, summaries as sm
 from stateglass.streaming.enrich import enrich_into
+from stateglass.streaming.processors import KeyedStateProcessor
 
 RANGES = 5
 CUTS = (0, 300, 650, 1000)
@@ -104,6 +106,48 @@ def test_a_batch_brings_few_rows_per_key(few):
     assert sizes.agg(F.max("count")).first()[0] <= 1 + sm.RECENT_VALUES + categories
 
 
+def test_a_batch_brings_three_rows_per_key(few, by_user):
+    found = {}
+    for row in sm.keyed_summary(few, RANGES).collect():
+        assert row["kind"] not in found.setdefault(row["user_id"], {})
+        found[row["user_id"]][row["kind"]] = row
+    for user, rows in by_user.items():
+        assert found[user]["step"]["n"] == len(rows)
+        newest = rows[-sm.RECENT_VALUES :]
+        texts = found[user]["recent"]["texts"]
+        assert [text.split("@")[0] for text in texts] == [f"{r['value']:.2f}" for r in newest]
+        assert found[user]["recent"]["category"] == rows[-1]["event_type"]
+        counts = found[user]["category"]
+        assert dict(zip(counts["texts"], counts["counts"])) == Counter(r["event_type"] for r in rows)
+
+
+class CountedMap:
+    """A map state in memory that counts the calls."""
+
+    def __init__(self, entries):
+        self.entries, self.calls = dict(entries), Counter()
+
+    def iterator(self):
+        self.calls["iterator"] += 1
+        return iter([((k,), (v,)) for k, v in self.entries.items()])
+
+    def getValue(self, key):
+        self.calls["getValue"] += 1
+        return (self.entries[key[0]],) if key[0] in self.entries else None
+
+
+@pytest.mark.parametrize("held", [0, 3, 500])
+def test_a_short_map_is_read_by_one_call(held):
+    """A long one is read by key, as much of it as a batch brings."""
+    processor = KeyedStateProcessor(sm.ALPHA, sm.RECENT_VALUES)
+    processor.categories = CountedMap({f"c{i}": i + 1 for i in range(held)})
+    names = ["c0", "c2", "other", None]
+    before = processor._counts_before(names, held)
+    want = {0: {}, 3: {"c0": 1, "c2": 3}, 500: {"c0": 1, "c2": 3}}
+    assert {k: v for k, v in before.items() if k in names} == want[held]
+    assert processor.categories.calls == {0: {}, 3: {"iterator": 1}, 500: {"getValue": 4}}[held]
+
+
 def test_all_states_in_one_row(spark, keyed, by_user):
     rows = st.read_all_states(spark, keyed)
     assert set(rows.columns) == {
